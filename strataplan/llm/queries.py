@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .packing import op2_packing
+from .quality import op7_quality_classifier
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
