@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op2_packing
+from .pii import op8_pii
 from .quality import op7_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op5_toxicity
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_pii": op8_pii,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
