@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import OP3_SQL, op3_license_scan
+from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
 from .pii import op8_pii
 from .quality import op7_quality_classifier
@@ -10,10 +12,15 @@ from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
+    "op9_mixing": op9_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_license_scan": OP3_SQL,
+    "op9_mixing": OP9_SQL,
+}
