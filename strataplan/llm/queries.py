@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .imatch import op4_fingerprints
 from .licenses import OP3_SQL, op3_license_scan
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
@@ -13,6 +14,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_license_scan": op3_license_scan,
+    "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
