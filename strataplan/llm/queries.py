@@ -5,6 +5,7 @@ from __future__ import annotations
 from .imatch import op4_fingerprints
 from .licenses import OP3_SQL, op3_license_scan
 from .mixing import OP9_SQL, op9_mixing
+from .neardup_vectors import op1_embedding_near_dedup
 from .packing import op2_packing
 from .pii import op8_pii
 from .quality import op7_quality_classifier
@@ -12,6 +13,7 @@ from .simhash import op10_simhash_near_dedup
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_packing": op2_packing,
     "op3_license_scan": op3_license_scan,
     "op4_fingerprints": op4_fingerprints,
