@@ -118,7 +118,10 @@ def revealing_terms(spotted: DataFrame, min_contexts: int, min_share: float, min
     pair = near.select("_k", "e", "ctx", F.explode("terms").alias("t"))
     contexts = pair.select("e", "t", "ctx").distinct().groupBy("e", "t").count().where(F.col("count") >= min_contexts).select("e", "t")
     support = pair.select("e", "t", "_k").distinct().groupBy("e", "t").agg(F.count("*").alias("n"))
-    candidates = common.store(contexts.join(support, ["e", "t"]))
+    # a term near many entities has at least as many documents as all its mentions: no entity's
+    # share of df can reach min_share if its share of those does not
+    near_any = pair.select("t", "_k").distinct().groupBy("t").agg(F.count("*").alias("any"))
+    candidates = common.store(contexts.join(support, ["e", "t"]).join(near_any, "t").where(F.col("n") >= min_share * F.col("any")).drop("any"))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
     wanted = candidates.select(bucket("t").alias("b")).distinct()  # at most BUCKETS rows
     held = spotted.select("_k", F.explode(_words(F.col("text"))).alias("t")).join(F.broadcast(wanted), bucket("t") == F.col("b"), "left_semi")
