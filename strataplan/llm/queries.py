@@ -10,6 +10,7 @@ from .packing import op2_packing
 from .pii import op8_pii
 from .quality import op7_quality_classifier
 from .simhash import op10_simhash_near_dedup
+from .suffix_dedup import op6_suffix_array_dedup
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
