@@ -1,4 +1,4 @@
 """Named queries of the engine; importing a module registers its queries."""
 
-from . import filter_queries  # noqa: F401
+from . import filter_queries, scalar_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
