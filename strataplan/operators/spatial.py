@@ -122,11 +122,11 @@ def near_planes(points: DataFrame, planes: DataFrame, least: int = 20, most: int
     with a buffer. ``planes(wall, a, b, c, d, bx0, bx1, by0, by1)`` is small by nature (walls of
     one building); the join is on the cells of the boxes, not a nested loop."""
     cell = 2000
-    boxes = planes.withColumn("_cx", F.explode(F.sequence(F.floor((F.col("bx0") - buffer) / cell), F.floor((F.col("bx1") + buffer) / cell)))).withColumn(
-        "_cy", F.explode(F.sequence(F.floor((F.col("by0") - buffer) / cell), F.floor((F.col("by1") + buffer) / cell)))).withColumnRenamed("wall", "wall_id")
-    a, b, c, d = (F.col(f"wall_planes.{k}") for k in "abcd")
-    norm = F.sqrt(a * a + b * b + c * c)
-    dist = (a * F.col("x_mm") + b * F.col("y_mm") + c * F.col("z_mm") + d) / norm
+    names = {"a": "_pa", "b": "_pb", "c": "_pc", "d": "_pd", "wall": "wall_id"}
+    boxes = planes.withColumnsRenamed(names).withColumn("_cx", F.explode(F.sequence(F.floor((F.col("bx0") - buffer) / cell), F.floor((F.col("bx1") + buffer) / cell)))).withColumn(
+        "_cy", F.explode(F.sequence(F.floor((F.col("by0") - buffer) / cell), F.floor((F.col("by1") + buffer) / cell))))
+    norm = F.sqrt(F.col("_pa") * F.col("_pa") + F.col("_pb") * F.col("_pb") + F.col("_pc") * F.col("_pc"))
+    dist = (F.col("_pa") * F.col("x_mm") + F.col("_pb") * F.col("y_mm") + F.col("_pc") * F.col("z_mm") + F.col("_pd")) / norm
     p = points.withColumns({"_cx": F.floor(F.col("x_mm") / cell), "_cy": F.floor(F.col("y_mm") / cell)})
-    out = p.join(boxes.alias("wall_planes"), ["_cx", "_cy"]).withColumn("dist", dist)
-    return out.where(F.col("dist").between(least, most) & F.col("x_mm").between(F.col("bx0") - buffer, F.col("bx1") + buffer) & F.col("y_mm").between(F.col("by0") - buffer, F.col("by1") + buffer)).select(*[p[c] for c in points.columns], "wall_id", "dist")
+    out = p.join(boxes, ["_cx", "_cy"]).withColumn("dist", dist)
+    return out.where(F.col("dist").between(least, most) & F.col("x_mm").between(F.col("bx0") - buffer, F.col("bx1") + buffer) & F.col("y_mm").between(F.col("by0") - buffer, F.col("by1") + buffer)).select(*points.columns, "wall_id", "dist")
