@@ -97,8 +97,8 @@ def label_first_match(spark, d):
     return edges.select("room_id").distinct().join(hit, "room_id", "left").select("room_id", F.coalesce("text", F.format_string("Room-%03d", "room_id")).alias("label"))
 
 
-_PLANES = "pl(wall, a, b, d, bx0, bx1, by0, by1) AS (SELECT wall, CAST(y1 - y0 AS DOUBLE), CAST(x0 - x1 AS DOUBLE), CAST((x1 - x0) * y0 - (y1 - y0) * x0 AS DOUBLE), least(x0, x1), greatest(x0, x1), least(y0, y1), greatest(y0, y1) FROM walls)"
-_NEAR = f"{P}, {_PLANES}, near AS (SELECT p.point_id, pl.wall AS wall_id, (a * x_mm + b * y_mm + d) / sqrt(a * a + b * b) AS dist FROM pts p, pl WHERE (a * x_mm + b * y_mm + d) / sqrt(a * a + b * b) BETWEEN 20 AND 300 AND x_mm BETWEEN bx0 - 100 AND bx1 + 100 AND y_mm BETWEEN by0 - 100 AND by1 + 100)"
+_PLANES = "pl(wall, pa, pb, pd, bx0, bx1, by0, by1) AS (SELECT wall, CAST(y1 - y0 AS DOUBLE), CAST(x0 - x1 AS DOUBLE), CAST((x1 - x0) * y0 - (y1 - y0) * x0 AS DOUBLE), least(x0, x1), greatest(x0, x1), least(y0, y1), greatest(y0, y1) FROM walls)"
+_NEAR = f"{P}, {_PLANES}, near AS (SELECT p.point_id, pl.wall AS wall_id, (pa * x_mm + pb * y_mm + pd) / sqrt(pa * pa + pb * pb) AS dist FROM pts p, pl WHERE (pa * x_mm + pb * y_mm + pd) / sqrt(pa * pa + pb * pb) BETWEEN 20 AND 300 AND x_mm BETWEEN bx0 - 100 AND bx1 + 100 AND y_mm BETWEEN by0 - 100 AND by1 + 100)"
 
 
 def _near(spark, d):
