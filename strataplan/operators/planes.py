@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,8 +210,6 @@ def dbscan(points: DataFrame, eps: int, least: int, id_col: str = "point_id", di
 def normals(points: DataFrame, radius: int, most: int, id_col: str = "point_id") -> DataFrame:
     """Unit normals by local PCA over at most ``most`` nearest neighbours within a radius. The
     covariance is aggregated in the JVM; only six sums a point go to the eigen solver."""
-    import pandas as pd
-
     near = spatial.nearest_k(points, most, radius, id_col).select("a_id", "b_id")
     xyz = points.select(F.col(id_col).alias("b_id"), *[F.col(f"{k}_mm").cast("double").alias(k) for k in "xyz"])
     s = near.join(xyz, "b_id").groupBy("a_id").agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(a + b) for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))])

@@ -1,4 +1,4 @@
 """Named queries of the engine; importing a module registers its queries."""
 
-from . import aggregate_queries, filter_queries, join_queries, scalar_queries  # noqa: F401
+from . import aggregate_queries, filter_queries, join_queries, kernel_queries, scalar_queries, stream_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
