@@ -56,6 +56,19 @@ def discard(df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def shield(docs: DataFrame, needed: list[str]):
+    """Put the columns that an operator does not read into one struct, whose names cannot clash
+    with the operator's own. Returns the table and a function that gives the columns back."""
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    rest = [quoted[c] for c in docs.columns if c not in needed]
+    body = docs.select(*[quoted[c] for c in docs.columns if c in needed], (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_rest"))
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[quoted[c] if c in needed else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+    return body, restore
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

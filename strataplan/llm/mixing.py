@@ -126,7 +126,8 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5) -> DataFrame:
     """The documents kept by one epoch at most; columns as given."""
-    return mix(docs, numerator, denominator, 1).select(*docs.columns)
+    body, restore = common.shield(docs, ["doc_id", "text", "lang", "source"])
+    return restore(mix(body, numerator, denominator, 1))
 
 
 def _case(column: str, table: dict[str, int]) -> str:

@@ -109,7 +109,7 @@ class Graph:
         size = min(len(table), limit)
         n = len(q)
         seen = np.zeros((n, size + 1), dtype=bool)
-        at = np.where(at < size, at, size)
+        at = np.where((at >= 0) & (at < size), at, size)
         rows = np.arange(n)[:, None]
         sim = np.where(at < size, np.einsum("qd,qbd->qb", q, self.v[np.minimum(at, size - 1)]), -2).astype(np.float32)
         seen[rows, at] = True
@@ -151,7 +151,7 @@ class Graph:
             at[live[:, None], cols] = np.take_along_axis(at_l, best, 1)
             sim[live[:, None], cols] = np.take_along_axis(sim_l, best, 1)
             open_[live[:, None], cols] = np.take_along_axis(open_l, best, 1)
-        return at, sim
+        return np.where(at < size, at, -1), sim  # positions of one layer's padding are rows of the next
 
     def within(self, q: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
         """For each unit query the shard positions found with cosine >= threshold."""
@@ -167,7 +167,7 @@ class Graph:
                 at, _ = self._beam(part, at, k, 4, n)
             at, sim = self._beam(part, at, 0, beam, n)
             for i in range(len(part)):
-                found = at[i][(sim[i] >= threshold - 1e-4) & (at[i] < n)]
+                found = np.unique(at[i][(sim[i] >= threshold - 1e-4) & (at[i] >= 0)])
                 fresh = found
                 while len(fresh):  # everything linked to what was found
                     nb = np.unique(self.layers[0][fresh])
@@ -186,7 +186,7 @@ def search(graph: Graph, q: np.ndarray, threshold: float, seed: int = 9) -> tupl
     truth = [np.flatnonzero(s >= threshold) for s in q[sample] @ graph.x.T]
     while beam < len(graph.v):
         got = graph.within(q[sample], threshold, beam)
-        if all(len(g) == len(t) for g, t in zip(got, truth)):
+        if all(np.array_equal(g, t) for g, t in zip(got, truth)):
             break
         beam *= 2
     return graph.within(q, threshold, beam), beam

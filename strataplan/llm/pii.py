@@ -155,6 +155,7 @@ def spans(docs: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bi
 def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """The documents with spans generalised to their kind, columns as given. ``n_chars``, if
     present, follows the new text; null text stays null."""
+    body, restore = common.shield(docs, ["doc_id", "text", "n_chars"])
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "term"]])
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -165,10 +166,10 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(whole, a["pos"] + 1, F.length(whole))))
-    done = spans(docs, **limits).withColumn("text", F.when(F.col("text").isNull() | (F.size("_spans") == 0), F.col("text")).otherwise(clean))
+    done = spans(body, **limits).withColumn("text", F.when(F.col("text").isNull() | (F.size("_spans") == 0), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return done.select(*docs.columns)
+    return restore(done)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

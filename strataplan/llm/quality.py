@@ -137,4 +137,5 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected; columns as given."""
     model = train(docs, labels)
-    return score_texts(docs, model, docs.columns).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    body, restore = common.shield(docs, ["text"])
+    return restore(score_texts(body, model, body.columns).where(F.col("score") >= THRESHOLD))

@@ -183,5 +183,5 @@ def keep_one(docs: DataFrame, threshold: int = 3) -> DataFrame:
     """The documents whose id is their component's smallest; columns as given. Repeated rows of
     the kept id become one; rows with a null id are kept."""
     found = near_duplicates(docs, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi") if docs.columns else docs
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
