@@ -164,33 +164,57 @@ def icp_2d(source: DataFrame, target: DataFrame, rounds: int = 20, reach: int =
     return [[c, -s, tx], [s, c, ty], [0.0, 0.0, 1.0]], rmse, share, used
 
 
+def line_direction(points: DataFrame, tries: int = 160, threshold: float = 40.0, seed: int = 2) -> float:
+    """Direction in degrees (mod 90) of the line with most points: seeded pairs, scored in one
+    pass; the first of equals. 0 for fewer than two points."""
+    rows = points.select("x_mm", "y_mm", F.xxhash64("point_id", F.lit(seed)).alias("k")).orderBy("k", "x_mm", "y_mm").limit(2 * tries).collect()
+    lines = []
+    for p, q in zip(rows[::2], rows[1::2]):
+        dx, dy = q["x_mm"] - p["x_mm"], q["y_mm"] - p["y_mm"]
+        n = math.hypot(dx, dy)
+        if n > 1000:
+            lines.append((Plane(dy / n, -dx / n, 0.0, (-dy * p["x_mm"] + dx * p["y_mm"]) / n), math.degrees(math.atan2(dy, dx)) % 90))
+    if not lines:
+        return 0.0
+    flat = points.withColumn("z_mm", F.lit(0).cast("long"))
+    counts = scores(flat, [p for p, _ in lines], threshold)
+    best = refine(flat, lines[int(np.argmax(counts))][0], threshold)
+    return math.degrees(math.atan2(-best.a, best.b)) % 90
+
+
 def align_to_plan(points: DataFrame, walls: DataFrame, low: int = 750, high: int = 1800, voxel_mm: int = 50) -> dict:
-    """Scan to plan: wall band, voxel means, four quarter-turn starts about the centroids, each
-    refined by ICP; the smallest RMSE (then turn) is kept. The scan is moved once per candidate."""
+    """Scan to plan: wall band, voxel means, main directions of both sides, four quarter-turn
+    starts about the centroids, each refined by ICP; the smallest RMSE (then turn) is kept and
+    refined further. The scan is moved once per candidate."""
     from .scalars import rotation_matrix
     from .segments import sampled
     from .voxel import downsample
 
     band = downsample(points.where(F.col("z_mm").between(low, high)), voxel_mm).select(F.xxhash64("vx", "vy", "vz").alias("point_id"), F.round("x").cast("long").alias("x_mm"), F.round("y").cast("long").alias("y_mm"))
-    src = graph.cut(band.distinct())
+    src = graph.cut(band.dropDuplicates(["x_mm", "y_mm"]))
     tgt = sampled(walls.selectExpr("wall as seg_id", "x0 as x1", "y0 as y1", "x1 as x2", "y1 as y2")).select(F.xxhash64("seg_id", "i").alias("point_id"), F.round("x").cast("long").alias("x_mm"), F.round("y").cast("long").alias("y_mm"))
     tgt = graph.cut(tgt)
+    turn = line_direction(tgt) - line_direction(src)
     sx, sy = src.agg(F.avg("x_mm"), F.avg("y_mm")).first()
     gx, gy = tgt.agg(F.avg("x_mm"), F.avg("y_mm")).first()
+
+    def moved(m) -> DataFrame:
+        return src.select("point_id", F.round(F.col("x_mm") * m[0][0] + F.col("y_mm") * m[0][1] + m[0][2]).cast("long").alias("x_mm"), F.round(F.col("x_mm") * m[1][0] + F.col("y_mm") * m[1][1] + m[1][2]).cast("long").alias("y_mm"))
+
     best = None
     for k in range(4):
-        m = rotation_matrix(90.0 * k, sx, sy, gx - sx, gy - sy)
-        turned = src.select("point_id", F.round(F.col("x_mm") * m[0][0] + F.col("y_mm") * m[0][1] + m[0][3]).cast("long").alias("x_mm"), F.round(F.col("x_mm") * m[1][0] + F.col("y_mm") * m[1][1] + m[1][3]).cast("long").alias("y_mm"))
+        r = rotation_matrix(turn + 90.0 * k, sx, sy, gx - sx, gy - sy)
+        start = np.array([[r[0][0], r[0][1], r[0][3]], [r[1][0], r[1][1], r[1][3]], [0, 0, 1]])
         try:
-            fine, rmse, share, rounds = icp_2d(turned, tgt)
+            fine, rmse, share, rounds = icp_2d(moved(start.tolist()), tgt, rounds=6)
         except ValueError:
             continue
-        start = np.array([[m[0][0], m[0][1], m[0][3]], [m[1][0], m[1][1], m[1][3]], [0, 0, 1]])
-        got = (rmse if share > 0.3 else math.inf, k, (np.array(fine) @ start).tolist(), rmse, share, rounds)
+        got = (rmse if share > 0.3 else math.inf, k, np.array(fine) @ start, rounds)
         best = got if best is None or got[:2] < best[:2] else best
     if best is None:
         raise ValueError("no candidate has a match")
-    return {"matrix": best[2], "rmse_mm": best[3], "inlier_ratio": best[4], "iterations": best[5], "turn": best[1]}
+    fine, rmse, share, rounds = icp_2d(moved(best[2].tolist()), tgt, rounds=20)
+    return {"matrix": (np.array(fine) @ best[2]).tolist(), "rmse_mm": rmse, "inlier_ratio": share, "iterations": best[3] + rounds, "turn": best[1]}
 
 
 def dbscan(points: DataFrame, eps: int, least: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
