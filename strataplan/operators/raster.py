@@ -117,3 +117,27 @@ def hough_votes(cells: DataFrame, step_deg: float = 5.0, rho: float = 1.0) -> Da
     t = F.radians(F.col("theta") * step_deg)
     return cells.select("col", "row", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("theta")).groupBy(
         "theta", F.floor(F.round((F.col("col") * F.cos(t) + F.col("row") * F.sin(t)) / rho, 6) + 0.5).alias("rho")).agg(F.count("*").alias("votes"))
+
+
+def line_cells(segments: DataFrame) -> DataFrame:
+    """Distinct cells of segments ``(ax, ay, bx, by_)`` in cell units: one step a cell of the
+    longer side, rounded half up on the other."""
+    n = segments.withColumn("n", F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by_") - F.col("ay"))))
+    e = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    at = lambda a, b: F.expr(f"{a} + ((abs({b} - {a}) * i + n div 2) div greatest(n, 1)) * (case when {b} >= {a} then 1 else -1 end)")
+    return e.select(at("ax", "bx").alias("col"), at("ay", "by_").alias("row")).distinct()
+
+
+def free_distance(cells: DataFrame) -> DataFrame:
+    """Distance of each unset cell of the bounding box to the nearest set one; one bounded raster
+    in one grouped kernel."""
+    import pandas as pd
+
+    from . import kernels
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        wall, c0, r0 = kernels.dense(f["col"].to_numpy(), f["row"].to_numpy(), pad=0)
+        r, c = (~wall).nonzero()
+        return pd.DataFrame({"col": c + c0, "row": r + r0, "dist": kernels.distance_transform(~wall)[r, c]})
+
+    return cells.select("col", "row").groupBy(F.lit(0).alias("raster")).applyInPandas(run, "col long, row long, dist double")

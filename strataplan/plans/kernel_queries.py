@@ -170,6 +170,33 @@ def decimated_count(spark, d):
     return voxel.downsample(src.points(spark, d), 300).agg(F.least(F.count("*"), F.lit(20000)).alias("n"))
 
 
+_STEP = "a + ((abs(b - a) * i + n // 2) // greatest(n, 1)) * (CASE WHEN b >= a THEN 1 ELSE -1 END)"
+
+
+@query("rasterise_segments", f"""WITH {S}, c AS (SELECT seg_id, x1 // 100 AS ax, y1 // 100 AS ay, x2 // 100 AS bx, y2 // 100 AS "by" FROM segs WHERE least(x1, y1, x2, y2) >= 0), n AS (SELECT *, greatest(abs(bx - ax), abs("by" - ay)) AS n FROM c), e AS (SELECT *, unnest(range(n + 1)) AS i FROM n)
+SELECT DISTINCT {_STEP.replace("b - a", "bx - ax").replace("a +", "ax +").replace("b >= a", "bx >= ax")} AS col, {_STEP.replace("b - a", '"by" - ay').replace("a +", "ay +").replace("b >= a", '"by" >= ay')} AS row FROM e""")
+def rasterise_segments(spark, d):
+    """Cells of all segments: one exploded step along the longer side, no Python."""
+    c = src.segments(spark, d).where("least(x1, y1, x2, y2) >= 0").selectExpr("seg_id", "x1 div 100 as ax", "y1 div 100 as ay", "x2 div 100 as bx", "y2 div 100 as by_")
+    return raster.line_cells(c)
+
+
+@query("distance_transform", f"""WITH {P}, cells AS (SELECT DISTINCT x_mm // 500 AS col, y_mm // 500 AS row FROM pts WHERE NOT is_floor AND x_mm >= 0 AND y_mm >= 0), box AS (SELECT min(col) c0, max(col) c1, min(row) r0, max(row) r1 FROM cells),
+grid AS (SELECT c AS col, r AS row FROM box, range(0, 100) a(c), range(0, 100) b(r) WHERE c BETWEEN c0 AND c1 AND r BETWEEN r0 AND r1), free AS (SELECT * FROM grid EXCEPT SELECT * FROM cells)
+SELECT f.col, f.row, round(sqrt(min((f.col - c.col) * (f.col - c.col) + (f.row - c.row) * (f.row - c.row))), 6) AS dist FROM free f, cells c GROUP BY 1, 2""")
+def distance_transform(spark, d):
+    c = src.points(spark, d).where("not is_floor and x_mm >= 0 and y_mm >= 0").selectExpr("x_mm div 500 as col", "y_mm div 500 as row").distinct()
+    return raster.free_distance(c).select("col", "row", F.round("dist", 6).alias("dist"))
+
+
+@query("vectorize_slice")
+def vectorize_slice(spark, d):
+    from .pipelines import VectorizeParams, vectorize
+
+    out = vectorize(src.points(spark, d).where("not is_floor"), VectorizeParams(elevation=1.4, slab=0.4, resolution=0.05, least_length=1.0))
+    return out["segments"].select("seg_id", *[F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 # job tables ------------------------------------------------------------------------------------
 
 

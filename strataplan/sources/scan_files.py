@@ -240,3 +240,9 @@ def valid_uploads(files: DataFrame, most_bytes: int = 2 << 30) -> DataFrame:
     wrong = F.when(suffix.isin("las", "laz"), magic != F.lit(b"LASF")).when(suffix == "ply", F.substring("content", 1, 3) != F.lit(b"ply")).otherwise(F.lit(False))
     verdict = F.when(~suffix.isin("las", "laz", "ply", "e57"), "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "size").when(wrong, "magic").otherwise("ok")
     return files.select("path", "length", verdict.alias("verdict"))
+
+
+def las_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Header facts of LAS files, a row each."""
+    rows = [(f, (h := las_header(f))["version"], h["format"], h["points"], *h["scale"], *h["box"]) for f in _files(path, (".las",))]
+    return spark.createDataFrame(rows, "file string, version string, format int, points long, sx double, sy double, sz double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")

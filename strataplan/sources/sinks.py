@@ -89,3 +89,23 @@ def ply_bytes(points: DataFrame, target: int = 200_000) -> bytes:
         n += 1
     head = ["ply", "format binary_little_endian 1.0", f"element vertex {n}", *[f"property float {k}" for k in "xyz"], *([f"property uchar {c}" for c in ("red", "green", "blue")] if colours else []), "end_header", ""]
     return "\n".join(head).encode() + bytes(body)
+
+
+def png_bytes(image) -> bytes:
+    """Grey PNG of a uint8 array, first row on top."""
+    import zlib
+
+    h, w = image.shape
+    raw = b"".join(b"\0" + image[r].tobytes() for r in range(h))
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def save_slice(cells: DataFrame, affine: dict, folder: str) -> None:
+    """A raster slice as a table of cells and its affine as JSON, in a folder Spark can write."""
+    cells.write.mode("overwrite").parquet(f"{folder}/cells")
+    cells.sparkSession.createDataFrame([(json.dumps(affine),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/affine")
+
+
+def load_slice(spark, folder: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{folder}/cells"), json.loads(spark.read.text(f"{folder}/affine").first()[0])

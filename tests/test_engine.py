@@ -322,3 +322,21 @@ def test_jobs(spark, tmp_path):
 def test_geojson(spark):
     s = spark.createDataFrame([(1, 0, 0, 5, 5)], "seg_id long, x1 long, y1 long, x2 long, y2 long")
     assert '"LineString"' in sinks.feature_collection(s, (0, 0, 1, 1)) and '"bounds"' in sinks.feature_collection(s.where("1 = 0"), (0, 0, 1, 1))
+
+
+def test_vectorize(spark, pts, tmp_path):
+    from strataplan.plans.pipelines import VectorizeParams, vectorize
+
+    out = vectorize(pts.where("not is_floor"), VectorizeParams(elevation=1.4, slab=1.0, resolution=0.1, least_length=1.0))
+    assert out["metrics"]["segments"] >= 5 and "AC1032" in out["dxf"]
+    sinks.save_slice(out["cells"], out["affine"], str(tmp_path / "s"))
+    cells, affine = sinks.load_slice(spark, str(tmp_path / "s"))
+    assert cells.count() == out["metrics"]["cells"] and affine == out["affine"]
+    assert sinks.png_bytes(np.zeros((3, 4), np.uint8)).startswith(b"\x89PNG")
+
+
+def test_scan_to_plan(spark, pts):
+    from strataplan.plans.pipelines import ScanParams, scan_to_plan
+
+    out = scan_to_plan(pts, src.walls(spark), ScanParams(room_cell=300))
+    assert out["alignment"]["rmse_mm"] < 60 and out["plan"].count() >= 4 and out["floors"].count() >= 1 and out["outline"].count() >= 4
