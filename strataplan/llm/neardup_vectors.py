@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD, DEGREE, BUILD_BEAM, FIRST_BEAM, AUDIT = 8192, 12, 32, 32, 256
+SHARD, DEGREE, BUILD_BEAM, FIRST_BEAM, AUDIT = 8192, 12, 48, 48, 256
 THRESHOLD = 0.93
 
 
@@ -53,6 +53,16 @@ class Graph:
             end = min(n, done + block)
             self._insert(done, end)
             done, block = end, min(512, block * 2)
+        # base links in both directions, for the expansion of range searches: a node that nobody
+        # links to any more is still found from those it links to
+        base = self.layers[0]
+        a, c = np.nonzero(base >= 0)
+        b = base[a, c].astype(np.int64)
+        both = np.unique(np.concatenate([a * n + b, b * n + a]))
+        self.ends, self.near = np.searchsorted(both // max(n, 1), np.arange(n + 1)), (both % max(n, 1)).astype(np.int32)
+
+    def _around(self, nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.near[self.ends[x] : self.ends[x + 1]] for x in nodes.tolist()])
 
     def _insert(self, low: int, high: int) -> None:
         q = self.v[low:high]
@@ -167,12 +177,14 @@ class Graph:
                 at, _ = self._beam(part, at, k, 4, n)
             at, sim = self._beam(part, at, 0, beam, n)
             for i in range(len(part)):
-                found = np.unique(at[i][(sim[i] >= threshold - 1e-4) & (at[i] >= 0)])
-                fresh = found
+                found = fresh = np.unique(at[i][(sim[i] >= threshold - 1e-4) & (at[i] >= 0)])
+                looked = np.zeros(n, dtype=bool)
+                looked[found] = True
                 while len(fresh):  # everything linked to what was found
-                    nb = np.unique(self.layers[0][fresh])
-                    nb = np.setdiff1d(nb[nb >= 0], found)
-                    fresh = nb[self.v[nb] @ part[i] >= threshold - 1e-4] if len(nb) else nb
+                    nb = np.unique(self._around(fresh))
+                    nb = nb[~looked[nb]]
+                    looked[nb] = True
+                    fresh = nb[self.v[nb] @ part[i] >= threshold - 1e-4]
                     found = np.concatenate([found, fresh])
                 exact = self.x[self.ids[found]] @ q[b + i]
                 out.append(np.sort(self.ids[found[exact >= threshold]]))
@@ -192,6 +204,21 @@ def search(graph: Graph, q: np.ndarray, threshold: float, seed: int = 9) -> tupl
     return graph.within(q, threshold, beam), beam
 
 
+def mutual(found: list[np.ndarray], block: int = 8_000_000) -> list[np.ndarray]:
+    """Links of a shard with itself hold both ways: add those found from one end only."""
+    n = len(found)
+    flat = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int32)
+    src = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in found])
+    out = list(found)
+    parts = max(1, -(-len(flat) // block))
+    for low in range(0, n, -(-n // parts)):
+        high = min(n, low + -(-n // parts))
+        a, b = (src >= low) & (src < high), (flat >= low) & (flat < high)
+        for key in np.setdiff1d(flat[b].astype(np.int64) * n + src[b], src[a].astype(np.int64) * n + flat[a]).tolist():
+            out[key // n] = np.append(out[key // n], key % n)
+    return out
+
+
 def nodes(vectors: DataFrame) -> DataFrame:
     """Distinct usable vectors: ``(label, vec array<double>, node, n)``; node is the smallest id."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -233,6 +260,8 @@ def links(stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 graph, ids, n = pickle.loads(blob)
                 other, qids, qn = (graph, ids, n) if source == target else pickle.loads(queries)
                 found, _ = search(graph, other.x, threshold)
+                if source == target:
+                    found = mutual(found)
                 count, back = np.zeros(len(qids), np.int64), np.zeros(len(ids), np.int64)
                 label = np.arange(len(ids) + (0 if source == target else len(qids)))
                 for i, hits in enumerate(found):
