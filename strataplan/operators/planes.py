@@ -195,8 +195,10 @@ def align_to_plan(points: DataFrame, walls: DataFrame, low: int = 750, high: int
     tgt = sampled(walls.selectExpr("wall as seg_id", "x0 as x1", "y0 as y1", "x1 as x2", "y1 as y2")).select(F.xxhash64("seg_id", "i").alias("point_id"), F.round("x").cast("long").alias("x_mm"), F.round("y").cast("long").alias("y_mm"))
     tgt = graph.cut(tgt)
     turn = line_direction(tgt) - line_direction(src)
-    sx, sy = src.agg(F.avg("x_mm"), F.avg("y_mm")).first()
-    gx, gy = tgt.agg(F.avg("x_mm"), F.avg("y_mm")).first()
+    # centres of the occupied half-metre cells, so that dense walls weigh no more than others
+    centre = lambda p: p.select(F.floor(F.col("x_mm") / 500.0).alias("c"), F.floor(F.col("y_mm") / 500.0).alias("r")).distinct().agg(F.avg("c") * 500 + 250, F.avg("r") * 500 + 250).first()
+    sx, sy = centre(src)
+    gx, gy = centre(tgt)
 
     def moved(m) -> DataFrame:
         return src.select("point_id", F.round(F.col("x_mm") * m[0][0] + F.col("y_mm") * m[0][1] + m[0][2]).cast("long").alias("x_mm"), F.round(F.col("x_mm") * m[1][0] + F.col("y_mm") * m[1][1] + m[1][2]).cast("long").alias("y_mm"))
@@ -206,7 +208,7 @@ def align_to_plan(points: DataFrame, walls: DataFrame, low: int = 750, high: int
         r = rotation_matrix(turn + 90.0 * k, sx, sy, gx - sx, gy - sy)
         start = np.array([[r[0][0], r[0][1], r[0][3]], [r[1][0], r[1][1], r[1][3]], [0, 0, 1]])
         try:
-            fine, rmse, share, rounds = icp_2d(moved(start.tolist()), tgt, rounds=6)
+            fine, rmse, share, rounds = icp_2d(moved(start.tolist()), tgt, rounds=6, reach=1500)
         except ValueError:
             continue
         got = (rmse if share > 0.3 else math.inf, k, np.array(fine) @ start, rounds)

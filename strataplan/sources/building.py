@@ -51,7 +51,7 @@ def _of_wall(name: str, at: int):
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``point_id, scan_id, wall, is_floor, x_mm, y_mm, z_mm, classification, intensity, r, g, b``."""
     lines = load(spark, sf_dir, "lineitem").select(
-        F.expr("((l_orderkey * 200003 + l_partkey) * 10007 + l_suppkey) * 8 + l_linenumber").alias("point_id"),
+        F.expr("(((l_orderkey * 1000 + l_partkey % 1000) * 1000 + l_suppkey % 1000) * 8 + l_linenumber) * 64 + cast(l_quantity as bigint)").alias("point_id"),
         F.expr("cast(l_suppkey % 6 as int)").alias("scan_id"), F.col("l_linenumber").alias("wall"), (F.col("l_returnflag") == "A").alias("is_floor"),
         F.expr("(31 * l_orderkey + 17 * l_partkey + 7 * l_linenumber) % 1001").alias("t"), F.expr("cast(round(100 * l_tax) as bigint)").alias("tx"),
         F.expr("cast(round(100 * l_discount) as bigint)").alias("ds"), F.expr("cast(l_quantity as bigint)").alias("q"), "l_orderkey", "l_partkey",
@@ -70,7 +70,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ", ".join(map(str, WALLS))
 #: The same mapping as CTEs of DuckDB SQL ending in ``pts``; ``walls`` holds the plan.
 POINTS_SQL = f"""walls(wall, x0, y0, x1, y1) AS (SELECT CAST(c0 AS INT), CAST(c1 AS BIGINT), CAST(c2 AS BIGINT), CAST(c3 AS BIGINT), CAST(c4 AS BIGINT) FROM (VALUES {_VALUES}) v(c0, c1, c2, c3, c4)),
-l0 AS (SELECT ((l_orderkey * 200003 + l_partkey) * 10007 + l_suppkey) * 8 + l_linenumber AS point_id, CAST(l_suppkey % 6 AS INT) AS scan_id, l_linenumber AS wall, l_returnflag = 'A' AS is_floor,
+l0 AS (SELECT (((l_orderkey * 1000 + l_partkey % 1000) * 1000 + l_suppkey % 1000) * 8 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS point_id, CAST(l_suppkey % 6 AS INT) AS scan_id, l_linenumber AS wall, l_returnflag = 'A' AS is_floor,
   (31 * l_orderkey + 17 * l_partkey + 7 * l_linenumber) % 1001 AS t, CAST(round(100 * l_tax) AS BIGINT) AS tx, CAST(round(100 * l_discount) AS BIGINT) AS ds, CAST(l_quantity AS BIGINT) AS q,
   l_orderkey, l_partkey, CAST(trunc(l_extendedprice) AS BIGINT) AS price FROM lineitem),
 pts AS (SELECT point_id, scan_id, l0.wall, is_floor,
