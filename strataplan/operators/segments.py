@@ -55,25 +55,28 @@ def collinear_pairs(segments: DataFrame, angle: float = 3.0, off: float = 50.0,
 
     The join is on a grid: mergeable segments of a have a point within reach of b's, so both are
     put into the cells their boxes (a's grown by gap + off) touch; orientation is tested exactly."""
-    cell = 2000
+    cell = 1000
     reach = gap + off
 
     def cells(df: DataFrame, grow: float) -> DataFrame:
         lo, hi = (lambda k: F.floor((F.least(f"{k}1", f"{k}2") - grow) / cell)), (lambda k: F.floor((F.greatest(f"{k}1", f"{k}2") + grow) / cell))
-        return df.withColumn("gx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("gy", F.explode(F.sequence(lo("y"), hi("y"))))
-
-    cols = ["seg_id", "x1", "y1", "x2", "y2"]
-    base = segments.select(*cols).withColumn("ang", F.round(angle_deg(), 6))
-    a = cells(base, reach).select(*[F.col(c).alias(f"a_{c}") for c in [*cols, "ang"]], "gx", "gy")
-    b = cells(base, 0.0).select(*[F.col(c).alias(f"b_{c}") for c in [*cols, "ang"]], "gx", "gy")
-    ux, uy = _direction("a_")
-    mx, my = (F.col("b_x1") + F.col("b_x2")) / 2.0 - (F.col("a_x1") + F.col("a_x2")) / 2.0, (F.col("b_y1") + F.col("b_y2")) / 2.0 - (F.col("a_y1") + F.col("a_y2")) / 2.0
-    perp = F.abs(mx * -uy + my * ux)
-    t = lambda p: (F.col(f"{p[0]}_x{p[1]}") - F.col("a_x1")) * ux + (F.col(f"{p[0]}_y{p[1]}") - F.col("a_y1")) * uy
-    b_lo, b_hi, a_hi = F.least(t("b1"), t("b2")), F.greatest(t("b1"), t("b2")), t("a2")
-    between = F.greatest(b_lo - a_hi, -b_hi, F.lit(0.0))
-    near = (circular_diff(F.col("a_ang"), F.col("b_ang")) <= angle) & (F.round(perp, 6) <= off) & (F.round(between, 6) <= gap)
-    return a.join(b, ["gx", "gy"]).where("a_seg_id < b_seg_id").where(near).select(F.col("a_seg_id").alias("a_id"), F.col("b_seg_id").alias("b_id")).distinct()
+        return df.withColumns({"lx": lo("x"), "ly": lo("y")}).withColumn("gx", F.explode(F.sequence("lx", hi("x")))).withColumn("gy", F.explode(F.sequence("ly", hi("y"))))
+
+    cols = ["seg_id", "x1", "y1", "x2", "y2", "ang", "ux", "uy", "mx", "my", "t2", "lx", "ly"]
+    ux, uy = _direction("")
+    base = segments.select("seg_id", "x1", "y1", "x2", "y2").withColumns({
+        "ang": F.round(angle_deg(), 6), "ux": ux, "uy": uy, "mx": (F.col("x1") + F.col("x2")) / 2.0, "my": (F.col("y1") + F.col("y2")) / 2.0,
+        "t2": (F.col("x2") - F.col("x1")) * ux + (F.col("y2") - F.col("y1")) * uy})
+    a = cells(base, reach).select(*[F.col(c).alias(f"a_{c}") for c in cols], "gx", "gy")
+    b = cells(base, 0.0).select(*[F.col(c).alias(f"b_{c}") for c in cols], "gx", "gy")
+    ux, uy = F.col("a_ux"), F.col("a_uy")
+    perp = F.abs((F.col("b_mx") - F.col("a_mx")) * -uy + (F.col("b_my") - F.col("a_my")) * ux)
+    t = lambda k: (F.col(f"b_x{k}") - F.col("a_x1")) * ux + (F.col(f"b_y{k}") - F.col("a_y1")) * uy
+    between = F.greatest(F.least(t(1), t(2)) - F.col("a_t2"), -F.greatest(t(1), t(2)), F.lit(0.0))
+    near = (F.round(perp, 6) <= off) & (circular_diff(F.col("a_ang"), F.col("b_ang")) <= angle) & (F.round(between, 6) <= gap)
+    # boxes share a rectangle of cells; the pair is tested in its first cell only
+    once = (F.col("gx") == F.greatest("a_lx", "b_lx")) & (F.col("gy") == F.greatest("a_ly", "b_ly"))
+    return a.join(b, ["gx", "gy"]).where("a_seg_id < b_seg_id").where(once).where(near).select(F.col("a_seg_id").alias("a_id"), F.col("b_seg_id").alias("b_id"))
 
 
 def merged(segments: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -43,9 +43,22 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: int, id_col: str = "
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
-    """Nearest right row within the radius of each left row; the smallest id of equals."""
-    best = radius_pairs(left, right, radius, id_col, dims).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m"))
-    return best.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.d2").alias("d2"))
+    """Nearest right row within the radius of each left row; the smallest id of equals.
+
+    The search widens: what has a partner within a small radius has its nearest there, so only the
+    rest is searched with the next one, and dense places never pay for the full radius."""
+    todo, parts = left, []
+    reaches = [r for r in (radius // 16, radius // 4) if r > 0] + [radius]
+    for k, reach in enumerate(reaches):
+        best = radius_pairs(todo, right, reach, id_col, dims).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m"))
+        found = best.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.d2").alias("d2"))
+        parts.append(found)
+        if k < len(reaches) - 1:
+            todo = todo.join(found.select(F.col("a_id").alias(id_col)), id_col, "left_anti")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
