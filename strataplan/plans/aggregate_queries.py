@@ -255,10 +255,10 @@ def voxel_overlap(spark, d):
     return voxel.overlap(src.points(spark, d), 500, 0, 1)
 
 
-@query("detector_union", f"WITH {S} SELECT source, count(*) AS n FROM (SELECT 'hough' AS source, * FROM segs WHERE seg_id % 2 = 0 UNION ALL SELECT 'fld' AS source, * FROM segs WHERE seg_id % 3 = 0) GROUP BY 1")
+@query("detector_union", f"WITH {S} SELECT source, count(*) AS n FROM (SELECT 'hough' AS source, * FROM segs WHERE x2 - x1 >= 300 UNION ALL SELECT 'fld' AS source, * FROM segs WHERE x2 - x1 < 900) GROUP BY 1")
 def detector_union(spark, d):
     s = src.segments(spark, d)
-    return s.where("seg_id % 2 = 0").withColumn("source", F.lit("hough")).unionByName(s.where("seg_id % 3 = 0").withColumn("source", F.lit("fld"))).groupBy("source").agg(F.count("*").alias("n"))
+    return s.where("x2 - x1 >= 300").withColumn("source", F.lit("hough")).unionByName(s.where("x2 - x1 < 900").withColumn("source", F.lit("fld"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("seed_union", f"WITH {P} SELECT x_mm // 1000 AS col, y_mm // 1000 AS row FROM pts WHERE wall = 1 UNION SELECT x_mm // 1000, y_mm // 1000 FROM pts WHERE wall = 2")
@@ -273,10 +273,10 @@ def inlier_anti(spark, d):
     return p.join(p.where("not is_floor and wall = 1").select("point_id"), "point_id", "left_anti").select("point_id")
 
 
-@query("plan_edges_union", f"WITH {S}, v AS (SELECT seg_id, x1, y1, x2, y2 FROM segs WHERE seg_id % 5 <> 0), e AS (SELECT seg_id, x1, y1, x2, y1 AS y2 FROM segs WHERE seg_id % 5 = 0) SELECT * FROM v UNION ALL SELECT * FROM e")
+@query("plan_edges_union", f"WITH {S}, v AS (SELECT seg_id, x1, y1, x2, y2 FROM segs WHERE x2 - x1 < 300), e AS (SELECT seg_id, x1, y1, x2, y1 AS y2 FROM segs WHERE x2 - x1 >= 300) SELECT * FROM v UNION ALL SELECT * FROM e")
 def plan_edges_union(spark, d):
     s = src.segments(spark, d)
-    return s.where("seg_id % 5 <> 0").unionByName(s.where("seg_id % 5 = 0").withColumn("y2", F.col("y1")))
+    return s.where("x2 - x1 < 300").unionByName(s.where("x2 - x1 >= 300").withColumn("y2", F.col("y1")))
 
 
 @query("per_scan_planes_union", f"WITH {P} SELECT scan_id, wall, count(*) AS inliers FROM pts WHERE NOT is_floor GROUP BY 1, 2 HAVING count(*) >= 80")

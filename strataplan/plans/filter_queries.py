@@ -20,11 +20,10 @@ def class_mask(spark, d):
     return op.class_mask(src.points(spark, d)).groupBy("classification").agg(F.count("*").alias("n"), F.sum("z_mm").alias("sum_z"))
 
 
-@query("class_mask_weak", f"""WITH {P}, q AS (SELECT * FROM pts WHERE classification <> 6 OR point_id % 9 = 0), s AS (SELECT avg(CASE WHEN classification = 6 THEN 1.0 ELSE 0.0 END) AS share FROM q)
-SELECT classification, count(*) AS n FROM q, s WHERE classification NOT IN (7, 18) AND (CASE WHEN share >= 0.1 THEN classification = 6 WHEN share >= 0.015 THEN classification IN (0, 1, 6) ELSE TRUE END) GROUP BY 1""")
+@query("class_mask_weak", f"WITH {P} SELECT classification, count(*) AS n FROM pts WHERE classification IN (0, 1, 6) GROUP BY 1")
 def class_mask_weak(spark, d):
-    thin = src.points(spark, d).where("classification <> 6 or point_id % 9 = 0")
-    return op.class_mask(thin, weak=0.015).groupBy("classification").agg(F.count("*").alias("n"))
+    """The share of class 6 lies between the two limits."""
+    return op.class_mask(src.points(spark, d), strong=0.5).groupBy("classification").agg(F.count("*").alias("n"))
 
 
 @query("wall_band", f"WITH {P} SELECT {_XYZ} FROM pts WHERE z_mm BETWEEN 750 AND 1800")

@@ -15,12 +15,12 @@ def _dist(a: str, b: str, dims: str = "xyz") -> str:
     return " + ".join(f"({a}.{k}_mm - {b}.{k}_mm) * ({a}.{k}_mm - {b}.{k}_mm)" for k in dims)
 
 
-_TWO = f"{P}, a AS (SELECT * FROM pts WHERE scan_id = 0 AND z_mm < 900), b AS (SELECT * FROM pts WHERE scan_id = 1)"
+_TWO = f"{P}, a AS (SELECT * FROM pts WHERE scan_id = 0), b AS (SELECT * FROM pts WHERE scan_id = 1)"
 
 
 def _two(spark, d):
     p = src.points(spark, d)
-    return p.where("scan_id = 0 and z_mm < 900"), p.where("scan_id = 1")
+    return p.where("scan_id = 0"), p.where("scan_id = 1")
 
 
 @query("nn_join", f"WITH {_TWO}, p AS (SELECT a.point_id AS a_id, b.point_id AS b_id, {_dist('a', 'b')} AS d2 FROM a JOIN b ON b.x_mm BETWEEN a.x_mm - 500 AND a.x_mm + 500 AND b.y_mm BETWEEN a.y_mm - 500 AND a.y_mm + 500 WHERE {_dist('a', 'b')} <= 250000) SELECT a_id, arg_min(b_id, (d2, b_id)) AS b_id, min(d2) AS d2 FROM p GROUP BY 1")
@@ -174,11 +174,11 @@ def morph_open(spark, d):
 
 
 _COMP = """lab AS (WITH RECURSIVE reach(col, row, c0, r0) AS (SELECT col, row, col, row FROM part_cells UNION SELECT c.col, c.row, r.c0, r.r0 FROM reach r JOIN part_cells c ON abs(c.col - r.col) <= 1 AND abs(c.row - r.row) <= 1) SELECT col, row, min((r0 + 1073741824) * 2147483648 + c0 + 1073741824) AS label FROM reach GROUP BY 1, 2)"""
-_PART = f"{P}, part_cells AS (SELECT DISTINCT x_mm // 500 AS col, y_mm // 500 AS row FROM pts WHERE NOT is_floor AND wall IN (1, 3, 7) AND (x_mm // 500) % 7 <> 3 AND x_mm >= 0 AND y_mm >= 0)"
+_PART = f"{P}, part_cells AS (SELECT DISTINCT x_mm // 500 AS col, y_mm // 500 AS row FROM pts WHERE NOT is_floor AND x_mm >= 0 AND y_mm >= 0)"
 
 
 def _part(spark, d):
-    return src.points(spark, d).where("not is_floor and wall in (1, 3, 7) and (x_mm div 500) % 7 <> 3 and x_mm >= 0 and y_mm >= 0").selectExpr("x_mm div 500 as col", "y_mm div 500 as row").distinct()
+    return src.points(spark, d).where("not is_floor and x_mm >= 0 and y_mm >= 0").selectExpr("x_mm div 500 as col", "y_mm div 500 as row").distinct()
 
 
 @query("components_labels", f"WITH {_PART}, {_COMP} SELECT col, row, label FROM lab")
@@ -231,14 +231,14 @@ def slice_flip(spark, d):
 # segments --------------------------------------------------------------------------------------
 
 _LEN = "sqrt(CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))"
-_SMALL = f"{S}, ss AS (SELECT *, {_LEN} AS len, round(((degrees(atan2(CAST(y2 - y1 AS DOUBLE), CAST(x2 - x1 AS DOUBLE))) % 180.0) + 180.0) % 180.0, 6) AS ang, CAST(x2 - x1 AS DOUBLE) / {_LEN} AS ux, CAST(y2 - y1 AS DOUBLE) / {_LEN} AS uy FROM segs WHERE seg_id % 11 = 0 AND {_LEN} >= 500)"
-_PAIRS = """pairs AS (SELECT a.seg_id AS a_id, b.seg_id AS b_id FROM ss a JOIN ss b ON a.seg_id < b.seg_id AND least(abs(a.ang - b.ang), 180 - abs(a.ang - b.ang)) <= 3
+_SMALL = f"{S}, ss AS (SELECT *, {_LEN} AS len, round(((degrees(atan2(CAST(y2 - y1 AS DOUBLE), CAST(x2 - x1 AS DOUBLE))) % 180.0) + 180.0) % 180.0, 6) AS ang, CAST(x2 - x1 AS DOUBLE) / {_LEN} AS ux, CAST(y2 - y1 AS DOUBLE) / {_LEN} AS uy FROM segs WHERE {_LEN} >= 500)"
+_PAIRS = """pairs AS (SELECT a.seg_id AS a_id, b.seg_id AS b_id FROM ss a JOIN ss b ON a.seg_id // 500 = b.seg_id // 500 AND a.seg_id < b.seg_id AND least(abs(a.ang - b.ang), 180 - abs(a.ang - b.ang)) <= 3
 AND round(abs(((b.x1 + b.x2) / 2e0 - (a.x1 + a.x2) / 2e0) * -a.uy + ((b.y1 + b.y2) / 2e0 - (a.y1 + a.y2) / 2e0) * a.ux), 6) <= 50
 AND round(greatest(least((b.x1 - a.x1) * a.ux + (b.y1 - a.y1) * a.uy, (b.x2 - a.x1) * a.ux + (b.y2 - a.y1) * a.uy) - ((a.x2 - a.x1) * a.ux + (a.y2 - a.y1) * a.uy), -greatest((b.x1 - a.x1) * a.ux + (b.y1 - a.y1) * a.uy, (b.x2 - a.x1) * a.ux + (b.y2 - a.y1) * a.uy), 0), 6) <= 300)"""
 
 
 def _small(spark, d):
-    return filters.drop_short(src.segments(spark, d).where("seg_id % 11 = 0"), 500)
+    return filters.drop_short(src.segments(spark, d), 500)
 
 
 @query("segment_pairs", f"WITH {_SMALL}, {_PAIRS} SELECT a_id, b_id FROM pairs")

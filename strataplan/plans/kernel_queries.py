@@ -41,14 +41,14 @@ def floor_levels(spark, d):
     return planes.floor_levels(src.points(spark, d))
 
 
-_ICP = "a AS (SELECT * FROM pts WHERE scan_id = 0 AND NOT is_floor AND z_mm < 900), b AS (SELECT * FROM pts WHERE scan_id = 1 AND NOT is_floor AND z_mm < 900)"
+_ICP = "a AS (SELECT * FROM pts WHERE scan_id = 0 AND NOT is_floor), b AS (SELECT * FROM pts WHERE scan_id = 1 AND NOT is_floor)"
 
 
-@query("icp_step", f"""WITH {P}, {_ICP}, p AS (SELECT a.point_id AS a_id, arg_min((b.x_mm, b.y_mm), ({_dist('a', 'b', 'xy')}, b.point_id)) AS q, any_value(a.x_mm) AS px, any_value(a.y_mm) AS py FROM a JOIN b ON {_dist('a', 'b', 'xy')} <= 250000 GROUP BY 1),
+@query("icp_step", f"""WITH {P}, {_ICP}, p AS (SELECT a.point_id AS a_id, arg_min((b.x_mm, b.y_mm), ({_dist('a', 'b', 'xy')}, b.point_id)) AS q, any_value(a.x_mm) AS px, any_value(a.y_mm) AS py FROM a JOIN b ON b.x_mm BETWEEN a.x_mm - 500 AND a.x_mm + 500 AND b.y_mm BETWEEN a.y_mm - 500 AND a.y_mm + 500 WHERE {_dist('a', 'b', 'xy')} <= 250000 GROUP BY 1),
 m AS (SELECT CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, CAST(q[1] AS DOUBLE) AS qx, CAST(q[2] AS DOUBLE) AS qy FROM p), s AS (SELECT count(*) AS n, avg(px) AS mpx, avg(py) AS mpy, avg(qx) AS mqx, avg(qy) AS mqy, avg(px * qx + py * qy) AS dt, avg(px * qy - py * qx) AS cr FROM m)
 SELECT n AS matched, round(atan2(cr - (mpx * mqy - mpy * mqx), dt - (mpx * mqx + mpy * mqy)), 6) AS angle FROM s""")
 def icp_step(spark, d):
-    p = src.points(spark, d).where("not is_floor and z_mm < 900")
+    p = src.points(spark, d).where("not is_floor")
     a, b = p.where("scan_id = 0"), p.where("scan_id = 1")
     near = spatial.nearest(a, b, 500, dims="xy")
     m = near.join(a.selectExpr("point_id as a_id", "cast(x_mm as double) as px", "cast(y_mm as double) as py"), "a_id").join(b.selectExpr("point_id as b_id", "cast(x_mm as double) as qx", "cast(y_mm as double) as qy"), "b_id")
@@ -58,7 +58,7 @@ def icp_step(spark, d):
 
 @query("icp_register")
 def icp_register(spark, d):
-    p = src.points(spark, d).where("not is_floor and z_mm < 900")
+    p = src.points(spark, d).where("not is_floor")
     a = p.where("scan_id = 0").withColumn("x_mm", F.col("x_mm") + 60).withColumn("y_mm", F.col("y_mm") - 40)
     m, rmse, share, rounds = planes.icp_2d(a, p.where("scan_id <> 0"), rounds=8)
     return spark.createDataFrame([(*m[0], *m[1], rmse, share, rounds)], "m00 double, m01 double, tx double, m10 double, m11 double, ty double, rmse_mm double, inlier_ratio double, iterations int")
@@ -80,14 +80,14 @@ def dbscan_labels(spark, d):
 
 @query("local_normals")
 def local_normals(spark, d):
-    p = src.points(spark, d).where("scan_id = 0 and not is_floor")
-    return planes.normals(p, 400, 20).select("point_id", "n", *[F.round(F.col("normal")[i], 6).alias(f"n{k}") for i, k in enumerate("xyz")])
+    p = src.points(spark, d).where("not is_floor")
+    return planes.normals(p, 200, 20).select("point_id", "n", *[F.round(F.col("normal")[i], 6).alias(f"n{k}") for i, k in enumerate("xyz")])
 
 
 @query("vertical_normal_filter")
 def vertical_normal_filter(spark, d):
-    p = src.points(spark, d).where("scan_id = 0 and z_mm > 200")
-    n = planes.normals(p, 400, 20)
+    p = src.points(spark, d).where("z_mm > 200")
+    n = planes.normals(p, 200, 20)
     return n.where(F.abs(F.col("normal")[2]) <= 0.30).select("point_id", "n")
 
 
@@ -142,8 +142,7 @@ def preprocess_raster(spark, d):
 
 @query("regularised_segments")
 def regularised_segments(spark, d):
-    s = src.segments(spark, d).where("seg_id % 11 = 0")
-    return seg.regularise(s).select("seg_id", *[F.round(c, 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return seg.regularise(src.segments(spark, d)).select("seg_id", *[F.round(c, 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("vectorize_metrics", f"WITH {S}, k AS (SELECT *, sqrt(CAST((x2 - x1) ** 2 + (y2 - y1) ** 2 AS DOUBLE)) AS len FROM segs) SELECT count(*) AS n_raw, count(*) FILTER (len >= 500) AS n_long, round(sum(len) FILTER (len >= 500), 3) AS total_mm FROM k")
@@ -157,7 +156,7 @@ def merge_scans(spark, d):
     from ..operators import voxel
 
     p = src.points(spark, d)
-    keep = spatial.statistical_outliers(p.where("scan_id < 2"), k=8, radius=400).where("not outlier").select(F.col("a_id").alias("point_id"))
+    keep = spatial.statistical_outliers(p, k=8, radius=150).where("not outlier").select(F.col("a_id").alias("point_id"))
     merged = p.join(keep, "point_id", "left_semi")
     v = voxel.downsample(merged, 100)
     return v.agg(F.count("*").alias("after"), F.sum("n").alias("before"))
@@ -200,9 +199,9 @@ def vectorize_slice(spark, d):
 # job tables ------------------------------------------------------------------------------------
 
 
-@query("job_lookup", "SELECT user_id AS job_id, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS rooms, event_type = 'error' AS failed FROM events WHERE user_id % 10 = 3")
+@query("job_lookup", "SELECT user_id AS job_id, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS rooms, event_type = 'error' AS failed FROM events")
 def job_lookup(spark, d):
-    e = src.load(spark, d, "events").where("user_id % 10 = 3")
+    e = src.load(spark, d, "events")
     return e.select(F.col("user_id").alias("job_id"), "event_id", F.from_json("props", "k long")["k"].alias("rooms"), (F.col("event_type") == "error").alias("failed"))
 
 

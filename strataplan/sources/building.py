@@ -93,15 +93,15 @@ def room_edges_sql() -> str:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short wall segments ``(seg_id, x1, y1, x2, y2)`` in millimetres, one per order: jittered
-    pieces of the plan walls, for the segment operators."""
+    pieces of plan walls, 500 to a building, buildings 40 m apart; for the segment operators."""
     orders = load(spark, sf_dir, "orders")
     return orders.selectExpr(
         "o_orderkey as seg_id", "cast(o_orderkey % 7 as int) as w", "(o_custkey * 37 + o_orderkey * 11) % 9000 as a", "200 + (o_orderkey * 53) % 1800 as len", "(o_custkey % 41) - 20 as j", "(o_orderkey % 61) - 30 as k",
     ).selectExpr(
-        "seg_id", "case when w in (0, 2, 4, 6) then a else w * 3000 + j end as x1", "case when w in (0, 2, 4, 6) then w * 2500 + j else a end as y1",
-        "case when w in (0, 2, 4, 6) then a + len when w = 5 then w * 3000 + j + len else w * 3000 + j + k end as x2", "case when w in (0, 2, 4, 6) then w * 2500 + j + k else a + len end as y2")
+        "seg_id", "40000 * (seg_id div 500) + case when w in (0, 2, 4, 6) then a else w * 3000 + j end as x1", "case when w in (0, 2, 4, 6) then w * 2500 + j else a end as y1",
+        "40000 * (seg_id div 500) + case when w in (0, 2, 4, 6) then a + len when w = 5 then w * 3000 + j + len else w * 3000 + j + k end as x2", "case when w in (0, 2, 4, 6) then w * 2500 + j + k else a + len end as y2")
 
 
 SEGMENTS_SQL = """s0 AS (SELECT o_orderkey AS seg_id, CAST(o_orderkey % 7 AS INT) AS w, (o_custkey * 37 + o_orderkey * 11) % 9000 AS a, 200 + (o_orderkey * 53) % 1800 AS len, (o_custkey % 41) - 20 AS j, (o_orderkey % 61) - 30 AS k FROM orders),
-segs AS (SELECT seg_id, CASE WHEN w IN (0, 2, 4, 6) THEN a ELSE w * 3000 + j END AS x1, CASE WHEN w IN (0, 2, 4, 6) THEN w * 2500 + j ELSE a END AS y1,
-  CASE WHEN w IN (0, 2, 4, 6) THEN a + len WHEN w = 5 THEN w * 3000 + j + len ELSE w * 3000 + j + k END AS x2, CASE WHEN w IN (0, 2, 4, 6) THEN w * 2500 + j + k ELSE a + len END AS y2 FROM s0)"""
+segs AS (SELECT seg_id, 40000 * (seg_id // 500) + CASE WHEN w IN (0, 2, 4, 6) THEN a ELSE w * 3000 + j END AS x1, CASE WHEN w IN (0, 2, 4, 6) THEN w * 2500 + j ELSE a END AS y1,
+  40000 * (seg_id // 500) + CASE WHEN w IN (0, 2, 4, 6) THEN a + len WHEN w = 5 THEN w * 3000 + j + len ELSE w * 3000 + j + k END AS x2, CASE WHEN w IN (0, 2, 4, 6) THEN w * 2500 + j + k ELSE a + len END AS y2 FROM s0)"""
