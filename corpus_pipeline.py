@@ -19,7 +19,7 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """One document of each SimHash component stays, that of smallest id."""
+    """Of texts near by SimHash or by exact five-word Jaccard >= 0.8 one stays, that of smallest id."""
     return simhash.keep_one(docs)
 
 

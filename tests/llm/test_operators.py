@@ -410,6 +410,31 @@ def test_simhash(spark, edge, empty, block, monkeypatch):
     assert kept.columns == edge.columns and kept.where("doc_id in (3, 4)").count() == 1
 
 
+def test_keep_one_jaccard(spark):
+    """No two texts of five-word Jaccard 0.8 stay; one without such a partner does."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        w = prose(rng, 200).split()
+        texts.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for at in rng.sample(range(200), rng.randint(2, 5)):
+                v[at] = rng.choice(WORDS)
+            texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    fps = [brute_simhash(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near(i, j) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(root))
+
+
 def test_covering():
     """Words within one bit always share the home anchor of either; all links within three bits
     of random words are found."""
