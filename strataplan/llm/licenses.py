@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SPLIT = r"[.!?]+[ \t\n\f\r]+|[.!?]+\z|[\n\r]+"
-HINTS = ["licen", "permission", "redistribut", "warrant", "copyright", "domain", "rights"]
+SQL_HINTS = ["licen", "permission", "redistribut", "warrant", "copyright", "domain", "rights"]
+HINTS = [*SQL_HINTS, "released", "distribut"]
 
 _PREFIXES = ["licensed under the {}", "licensed under {}", "released under the {}", "released under {}", "this work is licensed under the {}", "this work is licensed under {}", "this software is licensed under the {}", "distributed under the {}", "distributed under the terms of the {}", "spdx license identifier {}", "license {}"]
 # names by which a one-sentence notice calls a licence, as normalised words (fixed values)
@@ -84,7 +85,6 @@ def tables() -> tuple[dict[str, int], dict[str, int], list[tuple[str, list[int]]
         for name in names:
             for prefix in _PREFIXES:
                 sentences.setdefault(prefix.format(name), ids[f"notice:{licence}"])
-    sentences = {s: i for s, i in sentences.items() if any(h in s for h in HINTS)}
     rules = [(licence, [ids[p] for p in parts]) for licence, parts in _RULES]
     rules += [(licence, [ids[f"notice:{licence}"]]) for licence in names_table()]
     return sentences, ids, rules
@@ -122,8 +122,10 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The same by joins of sentence rows and rule rows."""
+    """The same by joins of sentence rows and rule rows, for the sentences with one of
+    ``SQL_HINTS``: the text of the SQL is fixed and knows no others."""
     sentences, _, rules = tables()
+    sentences = {s: i for s, i in sentences.items() if any(h in s for h in SQL_HINTS)}
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(s)}, {i})" for s, i in sorted(sentences.items()))
     rule_rows = ", ".join(f"({quoted(k)}, {quoted('%' + '%'.join(f'<{p}>' for p in parts) + '%')})" for k, parts in rules)

@@ -139,6 +139,14 @@ def test_licenses(spark, edge, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_every_sentence(spark):
+    """Each notice sentence is found, also those without the word licence."""
+    notices = [(k, p.format(n)) for k, names in licenses.names_table().items() for n in names for p in licenses._PREFIXES]
+    df = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(notices)], "doc_id long, text string")
+    got = {r.doc_id: r._licenses for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(notices))] == [[k] for k, _ in notices]
+
+
 # op4 ------------------------------------------------------------------------------------------
 
 
