@@ -1,9 +1,9 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
 Terms are the distinct lower-cased words of a text (runs of letters and digits). A seeded hash
-puts one word in ``RATE`` into some lexicon subset: at level j = 0 .. ``LEVELS`` - 1 a word in
-RATE * 2^j is dealt to one of ``SLOTS`` subsets. Only words of some subset are counted, over all
-documents; those with a document frequency between ``min_df`` and ``max_share`` of the documents
+deals words to lexicon subsets: at level j = 0 .. ``LEVELS`` - 1 a word in RATE * 2^j goes to one
+of ``SLOTS`` subsets, so at the densest level every word is in one. All words are counted, over
+all documents; those with a document frequency between ``min_df`` and ``max_share`` of the documents
 (a band of inverse document frequency) form the lexicon. A text's fingerprint holds, for every
 subset it has terms of, the hash of those distinct terms in sorted order; a text without any has
 the hash of the text instead.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RATE, LEVELS, SLOTS, FILLED = 8, 6, 40, 24
+RATE, LEVELS, SLOTS, FILLED = 1, 9, 40, 24
 MIN_DF, MAX_SHARE = 2, 0.05
 RANGE_BYTES, MOST_RANGES = 2 << 20, 1 << 14
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -60,8 +60,8 @@ def slot_hashes(terms: Column) -> Column:
 
 
 def rendered(slots: Column, text_hash: Column) -> Column:
-    """Two hex digits of subset and eight of hash each; or ``t`` and the text's hash."""
-    each = F.transform(slots, lambda x: F.concat(F.lpad(F.lower(F.hex(x["s"])), 2, "0"), F.lpad(F.lower(F.hex(F.shiftrightunsigned(x["h"], 32))), 8, "0")))
+    """Two hex digits of subset (three from 256 on) and eight of hash each; or ``t`` and the text's hash."""
+    each = F.transform(slots, lambda x: F.concat(F.lpad(F.lower(F.hex(x["s"])), F.when(x["s"] < 256, 2).otherwise(3), F.lit("0")), F.lpad(F.lower(F.hex(F.shiftrightunsigned(x["h"], 32))), 8, "0")))
     return F.when(F.size(slots) > 0, F.array_join(each, "")).otherwise(F.concat(F.lit("t"), F.lpad(F.lower(F.hex(text_hash)), 16, "0")))
 
 

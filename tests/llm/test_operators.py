@@ -192,6 +192,13 @@ def test_fingerprints(spark, edge, empty):
     assert imatch.fingerprint(empty).count() == 0
 
 
+def test_fingerprints_hold_every_word(spark):
+    """Each word of the band is in a fingerprint: texts of one word each have a subset of their own."""
+    df = spark.createDataFrame([(2 * i + k, w) for i, w in enumerate(WORDS) for k in (0, 1)], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprint(df).collect()}
+    assert not any(f.startswith("t") for f in got.values()) and len(set(got.values())) == len(WORDS)
+
+
 # op5, op7 --------------------------------------------------------------------------------------
 
 
