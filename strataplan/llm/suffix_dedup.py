@@ -1,25 +1,35 @@
 """Removal of long repeated passages with a sparse suffix array, sorted by a common-prefix-aware
 distributed merge sort.
 
-A byte goes when it lies in a ``LENGTH``-byte string that also starts anywhere else. Every window
-of LENGTH bytes has an anchor: the position of smallest hash among its first ``SPREAD`` ones.
+A byte goes when it lies in a ``LENGTH``-byte string that also starts anywhere else. Beside it,
+passages of at least ``PASSAGE`` words that occur anywhere else are counted (not removed): the same
+machinery over the texts' words, each stood for by a 64-bit code. Both are a :class:`Kind`: texts are
+sequences of units (a byte, a word), windows and positions are counted in units.
+
+Every window has an anchor: the position of smallest hash among its first ``spread`` ones.
 Anchors depend on content alone, so equal windows have equal anchors at equal offsets, and an
-anchor owns a run of window starts. Its context is all bytes of the windows it owns; its core is
+anchor owns a run of window starts. Its context is all units of the windows it owns; its core is
 the part that all windows of any such anchor share.
 
 1. Anchors are counted by core. A core that occurs once owns no repeated window.
-2. Contexts that occur twice or more are repeated as a whole. The others, and one representative
-   of each class with the same core, are the suffixes to sort.
-3. Each task sorts its suffixes and writes them as front-coded runs (length of the prefix shared
-   with the suffix before, and the rest). A receiving task merges its runs with a loser tree that
+2. Contexts that occur twice or more (by 128 bits of hashes) are repeated as a whole. The others,
+   and one representative of each class with the same core, are the suffixes to sort.
+3. The suffixes are dealt to key ranges, whose bounds are quantiles of a sample of them. Each task
+   sorts what it holds of a range and writes it as a front-coded run (length of the prefix shared
+   with the suffix before, and the rest). A range's task merges its runs with a loser tree that
    keeps, for each contender, the prefix known to be shared with the last winner: contenders with
    different known prefixes are decided without looking at bytes, the others are compared from the
    known prefix on. The merged order comes with all common prefixes.
 4. For each offset, suffixes with a common prefix as long as a window's right part stand next to
-   each other; those that also agree on the left part are repeated windows.
+   each other; those whose left parts are equal too (compared unit by unit) are repeated windows.
+
+A range holds about ``RANGE`` suffixes and whole cores. The bounds go to every task, so there are
+``MOST_RANGES`` at most; beyond that a range is dealt to strips by core. Cores with more than
+``CROWD`` classes, which no task could hold, are decided by 128-bit hashes of their windows in a
+plain aggregation instead; nothing is dropped on either path.
 
-Suffixes of one core meet in one task; cores with more than ``CROWD`` classes are instead decided
-by 128-bit hashes of their windows in a plain aggregation, which has no such bound.
+A task holds one batch of whole texts; the anchors of one text, and its intervals, are fewer than
+its bytes.
 
 Defined results: null text is empty; texts below LENGTH bytes lose nothing; repeated rows each
 count, so their text is removed from LENGTH bytes on; equal ids with different texts are apart;
@@ -29,7 +39,10 @@ a null id is carried; extra columns are ignored; an empty table gives an empty r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,23 +53,69 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LENGTH, SPREAD, GRAM, CROWD = 400, 256, 16, 50_000
+LENGTH, SPREAD, CROWD = 400, 256, 50_000
+PASSAGE, PASSAGE_SPREAD = 51, 26
+RANGE, MOST_RANGES, SAMPLES = 40_000, 4096, 32
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def anchors(data: bytes, length: int = LENGTH, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors and the first and last window start that each owns."""
-    n = len(data)
-    if n < length:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty
-    starts = n - length + 1
+def _byte_hashes(data: bytes) -> np.ndarray:
+    """A hash of the 16 bytes from each position on."""
     b = np.frombuffer(data, np.uint8).astype(np.uint64)
     w = b[:-1] | b[1:] << np.uint64(8)
     w = w[:-2] | w[2:] << np.uint64(16)
     w = w[:-4] | w[4:] << np.uint64(32)
-    h = (w[:-8] * _C1) ^ (w[8:] * _C2)
+    return (w[:-8] * _C1) ^ (w[8:] * _C2)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A hash of the two words from each position on."""
+    w = np.frombuffer(data, "<u8")
+    return (w[:-1] * _C1) ^ (w[1:] * _C2)
+
+
+def word_codes(data: bytes) -> bytes:
+    """The words (split at ASCII white space) as 64-bit codes, one after the other."""
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words)).tobytes()
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What a sequence's units are, and the windows over them (all counts in units)."""
+
+    number: int
+    unit: int  # bytes
+    length: int
+    spread: int
+    hashes: Callable[[bytes], np.ndarray]
+    of_text: Callable[[bytes], bytes]
+
+    @property
+    def core(self) -> int:
+        return self.length - self.spread + 1
+
+    def cut(self, data: bytes, low: int, high: int) -> bytes:
+        return data[low * self.unit : high * self.unit]
+
+
+def bytes_kind(length: int = LENGTH, spread: int = SPREAD) -> Kind:
+    return Kind(0, 1, length, spread, _byte_hashes, bytes)
+
+
+def words_kind(length: int = PASSAGE, spread: int = PASSAGE_SPREAD) -> Kind:
+    return Kind(1, 8, length, spread, _word_hashes, word_codes)
+
+
+def anchors(data: bytes, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors and the first and last window start that each owns."""
+    n, spread = len(data) // kind.unit, kind.spread
+    if n < kind.length:
+        empty = np.zeros(0, dtype=np.int64)
+        return empty, empty, empty
+    starts = n - kind.length + 1
+    h = kind.hashes(data)
     h ^= h >> np.uint64(29)
     h *= _C3
     v = ((h & ~_LOW) | np.arange(len(h), dtype=np.uint64))[: starts + spread - 1]
@@ -81,26 +140,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def anchor_table(rows: DataFrame, length: int, spread: int) -> DataFrame:
-    """``(doc_id, h, spot, core, context)``; spot packs position, first and last owned start."""
+def anchor_table(rows: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """``(doc_id, h, kind, spot, core, context)``; spot packs position, first and last owned start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            row, spot, core, context = [], [], [], []
+            row, number, spot, core, context = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                data = text.encode()
-                p, low, high = anchors(data, length, spread)
-                spot.append(p << 20 | (p - low) << 10 | (p - high))
-                row.append(np.full(len(p), i))
-                end = length - spread + 1
-                core += [digest(data[a : a + end]) for a in p.tolist()]
-                context += [digest(data[a : z + length], 1) for a, z in zip(low.tolist(), high.tolist())]
-            at = pa.array(np.concatenate(row or [np.zeros(0, np.int64)]))
+                whole = text.encode()
+                for kind in kinds:
+                    data, u = kind.of_text(whole), kind.unit
+                    p, low, high = anchors(data, kind)
+                    spot.append(p << 20 | (p - low) << 10 | (p - high))
+                    row.append(np.full(len(p), i))
+                    number.append(np.full(len(p), kind.number, np.int8))
+                    core += [digest(data[a : a + kind.core * u], kind.number) for a in (p * u).tolist()]
+                    context += [digest(data[a:z], 2 + kind.number) for a, z in zip((low * u).tolist(), ((high + kind.length) * u).tolist())]
+            none = np.zeros(0, np.int64)
+            at = pa.array(np.concatenate(row or [none]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("h").take(at), pa.array(np.concatenate(spot or [np.zeros(0, np.int64)])), _signed(core), _signed(context)], ["doc_id", "h", "spot", "core", "context"])
+                [b.column("doc_id").take(at), b.column("h").take(at), pa.array(np.concatenate(number or [none]).astype(np.int8)), pa.array(np.concatenate(spot or [none])), _signed(core), _signed(context)], ["doc_id", "h", "kind", "spot", "core", "context"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, spot long, core long, context long")
+    return rows.mapInArrow(run, "doc_id long, h long, kind byte, spot long, core long, context long")
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -179,24 +241,24 @@ class LoserTree:
             self.winner = i
 
 
-def repeated_offsets(prefix: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, length: int) -> np.ndarray:
+def repeated_offsets(prefix: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, kind: Kind) -> np.ndarray:
     """Which offsets (columns) of each suffix (row, in order) are repeated windows.
 
-    prefix: shared with the row before; left: bytes before the anchor, nearest first; an anchor
-    owns offsets near..far."""
+    prefix: bytes shared with the row before; left: units before the anchor, nearest first; an
+    anchor owns offsets near..far. Rows are in one class while their left parts are equal."""
     n, width = len(prefix), int(far.max(initial=0)) + 1
     out = np.zeros((n, width), dtype=bool)
-    h = np.full(n, 0x243F6A8885A308D3, dtype=np.uint64)
+    same_left = np.zeros(n, dtype=np.int64)
     for a in range(width):
-        if a:
-            h = (h ^ left[:, a - 1].astype(np.uint64)) * _C1
-            h ^= h >> np.uint64(31)
         own = np.flatnonzero((near <= a) & (a <= far))
+        if a:
+            reach = np.flatnonzero(far >= a)  # others own no farther offset
+            unit = np.unique(left[reach, a - 1], return_inverse=True)[1]
+            same_left[reach] = np.unique(same_left[reach] * (n + 1) + unit, return_inverse=True)[1]
         if len(own) < 2:
             continue
-        group = np.cumsum(prefix < length - a).astype(np.uint64)[own]
-        key = (group * _C2) ^ h[own]
-        key = (key ^ key >> np.uint64(29)) * _C3
+        group = np.cumsum(prefix < (kind.length - a) * kind.unit)[own]
+        key = group * (n + 1) + same_left[own]
         order = np.argsort(key, kind="stable")
         s = key[order]
         same = s[1:] == s[:-1]
@@ -207,50 +269,78 @@ def repeated_offsets(prefix: np.ndarray, left: np.ndarray, near: np.ndarray, far
     return out
 
 
-def _unpack(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return spot >> 20, spot >> 10 & 1023, spot & 1023
+def _spots_of(kind: Kind, spots: list, data: bytes) -> Iterator[tuple[bytes, bytes, int, bool, int]]:
+    """(suffix, what stands before it, spot, alone, core) of one text's spots of a kind."""
+    for s in spots:
+        p, far, near = s["spot"] >> 20, s["spot"] >> 10 & 1023, s["spot"] & 1023
+        yield kind.cut(data, p, p - near + kind.length), kind.cut(data, p - far, p), s["spot"], s["alone"], s["core"]
+
 
+def _by_kind(batches: Iterator[pa.RecordBatch], kinds: list[Kind]) -> Iterator[tuple[int, int, Kind, bytes, list]]:
+    """(doc_id, h, kind, sequence, its spots) of each located text and kind."""
+    for b in batches:
+        for doc_id, h, text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "text", "spots"))):
+            whole = text.encode()
+            for kind in kinds:
+                if mine := [s for s in spots if s["kind"] == kind.number]:
+                    yield doc_id, h, kind, kind.of_text(whole), mine
 
-def runs_of(located: DataFrame, length: int, spread: int, targets: int, flush: int = 48 << 20) -> DataFrame:
-    """Front-coded runs ``(target, run)`` from ``located(doc_id, h, text, spots array<struct<spot, core, alone>>)``."""
-    import pickle
+
+def range_bounds(located: DataFrame, kinds: list[Kind], ranges: int) -> list[list[bytes]]:
+    """For each kind the lower bounds of its key ranges but the first: quantiles of the cores of
+    the located sample, at most SAMPLES times MOST_RANGES (expected) strings of a core's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        for _, _, kind, data, spots in _by_kind(batches, kinds):
+            cores = [suffix[: kind.core * kind.unit] for suffix, *_ in _spots_of(kind, spots, data)]
+            yield pa.RecordBatch.from_arrays([pa.array([kind.number] * len(cores), pa.int8()), pa.array(cores, pa.binary())], ["kind", "core"])
+
+    found: dict[int, list[bytes]] = {k.number: [] for k in kinds}
+    for r in located.mapInArrow(run, "kind byte, core binary").collect():
+        found[r["kind"]].append(bytes(r["core"]))
+    out = []
+    for k in kinds:
+        cores = sorted(found[k.number])
+        out.append(sorted({cores[i * len(cores) // ranges] for i in range(1, ranges)}) if cores else [])
+    return out
+
+
+def runs_of(located: DataFrame, kinds: list[Kind], bounds: list[list[bytes]], strips: int, flush: int = 48 << 20) -> DataFrame:
+    """Front-coded runs ``(kind, range, strip, run)`` of the located suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], list] = {}
         size = 0
 
         def emit() -> pa.RecordBatch:
-            names, blobs = [], []
-            for target, items in held.items():
+            blobs = []
+            for items in held.values():
                 items.sort(key=lambda x: x[0])
                 shared, rest = front_code([x[0] for x in items])
-                names.append(target)
                 blobs.append(pickle.dumps((shared, rest, [x[1] for x in items], [x[2] for x in items]), protocol=5))
+            names = [pa.array([k[i] for k in held], pa.int32()) for i in range(3)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["target", "run"])
-
-        for b in batches:
-            for doc_id, h, text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "text", "spots"))):
-                data = text.encode()
-                for s in spots:
-                    p, far, near = s["spot"] >> 20, s["spot"] >> 10 & 1023, s["spot"] & 1023
-                    suffix = data[p : p - near + length]
-                    held.setdefault(s["core"] % targets, []).append((suffix, data[p - far : p], (doc_id, h, s["spot"], s["alone"])))
-                    size += len(suffix) + far + 200
-                if size > flush:
-                    yield emit()
-                    size = 0
+            return pa.RecordBatch.from_arrays([*names, pa.array(blobs, pa.binary())], ["kind", "range", "strip", "run"])
+
+        for doc_id, h, kind, data, spots in _by_kind(batches, kinds):
+            for suffix, left, spot, alone, core in _spots_of(kind, spots, data):
+                place = (kind.number, bisect_right(bounds[kind.number], suffix[: kind.core * kind.unit]), core % strips)
+                held.setdefault(place, []).append((suffix, left, (doc_id, h, spot, alone)))
+                size += len(suffix) + len(left) + 200
+            if size > flush:
+                yield emit()
+                size = 0
         if held:
             yield emit()
 
-    return located.mapInArrow(run, "target int, run binary")
+    return located.mapInArrow(run, "kind int, range int, strip int, run binary")
 
 
-def merged(runs: DataFrame, length: int) -> DataFrame:
-    """Removed byte intervals ``(doc_id, h, start, end)`` of the contexts that stand alone."""
-    import pickle
+def merged(runs: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """Repeated intervals ``(doc_id, h, kind, start, end)`` of the contexts that stand alone."""
 
     def merge(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        kind = kinds[int(key[0])]
         parts = [pickle.loads(r) for r in f["run"]]
         prefix, left, who = [], [], []
         for i, j, shared, _ in LoserTree([(p[0], p[1]) for p in parts]):
@@ -259,35 +349,33 @@ def merged(runs: DataFrame, length: int) -> DataFrame:
             who.append(parts[i][3][j])
         near = np.array([w[2] & 1023 for w in who])
         far = np.array([w[2] >> 10 & 1023 for w in who])
-        before = np.zeros((len(who), max(1, int(far.max(initial=0)))), dtype=np.uint8)
+        before = np.zeros((len(who), max(1, int(far.max(initial=0)))), dtype=f"<u{kind.unit}")
         for i, x in enumerate(left):
-            before[i, : len(x)] = np.frombuffer(x, np.uint8)[::-1]
-        hit = repeated_offsets(np.array(prefix), before, near, far, length)
+            before[i, : len(x) // kind.unit] = np.frombuffer(x, before.dtype)[::-1]
+        hit = repeated_offsets(np.array(prefix), before, near, far, kind)
         alone = np.array([w[3] for w in who], dtype=bool)
         edge = np.diff(np.pad(hit & alone[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
         last = np.nonzero(edge == -1)[1] - 1
         p = np.array([w[2] >> 20 for w in who], dtype=np.int64)
         return pd.DataFrame({
-            "doc_id": pd.array([who[r][0] for r in row], dtype="Int64"), "h": np.array([who[r][1] for r in row], dtype=np.int64),
-            "start": p[row] - last, "end": p[row] - first + length})
+            "doc_id": pd.array([who[r][0] for r in row], dtype="Int64"), "h": np.array([who[r][1] for r in row], dtype=np.int64), "kind": np.full(len(row), kind.number, np.int8),
+            "start": p[row] - last, "end": p[row] - first + kind.length})
 
-    return runs.groupBy("target").applyInPandas(merge, "doc_id long, h long, start long, end long")
+    return runs.groupBy("kind", "range", "strip").applyInPandas(merge, "doc_id long, h long, kind byte, start long, end long")
 
 
-def window_hashes(located: DataFrame, length: int) -> DataFrame:
-    """``(doc_id, h, start, w1, w2)``: a 128-bit hash of every window that the spots own."""
+def window_hashes(located: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """``(doc_id, h, kind, start, w1, w2)``: a 128-bit hash of every window that the spots own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, h, text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "text", "spots"))):
-                data = text.encode()
-                starts = [q for s in spots for q in range((s["spot"] >> 20) - (s["spot"] >> 10 & 1023), (s["spot"] >> 20) - (s["spot"] & 1023) + 1)]
-                both = [xxhash.xxh3_128_intdigest(data[q : q + length]) for q in starts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id] * len(both), pa.int64()), pa.array([h] * len(both), pa.int64()), pa.array(starts, pa.int64()), _signed([x >> 64 for x in both]), _signed([x & (1 << 64) - 1 for x in both])], ["doc_id", "h", "start", "w1", "w2"])
+        for doc_id, h, kind, data, spots in _by_kind(batches, kinds):
+            starts = [q for s in spots for q in range((s["spot"] >> 20) - (s["spot"] >> 10 & 1023), (s["spot"] >> 20) - (s["spot"] & 1023) + 1)]
+            both = [xxhash.xxh3_128_intdigest(kind.cut(data, q, q + kind.length), kind.number) for q in starts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc_id] * len(both), pa.int64()), pa.array([h] * len(both), pa.int64()), pa.array([kind.number] * len(both), pa.int8()), pa.array(starts, pa.int64()), _signed([x >> 64 for x in both]), _signed([x & (1 << 64) - 1 for x in both])], ["doc_id", "h", "kind", "start", "w1", "w2"])
 
-    return located.mapInArrow(run, "doc_id long, h long, start long, w1 long, w2 long")
+    return located.mapInArrow(run, "doc_id long, h long, kind byte, start long, w1 long, w2 long")
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
@@ -295,63 +383,77 @@ def _same_doc(a: DataFrame, b: DataFrame):
 
 
 def _located(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    listed = spots.groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("spot", "core", "alone")).alias("spots"))
+    """The distinct texts that have spots, with them."""
+    listed = spots.groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("kind", "spot", "core", "alone")).alias("spots"))
     return rows.join(listed, _same_doc(rows, listed)).select("doc_id", "h", "text", "spots")
 
 
-def intervals(rows: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd: int = CROWD) -> DataFrame:
-    """All removed intervals ``(doc_id, h, start, end)`` of ``keyed`` rows, overlaps included."""
-    spark = rows.sparkSession
-    found = anchor_table(rows, length, spread)
-    classes = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    cores = classes.groupBy("core").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("single"), F.sum("n").alias("total"))
-    cores = cores.where("total > 1").select("core", "classes", "single")
+def intervals(rows: DataFrame, kinds: list[Kind], crowd: int = CROWD, most_ranges: int = MOST_RANGES, range_size: int = RANGE) -> DataFrame:
+    """All repeated intervals ``(doc_id, h, kind, start, end)`` of ``keyed`` rows, overlaps included."""
+    length = F.element_at(F.array(*[F.lit(k.length) for k in kinds]), F.col("kind") + 1)
+    found = anchor_table(rows, kinds)
+    # counted first, by core alone: what stays is a small table, which the rest reads
+    twice = found.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core")
+    held = common.store(found.join(twice, "core"))
+    classes = held.groupBy("core", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    cores = classes.groupBy("core").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
     known = classes.join(cores, "core")
-    spots = common.store(found.join(known, ["core", "context"]).select(
-        "doc_id", "h", "spot", "core", (F.col("n") == 1).alias("alone"), "classes",
+    spots = common.store(held.join(known, ["core", "context"]).select(
+        "doc_id", "h", "kind", "spot", "core", (F.col("n") == 1).alias("alone"), "classes",
         # to be sorted: contexts that stand alone, and a representative of their core's classes
         ((F.col("single") > 0) & ((F.col("n") == 1) | F.col("doc_id").eqNullSafe(F.col("first")))).alias("sorted")))
     p, far, near = F.shiftright("spot", 20), F.shiftright("spot", 10).bitwiseAND(1023), F.col("spot").bitwiseAND(1023)
-    whole = spots.where("NOT alone").select("doc_id", "h", (p - far).alias("start"), (p - near + length).alias("end"))
+    whole = spots.where("NOT alone").select("doc_id", "h", "kind", (p - far).alias("start"), (p - near + length).alias("end"))
     todo = spots.where("sorted")
     count, crowded = todo.agg(F.count("*"), F.coalesce(F.sum((F.col("classes") > crowd).cast("long")), F.lit(0))).first()
-    targets = max(common.shuffle_partitions(spark), -(-count // 40_000))
-    out = whole.unionByName(merged(runs_of(_located(rows, todo.where(F.col("classes") <= crowd)), length, spread, targets), length))
+    ranges = min(most_ranges, max(1, -(-count // range_size)))
+    strips = max(1, -(-count // (ranges * range_size)))
+    plain = todo.where(F.col("classes") <= crowd)
+    share = max(1, count // (ranges * SAMPLES * len(kinds)))
+    sample = plain.where(F.pmod(F.xxhash64("core", "doc_id", "spot"), F.lit(share)) == 0)
+    bounds = range_bounds(_located(rows, sample), kinds, ranges) if ranges > 1 else [[] for _ in kinds]
+    out = whole.unionByName(merged(runs_of(_located(rows, plain), kinds, bounds, strips), kinds))
     if crowded:
-        windows = common.store(window_hashes(_located(rows, todo.where(F.col("classes") > crowd).withColumn("alone", F.lit(True))), length))
+        windows = common.store(window_hashes(_located(rows, todo.where(F.col("classes") > crowd).withColumn("alone", F.lit(True))), kinds))
         twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        out = out.unionByName(windows.join(twice, ["w1", "w2"]).select("doc_id", "h", "start", (F.col("start") + length).alias("end")))
+        out = out.unionByName(windows.join(twice, ["w1", "w2"]).select("doc_id", "h", "kind", "start", (F.col("start") + length).alias("end")))
+    return out
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs covered by the spans; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
     return out
 
 
-def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd: int = CROWD) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary)`` for every row."""
+def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, passage: int = PASSAGE, passage_spread: int = PASSAGE_SPREAD, **limits) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, kept binary)`` for
+    every row. ``n_passage_words`` counts the words inside passages of ``passage`` or more words
+    that also occur anywhere else."""
     rows = keyed(docs)
-    gone = intervals(rows, length, spread, crowd).groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    kinds = [bytes_kind(length, spread), words_kind(passage, passage_spread)]
+    gone = intervals(rows, kinds, **limits).groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
                 data = text.encode()
-                kept, at, n, spans = [], 0, 0, 0
-                for g in sorted((g["start"], g["end"]) for g in gone or ()):
-                    if g[0] > at or not spans:
-                        kept.append(data[at : g[0]])
-                        spans += 1
-                        at = g[0]
-                    if g[1] > at:
-                        n += g[1] - at
-                        at = g[1]
-                kept.append(data[at:])
-                rest = b"".join(kept)
-                for c, x in zip(cols, (len(data), n, spans, hashlib.sha256(rest).hexdigest(), rest)):
+                cuts, passages = (_union([(g["start"], g["end"]) for g in gone or () if g["kind"] == k]) for k in (0, 1))
+                edges = [0, *(e for c in cuts for e in c), len(data)]
+                rest = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2]))
+                for c, x in zip(cols, (len(data), len(data) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), sum(z - a for a, z in passages), rest)):
                     c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"])
 
     joined = rows.join(gone, _same_doc(rows, gone), "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -269,21 +269,34 @@ def test_factorisation_identity():
 # op6 ------------------------------------------------------------------------------------------
 
 
-def brute_removed(texts, length):
-    seen = Counter(t[s : s + length] for t in texts for s in range(len(t) - length + 1))
+def covered(seqs, length):
+    """For each sequence which units lie in a string of ``length`` units that starts elsewhere too."""
+    seen = Counter(s[i : i + length] for s in seqs for i in range(len(s) - length + 1))
     out = []
-    for t in texts:
-        gone = np.zeros(len(t), bool)
-        for s in range(len(t) - length + 1):
-            if seen[t[s : s + length]] > 1:
-                gone[s : s + length] = True
+    for s in seqs:
+        gone = np.zeros(len(s), bool)
+        for i in range(len(s) - length + 1):
+            if seen[s[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+def brute_removed(texts, length, passage=51):
+    words = covered([tuple(t.split()) for t in texts], passage)
+    out = []
+    for t, gone, w in zip(texts, covered(texts, length), words):
         edge = np.diff(np.pad(gone, 1).astype(int))
-        out.append((len(t), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+        out.append((len(t), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest(), int(w.sum())))
     return out
 
 
-@pytest.mark.parametrize("crowd", [50_000, 1])
-def test_suffix_dedup(spark, crowd):
+def removed(r):
+    return r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words
+
+
+@pytest.mark.parametrize("limits", [{}, {"crowd": 1}, {"range_size": 20}, {"range_size": 20, "most_ranges": 3}])
+def test_suffix_dedup(spark, limits):
     rng = random.Random(11)
     passages = [prose(rng, n) for n in (40, 70, 90)]
     texts = []
@@ -296,16 +309,18 @@ def test_suffix_dedup(spark, crowd):
             k = rng.randrange(len(p))
             parts += [p[:k] + "#" + p[k + 1 :]]
         texts.append("".join(parts))
+    short = " ".join(rng.choice("abcdefgh") for _ in range(51))  # over 50 words, under 400 bytes
+    texts += [prose(rng, 20) + " " + short + " " + prose(rng, 20), prose(rng, 9) + "\n" + short.replace(" ", "\n", 3), short[4:]]
     texts += ["Of " * 300, "é" * 500, "", texts[0], texts[9], "Of " * 200, passages[1][:399], passages[1][:400]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(df, crowd=crowd).orderBy("doc_id").collect()]
+    got = list(map(removed, suffix_dedup.remove(df, **limits).orderBy("doc_id").collect()))
     assert got == brute_removed([t.encode() for t in texts], 400)
+    assert [g[4] for g in got[90:93]] == [51, 51, 0]
 
 
 def test_suffix_dedup_edge(spark, edge, empty):
-    got = suffix_dedup.remove(edge)
     want = Counter(brute_removed([(r.text or "").encode() for r in edge.select("text").collect()], 400))
-    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
+    assert Counter(map(removed, suffix_dedup.remove(edge).collect())) == want
     assert suffix_dedup.remove(empty).count() == 0
 
 
