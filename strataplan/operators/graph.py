@@ -1,19 +1,47 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Tables that cut lineage, and connected components of an edge table by alternating large-star
+and small-star steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_local_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only in local mode, where driver and executors are
+    one process, may it be unset; a temporary folder is used then."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local_dir:
+        _local_dir.append(tempfile.mkdtemp(prefix="strataplan-"))
+    return f"file://{_local_dir[0]}"
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the session's checkpoint folder; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataplan-"))
-    return df.checkpoint()
+    """Write a table to the shared folder and read it back: it is computed once, and survives the
+    loss of an executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by :func:`cut` that no later plan reads."""
+    if path := getattr(df, "_cut_path", None):
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -30,5 +58,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        cur = cut(small.distinct())
+        last, cur = cur, cut(small.distinct())
+        drop(last)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

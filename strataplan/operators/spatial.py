@@ -1,29 +1,29 @@
 """Spatial joins as equi-joins on grid cells.
 
-The search radius is the cell size, so a point's partners lie in its cell or a neighbouring one:
-one side is replicated to the 3^d neighbour cells, joined on the cell and tested exactly. No plan
-compares all points with all points.
+Cells are twice as wide as the search radius, so a point's ball touches two of them a dimension at
+most: one side is sent to those 2^d cells, joined on the cell and tested exactly. No plan compares all
+points with all points. Searches that widen store what each radius found, so no step is repeated.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
 from .filters import with_scalar
 
 
-def _cells(df: DataFrame, cell: int, dims: str) -> DataFrame:
-    return df.withColumns({f"c{k}": F.floor(F.col(f"{k}_mm") / float(cell)) for k in dims})
+def _cells(df: DataFrame, radius: int, dims: str) -> DataFrame:
+    return df.withColumns({f"c{k}": F.floor(F.col(f"{k}_mm") / (2.0 * radius)) for k in dims})
 
 
-def _neighbours(df: DataFrame, cell: int, dims: str) -> DataFrame:
-    """Each row once for every neighbour cell."""
-    steps = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"d{k}") for k, s in zip(dims, step)]) for step in product((-1, 0, 1), repeat=len(dims))])
-    out = _cells(df, cell, dims).withColumn("_s", F.explode(steps))
-    return out.withColumns({f"c{k}": F.col(f"c{k}") + F.col(f"_s.d{k}") for k in dims}).drop("_s")
+def _neighbours(df: DataFrame, radius: int, dims: str) -> DataFrame:
+    """Each row once for every cell that its ball touches."""
+    for k in dims:
+        first, last = (F.floor((F.col(f"{k}_mm") + s * radius) / (2.0 * radius)) for s in (-1, 1))
+        df = df.withColumn(f"c{k}", F.explode(F.sequence(first, last)))
+    return df
 
 
 def distance2(a: str, b: str, dims: str) -> Column:
@@ -47,14 +47,15 @@ def nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str = "point
 
     The search widens: what has a partner within a small radius has its nearest there, so only the
     rest is searched with the next one, and dense places never pay for the full radius."""
-    todo, parts = left, []
+    todo, parts = left.select(id_col, *[f"{k}_mm" for k in dims]), []
     reaches = [r for r in (radius // 16, radius // 4) if r > 0] + [radius]
     for k, reach in enumerate(reaches):
         best = radius_pairs(todo, right, reach, id_col, dims).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m"))
         found = best.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.d2").alias("d2"))
-        parts.append(found)
         if k < len(reaches) - 1:
-            todo = todo.join(found.select(F.col("a_id").alias(id_col)), id_col, "left_anti")
+            found = graph.cut(found)
+            todo = graph.cut(todo.join(found.select(F.col("a_id").alias(id_col)), id_col, "left_anti"))
+        parts.append(found)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -69,28 +70,32 @@ def mutual_nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str =
 
 
 def nearest_k(points: DataFrame, k: int, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
-    """The k nearest others of each point that lie within the radius, by distance then id."""
+    """The k nearest others of each point that lie within the radius, by distance then id. The
+    filter on the rank lets Spark keep k rows a point before the shuffle and before the sort's end."""
     pairs = radius_pairs(points, points, radius, id_col, dims).where("a_id <> b_id")
     w = Window.partitionBy("a_id").orderBy("d2", "b_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_distance(points: DataFrame, k: int, radius: int, rings: int = 4, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
-    """Mean distance of each point to its k nearest others. Points with fewer than k others in
-    reach are searched again with twice the radius, ``rings`` times at most; rows that then still
-    have fewer use those they have (none: null)."""
-    todo, parts, reach = points, [], radius
-    for ring in range(rings):
-        last = ring == rings - 1
+def knn_distance(points: DataFrame, k: int, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
+    """Mean distance of each point to its k nearest others. Points with fewer than k others in reach
+    are searched again with twice the radius, until the radius spans all points; only where there
+    are not k others at all do rows use those there are (none: null)."""
+    box = points.agg(F.count("*"), *[f(f"{c}_mm") for c in dims for f in (F.min, F.max)]).first()
+    total, span = box[0], sum((hi - lo) ** 2 for lo, hi in zip(box[1::2], box[2::2])) ** 0.5 if box[0] else 0.0
+    todo, parts, reach, left = points.select(id_col, *[f"{c}_mm" for c in dims]), [], radius, total
+    while left or not parts:
         pairs = radius_pairs(todo, points, reach, id_col, dims).where("a_id <> b_id")
         w = Window.partitionBy("a_id").orderBy("d2", "b_id")
         found = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("a_id").agg(
             F.count("*").alias("n"), F.avg(F.sqrt(F.col("d2").cast("double"))).alias("mean_d"))
-        done = found if last else found.where(F.col("n") == k)
-        parts.append(done.select("a_id", "n", "mean_d"))
-        if not last:
-            todo = todo.join(done.select(F.col("a_id").alias(id_col)), id_col, "left_anti")
-            reach *= 2
+        if reach >= span:
+            parts.append(graph.cut(found))
+            break
+        parts.append(graph.cut(found.where(F.col("n") == k)))
+        todo = graph.cut(todo.join(parts[-1].select(F.col("a_id").alias(id_col)), id_col, "left_anti"))
+        left = todo.count()
+        reach *= 2
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
