@@ -1,29 +1,49 @@
 """Scan and plan files as Spark data sources: ``scan`` (LAS, PLY) and ``dxf``.
 
-LAS records have a fixed size, so a file is read in byte ranges, one task each; the class mask is
-decided on the whole table afterwards, not per range. LAZ and E57 have no decoder here and raise.
+LAS and binary PLY records have a fixed size, so a file is read in byte ranges, one task each, and
+comes as Arrow batches of at most ``BATCH`` records; the class mask is decided on the whole table
+afterwards, not per range. An ASCII PLY has no fixed record size and is one task, read in blocks.
+LAZ and E57 have no decoder here and raise. Paths may be local or URIs of any store that Arrow opens
+(``file``, ``hdfs``, ``s3``, ``gs``), so executors need no local copy.
 """
 
 from __future__ import annotations
 
-import os
+import io
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "scan string, point_id long, x double, y double, z double, r int, g int, b int, classification int, intensity int"
+_ARROW = pa.schema([("scan", pa.string()), ("point_id", pa.int64()), *[(k, pa.float64()) for k in "xyz"], *[(k, pa.int32()) for k in ("r", "g", "b", "classification", "intensity")]])
+BATCH = 1 << 16
 #: byte offset of red, green, blue in LAS point formats that have colour (fixed values)
 RGB_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 PLY_TYPES = {"char": "i1", "uchar": "u1", "int8": "i1", "uint8": "u1", "short": "<i2", "ushort": "<u2", "int": "<i4", "uint": "<u4", "int32": "<i4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a local path or URI, and the path in it."""
+    if re.match("^[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), path
+
+
+def _open(path: str):
+    where, name = _place(path)
+    return where.open_input_file(name)
+
+
 def las_header(path: str) -> dict:
     """Version, counts, scale, offset and box of a LAS file."""
-    with open(path, "rb") as f:
+    with _open(path) as f:
         h = f.read(375)
     if h[:4] != b"LASF":
         raise ValueError(f"{path} is no LAS file")
@@ -38,7 +58,14 @@ def las_header(path: str) -> dict:
     return {"version": f"{version[0]}.{version[1]}", "at": at, "format": fmt, "size": size, "points": n, "scale": scale, "offset": offset, "box": (x0, y0, z0, x1, y1, z1)}
 
 
-def las_records(path: str, head: dict, first: int, last: int) -> Iterator[tuple]:
+def _batch(path: str, first: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Points from number ``first`` on; columns that a format does not have are null."""
+    n = len(columns["x"])
+    whole = {"scan": pa.array([path] * n, pa.string()), "point_id": np.arange(first, first + n), **columns}
+    return pa.RecordBatch.from_arrays([pa.array(whole[f.name]).cast(f.type) if f.name in whole else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+
+
+def las_records(path: str, head: dict, first: int, last: int) -> Iterator[pa.RecordBatch]:
     fmt, size = head["format"], head["size"]
     wide = fmt >= 6
     names = ["x", "y", "z", "intensity", "cls"]
@@ -49,53 +76,73 @@ def las_records(path: str, head: dict, first: int, last: int) -> Iterator[tuple]
         kinds += ["<u2"] * 3
         at += [RGB_AT[fmt] + 2 * i for i in range(3)]
     kind = np.dtype({"names": names, "formats": kinds, "offsets": at, "itemsize": size})
-    step = 1 << 16
-    with open(path, "rb") as f:
-        for low in range(first, last, step):
-            n = min(step, last - low)
-            f.seek(head["at"] + low * size)
-            p = np.frombuffer(f.read(n * size), dtype=kind)
-            x, y, z = (p[k] * head["scale"][i] + head["offset"][i] for i, k in enumerate("xyz"))
-            rgb = [p[c].tolist() for c in "rgb"] if fmt in RGB_AT else [[None] * len(p)] * 3
-            cls = (p["cls"] if wide else p["cls"] & 31).tolist()
-            yield from zip([path] * len(p), range(low, low + len(p)), x.tolist(), y.tolist(), z.tolist(), *rgb, cls, p["intensity"].tolist())
-
-
-def ply_records(path: str) -> Iterator[tuple]:
-    """Vertices of an ASCII or little-endian PLY. An empty cloud raises."""
-    with open(path, "rb") as f:
-        if f.readline().strip() != b"ply":
-            raise ValueError(f"{path} is no PLY file")
-        kind, n, props, element = "", 0, [], ""
-        while (line := f.readline().decode("ascii").split()) != ["end_header"]:
-            if line[:1] == ["format"]:
-                kind = line[1]
-            elif line[:1] == ["element"]:
-                element = line[1]
-                n = int(line[2]) if element == "vertex" else n
-            elif line[:1] == ["property"] and element == "vertex":
-                props.append((line[2], PLY_TYPES[line[1]]))
-        if not n:
-            raise ValueError(f"{path} has no points")
-        if kind == "ascii":
-            table = np.loadtxt(f, max_rows=n, ndmin=2)
-            data = {name: table[:, i] for i, (name, _) in enumerate(props)}
-        elif kind == "binary_little_endian":
-            dtype = np.dtype(props)
-            data = np.frombuffer(f.read(n * dtype.itemsize), dtype=dtype)
-        else:
-            raise ValueError(f"{path}: {kind} is not supported")
-    names = [p[0] for p in props]
-    rgb = [np.asarray(data[c]).astype(int).tolist() if c in names else [None] * n for c in ("red", "green", "blue")]
-    yield from zip([path] * n, range(n), *[np.asarray(data[k]).astype(float).tolist() for k in "xyz"], *rgb, [None] * n, [None] * n)
+    with _open(path) as f:
+        f.seek(head["at"] + first * size)
+        for low in range(first, last, BATCH):
+            p = np.frombuffer(f.read(min(BATCH, last - low) * size), dtype=kind)
+            columns = {k: p[k] * head["scale"][i] + head["offset"][i] for i, k in enumerate("xyz")}
+            columns |= {c: p[c].astype(np.int32) for c in "rgb" if fmt in RGB_AT}
+            columns |= {"classification": (p["cls"] if wide else p["cls"] & 31).astype(np.int32), "intensity": p["intensity"].astype(np.int32)}
+            yield _batch(path, low, columns)
+
+
+def ply_header(path: str) -> dict:
+    """Kind, vertex count, properties and offset of the vertices. An empty cloud raises."""
+    with _open(path) as f:
+        head = b""
+        while (end := re.search(rb"end_header[^\n]*\n", head)) is None and (more := f.read(4096)):
+            head += more
+    if not head.startswith(b"ply") or end is None:
+        raise ValueError(f"{path} is no PLY file")
+    kind, n, props, element = "", 0, [], ""
+    for line in (x.split() for x in head[: end.start()].decode("ascii").splitlines()):
+        if line[:1] == ["format"]:
+            kind = line[1]
+        elif line[:1] == ["element"]:
+            element = line[1]
+            n = int(line[2]) if element == "vertex" else n
+        elif line[:1] == ["property"] and element == "vertex":
+            props.append((line[2], PLY_TYPES[line[1]]))
+    if not n:
+        raise ValueError(f"{path} has no points")
+    if kind not in ("ascii", "binary_little_endian"):
+        raise ValueError(f"{path}: {kind} is not supported")
+    return {"kind": kind, "points": n, "props": props, "at": end.end()}
+
+
+def ply_records(path: str, head: dict, first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """Vertices of an ASCII (from the first on) or little-endian PLY."""
+    names, dtype = [p[0] for p in head["props"]], np.dtype(head["props"])
+
+    def columns(data) -> dict[str, np.ndarray]:
+        out = {k: np.asarray(data[k]).astype(float) for k in "xyz"}
+        return out | {short: np.asarray(data[c]).astype(np.int32) for short, c in zip("rgb", ("red", "green", "blue")) if c in names}
+
+    with _open(path) as f:
+        if head["kind"] == "ascii":
+            f.seek(head["at"])
+            text = io.BufferedReader(f)
+            for low in range(first, last, BATCH):
+                rows = np.loadtxt([text.readline().decode("ascii") for _ in range(min(BATCH, last - low))], ndmin=2)
+                yield _batch(path, low, columns({name: rows[:, i] for i, name in enumerate(names)}))
+            return
+        f.seek(head["at"] + first * dtype.itemsize)
+        for low in range(first, last, BATCH):
+            yield _batch(path, low, columns(np.frombuffer(f.read(min(BATCH, last - low) * dtype.itemsize), dtype=dtype)))
 
 
 def _files(path: str, suffixes: tuple[str, ...]) -> list[str]:
-    found = [path] if os.path.isfile(path) else sorted(os.path.join(path, f) for f in os.listdir(path))
-    bad = [f for f in found if not f.lower().endswith(suffixes)]
-    if os.path.isfile(path) and bad:
-        raise ValueError(f"unsupported file: {bad[0]}")
-    return [f for f in found if f not in bad]
+    where, name = _place(path)
+    prefix = path[: len(path) - len(name)] if path.endswith(name) else "file://"
+    info = where.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        if not name.lower().endswith(suffixes):
+            raise ValueError(f"unsupported file: {path}")
+        return [path]
+    found = sorted(x.path for x in where.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File)
+    return [prefix + f for f in found if f.lower().endswith(suffixes)]
 
 
 class _Range(InputPartition):
@@ -110,18 +157,16 @@ class ScanReader(DataSourceReader):
     def partitions(self):
         out = []
         for f in _files(self.path, (".las", ".ply")):
-            if f.lower().endswith(".ply"):
-                out.append(_Range(f))
-            else:
-                n = las_header(f)["points"]
-                out += [_Range(f, low, min(n, low + self.step)) for low in range(0, n, self.step)]
+            ply = f.lower().endswith(".ply")
+            head = ply_header(f) if ply else las_header(f)
+            n, step = head["points"], head["points"] if ply and head["kind"] == "ascii" else self.step
+            out += [_Range(f, low, min(n, low + step)) for low in range(0, n, step)]
         return out
 
     def read(self, part):
         if part.path.lower().endswith(".ply"):
-            yield from ply_records(part.path)
-        else:
-            yield from las_records(part.path, las_header(part.path), part.first, part.last)
+            return ply_records(part.path, ply_header(part.path), part.first, part.last)
+        return las_records(part.path, las_header(part.path), part.first, part.last)
 
 
 class ScanSource(DataSource):
@@ -141,8 +186,8 @@ DXF_SCHEMA = "file string, entity int, kind string, layer string, closed boolean
 
 def dxf_rows(path: str) -> Iterator[tuple]:
     """Vertices of LINE, LWPOLYLINE and POLYLINE, and TEXT / MTEXT with their insert point."""
-    with open(path, encoding="utf-8", errors="replace") as f:
-        lines = [x.rstrip("\r\n") for x in f]
+    with _open(path) as f:
+        lines = [x.rstrip("\r") for x in f.read().decode("utf-8", errors="replace").split("\n")]
     pairs = [(int(c), v) for c, v in zip(lines[::2], lines[1::2])]
     entity, at, in_entities = 0, 0, False
     while at < len(pairs):
@@ -211,15 +256,24 @@ def register(spark: SparkSession) -> None:
 
 
 def load_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Points of a scan file or folder in integer millimetres, class mask applied, colours scaled."""
+    """Points of a scan file or folder in integer millimetres, class mask applied. Colours are scaled
+    to 0..1 by what the colour values need; a scan without colours gets those of its intensities, and
+    one without either has none. Either is decided scan by scan."""
     from ..operators.filters import class_mask
+    from ..operators.scalars import intensity_colours
 
     if path.lower().endswith((".laz", ".e57")):
         raise ValueError(f"{path}: no decoder for compressed LAS or E57 is available")
     register(spark)
     raw = spark.read.format("scan").load(path)
     mm = raw.select("scan", "point_id", *[F.round(F.col(k) * 1000).cast("long").alias(f"{k}_mm") for k in "xyz"], "r", "g", "b", F.coalesce("classification", F.lit(0)).alias("classification"), "intensity")
-    return class_mask(mm)
+    kept = class_mask(mm)
+    facts = kept.groupBy("scan").agg(F.greatest(F.max("r"), F.max("g"), F.max("b")).alias("_top"), F.percentile("intensity", [0.02, 0.98]).alias("_q"))  # a row a scan
+    scale = F.when(F.col("_top") <= 1, 1.0).when(F.col("_top") <= 255, 255.0).otherwise(65535.0)
+    low, high = F.col("_q")[0], F.col("_q")[1]
+    level = (F.least(F.greatest(F.col("intensity").cast("double"), low), high) - low) / F.greatest(high - low, F.lit(1.0))
+    by_intensity = dict(zip("rgb", intensity_colours(level)))
+    return kept.join(F.broadcast(facts), "scan").withColumns({c: F.when(F.col("_top").isNotNull(), F.col(c) / scale).when(F.col("intensity").isNotNull(), by_intensity[c]) for c in "rgb"}).select(*mm.columns)
 
 
 def plan_edges(vertices: DataFrame) -> DataFrame:
@@ -232,14 +286,25 @@ def plan_edges(vertices: DataFrame) -> DataFrame:
     return v.select("file", "entity", "vertex", "layer", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt[0].alias("x2"), nxt[1].alias("y2")).where("x2 is not null")
 
 
-def valid_uploads(files: DataFrame, most_bytes: int = 2 << 30) -> DataFrame:
+def valid_uploads(files: DataFrame, most_bytes: int = 2 << 30, most_scans: int | None = 100, kinds: tuple[str, ...] = ("las", "laz", "ply", "e57"), magic: bool = True) -> DataFrame:
     """``files(path, content, length)`` of ``binaryFile`` with a verdict: known suffix, not empty,
-    not too large, and the magic of its kind (E57 is not looked into)."""
+    not too large, not beyond the ``most_scans`` first by path, and the magic of its kind (E57 is not
+    looked into)."""
+    from pyspark.sql import Window
+
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    magic = F.substring("content", 1, 4)
-    wrong = F.when(suffix.isin("las", "laz"), magic != F.lit(b"LASF")).when(suffix == "ply", F.substring("content", 1, 3) != F.lit(b"ply")).otherwise(F.lit(False))
-    verdict = F.when(~suffix.isin("las", "laz", "ply", "e57"), "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "size").when(wrong, "magic").otherwise("ok")
-    return files.select("path", "length", verdict.alias("verdict"))
+    start = F.substring("content", 1, 4)
+    wrong = F.when(suffix.isin("las", "laz"), start != F.lit(b"LASF")).when(suffix == "ply", F.substring("content", 1, 3) != F.lit(b"ply")).otherwise(F.lit(False)) & F.lit(magic)
+    rows = files.select("path", "length", suffix.alias("_suffix"), wrong.alias("_wrong"))
+    verdict = F.when(~F.col("_suffix").isin(*kinds), "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "size").when(F.col("_wrong"), "magic")
+    if most_scans is not None:  # an upload is a request's handful of names; their contents stay behind
+        verdict = verdict.when(F.row_number().over(Window.orderBy("path")) > most_scans, "too many")
+    return rows.select("path", "length", verdict.otherwise("ok").alias("verdict"))
+
+
+def valid_vectorize_upload(files: DataFrame, most_bytes: int = 2 << 30) -> DataFrame:
+    """The verdicts of uploads to vectorise: suffix and size count, the magic does not."""
+    return valid_uploads(files, most_bytes, None, ("las", "laz", "e57", "ply"), magic=False)
 
 
 def las_metadata(spark: SparkSession, path: str) -> DataFrame:

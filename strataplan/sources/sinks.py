@@ -91,6 +91,17 @@ def ply_bytes(points: DataFrame, target: int = 200_000) -> bytes:
     return "\n".join(head).encode() + bytes(body)
 
 
+def write_bytes(spark, path: str, body: bytes) -> None:
+    """A small file, in any store that Spark can write."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
 def png_bytes(image) -> bytes:
     """Grey PNG of a uint8 array, first row on top."""
     import zlib
@@ -101,8 +112,28 @@ def png_bytes(image) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
+def overlay_png(cells: DataFrame, segments: DataFrame, affine: dict) -> bytes:
+    """A slice in grey with detected lines (world millimetres) over it in white, north up."""
+    from ..operators import kernels, raster
+
+    picture, c0, r0 = raster.image(cells.select("col", "row", F.lit(0.5).alias("v")))
+    picture, res = picture[::-1].copy(), affine["res"]  # first row south while drawing
+    h, w = picture.shape
+    at = lambda v, origin, first: int((v - origin) // res) - first
+    for s in segments.select("x1", "y1", "x2", "y2").toLocalIterator():
+        for c, r in kernels.line_cells(at(s.x1, affine["x0"], c0), at(s.y1, affine["y0"], r0), at(s.x2, affine["x0"], c0), at(s.y2, affine["y0"], r0)):
+            if 0 <= c < w and 0 <= r < h:
+                picture[r, c] = 255
+    return png_bytes(picture[::-1])
+
+
 def save_slice(cells: DataFrame, affine: dict, folder: str) -> None:
-    """A raster slice as a table of cells and its affine as JSON, in a folder Spark can write."""
+    """A raster slice as a table of cells, its picture (north up) and its affine as JSON, in a folder
+    Spark can write."""
+    from ..operators import raster
+
+    picture, *_ = raster.image(cells.select("col", "row", F.lit(1.0).alias("v")))
+    write_bytes(cells.sparkSession, f"{folder}/slice.png", png_bytes(picture))
     cells.write.mode("overwrite").parquet(f"{folder}/cells")
     cells.sparkSession.createDataFrame([(json.dumps(affine),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/affine")
 
