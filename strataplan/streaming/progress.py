@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.filters import with_scalar
+from ..operators.graph import shared_dir
+
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
     """The event table as a file stream; ``ts`` becomes a zoned timestamp for watermarks."""
@@ -77,8 +81,27 @@ def status_stream(progress: DataFrame) -> DataFrame:
     return progress.withColumn("status", status).groupBy("job_id").agg(F.max(F.struct("ts", "status")).alias("m")).select("job_id", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"))
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a bounded stream to its end into a memory table and return the table (tests, demos)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a bounded stream to its end into Parquet in the shared folder, with a checkpoint beside it,
+    and return the table. Started again on the same folder, the query goes on where it stopped."""
+    root = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return resumed(stream, root, mode)
+
+
+def resumed(stream: DataFrame, root: str, mode: str) -> DataFrame:
+    """Process what the stream's source holds and ``root/checkpoint`` has not seen. In append mode
+    rows are added to ``root/rows``; in complete mode each batch writes the whole result to a folder
+    of its own, and the last one counts."""
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+    if mode == "append":
+        writer.format("parquet").option("path", f"{root}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+    def whole(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/whole/batch={number}")
+
+    writer.foreachBatch(whole).start().awaitTermination()
+    every = spark.read.option("basePath", f"{root}/whole").parquet(f"{root}/whole")
+    last = every.agg(F.max("batch").alias("_last"))
+    return with_scalar(every, last).where(F.col("batch") == F.col("_last")).select(*stream.columns)
