@@ -85,8 +85,9 @@ def ransac(points: DataFrame, threshold: float = 50.0, tries: int = 64, seed: in
 
 def peel_planes(points: DataFrame, most: int = 40, least: int = 80, threshold: float = 50.0, accept=None, tries: int = 64, seed: int = 1) -> tuple[list[tuple[Plane, int]], DataFrame]:
     """Find a plane, take its points away, and again. Rejected planes lose their points too.
-    Returns the accepted planes with counts, and the points that are left."""
-    left, found = points, []
+    Returns the accepted planes with counts, and the points that are left. The cloud is stored once;
+    a round reads it past the planes of the rounds before."""
+    left, found = graph.cut(points), []
     for k in range(most):
         hit = ransac(left, threshold, tries, seed + k)
         if hit is None or hit[1] < least:
@@ -95,7 +96,7 @@ def peel_planes(points: DataFrame, most: int = 40, least: int = 80, threshold: f
         inl = F.abs(plane.distance()) <= threshold
         if accept is None or accept(plane, left.where(inl)):
             found.append((plane, n))
-        left = graph.cut(left.where(~inl))
+        left = left.where(~inl)
     return found, left
 
 
@@ -111,18 +112,98 @@ def vertical(max_up: float = 0.30, least_height: float = 150.0):
     return test
 
 
-def wall_planes(points: DataFrame, bands=((750, 1800), (500, 2000), (300, 2500)), least_found: int = 2, **options) -> list[tuple[Plane, int]]:
-    """Wall planes by a ladder of height bands; the first band that gives enough is used, else
-    the fullest try."""
-    best: list[tuple[Plane, int]] = []
-    for low, high in bands:
-        found, _ = peel_planes(points.where(F.col("z_mm").between(low, high)), accept=vertical(), **options)
+#: rungs of the wall ladder: voxel mm, least inliers, distance mm, most |up| of the normal, least height mm (fixed values)
+BAND_RUNGS = ((50, 80, 50, 0.30, 150), (80, 50, 80, 0.40, 100), (100, 30, 100, 0.50, 80))
+#: rungs by local normals: most |up|, voxel mm (fixed values)
+NORMAL_RUNGS = ((0.35, 50), (0.45, 80), (0.55, 100))
+
+
+def thinned(points: DataFrame, voxel_mm: int) -> DataFrame:
+    """Voxel means as points, named by their voxel."""
+    from .voxel import downsample
+
+    return downsample(points, voxel_mm).select(F.xxhash64("vx", "vy", "vz").alias("point_id"), *[F.round(k).cast("long").alias(f"{k}_mm") for k in "xyz"])
+
+
+def wall_planes(points: DataFrame, floor_z: float = 0.0, low: int = 750, high: int = 1800, least_found: int = 1, most: int = 40, **options) -> tuple[list[tuple[Plane, int]], str]:
+    """Wall planes of the height band above the floor by rungs that loosen, then of the points with
+    level normals anywhere above the floor. The first rung that finds ``least_found`` counts, else the
+    fullest; with it the rung's name."""
+    best: tuple[list[tuple[Plane, int]], str] = ([], "none")
+    band = points.where((F.col("z_mm") >= floor_z + low) & (F.col("z_mm") <= floor_z + high))
+    for voxel_mm, least, near, up, height in BAND_RUNGS:
+        found, _ = peel_planes(thinned(band, voxel_mm), most, least, near, vertical(up, height), **options)
+        best = max(best, (found, f"band at {voxel_mm} mm"), key=lambda x: len(x[0]))
+        if len(found) >= least_found:
+            return best
+    for up, voxel_mm in NORMAL_RUNGS:
+        cloud = graph.cut(thinned(points.where(F.col("z_mm") > floor_z + 200), voxel_mm))
+        level = normals(cloud, 200, 30).where(F.abs(F.col("normal")[2]) < up).select("point_id")
+        found, _ = peel_planes(cloud.join(level, "point_id", "left_semi"), most, 50, 60, vertical(up, 150), **options)
+        best = max(best, (found, f"normals at {voxel_mm} mm"), key=lambda x: len(x[0]))
         if len(found) >= least_found:
-            return found
-        best = max(best, found, key=len)
+            break
     return best
 
 
+PLANE = "plane int, a double, b double, c double, d double, n_inliers long"
+
+
+def scan_planes(points: DataFrame, floor_z: float = 0.0, low: int = 1000, high: int = 2000, least: int = 50, voxel_mm: int = 50, seed: int = 1) -> DataFrame:
+    """Wall planes found scan by scan in the open band above the floor: ``(scan_id, plane, a, b, c, d,
+    n_inliers)``. A scan's band comes to one task as voxel means, which its room bounds; scans with
+    fewer than ``least`` points in the band have none."""
+    from . import kernels
+
+    z = F.col("z_mm") - F.lit(float(floor_z))
+    band = points.where((z > low) & (z < high))
+    enough = band.groupBy("scan_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("scan_id")
+    cell = lambda k: F.floor((F.col(f"{k}_mm") + F.lit(voxel_mm / 2)) / F.lit(float(voxel_mm))).alias(f"v{k}")
+    means = band.join(F.broadcast(enough), "scan_id", "left_semi").groupBy("scan_id", *[cell(k) for k in "xyz"]).agg(*[F.avg(f"{k}_mm").alias(k) for k in "xyz"])
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        xyz = f.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float)
+        rows: list = []
+        for _, fewest, near, up, height in BAND_RUNGS:
+            rows = [(i, *plane, n) for i, (plane, n) in enumerate(kernels.peel_vertical(xyz, fewest, near, up, height, seed))]
+            if rows:
+                break
+        out = pd.DataFrame(rows, columns=["plane", "a", "b", "c", "d", "n_inliers"])
+        out.insert(0, "scan_id", key[0])
+        return out
+
+    return means.select("scan_id", "x", "y", "z").groupBy("scan_id").applyInPandas(run, f"scan_id {points.schema['scan_id'].dataType.simpleString()}, {PLANE}")
+
+
+def peel_floors(points: DataFrame, most: int = 12, least: int = 500, near: float = 30.0, voxel_mm: int = 100, level: float = 0.96, **options) -> list[dict]:
+    """Horizontal planes by peeling, those with most points 0.30 to 3.00 m above them first; z is
+    tried as the way up before y. Voxel means are used unless they are fewer than a thousand. Without
+    any horizontal plane the fullest of 200 height bins counts."""
+    cloud = graph.cut(thinned(points, voxel_mm))
+    if cloud.count() < 1000:
+        cloud = graph.cut(points.select("point_id", "x_mm", "y_mm", "z_mm"))
+    found: list[dict] = []
+
+    def horizontal(plane: Plane, inliers: DataFrame) -> bool:
+        for axis, (name, lead) in ((2, ("z_mm", plane.c)), (1, ("y_mm", plane.b))):
+            if abs(lead) > level:
+                z, n = inliers.agg(F.avg(name), F.count("*")).first()
+                found.append({"floor_z": float(z), "inlier_count": n, "axis_idx": axis})
+                return True
+        return False
+
+    peel_planes(cloud, most, least, near, horizontal, **options)
+    if not found:
+        lo, hi = cloud.agg(F.min("z_mm"), F.max("z_mm")).first()
+        width = max((hi - lo) / 200, 1e-9)
+        bins = cloud.groupBy(F.least(F.floor((F.col("z_mm") - lo) / width), F.lit(199)).alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bin").first()
+        found.append({"floor_z": lo + bins["bin"] * width, "inlier_count": 1, "axis_idx": 2})
+    up = {2: "z_mm", 1: "y_mm"}
+    above = lambda f: F.count_if((F.col(up[f["axis_idx"]]) > f["floor_z"] + 300) & (F.col(up[f["axis_idx"]]) < f["floor_z"] + 3000))
+    scores_ = cloud.agg(*[above(f).alias(f"s{i}") for i, f in enumerate(found)]).first()
+    return sorted(({**f, "wall_score": int(s)} for f, s in zip(found, scores_)), key=lambda f: -f["wall_score"])
+
+
 def floor_levels(points: DataFrame, bin_mm: int = 50, least_share: float = 0.01) -> DataFrame:
     """Floor candidates: local peaks of the height histogram that hold at least a share of the
     points, with the points 0.30 to 3.00 m above as wall score; best first."""
@@ -164,6 +245,47 @@ def icp_2d(source: DataFrame, target: DataFrame, rounds: int = 20, reach: int =
     return [[c, -s, tx], [s, c, ty], [0.0, 0.0, 1.0]], rmse, share, used
 
 
+def moved(points: DataFrame, m: np.ndarray) -> DataFrame:
+    """``point_id`` and coordinates after a 4 x 4 row-major transform, rounded to the millimetre."""
+    x, y, z = (F.col(f"{k}_mm") for k in "xyz")
+    return points.select("point_id", *[F.round(x * float(r[0]) + y * float(r[1]) + z * float(r[2]) + float(r[3])).cast("long").alias(f"{k}_mm") for k, r in zip("xyz", np.asarray(m))])
+
+
+def icp_3d(source: DataFrame, target: DataFrame, rounds: int = 100, reach: int = 500, start: np.ndarray | None = None, settle: float = 1e-3) -> tuple[np.ndarray, float, float, int]:
+    """Point-to-point registration in space: (4 x 4 matrix, RMSE in mm, matched share, rounds). A
+    round is a nearest-neighbour grid join and one aggregate of fifteen sums; the rotation is the
+    SVD of a 3 x 3 matrix. No match at all is an error, not a perfect fit."""
+    source, target = graph.cut(source.select("point_id", "x_mm", "y_mm", "z_mm")), graph.cut(target.select("point_id", "x_mm", "y_mm", "z_mm"))
+    total = source.count()
+    m = np.eye(4) if start is None else np.asarray(start, dtype=float)
+    last, rmse, share, used = math.inf, 0.0, 0.0, 0
+    side = lambda t, key, name: t.select(F.col("point_id").alias(key), *[F.col(f"{k}_mm").cast("double").alias(f"{name}{k}") for k in "xyz"])
+    for used in range(1, rounds + 1):
+        near = spatial.nearest(moved(source, m), target, reach)
+        pairs = near.join(side(source, "a_id", "p"), "a_id").join(side(target, "b_id", "q"), "b_id")
+        r = pairs.agg(F.count("*"), F.avg("d2"), *[F.avg(f"{n}{k}") for n in "pq" for k in "xyz"], *[F.avg(F.col(f"p{i}") * F.col(f"q{j}")) for i in "xyz" for j in "xyz"]).first()
+        if not r[0]:
+            raise ValueError("no point of the source is near the target")
+        share, rmse = r[0] / total, math.sqrt(r[1])
+        if abs(last - rmse) < settle:
+            break
+        last = rmse
+        p, q = np.array(r[2:5]), np.array(r[5:8])
+        m = rigid(np.array(r[8:17]).reshape(3, 3) - np.outer(p, q), p, q)
+    return m, rmse, share, used
+
+
+def rigid(cross: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The rotation and shift that best carry points about ``p`` to points about ``q``, from their
+    3 x 3 cross-covariance."""
+    u, _, vt = np.linalg.svd(cross)
+    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
+    m = np.eye(4)
+    m[:3, :3] = vt.T @ flip @ u.T
+    m[:3, 3] = q - m[:3, :3] @ p
+    return m
+
+
 def line_direction(points: DataFrame, tries: int = 160, threshold: float = 40.0, seed: int = 2) -> float:
     """Direction in degrees (mod 90) of the line with most points: seeded pairs, scored in one
     pass; the first of equals. 0 for fewer than two points."""
@@ -233,6 +355,22 @@ def dbscan(points: DataFrame, eps: int, least: int, id_col: str = "point_id", di
     return points.select(id_col).join(every, id_col, "left")
 
 
+def main_cluster_box(points: DataFrame, eps: int = 1500, least: int = 10, margin: int = 3000, voxel_mm: int = 0, up: str = "z") -> DataFrame:
+    """The points inside the plan box of the fullest density cluster, grown by a margin; all of them
+    where there are fewer than two clusters. With ``voxel_mm`` clusters are found among voxel means."""
+    cloud = thinned(points, voxel_mm) if voxel_mm else points
+    label = dbscan(cloud, eps, least).where("label IS NOT NULL")
+    plan = ("x", "z" if up == "y" else "y")
+    sizes = label.groupBy("label").agg(F.count("*").alias("_k"))
+    best = sizes.agg(F.count("*").alias("_clusters"), F.max(F.struct("_k", -F.col("label"))).alias("_m"))
+    named = with_scalar(label.join(cloud, "point_id"), best).where(-F.col("label") == F.col("_m")["col2"])
+    box = named.agg(F.max("_clusters").alias("_clusters"), *[f(f"{k}_mm").alias(f"_{k}{i}") for k in plan for i, f in ((0, F.min), (1, F.max))])
+    inside = F.lit(True)
+    for k in plan:
+        inside = inside & F.col(f"{k}_mm").between(F.col(f"_{k}0") - margin, F.col(f"_{k}1") + margin)
+    return with_scalar(points, box).where((F.coalesce("_clusters", F.lit(0)) < 2) | inside).select(*points.columns)
+
+
 def normals(points: DataFrame, radius: int, most: int, id_col: str = "point_id") -> DataFrame:
     """Unit normals by local PCA over at most ``most`` nearest neighbours within a radius. The
     covariance is aggregated in the JVM; only six sums a point go to the eigen solver."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +17,17 @@ PLUS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]  # 3 x 3 ellipse
 DISC5 = [(0, -2), (0, 2)] + [(dx, dy) for dy in (-1, 0, 1) for dx in range(-2, 3)]
 
 
-def slice_to_raster(points: DataFrame, low: int, high: int, res: int, least: int = 4, most: int = 16384) -> tuple[DataFrame, DataFrame]:
-    """Cells of a closed height slab, and the one-row raster affine. Raises on an empty slab or
-    one too large for ``most`` pixels a side."""
+def slice_to_raster(points: DataFrame, low: int, high: int, res: int, least: int = 4, most: int = 16384, up: str = "z") -> tuple[DataFrame, DataFrame]:
+    """Cells of a closed height slab, and the one-row raster affine. The way up is z, or y for scans
+    that lie on their side, whose plan is then x and z. Raises on an empty slab or one too large for
+    ``most`` pixels a side."""
     if res <= 0:
         raise ValueError("resolution must be positive")
-    slab = points.where(F.col("z_mm").between(low, high))
+    if up not in ("y", "z"):
+        raise ValueError("the way up is y or z")
+    slab = points.where(F.col(f"{up}_mm").between(low, high))
+    if up == "y":
+        slab = slab.withColumn("y_mm", F.col("z_mm"))
     ext = slab.agg(F.count("*").alias("n_points"), *[f(f"{k}_mm").alias(f"{k}{i}") for k in "xy" for i, f in ((0, F.min), (1, F.max))])
     side = lambda k: F.greatest(F.ceil((F.col(f"{k}1") - F.col(f"{k}0")) / float(res)), F.lit(least)).cast("long")
     affine = ext.select("n_points", "x0", "y0", F.lit(res).alias("res"), side("x").alias("width"), side("y").alias("height"))
@@ -111,6 +120,51 @@ def gaussian(size: int, sigma: float) -> dict[tuple[int, int], float]:
     return {k: v / total for k, v in raw.items()}
 
 
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """The cells of a round kernel of odd size."""
+    if size == 1:
+        return [(0, 0)]
+    return {3: PLUS, 5: DISC5}[size]
+
+
+@dataclass(frozen=True)
+class Preprocess:
+    """Steps before line detection; a size or count of zero leaves a step out."""
+
+    close_size: int = 3
+    close_rounds: int = 2
+    open_size: int = 0
+    open_rounds: int = 0
+    blur_size: int = 3
+    fill_holes: bool = False
+
+
+def preprocess(cells: DataFrame, params: Preprocess = Preprocess()) -> DataFrame:
+    """``(col, row, v)``, v in 0..1: gaps closed, speckle opened, holes filled, edges softened."""
+    out = cells.select("col", "row").distinct()
+    for size, rounds, steps in ((params.close_size, params.close_rounds, (dilate, erode)), (params.open_size, params.open_rounds, (erode, dilate))):
+        if size and rounds:
+            for step in steps:
+                for _ in range(rounds):
+                    out = step(out, ellipse(size))
+    if params.fill_holes:
+        out = fill_holes(out)
+    if not params.blur_size:
+        return out.withColumn("v", F.lit(1.0))
+    size = params.blur_size | 1
+    return blur(out, gaussian(size, 0.3 * ((size - 1) * 0.5 - 1) + 0.8))
+
+
+def image(cells: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The grey picture of ``(col, row, v)`` cells, north up, and its first column and row. A raster is
+    bounded by its building and its resolution (see ``most`` in :func:`slice_to_raster`)."""
+    f = cells.toPandas()
+    c0, r0 = int(f["col"].min()), int(f["row"].min())
+    out = np.zeros((int(f["row"].max()) - r0 + 1, int(f["col"].max()) - c0 + 1), np.uint8)
+    out[f["row"] - r0, f["col"] - c0] = np.clip(np.round(f["v"] * 255), 0, 255)
+    return out[::-1], c0, r0
+
+
 def hough_votes(cells: DataFrame, step_deg: float = 5.0, rho: float = 1.0) -> DataFrame:
     """Votes of the cells for lines (theta bin, rho bin): a row a cell and angle, then a count."""
     n = round(180 / step_deg)
@@ -129,10 +183,8 @@ def line_cells(segments: DataFrame) -> DataFrame:
 
 
 def free_distance(cells: DataFrame) -> DataFrame:
-    """Distance of each unset cell of the bounding box to the nearest set one; one bounded raster
-    in one grouped kernel."""
-    import pandas as pd
-
+    """Distance of each unset cell of the bounding box to the nearest set one. A building's raster is
+    bounded and goes to one kernel; with a column ``building`` each has its own."""
     from . import kernels
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -140,4 +192,18 @@ def free_distance(cells: DataFrame) -> DataFrame:
         r, c = (~wall).nonzero()
         return pd.DataFrame({"col": c + c0, "row": r + r0, "dist": kernels.distance_transform(~wall)[r, c]})
 
-    return cells.select("col", "row").groupBy(F.lit(0).alias("raster")).applyInPandas(run, "col long, row long, dist double")
+    return by_building(cells.select("col", "row", *[c for c in ("building",) if c in cells.columns]), run, "col long, row long, dist double")
+
+
+def by_building(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """Apply a kernel to the rows of each building; its column, where there is one, comes first in the
+    result. Without one all rows are one building's."""
+    if "building" not in rows.columns:
+        return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(kernel, schema)
+
+    def run(key: tuple, f) -> pd.DataFrame:
+        out = kernel(f)
+        out.insert(0, "building", key[0])
+        return out
+
+    return rows.groupBy("building").applyInPandas(run, f"building {rows.schema['building'].dataType.simpleString()}, {schema}")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import classify, filters, kernels, raster
+from . import classify, filters, kernels, raster, scalars
 
 ROOM = "room_id string, label string, category string, polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double, confidence double"
 
@@ -19,8 +19,9 @@ def occupancy(points: DataFrame, cell: int) -> DataFrame:
 
 
 def rooms_from_cells(cells: DataFrame, cell: int = 150, apart_m: float = 1.5, least_m2: float = 4.0, most: int = 80) -> DataFrame:
-    """Rooms of one building: enclosed free space is split by watershed from distance peaks. The
-    raster is bounded by the building and goes to one grouped kernel; classification is JVM-side."""
+    """Rooms: enclosed free space is split by watershed from distance peaks; the ``most`` largest of a
+    building. Its raster is bounded and goes to one kernel (with a column ``building`` each has its
+    own); classification is JVM-side."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         wall, c0, r0 = kernels.dense(f["col"].to_numpy(), f["row"].to_numpy())
@@ -50,15 +51,17 @@ def rooms_from_cells(cells: DataFrame, cell: int = 150, apart_m: float = 1.5, le
         return pd.DataFrame(out, columns=["polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg"])
 
     shape = "polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double"
-    found = cells.select("col", "row").groupBy(F.lit(0).alias("building")).applyInPandas(run, shape)
-    return _named(found.orderBy(F.desc("area_m2"), "cx", "cy").limit(most))
+    many = "building" in cells.columns
+    found = raster.by_building(cells.select("col", "row", *(["building"] if many else [])), run, shape)
+    order = [F.desc("area_m2"), F.col("cx"), F.col("cy")]
+    return _named(filters.top_by(found, ["building"], order, most) if many else found.orderBy(*order).limit(most))
 
 
 def _named(rooms: DataFrame) -> DataFrame:
     """Add stable ids and the classification."""
-    rid = F.concat(F.lit("room-"), F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(F.round("cx"), F.round("cy")), F.lit(65536))), 4, "0")))
+    rid = scalars.hashed_id(F.col("cx"), F.col("cy"))
     c = rooms.withColumn("c", classify.classify_room(F.col("area_m2"), F.col("eccentricity"), F.col("solidity")))
-    return c.select(rid.alias("room_id"), "c.label", "c.category", "polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg", F.round("c.confidence", 3).alias("confidence"))
+    return c.select(*[x for x in ("building",) if x in rooms.columns], rid.alias("room_id"), "c.label", "c.category", "polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg", F.round("c.confidence", 3).alias("confidence"))
 
 
 def rooms_from_lines(segments: DataFrame, plan_area: float) -> DataFrame:
@@ -75,7 +78,7 @@ def rooms_from_lines(segments: DataFrame, plan_area: float) -> DataFrame:
         return pd.DataFrame(out, columns=["polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg"])
 
     shape = "polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double"
-    return _named(segments.groupBy(F.lit(0).alias("plan")).applyInPandas(run, shape))
+    return _named(raster.by_building(segments.select("x1", "y1", "x2", "y2", *[x for x in ("building",) if x in segments.columns]), run, shape))
 
 
 def building_room(x0: float, y0: float, x1: float, y1: float, spark) -> DataFrame:
@@ -126,9 +129,16 @@ def outline(points: DataFrame, sample: int = 20_000, cell: int = 500) -> DataFra
 
 
 def hull(points: DataFrame) -> DataFrame:
-    """Convex hull corners ``(x_mm, y_mm)`` in two steps: per cell only the extreme points of each
-    column of the plan can be corners, so the kernel sees two points a column."""
-    ends = points.groupBy("x_mm").agg(F.min("y_mm").alias("lo"), F.max("y_mm").alias("hi")).select("x_mm", F.explode(F.array("lo", "hi")).alias("y_mm")).distinct()
+    """Convex hull corners ``(x_mm, y_mm)``: each task takes the hull of what it holds, and the last
+    kernel sees the corners of those."""
+
+    def own(frames):
+        kept: list[tuple[int, int]] = []
+        for f in frames:
+            kept = kernels.convex_hull(kept + [(int(x), int(y)) for x, y in f.drop_duplicates().to_numpy()])
+        yield pd.DataFrame(kept, columns=["x_mm", "y_mm"]).astype("int64")
+
+    ends = points.select("x_mm", "y_mm").mapInPandas(own, "x_mm long, y_mm long").distinct()
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         ring = kernels.convex_hull([(int(x), int(y)) for x, y in f[["x_mm", "y_mm"]].to_numpy()])

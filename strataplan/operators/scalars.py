@@ -135,6 +135,17 @@ def safe_filename(name: Column, default: str = "") -> Column:
     return F.when(clean == "", default).otherwise(clean)
 
 
+def safe_scan_name(name: Column) -> Column:
+    """The same for an upload to vectorise, which is never without a name."""
+    return safe_filename(name, "scan.laz")
+
+
+def hashed_id(cx: Column, cy: Column, prefix: str = "room-") -> Column:
+    """A stable name from a centroid rounded to whole units: four hex digits of its hash."""
+    whole = lambda c: F.round(c).cast("long").cast("string")
+    return F.concat(F.lit(prefix), F.substring(F.md5(F.concat_ws(":", whole(cx), whole(cy)).cast("binary")), 1, 4))
+
+
 def lookup(key: Column, table: dict, default) -> Column:
     """Value of a small constant table."""
     out = F.lit(default)

@@ -113,6 +113,32 @@ def regularise(segments: DataFrame, drop_below: float = 500.0, snap: bool = True
     return out
 
 
+def crossings(segments: DataFrame, cell: int = 2000) -> DataFrame:
+    """``(a_id, b_id, ta, tb, x, y)`` for segments that cross or touch, a_id < b_id: where, as shares of
+    their lengths and as a point. Segments meet in the grid cells of their boxes; parallel ones, also
+    on one line, do not cross."""
+    at = lambda v: F.floor(v / float(cell))
+    reach = lambda a, b: F.explode(F.sequence(at(F.least(a, b)), at(F.greatest(a, b))))
+    placed = segments.select("seg_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], reach(F.col("x1"), F.col("x2")).alias("cx")).withColumn("cy", reach(F.col("y1"), F.col("y2")))
+    side = lambda p: placed.select("cx", "cy", F.col("seg_id").alias(f"{p}_id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
+    e = F.expr
+    pairs = side("a").join(side("b"), ["cx", "cy"]).where("a_id < b_id").withColumn("den", e("(ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1)")).where("den <> 0")
+    pairs = pairs.withColumn("ta", e("((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / den")).withColumn("tb", e("((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1)) / den"))
+    hit = pairs.where("ta BETWEEN 0 AND 1 AND tb BETWEEN 0 AND 1").select("a_id", "b_id", "ta", "tb", e("ax1 + (ax2 - ax1) * ta").alias("x"), e("ay1 + (ay2 - ay1) * ta").alias("y"))
+    return hit.groupBy("a_id", "b_id").agg(*[F.first(c).alias(c) for c in ("ta", "tb", "x", "y")])
+
+
+def noded(segments: DataFrame, cell: int = 2000) -> DataFrame:
+    """Segments split where they cross or touch: ``(seg_id, k, x1, y1, x2, y2)``."""
+    met = crossings(segments, cell)
+    cuts = met.select(F.col("a_id").alias("seg_id"), F.col("ta").alias("t")).unionByName(met.select(F.col("b_id").alias("seg_id"), F.col("tb").alias("t")))
+    cuts = cuts.where("t > 0 AND t < 1").groupBy("seg_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    ends = segments.join(cuts, "seg_id", "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
+    parts = ends.select("*", F.posexplode(F.slice("ts", F.lit(2), F.size("ts") - 1)).alias("k", "t1")).withColumn("t0", F.get("ts", F.col("k")))
+    point = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * F.col(t)
+    return parts.select("seg_id", "k", *[point(a, b, t).alias(n) for n, a, b, t in (("x1", "x1", "x2", "t0"), ("y1", "y1", "y2", "t0"), ("x2", "x1", "x2", "t1"), ("y2", "y1", "y2", "t1"))])
+
+
 def sampled(segments: DataFrame, step: int = 50) -> DataFrame:
     """Points along each segment: max(2, length div step) + 1 of them; one for a degenerate one."""
     n = F.when(length_mm() < 1e-9, F.lit(0)).otherwise(F.greatest(F.lit(2), F.floor(length_mm() / step).cast("int")))

@@ -139,7 +139,7 @@ def merge_totals(spark, d):
     return filters.with_scalar(p.agg(F.count("*").alias("before")), v.agg(F.count("*").alias("after")))
 
 
-@query("shared_frame", f"WITH {P}, c AS (SELECT scan_id, avg(x_mm) x, avg(y_mm) y, avg(z_mm) z FROM pts GROUP BY 1), m AS (SELECT avg(x) mx, avg(y) my, avg(z) mz FROM c) SELECT round(max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)), 4) AS spread, max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) < 5000 AS same_frame FROM c, m")
+@query("shared_frame", f"WITH {P}, c AS (SELECT scan_id, avg(x_mm) x, avg(y_mm) y, avg(z_mm) z FROM pts GROUP BY 1), m AS (SELECT avg(x) mx, avg(y) my, avg(z) mz FROM c), v AS (SELECT DISTINCT scan_id, floor(x_mm / 200.0) a, floor(y_mm / 200.0) b, floor(z_mm / 200.0) c FROM pts) SELECT round(max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)), 4) AS spread, max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) >= 5000 OR (SELECT count(*) FROM (SELECT a, b, c FROM v WHERE scan_id = 0 INTERSECT SELECT a, b, c FROM v WHERE scan_id = 1)) >= 0.05 * (SELECT count(*) FROM v WHERE scan_id = 0) AS same_frame FROM c, m")
 def shared_frame(spark, d):
     return voxel.shared_frame(src.points(spark, d)).select(F.round("spread", 4).alias("spread"), "same_frame")
 
@@ -228,10 +228,10 @@ def job_history(spark, d):
     return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("last"), "job_id")).cast("long"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"WITH {P} SELECT point_id FROM pts ORDER BY md5('42:' || point_id), point_id LIMIT 2000")
 def seeded_sample(spark, d):
     """A sample without replacement: the 2000 points of smallest seeded hash."""
-    return src.points(spark, d).orderBy(F.xxhash64("point_id", F.lit(42)), "point_id").limit(2000).select("point_id")
+    return src.points(spark, d).orderBy(F.md5(F.concat(F.lit("42:"), F.col("point_id").cast("string")).cast("binary")), "point_id").limit(2000).select("point_id")
 
 
 # sets ------------------------------------------------------------------------------------------

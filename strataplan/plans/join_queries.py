@@ -64,7 +64,7 @@ def dbscan_core(spark, d):
 @query("knn_outliers", f"""WITH {_E3D}, p AS (SELECT a.point_id AS a_id, {_dist('a', 'b')} AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY {_dist('a', 'b')}, b.point_id) AS k FROM e a JOIN e b ON a.point_id <> b.point_id),
 m AS (SELECT a_id, avg(sqrt(d2)) AS mean_d FROM p WHERE k <= 5 GROUP BY 1), s AS (SELECT avg(mean_d) AS mu, stddev_samp(mean_d) AS sd FROM m) SELECT a_id, round(mean_d, 6) AS mean_d, mean_d > mu + 2 * sd AS outlier FROM m, s""")
 def knn_outliers(spark, d):
-    d5 = spatial.knn_distance(_e3(spark, d), 5, 800, rings=5)
+    d5 = spatial.knn_distance(_e3(spark, d), 5, 800)
     stat = d5.agg(F.avg("mean_d").alias("mu"), F.stddev_samp("mean_d").alias("sd"))
     return filters.with_scalar(d5, stat).select("a_id", F.round("mean_d", 6).alias("mean_d"), (F.col("mean_d") > F.col("mu") + 2 * F.col("sd")).alias("outlier"))
 
@@ -174,11 +174,11 @@ def morph_open(spark, d):
 
 
 _COMP = """lab AS (WITH RECURSIVE reach(col, row, c0, r0) AS (SELECT col, row, col, row FROM part_cells UNION SELECT c.col, c.row, r.c0, r.r0 FROM reach r JOIN part_cells c ON abs(c.col - r.col) <= 1 AND abs(c.row - r.row) <= 1) SELECT col, row, min((r0 + 1073741824) * 2147483648 + c0 + 1073741824) AS label FROM reach GROUP BY 1, 2)"""
-_PART = f"{P}, part_cells AS (SELECT DISTINCT x_mm // 500 AS col, y_mm // 500 AS row FROM pts WHERE NOT is_floor AND x_mm >= 0 AND y_mm >= 0)"
+_PART = f"{P}, part_cells AS (SELECT DISTINCT CAST(floor(x_mm / 500.0) AS BIGINT) AS col, CAST(floor(y_mm / 500.0) AS BIGINT) AS row FROM pts WHERE NOT is_floor)"
 
 
 def _part(spark, d):
-    return src.points(spark, d).where("not is_floor and x_mm >= 0 and y_mm >= 0").selectExpr("x_mm div 500 as col", "y_mm div 500 as row").distinct()
+    return src.points(spark, d).where("not is_floor").select(F.floor(F.col("x_mm") / 500.0).alias("col"), F.floor(F.col("y_mm") / 500.0).alias("row")).distinct()
 
 
 @query("components_labels", f"WITH {_PART}, {_COMP} SELECT col, row, label FROM lab")
@@ -191,11 +191,11 @@ def largest_component(spark, d):
     return raster.largest_component(_part(spark, d))
 
 
-_WCELLS = f"{P}, cells AS (SELECT DISTINCT x_mm // 1000 AS col, y_mm // 1000 AS row FROM pts WHERE NOT is_floor AND x_mm >= 0 AND y_mm >= 0)"
+_WCELLS = f"{P}, cells AS (SELECT DISTINCT CAST(floor(x_mm / 1000.0) AS BIGINT) AS col, CAST(floor(y_mm / 1000.0) AS BIGINT) AS row FROM pts WHERE NOT is_floor)"
 
 
 def _wcells(spark, d):
-    return src.points(spark, d).where("not is_floor and x_mm >= 0 and y_mm >= 0").selectExpr("x_mm div 1000 as col", "y_mm div 1000 as row").distinct()
+    return src.points(spark, d).where("not is_floor").select(F.floor(F.col("x_mm") / 1000.0).alias("col"), F.floor(F.col("y_mm") / 1000.0).alias("row")).distinct()
 
 
 @query("hole_fill", f"""WITH RECURSIVE {_WCELLS}, box AS (SELECT min(col) - 1 c0, max(col) + 1 c1, min(row) - 1 r0, max(row) + 1 r1 FROM cells), grid AS (SELECT c AS col, r AS row FROM box, range(-5, 100) a(c), range(-5, 100) b(r) WHERE c BETWEEN c0 AND c1 AND r BETWEEN r0 AND r1),
@@ -205,10 +205,10 @@ def hole_fill(spark, d):
     return raster.fill_holes(_wcells(spark, d))
 
 
-@query("cells_anti_walls", f"WITH {P} SELECT DISTINCT x_mm // 500 AS col, y_mm // 500 AS row FROM pts WHERE is_floor AND (x_mm // 500, y_mm // 500) NOT IN (SELECT x_mm // 500, y_mm // 500 FROM pts WHERE NOT is_floor AND x_mm >= 0 AND y_mm >= 0)")
+@query("cells_anti_walls", f"WITH {P}, c AS (SELECT is_floor, CAST(floor(x_mm / 500.0) AS BIGINT) AS col, CAST(floor(y_mm / 500.0) AS BIGINT) AS row FROM pts) SELECT col, row FROM c WHERE is_floor EXCEPT SELECT col, row FROM c WHERE NOT is_floor")
 def cells_anti_walls(spark, d):
-    p = src.points(spark, d).selectExpr("is_floor", "x_mm", "y_mm", "x_mm div 500 as col", "y_mm div 500 as row")
-    wall = p.where("not is_floor and x_mm >= 0 and y_mm >= 0").select("col", "row").distinct()
+    p = src.points(spark, d).select("is_floor", F.floor(F.col("x_mm") / 500.0).alias("col"), F.floor(F.col("y_mm") / 500.0).alias("row"))
+    wall = p.where("not is_floor").select("col", "row").distinct()
     return p.where("is_floor").select("col", "row").distinct().join(wall, ["col", "row"], "left_anti")
 
 
@@ -246,6 +246,21 @@ def segment_pairs(spark, d):
     return seg.collinear_pairs(_small(spark, d))
 
 
+_CROSS = """x AS (SELECT a.seg_id AS a_id, b.seg_id AS b_id, CAST(a.x1 AS DOUBLE) AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, CAST((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS DOUBLE) AS den
+FROM segs a JOIN segs b ON a.seg_id // 500 = b.seg_id // 500 AND a.seg_id < b.seg_id), t AS (SELECT *, ((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / den AS ta, ((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1)) / den AS tb FROM x WHERE den <> 0), met AS (SELECT * FROM t WHERE ta BETWEEN 0 AND 1 AND tb BETWEEN 0 AND 1)"""
+
+
+@query("segment_crossings", f"WITH {S}, {_CROSS} SELECT a_id, b_id, round(ax1 + (ax2 - ax1) * ta, 4) AS x, round(ay1 + (ay2 - ay1) * ta, 4) AS y FROM met")
+def segment_crossings(spark, d):
+    return seg.crossings(src.segments(spark, d)).select("a_id", "b_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("segments_noded", f"WITH {S}, {_CROSS}, cuts AS (SELECT a_id AS seg_id, ta AS t FROM met UNION SELECT b_id, tb FROM met) SELECT s.seg_id, 1 + count(t) FILTER (t > 0 AND t < 1) AS parts, round(sqrt(CAST((x2 - x1) ** 2 + (y2 - y1) ** 2 AS DOUBLE)), 3) AS total FROM segs s LEFT JOIN cuts USING (seg_id) GROUP BY s.seg_id, x1, y1, x2, y2")
+def segments_noded(spark, d):
+    n = seg.noded(src.segments(spark, d)).withColumn("len", filters.length_mm())
+    return n.groupBy("seg_id").agg(F.count("*").alias("parts"), F.round(F.sum("len"), 3).alias("total"))
+
+
 @query("segments_merged", f"""WITH RECURSIVE {_SMALL}, {_PAIRS}, und AS (SELECT a_id AS a, b_id AS b FROM pairs UNION SELECT b_id, a_id FROM pairs), reach(s, c) AS (SELECT seg_id, seg_id FROM ss UNION SELECT u.b, r.c FROM reach r JOIN und u ON u.a = r.s),
 comp AS (SELECT s AS seg_id, min(c) AS c FROM reach GROUP BY 1) SELECT c AS seg_id, count(*) AS members, round(sum(len), 3) AS total FROM comp JOIN ss USING (seg_id) GROUP BY 1""")
 def segments_merged(spark, d):

@@ -140,6 +140,65 @@ def preprocess_raster(spark, d):
     return raster.erode(raster.erode(raster.dilate(raster.dilate(c))))
 
 
+@query("preprocess_blurred", f"""WITH {P}, cells AS (SELECT DISTINCT CAST(floor(x_mm / 250.0) AS BIGINT) AS col, CAST(floor(y_mm / 250.0) AS BIGINT) AS row FROM pts WHERE NOT is_floor), k AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) k(dx, dy)),
+g AS (SELECT DISTINCT col + dx AS col, row + dy AS row FROM cells, k), g2 AS (SELECT DISTINCT col + dx AS col, row + dy AS row FROM g, k),
+e AS (SELECT c.col, c.row FROM g2 c, k JOIN g2 o ON o.col = c.col + dx AND o.row = c.row + dy GROUP BY 1, 2 HAVING count(*) = 5), e2 AS (SELECT c.col, c.row FROM e c, k JOIN e o ON o.col = c.col + dx AND o.row = c.row + dy GROUP BY 1, 2 HAVING count(*) = 5),
+w AS (SELECT * FROM (VALUES """ + ", ".join(f"({dx}, {dy}, {w!r}e0)" for (dx, dy), w in raster.gaussian(3, 0.8).items()) + ") w(dx, dy, w)) SELECT col + dx AS col, row + dy AS row, round(sum(w), 9) AS v FROM e2, w GROUP BY 1, 2")
+def preprocess_blurred(spark, d):
+    """Closing, then the blur, as before line detection."""
+    c = src.points(spark, d).where("not is_floor").select(F.floor(F.col("x_mm") / 250.0).alias("col"), F.floor(F.col("y_mm") / 250.0).alias("row"))
+    return raster.preprocess(c).select("col", "row", F.round("v", 9).alias("v"))
+
+
+@query("slab_on_side", f"WITH {P}, s AS (SELECT * FROM pts WHERE y_mm BETWEEN 4900 AND 5100), e AS (SELECT min(x_mm) x0, min(z_mm) z0 FROM s) SELECT CAST(floor((x_mm - x0) / 100.0) AS BIGINT) AS col, CAST(floor((z_mm - z0) / 100.0) AS BIGINT) AS row, count(*) AS n FROM s, e GROUP BY 1, 2")
+def slab_on_side(spark, d):
+    """A slab of a scan that lies on its side: y is the way up, the plan is x and z."""
+    cells, _ = raster.slice_to_raster(src.points(spark, d), 4900, 5100, 100, up="y")
+    return cells
+
+
+_M3 = [[0.9998, -0.02, 0.0, 30.0], [0.02, 0.9998, 0.0, -20.0], [0.0, 0.0, 1.0, 5.0], [0.0, 0.0, 0.0, 1.0]]
+
+
+@query("icp_step_3d", f"""WITH {P}, {_ICP}, g AS (SELECT point_id, """ + ", ".join(f"CAST(round(x_mm * {r[0]!r}e0 + y_mm * {r[1]!r}e0 + z_mm * {r[2]!r}e0 + {r[3]!r}e0) AS BIGINT) AS {k}_mm" for k, r in zip("xyz", _M3)) + f""" FROM a), p AS (SELECT a.point_id AS a_id, arg_min((b.x_mm, b.y_mm, b.z_mm), ({_dist('a', 'b')}, b.point_id)) AS q, min({_dist('a', 'b')}) AS d2 FROM g a JOIN b ON b.x_mm BETWEEN a.x_mm - 300 AND a.x_mm + 300 AND b.y_mm BETWEEN a.y_mm - 300 AND a.y_mm + 300 WHERE {_dist('a', 'b')} <= 90000 GROUP BY 1),
+m AS (SELECT CAST(a.x_mm AS DOUBLE) AS px, CAST(a.y_mm AS DOUBLE) AS py, CAST(a.z_mm AS DOUBLE) AS pz, CAST(q[1] AS DOUBLE) AS qx, CAST(q[2] AS DOUBLE) AS qy, CAST(q[3] AS DOUBLE) AS qz, d2 FROM p JOIN a ON a.point_id = a_id)
+SELECT count(*) AS matched, round(sqrt(avg(d2)), 6) AS rmse, """ + ", ".join(f"round(avg(p{i} * q{j}) - avg(p{i}) * avg(q{j}), 3) AS c{i}{j}" for i in "xyz" for j in "xyz") + " FROM m")
+def icp_step_3d(spark, d):
+    """The sums of one registration round in space: moved points meet their nearest, and the
+    cross-covariance goes to the rotation."""
+    p = src.points(spark, d).where("not is_floor")
+    a, b = p.where("scan_id = 0"), p.where("scan_id = 1")
+    near = spatial.nearest(planes.moved(a, _M3), b, 300)
+    side = lambda t, key, name: t.select(F.col("point_id").alias(key), *[F.col(f"{k}_mm").cast("double").alias(f"{name}{k}") for k in "xyz"])
+    m = near.join(side(a, "a_id", "p"), "a_id").join(side(b, "b_id", "q"), "b_id")
+    return m.agg(F.count("*").alias("matched"), F.round(F.sqrt(F.avg("d2")), 6).alias("rmse"), *[F.round(F.avg(F.col(f"p{i}") * F.col(f"q{j}")) - F.avg(f"p{i}") * F.avg(f"q{j}"), 3).alias(f"c{i}{j}") for i in "xyz" for j in "xyz"])
+
+
+@query("main_cluster_box", f"""WITH RECURSIVE {_E3D}, p AS (SELECT a.point_id AS a_id, b.point_id AS b_id FROM e a JOIN e b ON {_dist('a', 'b')} <= 250000), core AS (SELECT a_id AS c FROM p GROUP BY 1 HAVING count(*) >= 4),
+l AS (SELECT a_id, b_id FROM p WHERE a_id IN (SELECT c FROM core) AND b_id IN (SELECT c FROM core)), reach(s, r) AS (SELECT c, c FROM core UNION SELECT l.b_id, reach.r FROM reach JOIN l ON l.a_id = reach.s), lab AS (SELECT s, min(r) AS label FROM reach GROUP BY 1),
+every AS (SELECT s AS point_id, label FROM lab UNION ALL SELECT a_id, min(label) FROM p JOIN lab ON lab.s = b_id WHERE a_id NOT IN (SELECT c FROM core) GROUP BY 1), best AS (SELECT label FROM every GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1),
+box AS (SELECT min(x_mm) - 300 AS x0, max(x_mm) + 300 AS x1, min(y_mm) - 300 AS y0, max(y_mm) + 300 AS y1 FROM e JOIN every USING (point_id) JOIN best USING (label)), n AS (SELECT count(DISTINCT label) AS k FROM every)
+SELECT e.point_id FROM e, box, n WHERE k < 2 OR (x_mm BETWEEN x0 AND x1 AND y_mm BETWEEN y0 AND y1)""")
+def main_cluster_box(spark, d):
+    return planes.main_cluster_box(_e3(spark, d), 500, 4, 300).select("point_id")
+
+
+@query("floor_planes")
+def floor_planes(spark, d):
+    return spark.createDataFrame([(f["floor_z"], f["inlier_count"], f["wall_score"], f["axis_idx"]) for f in planes.peel_floors(src.points(spark, d), tries=48)], "floor_z double, inlier_count long, wall_score long, axis_idx int")
+
+
+@query("scan_wall_planes")
+def scan_wall_planes(spark, d):
+    return planes.scan_planes(src.points(spark, d))
+
+
+@query("wall_ladder")
+def wall_ladder(spark, d):
+    found, rung = planes.wall_planes(src.points(spark, d).where("not is_floor"), most=8, tries=48)
+    return spark.createDataFrame([(rung, p.a, p.b, p.c, p.d, n) for p, n in found], "rung string, a double, b double, c double, d double, n_inliers long")
+
+
 @query("regularised_segments")
 def regularised_segments(spark, d):
     return seg.regularise(src.segments(spark, d)).select("seg_id", *[F.round(c, 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
@@ -153,13 +212,10 @@ def vectorize_metrics(spark, d):
 
 @query("merge_scans")
 def merge_scans(spark, d):
-    from ..operators import voxel
+    from ..operators import merging
 
-    p = src.points(spark, d)
-    keep = spatial.statistical_outliers(p, k=8, radius=150).where("not outlier").select(F.col("a_id").alias("point_id"))
-    merged = p.join(keep, "point_id", "left_semi")
-    v = voxel.downsample(merged, 100)
-    return v.agg(F.count("*").alias("after"), F.sum("n").alias("before"))
+    m = merging.merge(src.points(spark, d), 100, neighbours=8)
+    return spark.createDataFrame([(m.strategy, m.scans, m.before, m.after, *m.offset)], "strategy string, scans int, before long, after long, ox double, oy double, oz double")
 
 
 @query("decimated_count", f"WITH {P}, m AS (SELECT min(x_mm) mx, min(y_mm) my, min(z_mm) mz FROM pts) SELECT least(count(*), 20000) AS n FROM (SELECT DISTINCT (2 * (x_mm - mx) + 300) // 600, (2 * (y_mm - my) + 300) // 600, (2 * (z_mm - mz) + 300) // 600 FROM pts, m)")
@@ -172,19 +228,19 @@ def decimated_count(spark, d):
 _STEP = "a + ((abs(b - a) * i + n // 2) // greatest(n, 1)) * (CASE WHEN b >= a THEN 1 ELSE -1 END)"
 
 
-@query("rasterise_segments", f"""WITH {S}, c AS (SELECT seg_id, x1 // 100 AS ax, y1 // 100 AS ay, x2 // 100 AS bx, y2 // 100 AS "by" FROM segs WHERE least(x1, y1, x2, y2) >= 0), n AS (SELECT *, greatest(abs(bx - ax), abs("by" - ay)) AS n FROM c), e AS (SELECT *, unnest(range(n + 1)) AS i FROM n)
+@query("rasterise_segments", f"""WITH {S}, c AS (SELECT seg_id, CAST(floor(x1 / 100.0) AS BIGINT) AS ax, CAST(floor(y1 / 100.0) AS BIGINT) AS ay, CAST(floor(x2 / 100.0) AS BIGINT) AS bx, CAST(floor(y2 / 100.0) AS BIGINT) AS "by" FROM segs), n AS (SELECT *, greatest(abs(bx - ax), abs("by" - ay)) AS n FROM c), e AS (SELECT *, unnest(range(n + 1)) AS i FROM n)
 SELECT DISTINCT {_STEP.replace("b - a", "bx - ax").replace("a +", "ax +").replace("b >= a", "bx >= ax")} AS col, {_STEP.replace("b - a", '"by" - ay').replace("a +", "ay +").replace("b >= a", '"by" >= ay')} AS row FROM e""")
 def rasterise_segments(spark, d):
     """Cells of all segments: one exploded step along the longer side, no Python."""
-    c = src.segments(spark, d).where("least(x1, y1, x2, y2) >= 0").selectExpr("seg_id", "x1 div 100 as ax", "y1 div 100 as ay", "x2 div 100 as bx", "y2 div 100 as by_")
+    c = src.segments(spark, d).select("seg_id", *[F.floor(F.col(a) / 100.0).alias(b) for a, b in (("x1", "ax"), ("y1", "ay"), ("x2", "bx"), ("y2", "by_"))])
     return raster.line_cells(c)
 
 
-@query("distance_transform", f"""WITH {P}, cells AS (SELECT DISTINCT x_mm // 500 AS col, y_mm // 500 AS row FROM pts WHERE NOT is_floor AND x_mm >= 0 AND y_mm >= 0), box AS (SELECT min(col) c0, max(col) c1, min(row) r0, max(row) r1 FROM cells),
-grid AS (SELECT c AS col, r AS row FROM box, range(0, 100) a(c), range(0, 100) b(r) WHERE c BETWEEN c0 AND c1 AND r BETWEEN r0 AND r1), free AS (SELECT * FROM grid EXCEPT SELECT * FROM cells)
+@query("distance_transform", f"""WITH {P}, cells AS (SELECT DISTINCT CAST(floor(x_mm / 500.0) AS BIGINT) AS col, CAST(floor(y_mm / 500.0) AS BIGINT) AS row FROM pts WHERE NOT is_floor), box AS (SELECT min(col) c0, max(col) c1, min(row) r0, max(row) r1 FROM cells),
+grid AS (SELECT col, unnest(range(r0, r1 + 1)) AS row FROM (SELECT r0, r1, unnest(range(c0, c1 + 1)) AS col FROM box)), free AS (SELECT * FROM grid EXCEPT SELECT * FROM cells)
 SELECT f.col, f.row, round(sqrt(min((f.col - c.col) * (f.col - c.col) + (f.row - c.row) * (f.row - c.row))), 6) AS dist FROM free f, cells c GROUP BY 1, 2""")
 def distance_transform(spark, d):
-    c = src.points(spark, d).where("not is_floor and x_mm >= 0 and y_mm >= 0").selectExpr("x_mm div 500 as col", "y_mm div 500 as row").distinct()
+    c = src.points(spark, d).where("not is_floor").select(F.floor(F.col("x_mm") / 500.0).alias("col"), F.floor(F.col("y_mm") / 500.0).alias("row")).distinct()
     return raster.free_distance(c).select("col", "row", F.round("dist", 6).alias("dist"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs import VectorizeParams
-from ..operators import filters, graph, kernels, planes, raster, rooms, segments, spatial, voxel
+from ..operators import filters, graph, kernels, merging, planes, raster, rooms, segments, spatial
 from ..sources import sinks
 
 
@@ -30,13 +30,9 @@ class ScanParams:
     outlier_ratio: float = 2.0
 
 
-def merge_scans(points: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
-    """One cloud of several scans: outliers out, voxel means, centred frame kept as columns."""
-    if params.outlier_neighbours:
-        keep = spatial.statistical_outliers(points, params.outlier_neighbours, params.outlier_ratio, 4 * params.voxel).where("not outlier").select(F.col("a_id").alias("point_id"))
-        points = points.join(keep, "point_id", "left_semi")
-    means = voxel.downsample(points, params.voxel)
-    return means.select(F.xxhash64("vx", "vy", "vz").alias("point_id"), *[F.round(k).cast("long").alias(f"{k}_mm") for k in "xyz"])
+def merge_scans(points: DataFrame, params: ScanParams = ScanParams()) -> merging.Merged:
+    """One cloud of one or several scans, in a shared frame or registered to the first."""
+    return merging.merge(points, params.voxel, params.outlier_neighbours, params.outlier_ratio)
 
 
 def scan_to_plan(points: DataFrame, walls: DataFrame | None = None, params: ScanParams = ScanParams()) -> dict:
@@ -46,7 +42,7 @@ def scan_to_plan(points: DataFrame, walls: DataFrame | None = None, params: Scan
     best = floors.first()
     base = 0.0 if best is None else best.floor_z
     level = cloud.withColumn("z_mm", (F.col("z_mm") - F.lit(base)).cast("long"))
-    found = planes.wall_planes(level, bands=((params.band_low, params.band_high), (500, 2000), (300, 2500)), most=12)
+    found, _ = planes.wall_planes(level, low=params.band_low, high=params.band_high, least_found=4, most=12)
     lines = rooms.plan_from_projection(level) if len(found) < 4 else plane_lines(level, found)
     out = {"floors": floors, "planes": found, "plan": lines, "rooms": rooms.rooms_from_scan(level, cell=params.room_cell), "outline": rooms.outline(level)}
     if walls is not None:
@@ -74,7 +70,7 @@ def detect(cells: DataFrame, res: int, least_mm: float, detector: str) -> DataFr
             lines = lines + kernels.hough_segments(image, votes=least, least=least)
         return pd.DataFrame([((x1 + c0) * res, (y1 + r0) * res, (x2 + c0) * res, (y2 + r0) * res) for x1, y1, x2, y2 in lines], columns=["x1", "y1", "x2", "y2"]).astype(float)
 
-    out = cells.select("col", "row").groupBy(F.lit(0).alias("raster")).applyInPandas(run, "x1 double, y1 double, x2 double, y2 double")
+    out = raster.by_building(cells.select("col", "row", *[c for c in ("building",) if c in cells.columns]), run, "x1 double, y1 double, x2 double, y2 double")
     return out.withColumn("seg_id", F.xxhash64("x1", "y1", "x2", "y2"))
 
 

@@ -111,9 +111,9 @@ def _category_sql(column: str) -> str:
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({column}), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in op.CATEGORIES) + " ELSE 'unknown' END"
 
 
-@query("categorize_labels", f"WITH l AS (SELECT doc_id, substr(text, 1, 40) AS label FROM documents) SELECT doc_id, {_category_sql('label')} AS category FROM l")
+@query("categorize_labels", f"WITH l AS (SELECT doc_id, text AS label FROM documents) SELECT doc_id, {_category_sql('label')} AS category FROM l")
 def categorize_labels(spark, d):
-    return src.load(spark, d, "documents").select("doc_id", op.category(F.substring("text", 1, 40)).alias("category"))
+    return src.load(spark, d, "documents").select("doc_id", op.category(F.col("text")).alias("category"))
 
 
 def _clamp(x: str) -> str:
@@ -140,18 +140,20 @@ def sequence_ids(spark, d):
     return o.select("job_id", "scan_id", F.format_string("s%02d-wall-%06d", "scan_id", n).alias("wall_id"))
 
 
-@query("room_hash_ids")
+@query("room_hash_ids", "SELECT p_partkey AS id, 'room-' || substr(md5(CAST(round(p_retailprice) AS BIGINT) || ':' || CAST(round(p_size) AS BIGINT)), 1, 4) AS room_id FROM part")
 def room_hash_ids(spark, d):
-    """Stable ids from the rounded centroid; the hash differs from other engines' and may collide."""
-    c = src.load(spark, d, "part").selectExpr("p_partkey as id", "round(p_retailprice) as cx", "round(p_size) as cy")
-    return c.select("id", F.concat(F.lit("room-"), F.lower(F.lpad(F.hex(F.pmod(F.xxhash64("cx", "cy"), F.lit(65536))), 4, "0"))).alias("room_id"))
+    """Stable ids from the rounded centroid; they may collide."""
+    c = src.load(spark, d, "part").selectExpr("p_partkey as id", "p_retailprice as cx", "p_size as cy")
+    return c.select("id", op.hashed_id(F.col("cx"), F.col("cy")).alias("room_id"))
 
 
 @query("safe_filenames", r"""WITH n AS (SELECT p_partkey AS id, 'up/../' || p_name || ' #' || p_partkey || '..scan.LAS' AS name FROM part)
-SELECT id, replace(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '[^\p{L}\p{N}._-]', '', 'g'), '..', '_') AS safe FROM n""")
+SELECT id, replace(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '[^\p{L}\p{N}._-]', '', 'g'), '..', '_') AS safe, CASE WHEN p = '' THEN 'scan.laz' ELSE p END AS safe_scan
+FROM (SELECT *, replace(regexp_replace(regexp_extract(CASE WHEN id % 10 = 0 THEN 'up/###' ELSE name END, '([^/]*)$', 1), '[^\p{L}\p{N}._-]', '', 'g'), '..', '_') AS p FROM n)""")
 def safe_filenames(spark, d):
     n = src.load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("up/../"), "p_name", F.lit(" #"), F.col("p_partkey").cast("string"), F.lit("..scan.LAS")).alias("name"))
-    return n.select("id", op.safe_filename(F.col("name")).alias("safe"))
+    scan = F.when(F.col("id") % 10 == 0, "up/###").otherwise(F.col("name"))
+    return n.select("id", op.safe_filename(F.col("name")).alias("safe"), op.safe_scan_name(scan).alias("safe_scan"))
 
 
 @query("density_confidence", "SELECT p_partkey AS id, round(least(p_retailprice / greatest((p_size / 1000e0) * (p_size / 500e0) * 0.1e0, 1e-4) / 1000, 1), 6) AS confidence FROM part")

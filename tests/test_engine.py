@@ -104,7 +104,8 @@ def box(rng, n=500):
 
 def test_walls_of_a_box(spark):
     p = cloud(spark, box(np.random.default_rng(7), 60)).repartition(4)
-    found = planes.wall_planes(graph.cut(p), bands=((750, 1800),), most=6, least=200, tries=96)
+    found, rung = planes.wall_planes(graph.cut(p), most=6, tries=96)
+    assert rung == "band at 50 mm"
     assert len(found) >= 4 and all(abs(w.c) < 0.25 for w, _ in found)
     assert planes.ransac(p.where("1 = 0")) is None
 
@@ -170,7 +171,7 @@ def test_spatial_joins_match_brute_force(spark):
     d2 = ((mm[:, None] - mm[None]) ** 2).sum(2)
     got = {(r.a_id, r.b_id): r.d2 for r in spatial.radius_pairs(p, p, 900).collect()}
     assert got == {(i, j): d2[i, j] for i, j in zip(*np.nonzero(d2 <= 900 * 900))}
-    knn = {r.a_id: r.mean_d for r in spatial.knn_distance(p, 5, 300, rings=6).collect()}
+    knn = {r.a_id: r.mean_d for r in spatial.knn_distance(p, 5, 300).collect()}
     want = np.sqrt(np.sort(d2 + np.eye(250, dtype=int) * 10**12, axis=1)[:, :5]).mean(1)
     assert all(knn[i] == pytest.approx(want[i]) for i in range(250))
 
@@ -279,6 +280,50 @@ def test_las_and_ply(spark, tmp_path):
         scan_files.load_scan(spark, "x.laz")
 
 
+def test_scan_files_in_ranges(spark, tmp_path, monkeypatch):
+    """PLY files split as LAS files do; batches are bounded; URIs are paths too."""
+    monkeypatch.setattr(scan_files, "BATCH", 100)
+    rng = random.Random(4)
+    xyz = [(rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(0, 3)) for _ in range(950)]
+    pts = spark.createDataFrame([(*p, 0.0, 1.0, 0.5) for p in xyz], "x double, y double, z double, r double, g double, b double")
+    (tmp_path / "a.ply").write_bytes(sinks.ply_bytes(pts))
+    head = scan_files.ply_header(str(tmp_path / "a.ply"))
+    got = [b for low in range(0, 950, 300) for b in scan_files.ply_records(str(tmp_path / "a.ply"), head, low, min(950, low + 300))]
+    assert max(b.num_rows for b in got) == 100 and sum(b.num_rows for b in got) == 950
+    scan_files.register(spark)
+    raw = spark.read.format("scan").option("pointsPerTask", "300").load(f"file://{tmp_path}/a.ply")
+    assert raw.rdd.getNumPartitions() == 4
+    rows = {r.point_id: (r.x, r.y, r.z, r.r, r.g, r.b, r.classification) for r in raw.collect()}
+    assert len(rows) == 950 and {v[3:] for v in rows.values()} == {(0, 255, 127, None)}
+    assert sorted(round(v[0], 4) for v in rows.values()) == sorted(round(float(np.float32(p[0])), 4) for p in xyz)
+    text = "\n".join(["ply", "format ascii 1.0", "element vertex 250", "property float x", "property float y", "property float z", "end_header", *(f"{i} {i / 2} 0" for i in range(250))])
+    (tmp_path / "b.ply").write_text(text + "\n")
+    assert {(r.point_id, r.x, r.y, r.r) for r in spark.read.format("scan").load(str(tmp_path / "b.ply")).collect()} == {(i, float(i), i / 2, None) for i in range(250)}
+    assert spark.read.format("scan").load(str(tmp_path)).count() == 1200
+    for body in (b"nope", b"ply\nformat ascii 1.0\nelement vertex 0\nend_header\n"):
+        (tmp_path / "c.ply").write_bytes(body)
+        with pytest.raises(ValueError):
+            scan_files.ply_header(str(tmp_path / "c.ply"))
+
+
+def test_colours_of_scans(spark, tmp_path):
+    """Scan by scan: colours as they are scaled, else those of the intensities, else none."""
+    xyz, cls = [(i, i, i) for i in range(100)], [2] * 100
+    (tmp_path / "a.las").write_bytes(las_bytes(xyz, cls, [(65535, 0, 13107)] * 100))
+    grey = bytearray(las_bytes(xyz, cls, [(0, 0, 0)] * 100))
+    grey[104] = 0  # a point format without colours; the records are as long
+    for i in range(100):
+        struct.pack_into("<H", grey, 227 + 26 * i + 12, i)
+    (tmp_path / "b.las").write_bytes(bytes(grey))
+    (tmp_path / "c.ply").write_text("ply\nformat ascii 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n")
+    got = {}
+    for r in scan_files.load_scan(spark, str(tmp_path)).collect():
+        got.setdefault(r.scan[-5:], {})[r.point_id] = (r.r, r.g, r.b)
+    assert got["a.las"][5] == pytest.approx((1.0, 0.0, 0.2)) and got["c.ply"] == {0: (None, None, None)}
+    assert got["b.las"][0] == pytest.approx((0.0, 0.0, 0.55)) and got["b.las"][99] == pytest.approx((0.4, 0.85, 1.0))
+    assert got["b.las"][50] == pytest.approx(tuple(k * (50 - 1.98) / 95.04 + o for k, o in ((0.4, 0), (0.85, 0), (0.45, 0.55))))
+
+
 def test_dxf_round_trip(spark, tmp_path):
     s = spark.createDataFrame([("walls", 0.0, 0.0, 20.0, 0.0), ("walls", 20.0, 0.0, 20.0, 15.0), ("ghost", 1.0, 1.0, 2.0, 2.0)], "class string, x1 double, y1 double, x2 double, y2 double")
     text, dropped = sinks.dxf_text(s, note="hello")
@@ -299,6 +344,9 @@ def test_uploads(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r.path.rsplit("/", 1)[1]: r.verdict for r in scan_files.valid_uploads(files).collect()}
     assert got == {"a.las": "ok", "b.las": "magic", "c.ply": "ok", "d.txt": "suffix"}
+    assert [r.verdict for r in scan_files.valid_uploads(files, most_scans=2).orderBy("path").collect()] == ["ok", "magic", "too many", "suffix"]
+    plain = {r.path.rsplit("/", 1)[1]: r.verdict for r in scan_files.valid_vectorize_upload(files).collect()}
+    assert plain == {"a.las": "ok", "b.las": "ok", "c.ply": "ok", "d.txt": "suffix"}
 
 
 def test_jobs(spark, tmp_path):
@@ -319,6 +367,204 @@ def test_jobs(spark, tmp_path):
         VectorizeParams(slab=5.0)
 
 
+def test_job_queue_and_retention(spark, tmp_path):
+    from strataplan.jobs import JobTable
+
+    t = JobTable(spark, str(tmp_path / "jobs"))
+    for name in "abcd":
+        t.create(name, "align")
+    assert [r.job_id for r in t.admitted().orderBy("job_id").collect()] == ["a", "b"]
+    t.update("a", "processing")
+    assert [r.job_id for r in t.admitted().collect()] == ["b"]
+    t.update("b", "processing")
+    assert t.admitted().count() == 0
+    with pytest.raises(ValueError):
+        t.update("c", "approved")  # it was never aligned
+    t.update("a", "aligned")
+    t.update("a", "aligned", '{"rooms": []}')
+    t.update("a", "approved")
+    assert [r.job_id for r in t.admitted().collect()] == ["c"]
+    assert t.recover() == 1 and t.get("b")["status"] == "queued" and t.recover() == 0
+    assert t.delete_expired("0000") == 0 and t.latest().count() == 4
+    t.create("e", "align")
+    cutoff = t.get("e")["created_at"]
+    assert t.delete_expired(cutoff) == 4 and [r.job_id for r in t.latest().collect()] == ["e"]
+    t.update("e", "processing")
+    assert t.get("e")["status"] == "processing"
+
+
+def test_streams_drop_what_is_late(spark, tmp_path):
+    """Files come one by one; a row behind the watermark is left out, and a query that is started
+    again goes on after the last file it saw."""
+    from strataplan.streaming import progress as st
+
+    def put(k, *rows):
+        from datetime import datetime
+
+        df = spark.createDataFrame([(datetime(2024, 1, 1, h, m), "job", "step", 0.5) for h, m in rows], "ts timestamp, job_id string, stage string, progress double")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        return df.schema
+
+    schema = put(1, (1, 5), (1, 50))
+    put(2, (3, 0))
+    put(3, (3, 10))
+    put(4, (1, 30), (4, 0))  # 1:30 is more than ten minutes behind what the batches before last had
+
+    def counts():
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        return st.tumbling_counts(events)
+
+    out = st.resumed(counts(), str(tmp_path / "q"), "append")
+    assert sorted((r.start.hour, r.n) for r in out.collect()) == [(1, 2)]
+    put(5, (9, 0))
+    out = st.resumed(counts(), str(tmp_path / "q"), "append")
+    assert sorted((r.start.hour, r.n) for r in out.collect()) == [(1, 2), (3, 2), (4, 1)]
+
+
+def house(rng, n=700):
+    """Walls, floor and a column of an L-shaped room, metres."""
+    out = [np.column_stack([rng.uniform(0, 6, n), rng.uniform(0, 4, n), np.zeros(n)])]
+    for x0, y0, x1, y1 in ((0, 0, 6, 0), (6, 0, 6, 4), (6, 4, 2, 4), (2, 4, 2, 6), (2, 6, 0, 6), (0, 6, 0, 0)):
+        t = rng.random(n)
+        out.append(np.column_stack([x0 + (x1 - x0) * t, y0 + (y1 - y0) * t, rng.uniform(0, 2.5, n)]))
+    t = rng.uniform(0, 2 * np.pi, n)
+    out.append(np.column_stack([4.5 + 0.3 * np.cos(t), 2.5 + 0.3 * np.sin(t), rng.uniform(0, 1.6, n)]))
+    return np.vstack(out)
+
+
+def turned(xyz, degrees, shift):
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return xyz @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]).T + shift
+
+
+def test_icp_in_space(spark):
+    xyz = house(np.random.default_rng(5), 300)
+    a, b = cloud(spark, turned(xyz, 2, [0.08, -0.05, 0.03])), cloud(spark, xyz)
+    m, rmse, share, rounds = planes.icp_3d(a, b, rounds=40, reach=300)
+    moved = turned(xyz, 2, [0.08, -0.05, 0.03]) @ m[:3, :3].T + m[:3, 3] / 1000
+    assert np.abs(moved - xyz).max() < 0.03 and share > 0.95 and rounds <= 40
+    with pytest.raises(ValueError):
+        planes.icp_3d(a, cloud(spark, xyz + 500), rounds=2, reach=100)
+
+
+def scans(spark, *clouds):
+    out = [cloud(spark, c).withColumn("scan_id", F.lit(i)).withColumn("point_id", F.col("point_id") + 1_000_000 * i) for i, c in enumerate(clouds)]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def test_merge_strategies(spark):
+    from strataplan.operators import merging
+
+    rng = np.random.default_rng(6)
+    first, second = house(rng), house(rng)
+    one = merging.merge(scans(spark, first), 100, neighbours=5)
+    assert one.strategy == "single" and one.after <= one.before and abs(one.cloud.agg(F.avg("x_mm")).first()[0]) < 1
+    far = merging.merge(scans(spark, first, second + [12, 0, 0]), 100, neighbours=0)
+    assert far.strategy == "concatenate" and far.scans == 2
+    apart = merging.merge(scans(spark, first, turned(second, 65, [1.5, -2.0, 6.0])), 100, neighbours=0)
+    assert apart.strategy == "icp_registered"
+    # registered, both scans lie on the same walls: hardly more voxels than one scan has
+    alone = merging.merge(scans(spark, first), 100, neighbours=0)
+    assert apart.after < 1.75 * alone.after
+    back = apart.cloud.toPandas()[["x_mm", "y_mm", "z_mm"]].to_numpy() + np.array(apart.offset)
+    walls = house(np.random.default_rng(1), 4000) * 1000
+    d = np.array([np.sqrt(((walls - p) ** 2).sum(1).min()) for p in back[::37]])
+    assert np.quantile(d, 0.9) < 150
+    with pytest.raises(ValueError):
+        merging.merge(scans(spark, first).where("1 = 0"), 100)
+
+
+def test_floors_by_peeling(spark):
+    rng = np.random.default_rng(8)
+    floor = np.column_stack([rng.uniform(0, 12, (9000, 2)), rng.normal(0, 0.004, 9000)])
+    roof = np.column_stack([rng.uniform(0, 12, (9000, 2)), rng.normal(2.8, 0.004, 9000)])
+    walls = np.column_stack([rng.uniform(0, 12, 4000), np.zeros(4000), rng.uniform(0, 2.8, 4000)])
+    up = np.vstack([floor, roof, walls])
+    got = planes.peel_floors(cloud(spark, up), tries=48)
+    assert abs(got[0]["floor_z"]) < 30 and got[0]["axis_idx"] == 2 and any(abs(f["floor_z"] - 2800) < 30 for f in got)
+    side = planes.peel_floors(cloud(spark, up[:, [0, 2, 1]]), tries=48)
+    assert abs(side[0]["floor_z"]) < 30 and side[0]["axis_idx"] == 1
+    none = planes.peel_floors(cloud(spark, rng.uniform(0, 3, (1500, 3))), least=1400, tries=8)
+    assert len(none) == 1 and none[0]["inlier_count"] == 1
+
+
+def test_wall_ladder_uses_normals_last(spark):
+    """Walls that only stand above the band are found by their normals."""
+    rng = np.random.default_rng(9)
+    t = rng.random(3000) * 4
+    high = np.column_stack([t, np.zeros(3000), rng.uniform(2.2, 3.4, 3000)])
+    found, rung = planes.wall_planes(graph.cut(cloud(spark, high)), most=2, tries=32)
+    assert found and rung.startswith("normals") and abs(found[0][0].b) > 0.95
+
+
+def test_planes_scan_by_scan(spark):
+    rng = np.random.default_rng(10)
+    p = scans(spark, house(rng, 900), turned(house(rng, 900), 90, [30, 0, 0]))
+    got = planes.scan_planes(p).toPandas()
+    assert set(got.scan_id) == {0, 1} and (got.groupby("scan_id").size() >= 4).all() and got.c.abs().max() <= 0.3
+    south = got[(got.scan_id == 0) & (got.b.abs() > 0.98) & (got.d.abs() < 60)]
+    assert len(south) == 1
+    assert planes.scan_planes(p.where("z_mm < 500")).count() == 0
+
+
+def test_main_cluster(spark):
+    rng = np.random.default_rng(11)
+    p = cloud(spark, np.vstack([rng.uniform(0, 3, (200, 3)), rng.uniform(0, 2, (60, 3)) + [40, 0, 0], [[5.5, 1, 1], [8.0, 1, 1]]]))
+    kept = planes.main_cluster_box(p, eps=1500, least=10).toPandas()
+    assert len(kept) == 201 and kept.x_mm.max() == 5500
+    assert planes.main_cluster_box(p.where("x_mm < 4000"), eps=1500, least=10).count() == 200
+
+
+def test_neighbours_beyond_any_radius(spark):
+    """Outliers far from all others get their true mean; too few points use those there are."""
+    pts = [(0, 0, 0), (10, 0, 0), (20, 0, 0), (100_000, 0, 0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "point_id long, x_mm long, y_mm long, z_mm long")
+    got = {r.a_id: (r.n, r.mean_d) for r in spatial.knn_distance(df, 2, 50).collect()}
+    assert got[3] == (2, 99_985.0) and got[0] == (2, 15.0)
+    few = {r.a_id: (r.n, r.mean_d) for r in spatial.knn_distance(df, 9, 50).collect()}
+    assert few[0] == (3, pytest.approx(100_030 / 3))
+    assert spatial.knn_distance(df.where("point_id = 0"), 2, 50).first().mean_d is None and spatial.knn_distance(df.where("1 = 0"), 2, 50).count() == 0
+
+
+def test_kernels_by_building(spark):
+    ring = [(c, r) for c in range(40) for r in range(40) if c in (0, 1, 38, 39) or r in (0, 1, 38, 39)]
+    one = spark.createDataFrame(ring, "col long, row long")
+    many = one.withColumn("building", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    alone = rooms.rooms_from_cells(one, 150).toPandas()
+    both = rooms.rooms_from_cells(many, 150).toPandas()
+    assert len(alone) >= 1 and sorted(both.building.unique()) == ["a", "b"]
+    for name in "ab":
+        mine = both[both.building == name].drop(columns="building").reset_index(drop=True)
+        assert sorted(mine.area_m2) == sorted(alone.area_m2)
+    dist = raster.free_distance(many)
+    assert dist.columns == ["building", "col", "row", "dist"] and dist.where("building = 'a'").count() == raster.free_distance(one).count()
+
+
+def test_preprocess(spark):
+    gap = spark.createDataFrame([(c, r) for c in range(20) if c not in (9, 10) for r in range(3, 8)] + [(40, 40)], "col long, row long")
+    plain = raster.Preprocess(blur_size=0)
+    got = {(r.col, r.row) for r in raster.preprocess(gap, plain).collect()}
+    assert {(9, 5), (10, 5), (40, 40)} <= got
+    opened = raster.Preprocess(close_size=0, open_size=3, open_rounds=1, blur_size=0)
+    left = {(r.col, r.row) for r in raster.preprocess(gap, opened).collect()}
+    assert (40, 40) not in left and (4, 5) in left
+    box = [(c, r) for c in range(8) for r in range(8) if c in (0, 7) or r in (0, 7)]
+    filled = raster.preprocess(spark.createDataFrame(box, "col long, row long"), raster.Preprocess(close_size=0, fill_holes=True, blur_size=3))
+    assert filled.where("col = 4 and row = 4").first().v == pytest.approx(1.0)
+    picture, c0, r0 = raster.image(filled)
+    assert picture.shape == (10, 10) and (c0, r0) == (-1, -1) and picture[5, 5] == 255
+
+
+def test_noding(spark):
+    s = spark.createDataFrame([(1, 0, 0, 10, 0), (2, 5, -5, 5, 5), (3, 8, 0, 8, 4), (4, 0, 1, 10, 1)], "seg_id long, x1 long, y1 long, x2 long, y2 long")
+    met = {(r.a_id, r.b_id): (r.x, r.y) for r in segments.crossings(s, cell=3).collect()}
+    assert met == {(1, 2): (5, 0), (1, 3): (8, 0), (2, 4): (5, 1), (3, 4): (8, 1)}
+    parts = {}
+    for r in segments.noded(s, cell=3).collect():
+        parts.setdefault(r.seg_id, []).append((r.k, r.x1, r.y1, r.x2, r.y2))
+    assert sorted(parts[1]) == [(0, 0, 0, 5, 0), (1, 5, 0, 8, 0), (2, 8, 0, 10, 0)] and len(parts[2]) == 3 and len(parts[3]) == 2 and len(parts[4]) == 3
+
+
 def test_geojson(spark):
     s = spark.createDataFrame([(1, 0, 0, 5, 5)], "seg_id long, x1 long, y1 long, x2 long, y2 long")
     assert '"LineString"' in sinks.feature_collection(s, (0, 0, 1, 1)) and '"bounds"' in sinks.feature_collection(s.where("1 = 0"), (0, 0, 1, 1))
@@ -333,6 +579,8 @@ def test_vectorize(spark, pts, tmp_path):
     cells, affine = sinks.load_slice(spark, str(tmp_path / "s"))
     assert cells.count() == out["metrics"]["cells"] and affine == out["affine"]
     assert sinks.png_bytes(np.zeros((3, 4), np.uint8)).startswith(b"\x89PNG")
+    assert (tmp_path / "s" / "slice.png").read_bytes().startswith(b"\x89PNG")
+    assert sinks.overlay_png(cells, out["segments"], affine).startswith(b"\x89PNG")
 
 
 def test_scan_to_plan(spark, pts):
