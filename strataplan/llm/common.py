@@ -3,30 +3,21 @@ tables and connected components.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared by driver and
 executors) as Parquet, which cuts the lineage like ``checkpoint()`` does, survives a lost
-executor, and is columnar and compressed. Only where the setting is absent (tests, local mode)
-is a folder chosen here.
+executor, and is columnar and compressed. Only in local mode may the setting be absent.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DIR_KEY = "spark.checkpoint.dir"
-_local_dir: list[str] = []
+from ..operators.graph import shared_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a local one only where none is configured."""
-    configured = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getConf().get(_DIR_KEY)
-    if configured:
-        return configured.rstrip("/")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="strataplan-"))
-    return f"file://{_local_dir[0]}"
+#: tables made by store, in order
+_stored: list[DataFrame] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +32,12 @@ def store(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    # Spark deletes the shuffle files of a finished write when the driver's JVM collects its plan, which
+    # a driver with a large heap may not do for hours
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    _stored.append(out)
     return out
 
 
@@ -51,11 +46,26 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_stored_path", None)
     if path is None:
         return
+    _stored[:] = [t for t in _stored if t is not df]
     spark = df.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def stored() -> int:
+    """The number of tables that :func:`store` has made and nobody has deleted."""
+    return len(_stored)
+
+
+def sweep(since: int, keep: DataFrame) -> int:
+    """Delete the tables that :func:`store` made after the first ``since`` ones, but for ``keep``: a
+    step whose result is stored needs them no more. The number of tables that are left."""
+    gone, _stored[since:] = [t for t in _stored[since:] if t is not keep], [t for t in _stored[since:] if t is keep]
+    for table in gone:
+        discard(table)
+    return len(_stored)
+
+
 def shield(docs: DataFrame, needed: list[str]):
     """Put the columns that an operator does not read into one struct, whose names cannot clash
     with the operator's own. Returns the table and a function that gives the columns back."""
@@ -63,12 +73,20 @@ def shield(docs: DataFrame, needed: list[str]):
     rest = [quoted[c] for c in docs.columns if c not in needed]
     body = docs.select(*[quoted[c] for c in docs.columns if c in needed], (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_rest"))
 
-    def restore(df: DataFrame) -> DataFrame:
-        return df.select(*[quoted[c] if c in needed else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+    def restore(df: DataFrame, extra: list[str] = ()) -> DataFrame:
+        return df.select(*[quoted[c] if c in needed else F.col("_rest").getField(c).alias(c) for c in docs.columns], *extra)
 
     return body, restore
 
 
+def evaluated(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with the given columns, each computed once a row. Later expressions that mention them
+    often, or inside a lambda, would otherwise be merged with their making and repeat it."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

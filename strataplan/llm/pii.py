@@ -2,22 +2,39 @@
 
 Base spans (e-mail, ip, card, phone) are leftmost non-overlapping matches per kind; a match that
 fails its test is dropped without a retry. Starts come from the lengths of the pieces between
-matches, in code points.
-
-Disclosure: terms (letters only, lower-cased) in the neighbourhood of an entity's mentions are
-counted over the corpus. With n(e, t) documents in which term t stands near entity e and df(t)
-documents that hold t at all, t reveals e when P(e | t) = n / df reaches ``min_share``, the
-pointwise information log2(P(e | t) / P(e)) reaches ``min_bits``, and the pair was seen in
-``min_contexts`` different contexts (copies of a passage are one context). Revealing terms are
-generalised wherever they occur, as spans of kind ``term``.
-
-Everything is native column logic. The word pass keeps only words in the hash buckets of
-candidate terms (a broadcast of at most ``BUCKETS`` rows whatever the corpus is) and then joins
-exactly.
-
-Defined results: null text counts as empty; repeated rows are returned each and count as one
-document; a null doc_id is carried; ties in start go by kind order; extra columns are ignored;
-an empty table gives an empty result.
+matches, in code points. The method adds two kinds of spans outside the base ones:
+
+``secret``: runs of 20 or more letters, digits, ``_`` and ``-`` with letters and at least four digits
+whose characters have an entropy of two bits or more each and of ``SECRET_BITS`` or more together.
+
+``term``: words that reveal a protected entity. Entities are the spans above, at three levels: the
+value, its group (mail domain, the first three parts of an address, first six digits of a card, first
+four of a phone number, length of a secret) and its kind. A text, with its spans replaced by entity
+tokens, is a sequence of tokens (lower-cased runs of letters, marks and digits, of any length), taken
+in units of ``UNIT`` tokens, so that a text with many entities costs no more than its length. With
+n(e, t) units that hold entity e and term t, df(t) units that hold t, and N units, t reveals e when
+
+- P(e | t) = n / df is at least ``min_share``,
+- the pointwise information log2(P(e | t) / P(e)) is at least ``min_bits``,
+- the pair has at least ``min_contexts`` effective contexts: the inverse Simpson index of the words
+  on both sides of t (its first in order of hash in a unit), so that copies and near copies of a
+  passage, however many, count about one, and
+- effective contexts times information exceeds log2(pairs looked at) + 10 bits, so that among all
+  pairs a chance finding has a probability of about a thousandth.
+
+Revealing terms are generalised wherever they occur.
+
+Everything is native column logic; tokens are counted by 64-bit hashes. Terms in more than
+``HOT_SHARE`` of the units number at most UNIT / HOT_SHARE whatever the corpus is; they are broadcast
+and leave before the shuffle by term unless an entity of their unit is frequent enough to be revealed
+by them. The last word pass keeps only words in the hash buckets of revealing terms (a broadcast of
+at most ``BUCKETS`` rows) and then joins exactly.
+
+Defined results: null text counts as empty; repeated rows are returned each and count as copies; a
+null doc_id is carried; ties in start go by kind order; a code point U+E000 in a text counts as a
+space; other columns of the input are carried, whatever their names; an empty table gives an empty
+result. A term whose lower-case form is not found by case-insensitive search in its own text (a few
+letters of special casing) is not located.
 """
 
 from __future__ import annotations
@@ -28,6 +45,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ["email", "ip", "card", "phone"]
+ALL_KINDS = [*KINDS, "secret", "term"]
 #: The contract's patterns with possessive repeats (what follows a repeat never overlaps it, so
 #: the matches are the same) and starts bound to a run's begin, so that long runs cost linear time.
 PATTERNS = {
@@ -35,10 +53,15 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
-HINTS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+HINTS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "secret": "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20}"}
+SECRET_BITS = 64
+MARK = "\ue000"
+TOKEN = MARK + r"[a-z0-9]+|[\p{L}\p{M}\p{N}]+"
+UNIT = 512
+HOT_SHARE = 0.005
 BUCKETS = 1 << 16
-NEAR_CHARS = 80
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -61,11 +84,20 @@ def _passes(kind: str, value: Column) -> Column:
         part = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
         return F.forall(F.split(value, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.substring(part(p), 1, 3).cast("int") <= 255))
     n = F.length(_digits(value))
+    if kind == "secret":
+        return (n >= 4) & value.rlike("[A-Za-z]") & (_information(value) >= F.greatest(F.lit(SECRET_BITS), 2 * F.length(value)))
     if kind == "phone":
         return n.between(9, 15)
     return n.between(12, 19) & _luhn(F.substring(_digits(value), 1, 19))
 
 
+def _information(value: Column) -> Column:
+    """Length times the entropy of the characters, in bits."""
+    n = F.length(value)
+    times = F.transform(F.filter(F.array_distinct(F.split(value, "")), lambda c: c != ""), lambda c: n - F.length(F.replace(value, c, F.lit(""))))
+    return F.aggregate(times, F.lit(0.0), lambda a, k: a + k * F.log2(n / k))
+
+
 def _test(kind: str):
     return lambda s: _passes(kind, s["value"])
 
@@ -97,75 +129,126 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def added_secrets(text: Column, base: Column) -> Column:
+    """Secret spans outside the base spans."""
+    found = F.filter(located(text, F.lit(PATTERNS["secret"]), len(KINDS)), _test("secret"))
+    return F.when(text.rlike(HINTS["secret"]), outside(found, base)).otherwise(F.array().cast(SPAN))
+
+
+def outside(spans: Column, taken: Column) -> Column:
+    return F.filter(spans, lambda x: ~F.exists(taken, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
+
+
 def rendered(spans: Column) -> Column:
     """``kind:start:end`` joined by commas."""
-    names = F.array(*[F.lit(k) for k in [*KINDS, "term"]])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}+"), F.lit(0)))
-
-
-def revealing_terms(spotted: DataFrame, min_contexts: int, min_share: float, min_bits: float) -> DataFrame:
-    """``(_k, terms)``: the revealing terms in each document of ``spotted(_k, text, base)``."""
-    mention = spotted.where(F.size("base") > 0).select("_k", "text", F.explode("base").alias("s"))
-    left = F.when(F.col("s.start") > 0, F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - NEAR_CHARS), F.least(F.lit(NEAR_CHARS), F.col("s.start")))).otherwise("")
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(NEAR_CHARS))
-    near = common.store(mention.select(
-        "_k", F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("e"), F.xxhash64(left, right).alias("ctx"),
-        _words(F.concat_ws("\n", left, right)).alias("terms")))
-    pair = near.select("_k", "e", "ctx", F.explode("terms").alias("t"))
-    contexts = pair.select("e", "t", "ctx").distinct().groupBy("e", "t").count().where(F.col("count") >= min_contexts).select("e", "t")
-    support = pair.select("e", "t", "_k").distinct().groupBy("e", "t").agg(F.count("*").alias("n"))
-    # a term near many entities has at least as many documents as all its mentions: no entity's
-    # share of df can reach min_share if its share of those does not
-    near_any = pair.select("t", "_k").distinct().groupBy("t").agg(F.count("*").alias("any"))
-    candidates = common.store(contexts.join(support, ["e", "t"]).join(near_any, "t").where(F.col("n") >= min_share * F.col("any")).drop("any"))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    wanted = candidates.select(bucket("t").alias("b")).distinct()  # at most BUCKETS rows
-    held = spotted.select("_k", F.explode(_words(F.col("text"))).alias("t")).join(F.broadcast(wanted), bucket("t") == F.col("b"), "left_semi")
-    held = common.store(held.join(candidates.select("t").distinct(), "t", "left_semi").distinct())
-    df = held.groupBy("t").agg(F.count("*").alias("df"))
-    mentions = near.select("e", "_k").distinct().groupBy("e").agg(F.count("*").alias("ne"))
-    total = spotted.agg(F.count_distinct("_k").alias("total"))
-    share = F.col("n") / F.col("df")
-    telling = (
-        candidates.join(df, "t").join(mentions, "e").crossJoin(F.broadcast(total))
-        .where((share >= min_share) & (F.log2(share * F.col("total") / F.col("ne")) >= min_bits)).select("t").distinct()
-    )
-    return held.join(telling, "t").groupBy("_k").agg(F.array_sort(F.collect_set("t")).alias("terms"))
-
-
-def spans(docs: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
-    """``docs`` columns plus ``_base`` and ``_spans`` (base and term spans by start, then kind)."""
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each span replaced by ``by(span)``; one that overlaps an earlier one adds nothing."""
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["pos"]
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), by(s))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+
+
+def entity_tokens(span: Column) -> Column:
+    """The three tokens of a span: its value, its group, its kind."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = _digits(value)
+    group = F.when(kind == 0, F.regexp_extract(value, "@(.*)$", 1)).when(kind == 1, F.regexp_extract(value, r"^(.*)\.", 1)).when(kind == 2, F.substring(digits, 1, 6)).when(kind == 3, F.substring(digits, 1, 4)).otherwise(F.length(value).cast("string"))
+    return F.concat(*[x for name, of in (("v", F.lower(F.hex(F.xxhash64(value)))), ("g", F.lower(F.hex(F.xxhash64(group)))), ("k", F.lit(""))) for x in (F.lit(f" {MARK}{name}"), kind.cast("string"), of)], F.lit(" "))
+
+
+def _units(spotted: DataFrame) -> DataFrame:
+    """``(_k, at, tokens)``: the units of ``spotted(_k, text, spans)``, entity tokens in place of spans."""
+    plain = F.when(F.contains("text", F.lit(MARK)), F.translate("text", MARK, " ")).otherwise(F.col("text"))
+    masked = F.when(F.size("spans") > 0, replaced(plain, F.col("spans"), entity_tokens)).otherwise(plain)
+    each = common.evaluated(spotted.select("_k", F.lower(masked).alias("masked")), tokens=F.regexp_extract_all("masked", F.lit(TOKEN), F.lit(0)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(UNIT))
+    return each.select("_k", F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i + 1, F.lit(UNIT)))).alias("at", "tokens"))
+
+
+def _coded(token: Column) -> Column:
+    """A token's hash; odd for entities, even for terms."""
+    h = F.xxhash64(token)
+    return F.when(F.startswith(token, F.lit(MARK)), h.bitwiseOR(F.lit(1))).otherwise(h.bitwiseAND(F.lit(-2)))
+
+
+def _is_entity(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(1)) == 1
+
+
+def telling_terms(spotted: DataFrame, min_contexts: float, min_share: float, min_bits: float) -> DataFrame:
+    """``t``: the codes of revealing terms; ``spotted(_k, text, spans)`` is read twice."""
+    # code 0, in every unit, counts the units
+    codes = F.concat(F.array(F.lit(0).cast("long")), F.array_distinct(F.transform("tokens", _coded)))
+    counted = _units(spotted).select(F.explode(codes).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    counted = common.store(counted.where((F.col("df") >= min_contexts) | (F.col("t") == 0)))
+    all_units = counted.where("t = 0").agg(F.max("df")).first()[0]
+    units = _units(spotted.where(F.size("spans") > 0))
+    n_units = float(all_units or 1)
+    counted = counted.where("t <> 0")
+    entities = counted.where(_is_entity(F.col("t"))).select(F.col("t").alias("e"), F.col("df").alias("ne"))
+    # units with entities: their entities, and their terms with one context each
+    coded = lambda x, i: F.struct(_coded(x).alias("t"), F.xxhash64(F.get("tokens", i - 1), F.get("tokens", i + 1)).alias("c"))
+    mention = units.where(F.exists("tokens", lambda x: F.startswith(x, F.lit(MARK)))).select(F.xxhash64("_k", "at").alias("u"), F.transform("tokens", coded).alias("coded"))
+    mention = common.evaluated(mention, all=F.array_sort("coded"))
+    mention = common.store(mention.select(
+        "u", F.array_distinct(F.transform(F.filter("all", lambda x: _is_entity(x["t"])), lambda x: x["t"])).alias("ents"),
+        F.filter("all", lambda x, i: ~_is_entity(x["t"]) & ((i == 0) | (F.get("all", i - 1)["t"] != x["t"]))).alias("terms")).distinct())
+    recurring = mention.select("u", F.explode("ents").alias("e")).join(entities, "e").groupBy("u").agg(F.collect_list(F.struct("e", "ne")).alias("known"), F.max("ne").alias("top"))
+    hot = counted.where((F.col("df") > HOT_SHARE * n_units) & ~_is_entity(F.col("t"))).select("t", F.col("df").alias("hot"))  # at most UNIT / HOT_SHARE rows
+    held = mention.join(recurring, "u").select("known", "top", F.explode("terms").alias("x")).select("known", "top", "x.t", "x.c")
+    held = held.join(F.broadcast(hot), "t", "left").where("hot IS NULL OR top >= {0} * hot".format(float(min_share))).drop("hot")
+    both = held.join(counted, "t").where(F.col("top") >= min_share * F.col("df")).select("t", "c", "df", F.explode("known").alias("k")).select("t", "c", "df", "k.e", "k.ne").where(F.col("ne") >= min_share * F.col("df"))
+    by_context = both.groupBy("e", "t", "c").agg(F.count("*").alias("n"), F.first("df").alias("df"), F.first("ne").alias("ne"))
+    pairs = common.store(by_context.groupBy("e", "t").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.first("df").alias("df"), F.first("ne").alias("ne")))
+    looked = pairs.count()
+    share, contexts = F.col("n") / F.col("df"), F.col("n") * F.col("n") / F.col("nn")
+    bits = F.log2(share * n_units / F.col("ne"))
+    evidence = F.log2(F.lit(float(max(looked, 1)))) + 10
+    return pairs.where((share >= min_share) & (bits >= min_bits) & (contexts >= min_contexts) & (contexts * bits >= evidence)).select("t").distinct()
+
+
+def revealing_terms(spotted: DataFrame, **limits: float) -> DataFrame:
+    """``(_k, terms)``: the revealing terms in each document of ``spotted(_k, text, spans)``."""
+    telling = common.store(telling_terms(spotted, **limits))
+    bucket = lambda c: F.pmod(F.shiftright(c, 1), F.lit(BUCKETS))
+    wanted = telling.select(bucket(F.col("t")).alias("b")).distinct()  # at most BUCKETS rows
+    words = spotted.select("_k", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("w")).withColumn("t", _coded(F.col("w")))
+    held = words.join(F.broadcast(wanted), bucket(F.col("t")) == F.col("b"), "left_semi").join(telling, "t")
+    return held.groupBy("_k").agg(F.array_sort(F.collect_set("w")).alias("terms"))
+
+
+def spans(docs: DataFrame, min_contexts: float = 3, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
+    """``docs(doc_id, text, ..)`` plus ``_base`` and ``_spans`` (all spans by start, then kind)."""
+    body, restore = common.shield(docs, ["doc_id", "text"])
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", whole))
-    found = keyed.select("_k", whole.alias("text"), base_spans(whole).alias("base"))
-    terms = common.store(revealing_terms(found, min_contexts, min_share, min_bits))
-    joined = keyed.join(terms.withColumnRenamed("terms", "_terms"), "_k", "left")
-    # terms are letters only, so they stand in a pattern as they are
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
-    extra = F.when(F.col("_terms").isNull(), F.array().cast(SPAN)).otherwise(located(whole, pattern, len(KINDS)))
-    out = joined.withColumn("_base", base_spans(whole))
-    outside = F.filter(extra, lambda x: ~F.exists(F.col("_base"), lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", outside))).drop("_k", "_terms")
+    keyed = body.withColumn("_k", F.xxhash64("doc_id", whole))
+    found = lambda df, text: common.evaluated(common.evaluated(df, _base=base_spans(text)), _found=F.array_sort(F.concat("_base", added_secrets(text, F.col("_base")))))
+    spotted = found(keyed.select("_k", whole.alias("text")), F.col("text")).select("_k", "text", F.col("_found").alias("spans"))
+    terms = common.store(revealing_terms(spotted, min_contexts=min_contexts, min_share=min_share, min_bits=min_bits))
+    joined = found(keyed.join(terms.withColumnRenamed("terms", "_terms"), "_k", "left"), whole)
+    # terms are letters, marks and digits, so they stand in a pattern as they are
+    word = r"[\p{L}\p{M}\p{N}]"
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{word})(?:"), F.array_join("_terms", "|"), F.lit(rf")(?!{word})"))
+    extra = F.when(F.col("_terms").isNull(), F.array().cast(SPAN)).otherwise(outside(located(whole, pattern, len(KINDS) + 1), F.col("_found")))
+    out = joined.withColumn("_spans", F.array_sort(F.concat("_found", extra)))
+    return restore(out, ["_base", "_spans"])
 
 
 def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """The documents with spans generalised to their kind, columns as given. ``n_chars``, if
     present, follows the new text; null text stays null."""
     body, restore = common.shield(docs, ["doc_id", "text", "n_chars"])
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "term"]])
-    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(whole, acc["pos"] + 1, s["start"] - acc["pos"]), F.element_at(names, s["kind"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(whole, a["pos"] + 1, F.length(whole))))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
+    clean = replaced(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("_spans"), lambda s: F.element_at(names, s["kind"] + 1))
     done = spans(body, **limits).withColumn("text", F.when(F.col("text").isNull() | (F.size("_spans") == 0), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
@@ -177,4 +260,4 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
     count = lambda i: F.size(F.filter("_base", lambda s: s["kind"] == i)).cast("long")
     return found.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-        F.sha2(rendered(F.col("_base")), 256).alias("base_sha256"), rendered(F.col("_spans")).alias("spans"))
+        F.sha2(rendered(F.col("_base")), 256).alias("base_sha256"), rendered(F.col("_spans")).alias("spans"), F.size("_spans").cast("long").alias("n_spans"))

@@ -75,6 +75,8 @@ def test_vectors(spark, shard):
         assert got[vid].component_id == min(rows[j][0] for j in seen)
         assert got[vid].kept == (got[vid].component_id == vid)
     assert neardup_vectors.near_duplicates(df.where("1 = 0")).count() == 0
+    told = neardup_vectors.audits(df, shard=shard).collect()
+    assert {r.label for r in told} == {0, 1, 2, 3} and all(r.beam <= 8192 for r in told)
 
 
 def test_graph_search_is_no_scan():
@@ -83,10 +85,43 @@ def test_graph_search_is_no_scan():
     x = rng.normal(size=(3000, 32))
     x[1500:] = x[:1500] + rng.normal(size=(1500, 32)) * 0.03
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found, beam = neardup_vectors.search(neardup_vectors.Graph(x), x, 0.93)
-    assert beam < len(x)
+    graph = neardup_vectors.Graph(x)
+    found, audit = neardup_vectors.search(graph, x, 0.93, own=1)
+    assert audit["beam"] < len(x) and audit["links"] >= 500
     truth = (x @ x.T >= 0.93).sum()
     assert sum(map(len, found)) >= 0.99 * truth and all((x[f] @ x[i] >= 0.93).all() for i, f in enumerate(found))
+    again = neardup_vectors.Graph.load(x, graph.pack())
+    assert all(np.array_equal(a, b) for a, b in zip(found, again.within(x, 0.93, audit["beam"])[0]))
+
+
+def test_sparse_links_are_audited_and_found():
+    """Few links among many vectors: the audit sees them, although a plain sample would not."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x[5970:] = x[:30] + rng.normal(size=(30, 64)) * 0.03
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, audit = neardup_vectors.search(neardup_vectors.Graph(x[:5970]), x[5970:], 0.93)
+    assert audit["links"] == 30 and [f.tolist() for f in found] == [[i] for i in range(30)]
+
+
+def test_beam_widens_until_no_link_is_missed(monkeypatch):
+    """A search that misses links at its first beam is repeated with wider ones."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    x[200:] = x[:200] + rng.normal(size=(200, 8)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = neardup_vectors.Graph(x)
+    whole, used = graph.within, []
+
+    def blunt(q, threshold, beam):
+        used.append(beam)
+        found, second = whole(q, threshold, beam)
+        return ([f[:1] for f in found] if beam < 150 else found), second
+
+    monkeypatch.setattr(graph, "within", blunt)
+    found, audit = neardup_vectors.search(graph, x, 0.93, own=1)
+    assert used == [48, 96, 192] and audit["beam"] == 192 and audit["missed"] == 0
+    assert sum(map(len, found)) == (x @ x.T >= 0.93).sum()
 
 
 # op2 ------------------------------------------------------------------------------------------
@@ -112,6 +147,28 @@ def test_packing(spark, edge, empty):
     assert all(len(s.ids) == (s.used if s.used & (s.used - 1) == 0 else 1024) for s in seqs)
 
 
+def test_both_tokenizers_agree():
+    """The faster library gives the ids of ``tokenizers`` on every text that it is used for."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    tok.encode_special_tokens = True
+    texts = [t or "" for (t,) in duckdb.execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    rng = random.Random(12)
+    ranges = [(0, 0x7F)] * 6 + [(0x80, 0x24F), (0x2010, 0x2027), (0x20A0, 0x20BF), (0x300, 0x3000), (0x1F600, 0x1F64F)]
+    for _ in range(3000):
+        low, high = rng.choice(ranges)
+        other = rng.choice(ranges)
+        texts.append("".join(chr(rng.randint(*(other if rng.random() < 0.2 else (low, high)))) for _ in range(rng.randint(0, 60))))
+    texts += ["'s 'S 't've I'll'D", " \n\n  x\t\r\n ", "a" * 3000, "1234567890 " * 50, "<|endoftext|>x<|endoftext|>", "\u00a0\u0085\u2003x", "ǅ ŉ ß İ"]
+    plain = [t for t in texts if not packing._PLAIN.search(t)]
+    assert len(plain) > 1500
+    for t in texts:
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 101, 500)
@@ -129,22 +186,93 @@ def test_first_fit_decreasing_is_first_fit():
 # op3 ------------------------------------------------------------------------------------------
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2024 Somebody
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "BSD-2-Clause,BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * Redistributions of source code must retain the above copyright notice, this
+ * list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice,
+ * this list of conditions and the following disclaimer in the documentation
+ * and/or other materials provided with the distribution.
+ * Neither the name of the copyright holder nor the names of its contributors
+ * may be used to endorse or promote products derived from this software without
+ * specific prior written permission.
+""",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that the above\r\ncopyright notice and this permission notice appear in all copies.",
+    "GPL-3.0-or-later": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+// This program is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+""",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+}
+
+
 def test_licenses(spark, edge, empty):
     mit = licenses._SENTENCES["mit_grant"].capitalize() + ".\n\n" + licenses._SENTENCES["mit_notice"].capitalize() + "."
-    texts = ["Released under the MIT License.", mit, licenses._SENTENCES["mit_notice"] + ". " + licenses._SENTENCES["mit_grant"], "Licensed under CC BY-NC 4.0.\nprose here. This work is licensed under the GNU General Public License, version 3!", "a licensed driver", "Licensed under the Apache License, Version 2.0"]
+    texts = ["Released under the MIT License.", mit, licenses._SENTENCES["mit_notice"] + ". " + licenses._SENTENCES["mit_grant"], "Licensed under CC BY-NC 4.0.\nprose here. This work is licensed under the GNU General Public License, version 3!", "a licensed driver", "some prose\nLicensed under the Apache License, Version 2.0\nmore of it"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r._licenses for r in licenses.scan(df).orderBy("doc_id").collect()]
     assert got == [["MIT"], ["MIT"], [], ["CC-BY-NC-4.0", "GPL-3.0"], [], ["Apache-2.0"]]
     assert licenses.scan(edge).where("size(_licenses) > 0").count() == 0 and licenses.scan(edge).count() == edge.count()
+    assert licenses.scan(edge).columns == [*edge.columns, "_sentence_ids", "_licenses"]
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """The usual notices, wrapped and in comments."""
+    df = spark.createDataFrame([(k, t) for k, t in WRAPPED.items()], "k string, text string")
+    got = {r.k: ",".join(r._licenses) for r in licenses.scan(df).collect()}
+    assert got == {k: k for k in WRAPPED}
+
+
 def test_licenses_every_sentence(spark):
-    """Each notice sentence is found, also those without the word licence."""
-    notices = [(k, p.format(n)) for k, names in licenses.names_table().items() for n in names for p in licenses._PREFIXES]
-    df = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(notices)], "doc_id long, text string")
-    got = {r.doc_id: r._licenses for r in licenses.scan(df).collect()}
-    assert [got[i] for i in range(len(notices))] == [[k] for k, _ in notices]
+    """Each known sentence is found, on a line of its own between others, and each has a hint."""
+    sentences, _, _ = licenses.tables()
+    assert all(any(h in s for h in licenses.HINTS) for s in sentences)
+    df = spark.createDataFrame([(i, f"Prose before\n{s}\nand after.") for i, s in enumerate(sentences)], "doc_id long, text string")
+    got = {r.doc_id: r._sentence_ids for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(sentences))] == [[k] for k in sentences.values()]
+
+
+def test_licenses_sql(spark):
+    """The SQL counterpart on wrapped, adjacent and odd texts."""
+    import duckdb
+
+    rng = random.Random(2)
+    known = list(licenses.tables()[0])
+    parts = [*known[:40], *rng.sample(known, 60), *WRAPPED.values(), "prose", "the license", ""]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice([".", ". ", "\n", "\n\n", "!\n", " ", ", "]) for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    rows.append((200, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = sorted(con.execute(licenses.OP3_SQL).fetchall())
+    found = licenses.scan(df).collect()
+    assert sorted((r.doc_id, len(r._sentence_ids), ",".join(map(str, r._sentence_ids)), ",".join(r._licenses)) for r in found) == want
 
 
 # op4 ------------------------------------------------------------------------------------------
@@ -152,44 +280,67 @@ def test_licenses_every_sentence(spark):
 
 def brute_imatch(docs):
     """Fingerprints by the rules of the docstring, in plain Python."""
-    signed = lambda b: xxhash.xxh64_intdigest(b, 42) - (1 << 64) * (xxhash.xxh64_intdigest(b, 42) >> 63)
-    hlong = lambda v, seed: (lambda x: x - (1 << 64) * (x >> 63))(xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1))
-    terms = lambda t: {u for w in set(re.split(r"[^\w]|_", t.lower())) - {""} if (u := signed(w.encode())) % imatch.RATE == 0}
+    full = (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    words = lambda b: signed(xxhash.xxh64_intdigest(b, 42))
+    chained = lambda v, seed: xxhash.xxh64_intdigest((v & full).to_bytes(8, "little"), seed)
+    terms = lambda t: {words(w.encode()) for w in set(re.split(r"[^\w]|_", t.lower())) - {""}}
     df = Counter(u for _, t in docs for u in terms(t))
     ok = lambda u: 2 <= df[u] <= max(2.0, imatch.MAX_SHARE * len(docs))
+    depth = lambda u: next((j for j in range(imatch.LEVELS - 1) if (u >> 3) >> j & 1), imatch.LEVELS - 1)
+
+    def parts(t):
+        held = sorted(filter(ok, terms(t)))
+        level = next((j for j in range(imatch.LEVELS - 1) if sum(depth(u) >= j for u in held) <= imatch.TERMS), imatch.LEVELS - 1)
+        whole, subsets = 42, {}
+        for u in held:
+            whole = chained(u, whole)
+        entries = sorted((j * imatch.SLOTS + ((u & full) >> 20) % imatch.SLOTS) << 53 | (u & full) >> 11 for u in held for j in range(level, depth(u) + 1))
+        for e in entries:
+            subsets[e >> 53] = chained(e, chained(subsets.get(e >> 53, 0), 42))
+        return held, level, {s: h >> 11 for s, h in subsets.items()}, whole
+
+    def show(t):
+        held, _, subsets, whole = parts(t)
+        return f"w{whole:016x}" + "".join(f"{s:03x}{h >> 21:08x}" for s, h in sorted(subsets.items())) if held else f"t{words(t.encode()) & full:016x}"
+
+    def like(a, b):
+        if show(a) == show(b):
+            return 1.0
+        (_, la, sa, _), (_, lb, sb, _) = parts(a), parts(b)
+        sa, sb = ({s: h for s, h in x.items() if s // imatch.SLOTS == max(la, lb)} for x in (sa, sb))
+        used = sa.keys() | sb.keys()
+        return sum(s in sa and s in sb and sa[s] == sb[s] for s in used) / len(used) if used else 0.0
 
-    def slots(t):
-        out = {}
-        for u in sorted(filter(ok, terms(t))):
-            for j in range(imatch.LEVELS):
-                if (u >> 3) % (1 << j) == 0:
-                    s = j * imatch.SLOTS + ((u & (1 << 64) - 1) >> 20) % imatch.SLOTS
-                    out[s] = hlong(u, hlong(out.get(s, 0), 42))
-        return out
-
-    show = lambda t: "".join(f"{s:02x}{(h & (1 << 64) - 1) >> 32:08x}" for s, h in sorted(slots(t).items())) or f"t{signed(t.encode()) & (1 << 64) - 1:016x}"
     out = []
     for i, (doc_id, t) in enumerate(docs):
         n = docs[(i + 1) % len(docs)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
-        out.append((doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), show(t), show(e)))
+        out.append((doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), show(t), show(e), like(t, e), like(t, n)))
     return out
 
 
-def test_fingerprints(spark, edge, empty):
+@pytest.mark.parametrize("ranges", [2 << 20, 3000])
+def test_fingerprints(spark, edge, empty, ranges, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_BYTES", ranges)  # the small one makes many ranges
     rng = random.Random(3)
     docs = [(i * 3, prose(rng, rng.randint(0, 60))) for i in range(150)] + [(1000 + i, " ".join(f"{rng.choice(WORDS)}{rng.choice(WORDS)}" for _ in range(200))) for i in range(40)]
+    docs += [(1100, ""), (1101, "b"), (1102, docs[-1][1]), (1103, docs[-1][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in imatch.fingerprint(df).collect())
-    assert got == brute_imatch(docs)
-    out = imatch.fingerprint(df).collect()
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
+    got = sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in imatch.fingerprint(df).collect())
+    want = brute_imatch(docs)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:]) for w in want]
     e = imatch.fingerprint(edge).collect()
-    assert len(e) == edge.select("doc_id", F.coalesce("text", F.lit(""))).distinct().count()
+    assert len(e) == edge.count()
     by = {r.doc_id: r.fingerprint for r in e}
     assert by[3] == by[4] and by[1] == by[2]
+    twice = [r for r in e if r.doc_id == 3]
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0].near_next == 1
     assert imatch.fingerprint(empty).count() == 0
+    alone = imatch.fingerprint(spark.createDataFrame([(7, "one two three")], "doc_id long, text string")).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1 and alone[0].edited_sha256 == hashlib.sha256(b"one twoone tw").hexdigest()
 
 
 def test_fingerprints_hold_every_word(spark):
@@ -236,11 +387,25 @@ def test_label_model_finds_accuracies():
     votes = np.stack([np.where(y == 1, rng.random(4000) < p, rng.random(4000) < q) for p, q in ((0.8, 0.1), (0.6, 0.05), (0.7, 0.2))], 1)
     votes = np.concatenate([votes, votes[:, :1]], 1)  # a copy of a voter
     known = np.where(rng.random(4000) < 0.1, y, -1)
-    post, rates, evidence = toxicity.label_model(votes, known)
+    post, rates, evidence, _ = toxicity.label_model(votes, known)
     assert np.allclose(rates[1][:3], (0.8, 0.6, 0.7), atol=0.08) and ((post > 0.5) == y).mean() > 0.85
     assert evidence[0] < 0.7 and evidence[3] < 0.7  # the copy shares its evidence
 
 
+def test_held_out_labels_change_no_score(spark):
+    """Flipping every label that is held out leaves each score as it is; ties at the row bound and
+    repeated rows are settled the same way on every run."""
+    docs, labels = common.load(spark, "/root/testdata/sf0.01", "documents"), common.load(spark, "/root/testdata/sf0.01", "labels")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0")).repartition(5)
+    texts = ["trash and scum", "the thing", "", "Der Und. " * 30]
+    for train, label, modulus, remainder in ((toxicity.train, "toxic", 4, 2), (quality.train, "quality", 5, 0)):
+        held = quality.held_out(F.col("doc_id"), modulus, remainder)
+        flipped = labels.withColumn(label, F.when(held, 1 - F.col(label)).otherwise(F.col(label))).repartition(3)
+        assert flipped.join(labels, ["doc_id", label], "left_anti").count() > 0
+        a, b = train(docs, labels, 150), train(docs.repartition(3), flipped, 150)
+        assert [a.score(t) for t in texts] == [b.score(t) for t in texts]
+
+
 def test_quality(spark, data, edge, empty):
     docs, labels = common.load(spark, "/root/testdata/sf0.01", "documents"), common.load(spark, "/root/testdata/sf0.01", "labels")
     model = quality.train(docs, labels)
@@ -364,24 +529,92 @@ def test_pii_base(spark, edge, empty):
     assert pii.sanitise(edge).count() == edge.count() and pii.sanitise(edge).columns == edge.columns and pii.sanitise(empty).count() == 0
 
 
+def brute_telling(texts, spans_of, min_contexts=3, min_share=0.5, min_bits=3.0):
+    """Revealing terms by the rules of the docstring. ``spans_of``: (start, end, value, kind) by start."""
+    h = lambda s: xxhash.xxh64_intdigest(s.encode(), 42)
+    code = lambda s: ("E" if s[0] == pii.MARK else "") + s
+    units = []
+    for t in texts:
+        out, at = "", 0
+        for start, end, value, kind in spans_of(t):
+            if start >= at:
+                digits = re.sub("[^0-9]", "", value)
+                group = {0: value.split("@")[-1], 1: value.rpartition(".")[0], 2: digits[:6], 3: digits[:4]}.get(kind, str(len(value)))
+                out += t[at:start] + "".join(f" {pii.MARK}{n}{kind}{x}" for n, x in (("v", f"{h(value.lower()):x}"), ("g", f"{h(group.lower()):x}"), ("k", ""))) + " "
+            at = max(at, end)
+        tokens = re.findall(pii.MARK + r"[a-z0-9]+|[^\W_]+", (out + t[at:]).lower())
+        units += [tokens[i : i + pii.UNIT] for i in range(0, max(1, len(tokens)), pii.UNIT)]
+    df = Counter(x for u in units for x in set(u))
+    seen = defaultdict(Counter)
+    for u in units:
+        # the context of smallest hash stands for a unit's; words here are unique enough not to need it
+        for x in {x for x in u if x[0] != pii.MARK}:
+            i = u.index(x)
+            for e in {e for e in u if e[0] == pii.MARK}:
+                if df[e] >= min_contexts and df[x] >= min_contexts and df[e] >= min_share * df[x]:
+                    seen[e, x][(u[i - 1] if i else None, u[i + 1] if i + 1 < len(u) else None)] += 1
+    out = set()
+    for (e, x), c in seen.items():
+        n = sum(c.values())
+        share, contexts = n / df[x], n * n / sum(k * k for k in c.values())
+        bits = np.log2(share * len(units) / df[e])
+        if share >= min_share and bits >= min_bits and contexts >= min_contexts and contexts * bits >= np.log2(len(seen)) + 10:
+            out.add(x)
+    return out
+
+
 def test_pii_terms(spark):
     rng = random.Random(6)
-    rows = [(i, prose(rng, 40)) for i in range(200)]
-    rows += [(1000 + i, f"{prose(rng, 10)} the Quellmaster {prose(rng, 2)} boss@corp.example.org {prose(rng, 10)}") for i in range(6)]
-    rows += [(2000, "nothing but Quellmaster here"), (2001, "Quellmasters differ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert "[EMAIL]" in got[1000] and "Quellmaster" not in got[1000] and "boss" not in got[1000]
-    assert got[2000] == "nothing but [TERM] here" and got[2001] == "Quellmasters differ"
-    assert all(got[i] == t for i, t in rows[:200])
+    rows = [prose(rng, 40) for _ in range(300)]
+    rows += [f"{prose(rng, 10)} the Quellmaster {prose(rng, 2)} boss@corp.example.org {prose(rng, 10)}" for _ in range(9)]
+    rows += [f"{prose(rng, 600)} Li {prose(rng, 12)} {n}.x@labs.example.org" for n in range(9)]  # by the mail domain, in a later unit
+    rows += [f"{prose(rng, 12)} Kode7 {prose(rng, 30)} +1 (555) 010-{1000 + 7 * n}" for n in range(9)]  # by the number's beginning
+    same = prose(rng, 30).split()
+    for _ in range(40):  # near copies with an address: their words are seen in one context
+        v = list(same)
+        v[rng.randrange(30)] = rng.choice(WORDS)
+        rows.append("Unikat " + " ".join(v) + " Sonderwort me@only.example.org")
+    rows += [f'{prose(rng, 8)} passkey = "{hashlib.sha1(bytes([n])).hexdigest()}" {prose(rng, 8)}' for n in range(12)]
+    rows += ["nothing but Quellmaster here", "Quellmasters differ"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+
+    def spans_of(t):
+        kinds = [*CONTRACT, "secret"]
+        found = sorted((int(a), int(b), t[int(a) : int(b)], kinds.index(k)) for k, a, b in (x.split(":") for x in base_of(t).split(",") if x))
+        return sorted(found + [(m.start(), m.end(), m.group(), 4) for m in re.finditer("[0-9a-f]{40}", t)])
+
+    want = brute_telling(rows, spans_of)
+    assert {"quellmaster", "li", "kode7", "passkey"} <= want and not want & {"unikat", "sonderwort", *same}
+    got = {r.doc_id: r for r in pii.spans(df).collect()}
+    for i, t in enumerate(rows):
+        spots = spans_of(t)
+        spots += [(m.start(), m.end(), m.group(), 5) for m in re.finditer(r"[^\W_]+", t) if m.group().lower() in want and not any(a < m.end() and m.start() < b for a, b, *_ in spots)]
+        assert [(s.start, s.end, s.value, s.kind) for s in got[i]._spans] == sorted(spots, key=lambda s: (s[0], s[3])), i
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "[EMAIL]" in clean[300] and "Quellmaster" not in clean[300] and "boss" not in clean[300]
+    assert clean[len(rows) - 2] == "nothing but [TERM] here" and clean[len(rows) - 1] == "Quellmasters differ"
+    assert 'passkey' not in clean[len(rows) - 3] and "[SECRET]" in clean[len(rows) - 3]
+    assert all(clean[i] == t for i, t in enumerate(rows[:300]))
+    clash = df.selectExpr("*", "text as _k", "1 as _base", "2 as _spans0", "3 as w", "4 as _terms")
+    assert pii.spans(clash.drop("_base")).columns == [*clash.drop("_base").columns, "_base", "_spans"] and pii.sanitise(clash).columns == clash.columns
+
+
+def test_pii_secrets(spark):
+    """Long runs count only with letters, four digits and information enough."""
+    texts = ["key 04dbebab91ab85687d33eeaaf9ac699e1188f962 end", "antidisestablishmentarianism", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1111", "1234-5678-9012-3456-7890-12", "x" * 30_000 + "1234"]
+    got = [r.s for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select(pii.rendered(F.col("_spans")).alias("s")).collect()]
+    assert got == ["secret:4:44", "", "", "", ""]
 
 
 # op9 ------------------------------------------------------------------------------------------
 
 
-def test_mixing(spark, edge, empty):
+@pytest.mark.parametrize("small", [1000, 2])
+def test_mixing(spark, edge, empty, small, monkeypatch):
     import duckdb
 
+    monkeypatch.setattr(mixing, "SMALL", small)  # 2: the cut-off is looked for digit by digit
+
     rng = random.Random(9)
     rows = [(i, "w" * rng.randint(0, 400), rng.choice(["en", "en", "de", "fr", None]), f"src{int(rng.random() ** 3 * 9)}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -395,7 +628,11 @@ def test_mixing(spark, edge, empty):
     total = sum(-(-len(r[1]) // 4) for r in rows)
     used = mixing.mix(df, 3, 5, 2).agg(F.sum("_tokens")).first()[0]
     assert total * 0.6 * 0.85 < used <= total * 0.6
-    assert mixing.mix(edge).count() >= 0 and mixing.mix(empty).count() == 0
+    whole = mixing.mix(edge, 1, 1, 1)  # all of it, rows of equal id together
+    assert Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in edge.collect())
+    some = Counter(r.doc_id for r in mixing.mix(edge, 1, 2, 1).collect())
+    assert some[3] in (0, 2)
+    assert mixing.mix(empty).count() == 0
     assert mixing.mixed_documents(edge, 1, 1).count() == edge.count()
 
 
@@ -411,8 +648,8 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_simhash(spark, edge, empty, block, monkeypatch):
+@pytest.mark.parametrize("block, few", [(4096, 64), (4096, 0), (3, 0)])
+def test_simhash(spark, edge, empty, block, few, monkeypatch):
     rng = random.Random(4)
     texts = []
     for _ in range(60):
@@ -423,6 +660,7 @@ def test_simhash(spark, edge, empty, block, monkeypatch):
             texts.append(" ".join(v))
     texts += ["", " ", "A b", "a B"]
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "FEW", few or -1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fps = [brute_simhash(t) for t in texts]
     got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
@@ -440,42 +678,70 @@ def test_simhash(spark, edge, empty, block, monkeypatch):
     assert kept.columns == edge.columns and kept.where("doc_id in (3, 4)").count() == 1
 
 
-def test_keep_one_jaccard(spark):
-    """No two texts of five-word Jaccard 0.8 stay; one without such a partner does."""
+def five(text):
+    """Hashes of a text's five-word shingles in plain Python."""
+    codes = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+    out = []
+    for i in range(max(1, len(codes) - 4) if codes else 0):
+        part = codes[i : i + 5]
+        h = len(part)
+        for c in part:
+            h = (h ^ c) * int(simhash.MIX) & (1 << 64) - 1
+            h ^= h >> 29
+        out.append(h)
+    return out
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_keep_one_jaccard(spark, few, monkeypatch):
+    """Of each component of texts of five-word Jaccard 0.8, or within three bits, one stays."""
+    monkeypatch.setattr(simhash, "FEW", few or -1)  # -1: every band is crowded
     rng = random.Random(6)
     texts = []
-    for _ in range(40):
-        w = prose(rng, 200).split()
+    for size in [200] * 40 + [30] * 3 + [4, 1]:
+        w = prose(rng, size).split()
         texts.append(" ".join(w))
-        for _ in range(3):
+        for _ in range(30 if size == 30 else 3):
             v = list(w)
-            for at in rng.sample(range(200), rng.randint(2, 5)):
+            for at in rng.sample(range(size), rng.randint(min(2, size), min(5, size))):
                 v[at] = rng.choice(WORDS)
             texts.append(" ".join(v))
+    texts += ["", " ", texts[0].upper(), texts[5]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    fps = [brute_simhash(t) for t in texts]
+    hashes = [five(t) for t in texts]
+    sets = [set(h) for h in hashes]
+    fps = [sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) for h in hashes]
+    near = lambda i, j: bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if near(i, j) or (fps[i] ^ fps[j]).bit_count() <= 3:
+            if root[i] != root[j] and (near(i, j) or (fps[i] ^ fps[j]).bit_count() <= 3):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(root))
 
 
+def test_keep_one_same_id(spark):
+    """Different texts under one id stand apart; repeated rows become one."""
+    rng = random.Random(3)
+    a, b = prose(rng, 50), prose(rng, 50)
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (3, a), (None, a), (None, a)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+    assert got == {(1, a): 1, (1, b): 1, (None, a): 2}
+
+
 def test_covering():
-    """Words within one bit always share the home anchor of either; all links within three bits
-    of random words are found."""
+    """An anchor is within one bit of any word, and words within one bit always share the key of
+    either's home."""
     rng = np.random.default_rng(0)
-    words, cosets = simhash._golay()
-    home = lambda w: w ^ cosets[int(simhash.syndrome(np.array([w], np.uint32))[0])][0]
-    for w in rng.integers(0, 1 << 23, 200).tolist():
-        x = w ^ (1 << int(rng.integers(23)))
-        at = {x ^ int(e) for e in cosets[int(simhash.syndrome(np.array([x], np.uint32))[0])]}
-        assert int(home(w)) in at
-    assert len(cosets) == 2048 and all(int(np.bitwise_count(c[0])) <= 3 for c in cosets)
+    leaders = simhash._leaders()
+    syn = lambda w: int(simhash.syndrome(np.array([w], np.uint32))[0])
+    assert [len(x) for x in leaders] == [1] + [16] * 31
+    for w in rng.integers(0, 1 << 31, 200).tolist():
+        assert syn(w ^ int(leaders[syn(w)][0])) == 0
+        x = w ^ (1 << int(rng.integers(31)))
+        assert w ^ int(leaders[syn(w)][0]) in {x ^ int(e) for e in leaders[syn(x)]}
+        assert all(syn(x ^ int(e)) == 0 for e in leaders[syn(x)])
 
 
 def test_components(spark):
