@@ -1,12 +1,17 @@
 """Embedding near-duplicates: hierarchical navigable small-world graphs per shard.
 
 Vectors of one label are dealt to shards by a hash; each shard of at most about ``SHARD``
-distinct vectors gets its own graph. Every vector of the label queries every shard of it (a
-query block is a shard too, so a task holds two shards at most). In a shard, a search returns
-all vectors it can reach with cosine >= threshold: a beam search from the top layer, and then
-an expansion over the base layer from what was found. An audit compares a seeded sample of the
-block's queries with an exact scan; the beam doubles until no audited link is missing, and at
-the width of the shard the search is the exact scan. Found pairs are verified in double precision.
+distinct vectors gets its own graph. Every vector of the label queries every shard of it: its own
+where the graph is built, the others in blocks of one graph and at most ``PACK`` shards of queries, so
+a task's memory is bounded and a graph moves once a pack. In a shard, a search returns all vectors it
+can reach with cosine >= threshold: a beam search from the top layer, and then an expansion over the
+base layer from what was found. Found pairs are verified in double precision.
+
+Audit: queries likely to have links (some found, or a neighbour at ``LIKELY`` or more) are compared
+with an exact scan in seeded order until ``ENOUGH`` true links have been seen or no such query is left,
+and so are ``OTHERS`` of the rest. The beam doubles until no audited link is missing; at the width of
+the shard the search is the exact scan. Queries of other shards start at the beam that the shard's own
+audit reached. :func:`audits` returns what was audited.
 
 Equal vectors are one node with a count, so a common vector costs one search. A task returns
 each node's link count and a spanning forest, never the pairs; components are joined globally.
@@ -19,7 +24,6 @@ each and link with each other; different vectors of one id share a component; ex
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD, DEGREE, BUILD_BEAM, FIRST_BEAM, AUDIT = 8192, 12, 48, 48, 256
+SHARD, PACK, DEGREE, BUILD_BEAM, FIRST_BEAM = 8192, 16, 12, 48, 48
+AUDIT, ENOUGH, OTHERS, LIKELY = 256, 500, 64, 0.85
 THRESHOLD = 0.93
 
 
@@ -53,9 +58,25 @@ class Graph:
             end = min(n, done + block)
             self._insert(done, end)
             done, block = end, min(512, block * 2)
-        # base links in both directions, for the expansion of range searches: a node that nobody
-        # links to any more is still found from those it links to
-        base = self.layers[0]
+        self._both_ways()
+
+    @classmethod
+    def load(cls, unit: np.ndarray, packed: tuple) -> Graph:
+        """The graph of the same vectors from :meth:`pack`."""
+        self = cls.__new__(cls)
+        self.x = unit
+        self.ids, self.level, self.layers = packed
+        self.v = unit[self.ids].astype(np.float32)
+        self._both_ways()
+        return self
+
+    def pack(self) -> tuple:
+        return self.ids, self.level, self.layers
+
+    def _both_ways(self) -> None:
+        """Base links in both directions, for the expansion of range searches: a node that nobody
+        links to any more is still found from those it links to."""
+        n, base = len(self.v), self.layers[0]
         a, c = np.nonzero(base >= 0)
         b = base[a, c].astype(np.int64)
         both = np.unique(np.concatenate([a * n + b, b * n + a]))
@@ -163,12 +184,13 @@ class Graph:
             open_[live[:, None], cols] = np.take_along_axis(open_l, best, 1)
         return np.where(at < size, at, -1), sim  # positions of one layer's padding are rows of the next
 
-    def within(self, q: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
-        """For each unit query the shard positions found with cosine >= threshold."""
+    def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each unit query the shard positions found with cosine >= threshold, and the second
+        best similarity seen."""
         n = len(self.v)
         if beam >= n:
-            return [self.ids[np.flatnonzero(s >= threshold)] for b in range(0, len(q), 512) for s in q[b : b + 512] @ self.v.T.astype(np.float64)]
-        out = []
+            return [np.flatnonzero(s >= threshold) for b in range(0, len(q), 512) for s in q[b : b + 512] @ self.x.T], np.ones(len(q))
+        out, second = [], []
         f = q.astype(np.float32)
         for b in range(0, len(q), 512):
             part = f[b : b + 512]
@@ -176,6 +198,7 @@ class Graph:
             for k in range(len(self.layers) - 1, 0, -1):
                 at, _ = self._beam(part, at, k, 4, n)
             at, sim = self._beam(part, at, 0, beam, n)
+            second.append(np.partition(sim, -2, axis=1)[:, -2] if sim.shape[1] > 1 else np.full(len(part), -2.0))
             for i in range(len(part)):
                 found = fresh = np.unique(at[i][(sim[i] >= threshold - 1e-4) & (at[i] >= 0)])
                 looked = np.zeros(n, dtype=bool)
@@ -188,20 +211,33 @@ class Graph:
                     found = np.concatenate([found, fresh])
                 exact = self.x[self.ids[found]] @ q[b + i]
                 out.append(np.sort(self.ids[found[exact >= threshold]]))
-        return out
-
-
-def search(graph: Graph, q: np.ndarray, threshold: float, seed: int = 9) -> tuple[list[np.ndarray], int]:
-    """Range search with audited beams: (positions per query, beam used)."""
-    beam = FIRST_BEAM
-    sample = np.sort(np.random.default_rng(seed).permutation(len(q))[:AUDIT])
-    truth = [np.flatnonzero(s >= threshold) for s in q[sample] @ graph.x.T]
-    while beam < len(graph.v):
-        got = graph.within(q[sample], threshold, beam)
-        if all(np.array_equal(g, t) for g, t in zip(got, truth)):
-            break
+        return out, np.concatenate([*second, np.zeros(0)])
+
+
+def search(graph: Graph, q: np.ndarray, threshold: float, beam: int = FIRST_BEAM, own: int = 0, seed: int = 9) -> tuple[list[np.ndarray], dict]:
+    """Range search with audited beams: positions per query, and the last audit. ``own`` is 1 where
+    the queries are the graph's vectors, which find themselves."""
+    order = np.random.default_rng(seed).permutation(len(q))
+    while True:
+        found, second = graph.within(q, threshold, beam)
+        audit = {"beam": min(beam, len(graph.v)), "queries": 0, "links": 0, "missed": 0}
+        if beam >= len(graph.v):
+            return found, audit
+        hits = np.array([len(f) for f in found], dtype=np.int64) - own
+        likely = ((hits > 0) | (second >= LIKELY))[order]
+        for queries, enough in ((order[likely], ENOUGH), (order[~likely][:OTHERS], np.inf)):
+            seen = audit["links"]
+            for low in range(0, len(queries), AUDIT):
+                for i, s in zip(part := queries[low : low + AUDIT], q[part] @ graph.x.T):
+                    truth = np.flatnonzero(s >= threshold)
+                    audit["links"] += len(truth) - own
+                    audit["missed"] += len(np.setdiff1d(truth, found[i]))
+                audit["queries"] += len(part)
+                if audit["missed"] or audit["links"] - seen >= enough:
+                    break
+        if not audit["missed"]:
+            return found, audit
         beam *= 2
-    return graph.within(q, threshold, beam), beam
 
 
 def mutual(found: list[np.ndarray], block: int = 8_000_000) -> list[np.ndarray]:
@@ -227,73 +263,117 @@ def nodes(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vec", v).where(usable).groupBy("label", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
 
 
-def _unit(vecs) -> np.ndarray:
+def _raw(vecs) -> np.ndarray:
+    """The vectors; in single precision where that holds them exactly."""
     x = np.array([np.asarray(v, dtype=np.float64) for v in vecs])
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small if (small == x).all() else x
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def shards(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
-    """One row a shard: ``(label, dims, shard, shards, blob)`` with its graph, ids and counts."""
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position of each position's component under the links a - b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of queries as two arrays: query and position."""
+    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _moved(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return ids[at], ids[label[at]]
+
+
+_SHARD = "dims int, shard int, shards int, vectors binary, graph binary, beam int, audited long, links long, a array<bigint>, b array<bigint>, n array<struct<node:bigint,near:bigint>>"
+
+
+def shards(distinct: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+    """One row a shard: its vectors, ids and counts; its graph; the links within it: forest edges
+    ``a, b`` and link counts ``n``; and its audit."""
     sizes = distinct.groupBy("label", F.size("vec").alias("dims")).agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("shards"))
     dealt = distinct.withColumn("dims", F.size("vec")).join(sizes, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(5)), "shards").cast("int"))
 
     def build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node", ignore_index=True)
-        x = _unit(f["vec"])
-        blob = pickle.dumps((Graph(x), f["node"].to_numpy(np.int64), f["n"].to_numpy(np.int64)))
-        return pd.DataFrame({"label": [f["label"].iloc[0]], "dims": [int(key[1])], "shard": [int(key[2])], "shards": [int(f["shards"].iloc[0])], "blob": [blob]})
-
-    kind = distinct.schema["label"].dataType.simpleString()
-    return dealt.groupBy("label", "dims", "shard").applyInPandas(build, f"label {kind}, dims int, shard int, shards int, blob binary")
-
-
-def links(stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, n_a)``: forest edges (a linked to root b) and, with b null, link counts of a."""
-    block = stored.withColumn("target", F.explode(F.sequence(F.lit(0), F.col("shard")))).select("label", "dims", "target", F.col("shard").alias("source"), F.col("blob").alias("queries"))
-    index = stored.select("label", "dims", F.col("shard").alias("target"), "blob")
-    both = block.join(index, ["label", "dims", "target"]).select("source", "target", "queries", "blob").repartition(max(1, common.shuffle_partitions(stored.sparkSession)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for source, target, queries, blob in f.itertuples(index=False):
-                graph, ids, n = pickle.loads(blob)
-                other, qids, qn = (graph, ids, n) if source == target else pickle.loads(queries)
-                found, _ = search(graph, other.x, threshold)
-                if source == target:
-                    found = mutual(found)
-                count, back = np.zeros(len(qids), np.int64), np.zeros(len(ids), np.int64)
-                label = np.arange(len(ids) + (0 if source == target else len(qids)))
-                for i, hits in enumerate(found):
-                    me = i if source == target else len(ids) + i
-                    if source == target:
-                        hits = hits[hits != me]
-                    if not len(hits):
-                        continue
-                    count[i] += n[hits].sum()
-                    if source != target:
-                        back[hits] += qn[i]
-                    groups = np.unique(np.append(label[hits], label[me]))
-                    if len(groups) > 1:
-                        label[np.isin(label, groups)] = groups[0]
-                everyone = ids if source == target else np.concatenate([ids, qids])
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                yield pd.DataFrame({"a": everyone[moved], "b": everyone[label[moved]], "n": 0}).astype({"b": "Int64"})
-                got = pd.DataFrame({"a": qids, "b": pd.NA, "n": count})
-                if source != target:
-                    got = pd.concat([got, pd.DataFrame({"a": ids, "b": pd.NA, "n": back})])
-                yield got[got["n"] > 0].astype({"b": "Int64"})
-
-    return both.mapInPandas(run, "a long, b long, n long")
+        raw, ids, n = _raw(f["vec"]), f["node"].to_numpy(np.int64), f["n"].to_numpy(np.int64)
+        x = _unit(raw)
+        graph = Graph(x)
+        found, audit = search(graph, x, threshold, own=1)
+        q, hit = _flat(mutual(found))
+        q, hit = q[q != hit], hit[q != hit]
+        count = np.bincount(q, weights=n[hit], minlength=len(ids)).astype(np.int64)
+        a, b = _moved(ids, _roots(len(ids), q, hit))
+        near = [{"node": int(i), "near": int(c)} for i, c in zip(ids[count > 0], count[count > 0])]
+        return pd.DataFrame({
+            "label": [f["label"].iloc[0]], "dims": [int(key[1])], "shard": [int(key[2])], "shards": [int(f["shards"].iloc[0])], "vectors": [pickle.dumps((raw, ids, n))], "graph": [pickle.dumps(graph.pack())],
+            "beam": [audit["beam"]], "audited": [audit["queries"]], "links": [audit["links"]], "a": [a], "b": [b], "n": [near]})
+
+    return dealt.groupBy("label", "dims", "shard").applyInPandas(build, f"label {distinct.schema['label'].dataType.simpleString()}, {_SHARD}")
+
+
+def across(stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links between shards of a label: ``(a, b, near)``, forest edges and, with b null, link counts
+    of a. A group is one shard's graph and a pack of later shards' vectors."""
+    packs = F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / PACK).cast("int")))
+    graph = stored.where("shards > 1").select("label", "dims", F.col("shard").alias("target"), packs.alias("pack"), F.lit(-1).alias("source"), "vectors", "graph", "beam")
+    targets = F.explode(F.sequence(F.lit(0), F.col("shard") - 1))
+    queries = stored.where("shard > 0").select("label", "dims", targets.alias("target"), F.floor(F.col("shard") / PACK).cast("int").alias("pack"), F.col("shard").alias("source"), "vectors", F.lit(None).cast("binary").alias("graph"), "beam")
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": [], "near": []}).astype("Int64")
+        at, asks = f[f["source"] < 0], f[f["source"] >= 0]
+        if not len(asks):  # packs of earlier shards only
+            return none
+        raw, ids, n = pickle.loads(at["vectors"].iloc[0])
+        graph = Graph.load(_unit(raw), pickle.loads(at["graph"].iloc[0]))
+        out, back = [], np.zeros(len(ids), np.int64)
+        for blob in asks["vectors"]:
+            qraw, qids, qn = pickle.loads(blob)
+            found, _ = search(graph, _unit(qraw), threshold, int(at["beam"].iloc[0]))
+            q, hit = _flat(found)
+            count = np.bincount(q, weights=n[hit], minlength=len(qids)).astype(np.int64)
+            back += np.bincount(hit, weights=qn[q], minlength=len(ids)).astype(np.int64)
+            a, b = _moved(np.concatenate([ids, qids]), _roots(len(ids) + len(qids), len(ids) + q, hit))
+            out += [pd.DataFrame({"a": a, "b": b, "near": 0}), pd.DataFrame({"a": qids, "b": pd.NA, "near": count})]
+        out = pd.concat([*out, pd.DataFrame({"a": ids, "b": pd.NA, "near": back})]).astype("Int64")
+        return out[out["b"].notna() | (out["near"] > 0)]
+
+    return graph.unionByName(queries).groupBy("label", "dims", "target", "pack").applyInPandas(run, "a long, b long, near long")
+
+
+def audits(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+    """What the shards' own audits saw: ``label, dims, shard, beam, audited, links``; no audited link
+    is missed (a beam of the shard's size is the exact scan and needs no audit)."""
+    return shards(nodes(vectors), threshold, shard).select("label", "dims", "shard", "beam", "audited", "links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` with ``n_links``, ``component_id`` and ``kept``."""
     distinct = common.store(nodes(vectors))
-    graphs = common.store(shards(distinct, shard))
-    found = common.store(links(graphs, threshold))
-    near = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("near"))
-    comp = common.components(found.where("b IS NOT NULL").select("a", "b"))
+    built = common.store(shards(distinct, threshold, shard))
+    found = common.store(across(built, threshold))
+    within = built.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
+    counts = built.select(F.explode("n").alias("c")).select(F.col("c.node").alias("a"), "c.near").unionByName(found.where("b IS NULL").select("a", "near"))
+    near = counts.groupBy("a").agg(F.sum("near").alias("near"))
+    comp = common.components(within.unionByName(found.where("b IS NOT NULL").select("a", "b")))
     named = distinct.select("label", "vec", "node", "n").join(near, F.col("node") == F.col("a"), "left").drop("a")
     comp = comp.withColumnRenamed("node", "_node")
     named = named.join(comp, F.col("node") == F.col("_node"), "left").select(
