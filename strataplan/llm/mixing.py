@@ -8,15 +8,17 @@ are integers; a split may leave fewer tokens than it has children unspent.
 
 A leaf whose budget is b of t tokens gets b div t whole epochs and, of the next epoch, the
 prefix in seeded order (md5 of seed, epoch and id) whose tokens add up to at most b mod t.
-The prefix ends at a cut-off key found in two passes: token sums by leaf and leading hex
-digits of the key, then the rows of the one block in which the budget ends. No leaf, however
-large, is sorted as a whole, and documents are only filtered against their leaf's cut-off.
+The prefix ends at a cut-off key found digit by digit: token sums by leaf and the next
+``DIGITS`` hex digits of the key tell in which block the budget ends, that block is looked into
+with more digits, until it holds ``SMALL`` keys at most. No window is longer than 16^DIGITS or
+SMALL rows, however large the leaf, and documents are only filtered against their leaf's cut-off.
 
 Defined results: null or empty text has no tokens; it is in every whole epoch (a leaf without
 tokens is taken once) and in a prefix
 by its key's place; null language or source is the name ``unknown``; rows of equal id stand or
 fall together; null ids share one key; an empty table gives an empty result; columns of the
-input keep their names, new ones start with an underscore.
+input keep their names, but one named like a new column (``_domain, _lang, _source, _tokens,
+_epoch``) gives way to it in :func:`mix`; :func:`mixed_documents` carries them.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED, BLOCK_DIGITS = 20, 3
+SEED, DIGITS, SMALL = 20, 2, 1000
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANGUAGE_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
 LEVELS = ["_domain", "_lang", "_source"]
@@ -102,14 +104,20 @@ def mix(docs: DataFrame, numerator: int = 3, denominator: int = 5, max_epochs: i
         budgets(leaves, total, max_epochs)
         .withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(1)))
         .withColumn("part", F.col("budget") - F.col("whole") * F.col("tokens")))
-    lined = at.select("doc_id", *LEVELS, "_tokens").join(plan.select(*LEVELS, "whole", "part"), LEVELS).withColumn("key", _key(F.col("whole")))
-    block = F.substring("key", 1, BLOCK_DIGITS)
-    sums = lined.groupBy(*LEVELS, "part", block.alias("block")).agg(F.sum("_tokens").alias("n"))
-    running = Window.partitionBy(*LEVELS).orderBy("block")
-    ends = sums.withColumn("upto", F.sum("n").over(running)).where("upto > part").groupBy(*LEVELS).agg(
-        F.min(F.struct("block", (F.col("upto") - F.col("n")).alias("base"))).alias("at"))
-    ends = common.store(ends.select(*LEVELS, F.col("at.block").alias("end_block"), F.col("at.base").alias("base")))
-    edge = lined.join(ends, LEVELS).where(block == F.col("end_block")).groupBy(*LEVELS, "part", "base", "key").agg(F.sum("_tokens").alias("n"))
+    lined = at.select("doc_id", *LEVELS, "_tokens").join(plan.select(*LEVELS, "whole", "part"), LEVELS)
+    lined = common.store(lined.groupBy(*LEVELS, "part", _key(F.col("whole")).alias("key")).agg(F.sum("_tokens").alias("n")))
+    ends, digits, most = plan.select(*LEVELS, F.lit("").alias("block"), F.lit(0).cast("long").alias("base")), 0, SMALL + 1
+    while most > SMALL and digits < 32:
+        digits += DIGITS
+        held = lined.join(ends, LEVELS).where(F.startswith("key", "block")).select(*LEVELS, "part", "base", "n", F.substring("key", 1, digits).alias("block"))
+        sums = held.groupBy(*LEVELS, "part", "base", "block").agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
+        running = Window.partitionBy(*LEVELS).orderBy("block")
+        over = sums.withColumn("upto", F.col("base") + F.sum("n").over(running)).where("upto > part").groupBy(*LEVELS).agg(
+            F.min(F.struct("block", (F.col("upto") - F.col("n")).alias("base"), "keys")).alias("at"))
+        ends = common.store(over.select(*LEVELS, F.col("at.block").alias("block"), F.col("at.base").alias("base"), F.col("at.keys").alias("keys")))
+        most = ends.agg(F.max("keys")).first()[0] or 0
+        ends = ends.drop("keys")
+    edge = lined.join(ends, LEVELS).where(F.startswith("key", "block"))
     within = Window.partitionBy(*LEVELS).orderBy("key")
     over = edge.withColumn("upto", F.col("base") + F.sum("n").over(within)).where("upto > part").groupBy(*LEVELS).agg(F.min("key").alias("stop"))
     cuts = common.store(plan.join(over, LEVELS, "left").select(*LEVELS, "whole", "stop"))
