@@ -5,8 +5,8 @@ text's own metadata (its lengths), scored in linear time.
 
 The second form of the pair sum (the sum-of-squares identity) needs each feature once, so a
 document costs its distinct words times the rank. Labels, language, source and doc_id are no
-inputs. Fitting uses at most ``FIT_ROWS`` labelled rows, those of smallest seeded hash; scoring
-reads every whole text.
+inputs. Fitting uses at most ``FIT_ROWS`` labelled rows (a bound on rows; their texts are whole),
+those of smallest seeded hash, a row an id; scoring reads every whole text.
 
 Defined results: null or empty text gets the score of the all-zero statistics; repeated rows are
 scored each; without usable labels of both kinds every score is the smoothed share of good rows.
@@ -106,7 +106,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("y"))
         .orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows)
     )
-    got = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").orderBy("id", "text").limit(2 * rows).collect()
+    # a row an id: of repeated ones that of smallest text
+    got = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("id").collect()
     return [r["text"] or "" for r in got], np.array([int(r["y"]) for r in got], dtype=np.int64)
 
 

@@ -3,17 +3,21 @@
 Voters: lexicon voters (whole words and word beginnings whose presence separates the labelled
 rows that may be learned from) and pattern voters (fixed rules on form). A generative label
 model takes each voter's firing rate given the hidden class (its accuracy) and, by EM, estimates
-rates and class share from labelled and unlabelled rows together; labelled rows are clamped.
-Correlations: voters whose firings go together within a class beyond independence share their
-evidence, each weighted by one over its summed correlation with the others. The posteriors are
-the targets of a linear classifier over hashed words and word beginnings, which scores any text.
+rates and class share from labelled and unlabelled rows together; while rates are estimated, the
+class of a labelled row is its label. Correlations: voters whose firings go together within a class
+beyond independence share their evidence, each weighted by one over its summed correlation with the
+others; how much the voters that fire, and those that stay silent, still repeat each other is
+estimated as a weight for either sum, on the labelled rows. The model's posteriors of all rows, those
+with a label included, are the targets of a linear classifier over hashed words and word beginnings,
+which scores any text. No label is a target itself.
 
 Labels of held-out rows, language, source and doc_id are no inputs. At most ``FIT_ROWS``
 labelled and ``FREE_ROWS`` further rows are used to fit, those of smallest seeded hash; scoring
 reads every whole text.
 
 Defined results: null or empty text gets the classifier's intercept; repeated rows are scored
-each; without usable labels every score is the smoothed class share.
+each, and a repeated row among those to fit on counts once; without usable labels every score is the
+smoothed class share.
 """
 
 from __future__ import annotations
@@ -99,14 +103,15 @@ def votes(texts: list[str], voters: list[str]) -> np.ndarray:
     return out
 
 
-def label_model(fired: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM. ``known``: 1, 0, or -1 for unlabelled. Returns posteriors of class 1, firing rates by
-    class, and each voter's share of evidence after discounting correlations."""
+def label_model(fired: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """EM. ``known``: 1, 0, or -1 for unlabelled. Returns the model's posteriors of class 1 for every
+    row, firing rates by class, each voter's share of evidence after discounting correlations, and
+    the weights of fired and silent evidence and the intercept."""
     labelled = known >= 0
     share = (known[labelled].sum() + 1) / (labelled.sum() + 2)
     post = np.where(labelled, known, share).astype(float)
     x = fired.astype(float)
-    rates, evidence = np.zeros((2, x.shape[1])), np.ones(x.shape[1])
+    rates = np.zeros((2, x.shape[1]))
     for _ in range(rounds):
         for c, weight in ((0, 1 - post), (1, post)):
             rates[c] = (weight @ x + 0.1) / (weight.sum() + 0.2)
@@ -117,13 +122,27 @@ def label_model(fired: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple
         np.fill_diagonal(together, 1)
         evidence = 1 / together.sum(0)
         on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+        sums = np.stack([x @ (on * evidence), (1 - x) @ (off * evidence), np.ones(len(x))], 1)
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        logit = np.log(prior / (1 - prior)) + (x * on + (1 - x) * off) @ evidence
-        new = np.where(labelled, known, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        weights = _weights(sums[labelled], known[labelled], np.array([1.0, 1.0, np.log(prior / (1 - prior))]))
+        model = 1 / (1 + np.exp(-np.clip(sums @ weights, -30, 30)))
+        new = np.where(labelled, known, model)
         if np.abs(new - post).max() < 1e-4:
             break
         post = new
-    return post, rates, evidence
+    return model, rates, evidence, weights
+
+
+def _weights(sums: np.ndarray, y: np.ndarray, independent: np.ndarray) -> np.ndarray:
+    """Weights of the evidence sums by Newton's method, drawn to those of independent voters."""
+    w = independent.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(sums @ w, -30, 30)))
+        step = np.linalg.solve((sums * (p * (1 - p))[:, None]).T @ sums + np.eye(3), sums.T @ (p - y) + w - independent)
+        w -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 def linear(texts: list[str], target: np.ndarray, bits: int, steps: int = 90_000, rate: float = 0.5, l2: float = 1e-4, seed: int = 5) -> tuple[float, np.ndarray]:
@@ -161,7 +180,7 @@ def fit(texts: list[str], labels: np.ndarray, free: list[str] = (), bits: int =
     voters = mine_voters(texts, labels, VOTERS)
     everything = [*texts, *free]
     known = np.concatenate([labels, np.full(len(free), -1)]).astype(int)
-    post, rates, evidence = label_model(votes(everything, voters), known)
+    post, rates, evidence, _ = label_model(votes(everything, voters), known)
     bias, w = linear(everything, post, bits)
     return ToxicityModel(bias, w.astype(np.float32), bits, voters, rates, evidence)
 
@@ -170,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, free_rows: i
     texts, y = quality.labelled_sample(docs, labels, "toxic", 4, 2, rows)
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
     some = ids.join(labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("id")), "id", "left_anti").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(free_rows)
-    free = [r["text"] or "" for r in docs.join(F.broadcast(some), docs.doc_id == some.id).select("id", "text").orderBy("id", "text").limit(2 * free_rows).collect()]
+    free = [r["text"] or "" for r in docs.join(F.broadcast(some), docs.doc_id == some.id).groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()]
     return fit(texts, y, free)
 
 
