@@ -11,6 +11,12 @@ def with_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalars))
 
 
+def if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which are counted here; else as it is, for
+    a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def class_mask(points: DataFrame, strong: float = 0.10, weak: float = 0.02) -> DataFrame:
     """Keep building points: only class 6 from a share of ``strong``, classes 0, 1, 6 from
     ``weak``, else all; noise (7) and overlap (18) never. The share is over all points."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .filters import with_scalar
+from .filters import if_small, with_scalar
 
 
 def _cells(df: DataFrame, radius: int, dims: str) -> DataFrame:
@@ -117,11 +117,16 @@ def neighbour_counts(points: DataFrame, radius: int, id_col: str = "point_id", d
 def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "room_id", cell: int = 5000) -> DataFrame:
     """``(point columns, key)`` for points inside by the even-odd rule. Polygons are put into the
     grid cells their boxes touch, so points meet only polygons of their cell; a polygon is then
-    an array of its edges, tested in place."""
+    an array of the edges that can lie beside points of the cell, tested in place. The tiles of few
+    polygons are broadcast (they are counted first), and points do not move; those of many are joined
+    by cell."""
     shape = edges.groupBy(key).agg(
         F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_edges"),
         F.min(F.least("x0", "x1")).alias("_bx0"), F.max(F.greatest("x0", "x1")).alias("_bx1"), F.min(F.least("y0", "y1")).alias("_by0"), F.max(F.greatest("y0", "y1")).alias("_by1"))
     tiles = shape.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_bx0") / cell), F.floor(F.col("_bx1") / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_by0") / cell), F.floor(F.col("_by1") / cell))))
+    # an edge counts for points below its top, above its foot and left of it
+    beside = lambda e: (F.greatest(e["y0"], e["y1"]) >= F.col("_cy") * cell) & (F.least(e["y0"], e["y1"]) <= (F.col("_cy") + 1) * cell) & (F.greatest(e["x0"], e["x1"]) >= F.col("_cx") * cell)
+    tiles = if_small(tiles.withColumn("_edges", F.filter("_edges", beside)))
     x, y = F.col("x_mm"), F.col("y_mm")
 
     def crosses(e: Column) -> Column:
@@ -137,8 +142,8 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "room_id"
 
 def near_planes(points: DataFrame, planes: DataFrame, least: int = 20, most: int = 300, buffer: int = 100) -> DataFrame:
     """Points ``least``..``most`` in front of a wall plane (closed) and inside the plane's box
-    with a buffer. ``planes(wall, a, b, c, d, bx0, bx1, by0, by1)`` is small by nature (walls of
-    one building); the join is on the cells of the boxes, not a nested loop."""
+    with a buffer. ``planes(wall, a, b, c, d, bx0, bx1, by0, by1)``: the join is on the cells of the
+    boxes, which are broadcast if they are few (counted first)."""
     cell = 2000
     names = {"a": "_pa", "b": "_pb", "c": "_pc", "d": "_pd", "wall": "wall_id"}
     boxes = planes.withColumnsRenamed(names).withColumn("_cx", F.explode(F.sequence(F.floor((F.col("bx0") - buffer) / cell), F.floor((F.col("bx1") + buffer) / cell)))).withColumn(
@@ -146,5 +151,5 @@ def near_planes(points: DataFrame, planes: DataFrame, least: int = 20, most: int
     norm = F.sqrt(F.col("_pa") * F.col("_pa") + F.col("_pb") * F.col("_pb") + F.col("_pc") * F.col("_pc"))
     dist = (F.col("_pa") * F.col("x_mm") + F.col("_pb") * F.col("y_mm") + F.col("_pc") * F.col("z_mm") + F.col("_pd")) / norm
     p = points.withColumns({"_cx": F.floor(F.col("x_mm") / cell), "_cy": F.floor(F.col("y_mm") / cell)})
-    out = p.join(boxes, ["_cx", "_cy"]).withColumn("dist", dist)
+    out = p.join(if_small(boxes), ["_cx", "_cy"]).withColumn("dist", dist)
     return out.where(F.col("dist").between(least, most) & F.col("x_mm").between(F.col("bx0") - buffer, F.col("bx1") + buffer) & F.col("y_mm").between(F.col("by0") - buffer, F.col("by1") + buffer)).select(*points.columns, "wall_id", "dist")
