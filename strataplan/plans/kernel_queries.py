@@ -305,3 +305,35 @@ def event_tumbling(spark, d):
 def event_cube(spark, d):
     e = src.load(spark, d, "events").withColumn("grp", F.expr("user_id % 4"))
     return e.cube("event_type", "grp").agg(F.count("*").alias("n")).select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce("grp", F.lit(-1)).alias("grp"), "n")
+
+
+@query("event_rollup", "SELECT coalesce(event_type, 'all') AS event_type, coalesce(user_id % 4, -1) AS grp, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 4)")
+def event_rollup(spark, d):
+    e = src.load(spark, d, "events").withColumn("grp", F.expr("user_id % 4"))
+    return e.rollup("event_type", "grp").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce("grp", F.lit(-1)).alias("grp"), "n", "total")
+
+
+@query("event_grouping_sets", "SELECT coalesce(event_type, 'all') AS event_type, coalesce(user_id % 4, -1) AS grp, GROUPING(event_type, user_id % 4) AS level, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 4), ())")
+def event_grouping_sets(spark, d):
+    e = src.load(spark, d, "events").withColumn("grp", F.expr("user_id % 4"))
+    return e.groupingSets([["event_type"], ["grp"], []], "event_type", "grp").agg(F.grouping_id().alias("level"), F.count("*").alias("n")).select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce("grp", F.lit(-1)).alias("grp"), "level", "n")
+
+
+@query("event_asof", "SELECT a.event_id, a.user_id, coalesce(b.event_id, -1) AS last_error FROM (SELECT * FROM events WHERE event_type <> 'error') a LEFT JOIN LATERAL (SELECT max_by(e.event_id, (e.ts, e.event_id)) AS event_id FROM events e WHERE e.event_type = 'error' AND e.user_id = a.user_id AND e.ts <= a.ts) b ON true")
+def event_asof(spark, d):
+    """The last error of the same user up to each other event."""
+    from ..operators import temporal
+
+    e = src.load(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    got = temporal.asof(e.where("event_type <> 'error'").drop("event_type"), e.where("event_type = 'error'"), "user_id", "ts", ["event_id"])
+    return got.select("event_id", "user_id", F.coalesce("right_event_id", F.lit(-1)).alias("last_error"))
+
+
+@query("event_interval_join", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR AND a.event_type = 'error' AND b.event_type <> 'error'")
+def event_interval_join(spark, d):
+    """What a user did in the hour after an error."""
+    from ..operators import temporal
+
+    e = src.load(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    pairs = temporal.within(e.where("event_type = 'error'"), e.where("event_type <> 'error'"), "user_id", "ts", 3600)
+    return pairs.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
