@@ -86,8 +86,17 @@ class JobTable:
             raise KeyError(job_id)
         return rows[0].asDict()
 
-    def recent(self, n: int = 50) -> DataFrame:
-        return self.latest().orderBy(F.desc("created_at"), F.desc("job_id")).limit(n)
+    def result(self, job_id: str) -> dict | None:
+        """The job's result, or None while there is none."""
+        import json
+
+        text = self.get(job_id)["result_json"]
+        return None if text is None else json.loads(text)
+
+    def recent(self, n: int = 50, kind: str | None = None) -> DataFrame:
+        """The newest jobs, of one kind or of all."""
+        jobs = self.latest() if kind is None else self.latest().where(F.col("kind") == kind)
+        return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(n)
 
     def expired(self, cutoff: str) -> DataFrame:
         return self.latest().where(F.col("created_at") < cutoff)

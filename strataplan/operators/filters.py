@@ -69,8 +69,11 @@ def chest_slice(points: DataFrame, low: int, high: int, absolute: int, share: fl
     return with_scalar(with_scalar(points, n), best).where(keep).drop("_band", "_all", "_low", "_best")
 
 
-def group_bands(points: DataFrame, low: int, high: int, at_least: int) -> DataFrame:
-    """Open band per scan; scans with fewer than ``at_least`` points in it are left out."""
+def group_bands(points: DataFrame, low: int, high: int, at_least: int, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Open band per scan; scans with fewer than ``at_least`` points in it are left out. ``offset`` is
+    the centre that merging took off: the points are moved by it first."""
+    if any(offset):
+        points = points.withColumns({f"{k}_mm": F.round(F.col(f"{k}_mm") - F.lit(float(o))).cast("long") for k, o in zip("xyz", offset)})
     inside = points.where((F.col("z_mm") > low) & (F.col("z_mm") < high))
     enough = inside.groupBy("scan_id").agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("scan_id")
     return inside.join(F.broadcast(enough), "scan_id", "left_semi")  # one row a scan
@@ -111,5 +114,20 @@ def manhattan_filter(segments: DataFrame, tolerance: float = 15.0) -> DataFrame:
     return with_scalar(marked, some).where(F.col("_near") | ~F.col("_some")).select(*segments.columns)
 
 
+def numbered(df: DataFrame, by: Column, order: list[Column], name: str) -> DataFrame:
+    """Rows with their number from 1 within their group, however few the groups are: rows are dealt to
+    ranges of group and order, numbered in each range, and moved on by what the ranges before hold (a
+    row a range and group). ``order`` is a total order."""
+    from . import graph
+
+    # stored, since the bounds of ranges may differ from one computation to the next
+    dealt = df.withColumn("_by", by).repartitionByRange("_by", *order).withColumn("_range", F.spark_partition_id())
+    dealt = graph.cut(dealt)
+    held = dealt.groupBy("_by", "_range").agg(F.count("*").alias("_n"))
+    before = held.withColumn("_before", F.sum("_n").over(Window.partitionBy("_by").orderBy("_range")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_by", "_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), ["_by", "_range"]).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
+
+
 def top_by(df: DataFrame, partition: list[str], order: list[Column], n: int = 1) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

@@ -189,7 +189,8 @@ def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
 
 def alpha_shape(points: np.ndarray, alphas=(0.5, 1.0, 2.0, 0.25), most: int = 5000) -> list[tuple[float, float]]:
     """Outer ring of triangles with circumradius below 1 / alpha, for the first alpha that gives
-    one closed ring holding all points' triangles; else, or for too many points, the hull."""
+    one closed ring holding all points' triangles; else, or beyond ``most`` points (the reference's
+    limit: the triangulation here is quadratic), the hull, which drops concave corners but no point."""
     p = np.unique(np.asarray(points, float), axis=0)
     if len(p) < 4 or len(p) > most:
         return convex_hull(p)
@@ -244,7 +245,7 @@ def canny(image: np.ndarray, low: float = 40.0, high: float = 120.0) -> np.ndarr
     return weak & np.isin(lab, strong)
 
 
-def hough_segments(mask: np.ndarray, theta_step: float = 0.5, votes: int = 30, least: float = 20.0, gap: float = 5.0, most: int = 400) -> list[tuple[float, float, float, float]]:
+def hough_segments(mask: np.ndarray, theta_step: float = 0.5, votes: int = 30, least: float = 20.0, gap: float = 5.0) -> list[tuple[float, float, float, float]]:
     """Deterministic line segments: fullest (theta, rho) first; the cells on it are split at gaps,
     long runs are kept and their cells leave the vote."""
     rows, cols = np.nonzero(mask)
@@ -256,7 +257,7 @@ def hough_segments(mask: np.ndarray, theta_step: float = 0.5, votes: int = 30, l
     code = rho * len(t) + np.arange(len(t))
     tally = np.bincount(code.ravel(), minlength=(2 * reach + 1) * len(t))
     out = []
-    while len(out) < most:
+    while True:
         best = int(tally.argmax())
         if tally[best] < votes:
             break

@@ -113,21 +113,32 @@ def regularise(segments: DataFrame, drop_below: float = 500.0, snap: bool = True
     return out
 
 
-def crossings(segments: DataFrame, cell: int = 2000) -> DataFrame:
+def crossings(segments: DataFrame, cell: int = 2000, by: str | None = None) -> DataFrame:
     """``(a_id, b_id, ta, tb, x, y)`` for segments that cross or touch, a_id < b_id: where, as shares of
     their lengths and as a point. Segments meet in the grid cells of their boxes; parallel ones, also
-    on one line, do not cross."""
+    on one line, do not cross. With ``by`` only segments of one group meet."""
     at = lambda v: F.floor(v / float(cell))
     reach = lambda a, b: F.explode(F.sequence(at(F.least(a, b)), at(F.greatest(a, b))))
-    placed = segments.select("seg_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], reach(F.col("x1"), F.col("x2")).alias("cx")).withColumn("cy", reach(F.col("y1"), F.col("y2")))
-    side = lambda p: placed.select("cx", "cy", F.col("seg_id").alias(f"{p}_id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
+    placed = segments.select("seg_id", *([F.col(by).alias("_by")] if by else []), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], reach(F.col("x1"), F.col("x2")).alias("cx")).withColumn("cy", reach(F.col("y1"), F.col("y2")))
+    same = ["cx", "cy", *(["_by"] if by else [])]
+    side = lambda p: placed.select(*same, F.col("seg_id").alias(f"{p}_id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
     e = F.expr
-    pairs = side("a").join(side("b"), ["cx", "cy"]).where("a_id < b_id").withColumn("den", e("(ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1)")).where("den <> 0")
+    pairs = side("a").join(side("b"), same).where("a_id < b_id").withColumn("den", e("(ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1)")).where("den <> 0")
     pairs = pairs.withColumn("ta", e("((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / den")).withColumn("tb", e("((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1)) / den"))
     hit = pairs.where("ta BETWEEN 0 AND 1 AND tb BETWEEN 0 AND 1").select("a_id", "b_id", "ta", "tb", e("ax1 + (ax2 - ax1) * ta").alias("x"), e("ay1 + (ay2 - ay1) * ta").alias("y"))
     return hit.groupBy("a_id", "b_id").agg(*[F.first(c).alias(c) for c in ("ta", "tb", "x", "y")])
 
 
+def valid_rings(edges: DataFrame, key: str = "room_id", least_m2: float = 0.1) -> DataFrame:
+    """``(key, area_m2)`` of the rings ``edges(key, x0, y0, x1, y1)`` of at least an area that do not cross
+    themselves. Neighbouring edges touch at their common corner, which is no crossing."""
+    named = edges.withColumnRenamed("x1", "x2").withColumnRenamed("y1", "y2").withColumnRenamed("x0", "x1").withColumnRenamed("y0", "y1").withColumn("seg_id", F.xxhash64(key, "x1", "y1", "x2", "y2"))
+    inner = crossings(named, by=key).where("(ta > 0 AND ta < 1) OR (tb > 0 AND tb < 1)")
+    crossed = named.join(inner.select(F.col("a_id").alias("seg_id")), "seg_id", "left_semi").select(key).distinct()
+    area = F.abs(F.sum(F.expr("x0 * y1 - x1 * y0"))) / F.lit(2e6)
+    return edges.groupBy(key).agg(area.alias("area_m2")).where(F.col("area_m2") >= least_m2).join(crossed, key, "left_anti")
+
+
 def noded(segments: DataFrame, cell: int = 2000) -> DataFrame:
     """Segments split where they cross or touch: ``(seg_id, k, x1, y1, x2, y2)``."""
     met = crossings(segments, cell)

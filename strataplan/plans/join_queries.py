@@ -80,13 +80,12 @@ def pip_rooms(spark, d):
 @query("match_quality", f"""WITH {_PIP}, w AS (SELECT x0 AS x, y0 AS y FROM walls UNION SELECT x1, y1 FROM walls), n AS (SELECT room_id, point_id, min((x_mm - x) * (x_mm - x) + (y_mm - y) * (y_mm - y)) AS d2 FROM inside, w GROUP BY 1, 2)
 SELECT room_id, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(CASE WHEN d2 < 90000 THEN 1e0 ELSE 0e0 END), 6) END AS quality FROM n GROUP BY 1""")
 def match_quality(spark, d):
-    """Share of a room's points nearer than the tolerance to a wall end. Wall ends are a constant
-    handful of the plan, so the nearest is an expression, not a join."""
-    ends = sorted({p for w in src.WALLS for p in ((w[1], w[2]), (w[3], w[4]))})
-    d2 = F.least(*[(F.col("x_mm") - x) * (F.col("x_mm") - x) + (F.col("y_mm") - y) * (F.col("y_mm") - y) for x, y in ends])
-    inside = spatial.points_in_polygons(src.points(spark, d), src.room_edges(spark))
-    q = F.round(F.avg((d2 < 90000).cast("double")), 6)
-    return inside.groupBy("room_id").agg(F.count("*").alias("n"), F.when(F.count("*") >= 20, q).alias("quality"))
+    """Share of a room's points nearer than the tolerance to a wall end."""
+    from .pipelines import match_quality as quality
+
+    w = src.walls(spark)
+    ends = w.select(F.col("x0").alias("x_mm"), F.col("y0").alias("y_mm")).union(w.select("x1", "y1")).distinct().withColumn("point_id", F.xxhash64("x_mm", "y_mm"))
+    return quality(src.points(spark, d), src.room_edges(spark), ends, 300).select("room_id", "n", F.round("quality", 6).alias("quality"))
 
 
 @query("label_first_match", f"""WITH {src.room_edges_sql()}, {src.labels_sql()}, hit AS (SELECT e.room_id, l.label_id, l.text FROM labels_2d l JOIN edges e ON (e.y0 > l.y_mm) <> (e.y1 > l.y_mm) AND l.x_mm < (e.x1 - e.x0) * (l.y_mm - e.y0) / CAST(e.y1 - e.y0 AS DOUBLE) + e.x0 GROUP BY ALL HAVING count(*) % 2 = 1),

@@ -75,6 +75,19 @@ def transformed_dxf(segments: DataFrame, matrix: list[list[float]], units: str =
     return dxf_text(moved, units, "transform " + json.dumps(matrix))[0]
 
 
+def annotated_dxf(drawing: str, note: str, layer: str = "ALIGNMENT_NOTE", at: tuple[float, float] = (0.0, 0.0)) -> str:
+    """A drawing as it is, with one text more on a layer of its own, at the end of its entities."""
+    lines = drawing.splitlines()
+    pairs = [(lines[i].strip(), lines[i + 1].strip()) for i in range(0, len(lines) - 1, 2)]
+    inside = False
+    for i, (code, value) in enumerate(pairs):
+        inside = inside or (code, value) == ("2", "ENTITIES")
+        if inside and (code, value) == ("0", "ENDSEC"):
+            text = ["0", "TEXT", "8", layer, "10", str(at[0]), "20", str(at[1]), "40", "0.25", "1", note]
+            return "\n".join([*lines[: 2 * i], *text, *lines[2 * i :]]) + "\n"
+    raise ValueError("the drawing has no entities section")
+
+
 def ply_bytes(points: DataFrame, target: int = 200_000) -> bytes:
     """Binary PLY of ``points(x, y, z[, r, g, b in 0..1])`` with at most ``target`` vertices, the
     ones of smallest hash of their coordinates; float32, colours truncated to bytes."""

@@ -334,6 +334,13 @@ def test_dxf_round_trip(spark, tmp_path):
     edges = sorted((r.x1, r.y1, r.x2, r.y2) for r in scan_files.plan_edges(v).collect())
     assert edges == [(0.0, 0.0, 20.0, 0.0), (20.0, 0.0, 20.0, 15.0)]
     assert {r.text for r in v.where("text is not null").collect()} == {"hello", "dropped classes: ghost"}
+    noted = sinks.annotated_dxf(text, "turned by 8 degrees")
+    (tmp_path / "q.dxf").write_text(noted)
+    again = spark.read.format("dxf").load(str(tmp_path / "q.dxf"))
+    assert sorted((r.x1, r.y1, r.x2, r.y2) for r in scan_files.plan_edges(again).collect()) == edges
+    assert [r.layer for r in again.where("text = 'turned by 8 degrees'").collect()] == ["ALIGNMENT_NOTE"]
+    with pytest.raises(ValueError):
+        sinks.annotated_dxf("0\nEOF\n", "x")
     moved = sinks.transformed_dxf(s, scalars.rotation_matrix(90))
     assert "transform" in moved
 
@@ -359,6 +366,8 @@ def test_jobs(spark, tmp_path):
     t.update("a", "aligned", '{"rooms": ["x", "y"], "fixtures": []}')
     assert t.get("a")["status"] == "aligned" and t.get("b")["status"] == "queued"
     assert {r.job_id: r.rooms for r in t.result_counts().collect()} == {"a": 2, "b": 0}
+    assert t.result("a")["rooms"] == ["x", "y"] and t.result("b") is None
+    assert [r.job_id for r in t.recent(kind="vectorize").collect()] == ["b"]
     with pytest.raises(KeyError):
         t.update("zz", "failed")
     with pytest.raises(ValueError):
@@ -565,6 +574,20 @@ def test_noding(spark):
     assert sorted(parts[1]) == [(0, 0, 0, 5, 0), (1, 5, 0, 8, 0), (2, 8, 0, 10, 0)] and len(parts[2]) == 3 and len(parts[3]) == 2 and len(parts[4]) == 3
 
 
+def test_rings_that_cross_themselves(spark):
+    rings = {1: [(0, 0), (4000, 0), (4000, 4000), (0, 4000)], 2: [(0, 0), (4000, 4000), (4000, 0), (0, 5000)], 3: [(0, 0), (200, 0), (200, 200), (0, 200)]}
+    rows = [(k, *a, *b) for k, p in rings.items() for a, b in zip(p, [*p[1:], p[0]])]
+    e = spark.createDataFrame(rows, "room_id int, x0 long, y0 long, x1 long, y1 long")
+    assert [(r.room_id, r.area_m2) for r in segments.valid_rings(e).collect()] == [(1, 16.0)]
+
+
+def test_bands_of_a_centred_cloud(spark):
+    p = cloud(spark, [(0, 0, 1.5 + 2 * s) for s in (0, 1) for _ in range(60)]).withColumn("scan_id", F.lit(0))
+    assert filters.group_bands(p, 1000, 2000, 50).count() == 60
+    moved = filters.group_bands(p, 1000, 2000, 50, offset=(10.0, 0.0, 2000.0))
+    assert moved.count() == 60 and moved.select("x_mm", "z_mm").distinct().collect() == [(-10, 1500)]
+
+
 def test_geojson(spark):
     s = spark.createDataFrame([(1, 0, 0, 5, 5)], "seg_id long, x1 long, y1 long, x2 long, y2 long")
     assert '"LineString"' in sinks.feature_collection(s, (0, 0, 1, 1)) and '"bounds"' in sinks.feature_collection(s.where("1 = 0"), (0, 0, 1, 1))
