@@ -19,7 +19,8 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of texts near by SimHash or by exact five-word Jaccard >= 0.8 one stays, that of smallest id."""
+    """Of texts near by SimHash of their five-word shingles, or by exact Jaccard >= 0.8 of those, one
+    stays, that of smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -46,14 +47,17 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier, hashes and tokenizer cannot be expressed in SQL; tests hold each stage against brute force.
+#: The classifier, hashes and tokenizer cannot be expressed in SQL; tests/llm/test_pipeline.py holds each stage
+#: against a brute-force version on its own input.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = common.load(spark, sf_dir, "documents")
+    made = common.stored()
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if (name, stage) != STAGES[-1]:
-            docs = common.store(docs)
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if (name, stage) == STAGES[-1]:
+            return out
+        docs = common.store(out)
+        common.sweep(made, docs)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import shared_dir
 
 
-#: tables made by store, in order
-_stored: list[DataFrame] = []
+#: paths of the tables made by store, in order (not the tables: they would keep their plans alive)
+_stored: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +33,24 @@ def store(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     # Spark deletes the shuffle files of a finished write when the driver's JVM collects its plan, which
-    # a driver with a large heap may not do for hours
+    # a driver with a large heap may not do for hours. The listener bus holds the last plan that ended
+    # until another one has; a plan of one row lets go of it.
+    spark.range(0, 1, 1, 1).collect()
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
-    _stored.append(out)
+    _stored.append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`store` that no later plan reads."""
-    path = getattr(df, "_stored_path", None)
-    if path is None:
-        return
-    _stored[:] = [t for t in _stored if t is not df]
-    spark = df.sparkSession
+    if path := getattr(df, "_stored_path", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _stored[:] = [p for p in _stored if p != path]
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -60,9 +63,9 @@ def stored() -> int:
 def sweep(since: int, keep: DataFrame) -> int:
     """Delete the tables that :func:`store` made after the first ``since`` ones, but for ``keep``: a
     step whose result is stored needs them no more. The number of tables that are left."""
-    gone, _stored[since:] = [t for t in _stored[since:] if t is not keep], [t for t in _stored[since:] if t is keep]
-    for table in gone:
-        discard(table)
+    for path in _stored[since:]:
+        if path != getattr(keep, "_stored_path", None):
+            _delete(keep.sparkSession, path)
     return len(_stored)
 
 

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, SPREAD, CROWD = 400, 256, 50_000
-PASSAGE, PASSAGE_SPREAD = 51, 26
+PASSAGE, PASSAGE_SPREAD = 51, 38
 RANGE, MOST_RANGES, SAMPLES = 40_000, 4096, 32
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -382,19 +382,21 @@ def _same_doc(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["_i"]) & (a["h"] == b["_h"])
 
 
-def _located(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    """The distinct texts that have spots, with them."""
+def _located(rows: DataFrame, spots: DataFrame, few: bool = False) -> DataFrame:
+    """The texts that have spots, with them. ``few`` spots, a number with a bound, go to the texts."""
     listed = spots.groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("kind", "spot", "core", "alone")).alias("spots"))
-    return rows.join(listed, _same_doc(rows, listed)).select("doc_id", "h", "text", "spots")
+    return rows.join(F.broadcast(listed) if few else listed, _same_doc(rows, listed)).select("doc_id", "h", "text", "spots")
 
 
 def intervals(rows: DataFrame, kinds: list[Kind], crowd: int = CROWD, most_ranges: int = MOST_RANGES, range_size: int = RANGE) -> DataFrame:
     """All repeated intervals ``(doc_id, h, kind, start, end)`` of ``keyed`` rows, overlaps included."""
     length = F.element_at(F.array(*[F.lit(k.length) for k in kinds]), F.col("kind") + 1)
-    found = anchor_table(rows, kinds)
-    # counted first, by core alone: what stays is a small table, which the rest reads
-    twice = found.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core")
+    found = common.store(anchor_table(rows, kinds))
+    # counted first, by core alone: what stays is a small table, which the rest reads. It is stored, so that
+    # a common core's rows are a skewed side of a plain join, which may be split at run time
+    twice = common.store(found.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core"))
     held = common.store(found.join(twice, "core"))
+    common.discard(found)
     classes = held.groupBy("core", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     cores = classes.groupBy("core").agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
     known = classes.join(cores, "core")
@@ -402,6 +404,8 @@ def intervals(rows: DataFrame, kinds: list[Kind], crowd: int = CROWD, most_range
         "doc_id", "h", "kind", "spot", "core", (F.col("n") == 1).alias("alone"), "classes",
         # to be sorted: contexts that stand alone, and a representative of their core's classes
         ((F.col("single") > 0) & ((F.col("n") == 1) | F.col("doc_id").eqNullSafe(F.col("first")))).alias("sorted")))
+    common.discard(held)
+    common.discard(twice)
     p, far, near = F.shiftright("spot", 20), F.shiftright("spot", 10).bitwiseAND(1023), F.col("spot").bitwiseAND(1023)
     whole = spots.where("NOT alone").select("doc_id", "h", "kind", (p - far).alias("start"), (p - near + length).alias("end"))
     todo = spots.where("sorted")
@@ -409,9 +413,9 @@ def intervals(rows: DataFrame, kinds: list[Kind], crowd: int = CROWD, most_range
     ranges = min(most_ranges, max(1, -(-count // range_size)))
     strips = max(1, -(-count // (ranges * range_size)))
     plain = todo.where(F.col("classes") <= crowd)
-    share = max(1, count // (ranges * SAMPLES * len(kinds)))
+    share = max(1, count // (ranges * SAMPLES * len(kinds)))  # MOST_RANGES * SAMPLES rows a kind are expected at most
     sample = plain.where(F.pmod(F.xxhash64("core", "doc_id", "spot"), F.lit(share)) == 0)
-    bounds = range_bounds(_located(rows, sample), kinds, ranges) if ranges > 1 else [[] for _ in kinds]
+    bounds = range_bounds(_located(rows, sample, few=True), kinds, ranges) if ranges > 1 else [[] for _ in kinds]
     out = whole.unionByName(merged(runs_of(_located(rows, plain), kinds, bounds, strips), kinds))
     if crowded:
         windows = common.store(window_hashes(_located(rows, todo.where(F.col("classes") > crowd).withColumn("alone", F.lit(True))), kinds))
@@ -437,7 +441,10 @@ def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, passage:
     that also occur anywhere else."""
     rows = keyed(docs)
     kinds = [bytes_kind(length, spread), words_kind(passage, passage_spread)]
+    made = common.stored()
     gone = intervals(rows, kinds, **limits).groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("gone"))
+    gone = common.store(gone)
+    common.sweep(made, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
