@@ -4,13 +4,16 @@ Fingerprint: A-Z lower-cased, words split at ASCII white space, ``shingle_words`
 with repeats, XXH64 of each; a bit is one when more than half of the hashes have it.
 
 Search: each distinct 64-bit fingerprint is halved. Two fingerprints at distance 3 or less agree
-up to one bit in a half. On 23 bits of a half the words of the perfect binary Golay code
-(4096 anchors, covering radius 3) are the anchors: a fingerprint has its home at the anchor
-within distance 3 and is replicated to every anchor within 3 + 1. A linked pair therefore
-always meets at the home anchor of either side, and is verified there on all 64 bits.
+up to one bit in a half. On 31 bits of a half the words of the perfect binary Hamming code
+(2^26 anchors, covering radius 1) are the anchors: a fingerprint has its home at the anchor
+within distance 1 and is replicated to every anchor within 1 + 1, 15 more unless it is an anchor
+itself. The 32nd bit is part of the key; for a pair that differs in it alone a fingerprint also
+visits its home under the other value. A linked pair therefore always meets at the home of either
+side, where it is verified on all 64 bits. With 2^27 keys a half, unrelated fingerprints rarely meet.
 
-Crowded anchors are dealt over blocks of homes x blocks of visitors; a task never holds more
-than a block of each. A group returns a spanning forest of its links, not the pairs.
+Visits to keys that nobody else has as home leave in the first join. Keys with at most ``FEW``
+visitors are joined as rows; crowded ones are dealt over blocks of homes x blocks of visitors,
+a task never holds more than a block of each, and returns a spanning forest of their links, not pairs.
 
 Defined results: null or blank text has fingerprint zero and links like any other; equal texts
 share a fingerprint; repeated rows are each returned; a null doc_id is returned but is no
@@ -30,15 +33,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GOLAY_GENERATOR = 0xAE3  # fixed value: x^11+x^9+x^7+x^6+x^5+x+1
-CODE_BITS, COVERING_RADIUS, HALF_THRESHOLD = 23, 3, 1
-BLOCK = 4096
-#: Of the corpus stage: words a shingle of its Jaccard similarity, bands and minima a band.
-JACCARD_WORDS, BANDS, BAND_ROWS = 5, 32, 5
+CODE_BITS, HALF_THRESHOLD = 31, 1
+BLOCK, FEW = 4096, 64
+#: Of the corpus stage: words a shingle, bands and minima a band, counters that order shingles.
+JACCARD_WORDS, BANDS, BAND_ROWS, COUNTERS = 5, 32, 5, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ORDERS = np.random.default_rng(1).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[low : low + (1 << 16)], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(data: bytes, shingle_words: int = 3) -> int:
     """The unsigned 64-bit SimHash of one text."""
     words = data.lower().split()
@@ -52,13 +63,8 @@ def fingerprint(data: bytes, shingle_words: int = 3) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = len(words) - shingle_words + 1
-    counts = np.zeros(64, dtype=np.int64)
-    for low in range(0, n, 1 << 16):
-        high = min(n, low + (1 << 16))
-        cut = zip(starts[low:high].tolist(), ends[low + shingle_words - 1 : high + shingle_words - 1].tolist())
-        h = np.array([digest(joined[a:b], 42) for a, b in cut], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    cut = zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist())
+    return majority(np.fromiter((digest(joined[a:b], 42) for a, b in cut), dtype="<u8", count=n))
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
@@ -77,54 +83,51 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     )
 
 
-def _golay() -> tuple[np.ndarray, list[np.ndarray]]:
-    """Syndrome of every 23-bit word's high part is found by division; here: for each of the
-    2048 cosets the error patterns of weight <= radius + threshold, lightest first."""
-    patterns = [0]
-    for weight in range(1, COVERING_RADIUS + HALF_THRESHOLD + 1):
-        grown = {p | (1 << b) for p in patterns for b in range(CODE_BITS) if p.bit_count() == weight - 1 and not p >> b & 1}
-        patterns += sorted(grown)
-    words = np.array(patterns, dtype=np.uint32)
-    cosets: list[list[int]] = [[] for _ in range(2048)]
-    for s, p in zip(syndrome(words).tolist(), patterns):
-        cosets[s].append(p)
-    return words, [np.array(c, dtype=np.uint32) for c in cosets]
-
-
 def syndrome(words: np.ndarray) -> np.ndarray:
-    """Remainder of 23-bit words divided by the generator polynomial."""
-    r = words.astype(np.uint32).copy()
-    for bit in range(CODE_BITS - 1, 10, -1):
-        r ^= np.where(r >> np.uint32(bit) & np.uint32(1), np.uint32(GOLAY_GENERATOR << (bit - 11)), np.uint32(0))
-    return r
+    """Of 31-bit words under the Hamming code: the XOR of the numbers 1..31 of their set bits; zero
+    for anchors, else the number of the bit that leads home."""
+    out = np.zeros(len(words), dtype=np.uint32)
+    for k in range(5):
+        mask = np.uint32(sum(1 << (i - 1) for i in range(1, CODE_BITS + 1) if i >> k & 1))
+        out |= (np.bitwise_count(words & mask).astype(np.uint32) & np.uint32(1)) << np.uint32(k)
+    return out
+
+
+def _leaders() -> list[np.ndarray]:
+    """For each syndrome the error patterns of weight <= 1 + ``HALF_THRESHOLD`` that lead to an
+    anchor, the way home first."""
+    bit = lambda i: 1 << (i - 1)
+    out = [np.zeros(1, dtype=np.uint32)]
+    for s in range(1, CODE_BITS + 1):
+        pairs = [bit(i) | bit(i ^ s) for i in range(1, CODE_BITS + 1) if i < i ^ s]
+        out.append(np.array([bit(s), *pairs], dtype=np.uint32))
+    return out
 
 
 def anchored(reps: DataFrame) -> DataFrame:
-    """Replicate ``(fp, rep)`` to ``(half, anchor, home, fp, rep)``."""
+    """Replicate ``(fp, rep)`` to ``(key, home, fp, rep)``; the key holds half, anchor and 32nd bit."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, cosets = _golay()
-        sizes = np.array([len(c) for c in cosets])
+        leaders = _leaders()
+        sizes = np.array([len(c) for c in leaders])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        flat = np.concatenate(cosets)
+        flat = np.concatenate(leaders)
+        low = np.uint64((1 << CODE_BITS) - 1)
         for f in frames:
-            fp = f["fp"].to_numpy().view(np.uint64)
+            fp, rep = f["fp"].to_numpy().view(np.uint64), f["rep"].to_numpy()
             for half in (0, 1):
-                word = ((fp >> np.uint64(32 * half)) & np.uint64((1 << CODE_BITS) - 1)).astype(np.uint32)
-                s = syndrome(word)
+                part = fp >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)
+                s = syndrome((part & low).astype(np.uint32))
                 n = sizes[s]
                 row = np.repeat(np.arange(len(fp)), n)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[s], n)
-                e = flat[at]
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                key = part[row] ^ flat[nth + np.repeat(starts[s], n)].astype(np.uint64)
+                other = key[nth == 0] ^ np.uint64(1 << CODE_BITS)  # home, under the other value of the 32nd bit
+                row, home = np.concatenate([row, np.arange(len(fp))]), np.concatenate([nth == 0, np.zeros(len(fp), dtype=bool)])
                 yield pd.DataFrame({
-                    "half": np.full(len(row), half, dtype=np.int32),
-                    "anchor": (word[row] ^ e).astype(np.int32),
-                    "home": np.bitwise_count(e) <= COVERING_RADIUS,
-                    "fp": fp[row].view(np.int64),
-                    "rep": f["rep"].to_numpy()[row],
-                })
+                    "key": (np.concatenate([key, other]) | np.uint64(half << 32)).astype(np.int64), "home": home, "fp": fp[row].view(np.int64), "rep": rep[row]})
 
-    return reps.select("fp", "rep").mapInPandas(run, "half int, anchor int, home boolean, fp long, rep long")
+    return reps.select("fp", "rep").mapInPandas(run, "key long, home boolean, fp long, rep long")
 
 
 def forest(left: np.ndarray, right: np.ndarray, n_left: int, threshold: int) -> np.ndarray:
@@ -139,23 +142,25 @@ def forest(left: np.ndarray, right: np.ndarray, n_left: int, threshold: int) ->
     return label
 
 
-def links(nodes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFrame:
-    """Spanning links ``(a, b)`` among the distinct fingerprints ``nodes(fp, rep)``."""
+def links(nodes: DataFrame, threshold: int = 3, block: int | None = None, few: int | None = None) -> DataFrame:
+    """Links ``(a, b)`` that connect all ``nodes(fp, rep)`` within ``threshold`` bits of each other;
+    fingerprints are distinct."""
     if threshold > 2 * HALF_THRESHOLD + 1:
         raise ValueError("two halves of threshold 1 cover distances up to 3")
-    spread = common.store(anchored(nodes))
-    sizes = spread.groupBy("half", "anchor").agg(  # at most 2 x 4096 rows
-        F.ceil(F.sum(F.col("home").cast("long")) / F.lit(block)).alias("n_home"),
-        F.ceil(F.count("*") / F.lit(block)).alias("n_visit"),
-    ).where("n_home > 0")
-    dealt = spread.join(F.broadcast(sizes), ["half", "anchor"])
+    block, few = block or BLOCK, few or FEW
+    spread = anchored(nodes)
+    at_home = common.store(spread.where("home").select("key", "fp", "rep"))
+    homes = at_home.groupBy("key").agg(F.count("*").alias("n_home"), F.min("fp").alias("one"))
+    met = common.store(spread.join(homes, "key").where("n_home > 1 OR one <> fp").select("key", "fp", "rep", "n_home"))
+    visits = met.groupBy("key").agg(F.count("*").alias("n_visit"), F.max("n_home").alias("n_home"))
+    sized = common.store(visits)
+    light = met.join(sized.where(F.col("n_visit") <= few).select("key"), "key").select("key", F.col("fp").alias("fp2"), F.col("rep").alias("a"))
+    pairs = at_home.join(light, "key").where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= threshold)).select(F.col("a"), F.col("rep").alias("b"))
+    heavy = sized.where(F.col("n_visit") > few).select("key", F.ceil(F.col("n_home") / block).alias("hb_n"), F.ceil(F.col("n_visit") / block).alias("vb_n"))
     slot = F.xxhash64("fp", F.lit(7))
-    home = dealt.where("home").select(
-        "half", "anchor", F.pmod(slot, "n_home").alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_visit") - 1)).alias("vb"),
-        F.lit(True).alias("home"), "fp", "rep")
-    visit = dealt.select(
-        "half", "anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_home") - 1)).alias("hb"), F.pmod(slot, "n_visit").alias("vb"),
-        F.lit(False).alias("home"), "fp", "rep")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    home = at_home.join(heavy, "key").select("key", F.pmod(slot, "hb_n").alias("hb"), every("vb_n").alias("vb"), F.lit(True).alias("home"), "fp", "rep")
+    visit = met.drop("n_home").join(heavy, "key").select("key", every("hb_n").alias("hb"), F.pmod(slot, "vb_n").alias("vb"), F.lit(False).alias("home"), "fp", "rep")
 
     def compare(key, f: pd.DataFrame) -> pd.DataFrame:
         h, v = f[f["home"]], f[~f["home"]]
@@ -165,7 +170,8 @@ def links(nodes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFrame
         keep = ids != root
         return pd.DataFrame({"a": ids[keep], "b": root[keep]}).drop_duplicates()
 
-    return home.unionByName(visit).groupBy("half", "anchor", "hb", "vb").applyInPandas(compare, "a long, b long")
+    crowded = home.unionByName(visit).groupBy("key", "hb", "vb").applyInPandas(compare, "a long, b long")
+    return pairs.unionByName(crowded).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 3, shingle_words: int = 3) -> DataFrame:
@@ -173,8 +179,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle_words: int = 3)
     prints = common.store(fingerprints(docs, shingle_words))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     comp = common.components(links(nodes.where("rep IS NOT NULL"), threshold))
-    named = nodes.join(comp, nodes.rep == comp.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"))
+    # stored, so that a common fingerprint's rows are a skewed side of a plain join, which may be split at run time
+    named = common.store(nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return prints.join(named, "fp")
 
 
@@ -184,12 +190,18 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def shingle_hashes(data: bytes, shingle_words: int) -> np.ndarray:
-    """The distinct XXH64 of a text's word shingles; a shorter text is one shingle, a blank none."""
+    """A 64-bit hash of each word shingle, with repeats; a shorter text is one shingle, a blank none."""
     words = data.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    cut = (b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(c, 42) for c in cut), dtype=np.uint64))
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    width = min(shingle_words, len(words))
+    n = len(words) - width + 1
+    h = np.full(n, width, dtype=np.uint64)
+    for j in range(width):
+        h = (h ^ codes[j : j + n]) * MIX
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -197,8 +209,8 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     if not len(shingles):
         return np.zeros(0, dtype=np.int64)
     lows = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 1024):
-        lows = np.minimum(lows, (shingles[at : at + 1024, None] * ORDERS).min(axis=0))
+    for at in range(0, len(shingles), 256):
+        lows = np.minimum(lows, (shingles[at : at + 256, None] * ORDERS).min(axis=0))
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX
     for low in lows.reshape(BANDS, BAND_ROWS).T:
         key = (key ^ low) * MIX
@@ -206,22 +218,36 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches of 512 rows with the five-word shingle hashes of their texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            b = whole.slice(at, 512)
+            yield b, [shingle_hashes(t.encode(), JACCARD_WORDS) for t in b.column("text").to_pylist()]
+
+
 def sketches(texts: DataFrame) -> DataFrame:
-    """``(k, fp, shingles, bands)`` of ``texts(k, text)``."""
+    """``(doc_id, k, fp, n, bands)`` of ``texts(doc_id, k, text)``: fingerprint, number of distinct
+    shingles and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                data = [t.encode() for t in b.column("text").to_pylist()]
-                fps = np.array([fingerprint(t) for t in data], dtype=np.uint64).view(np.int64)
-                sets = [shingle_hashes(t, JACCARD_WORDS) for t in data]
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    b.column("k"), pa.array(fps), pa.array([x.view(np.int64) for x in sets], longs), pa.array([band_keys(x) for x in sets], longs)],
-                    ["k", "fp", "shingles", "bands"])
+        for b, hashes in _each_text(batches):
+            sets = [np.unique(h) for h in hashes]
+            fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("k"), pa.array(fps), pa.array([len(x) for x in sets], pa.int32()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "k", "fp", "n", "bands"])
+
+    return texts.mapInArrow(run, "doc_id long, k long, fp long, n int, bands array<long>")
 
-    return texts.select("k", "text").mapInArrow(run, "k long, fp long, shingles array<long>, bands array<long>")
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``(k, shingles)`` of ``texts(k, text)``, one for each k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, hashes in _each_text(batches):
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["k", "shingles"])
+
+    return texts.mapInArrow(run, "k long, shingles array<long>").groupBy("k").agg(F.first("shingles").alias("shingles"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,41 +257,102 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(5 * both >= 4 * (n - both)).select("a", "b")
 
 
-def jaccard_links(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that join, with the links ``known``, every pair of ``sets(k, shingles,
-    bands)`` that meets in a band and is similar. Each member of a band is compared with the
-    member that meets most others; then the pairs that are still in different components."""
-    spread = sets.select("k", F.size("shingles").alias("n"), F.explode("bands").alias("g"))
-    members = common.store(spread.join(spread.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "g"))
-    meets = members.groupBy("k").agg(F.sum("c").alias("w"))
-    head = members.join(meets, "k").groupBy("g").agg(F.max(F.struct("w", "k", "n")).alias("m")).select("g", F.col("m.k").alias("k2"), F.col("m.n").alias("n2"))
-    alike = 5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")  # else the sizes rule out 4/5
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets(k, r, shingles)`` with different r that include every similar one.
+
+    Shingles are put in one order. Two sets x, y of similarity 4/5 with no more elements in y then
+    share one of the first n - ceil(4n/5) + 1 of x and the first n - ceil(8n/9) + 1 of y, and from the
+    first shingle they share on both have the 4(nx + ny)/9 left that they must share. The order is
+    by how many shingles fall into the same of ``COUNTERS`` hash buckets, so that rare ones come first
+    and each set can look its order up in one bounded array. Copies with many edits of their own begin
+    with shingles nobody shares, so they meet no one, however many copies there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            held = b.column("shingles").flatten().to_numpy(zero_copy_only=False)
+            counts += np.bincount(np.mod(held, COUNTERS), minlength=COUNTERS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["b", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for r in counted.collect():  # COUNTERS rows at most
+        counts[r["b"]] = r["n"]
+    table = common.store(sets.sparkSession.createDataFrame([(counts.tolist(),)], "counts array<bigint>"))
+    ranked = F.array_sort(F.transform("shingles", lambda x: F.struct(F.get("counts", F.pmod(x, F.lit(COUNTERS)).cast("int")).alias("c"), x.alias("s"))))
+    each = common.evaluated(sets.select("k", "r", F.size("shingles").alias("n"), "shingles").crossJoin(F.broadcast(table)), o=ranked)
+    probe, index = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1, F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
+    rows = each.select("k", "r", "n", index.alias("index"), F.posexplode(F.slice("o", F.lit(1), probe.cast("int"))).alias("at", "o")).where("o.c > 1").select("k", "r", "n", "index", "at", "o.s")
+    rows = common.store(rows)
+    y = rows.where("at < index").select("s", F.col("k").alias("k2"), F.col("r").alias("r2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    met = rows.join(y, "s").where("r <> r2 AND n2 <= n AND 5 * n2 >= 4 * n AND 9 * least(n - at, n2 - at2) >= 4 * (n + n2)")
+    return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+
+
+def jaccard_links(sketched: DataFrame, rows: DataFrame, known: DataFrame, few: int | None = None) -> DataFrame:
+    """Links ``(a, b)`` that join, with the links ``known``, every pair of ``sketched(k, doc_id, n, bands)``
+    that meets in a band and is similar; ``rows(doc_id, k, text)`` holds the texts, of which the one
+    under ``doc_id`` is read, however many copies there are.
+
+    Each member of a band is compared with the member that meets most others. Pairs that are still in
+    different components then are compared directly in bands of at most ``few`` members; members of
+    larger ones by :func:`prefix_pairs`, so that no band makes pairs by the square of its size."""
+    few = few or FEW
+    spread = sketched.select("k", "n", F.explode("bands").alias("g"))
+    shared = spread.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    members = common.store(spread.join(shared, "g"))
     ends = [F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")]
-    tried = common.store(members.join(head, "g").where((F.col("k") != F.col("k2")) & alike).select(*ends).distinct())
+    alike = 5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")  # else the sizes rule out 4/5
+
+    def named(edges: DataFrame) -> DataFrame:
+        comp = common.components(edges)
+        return common.store(members.join(comp, members.k == comp.node, "left").select("g", "k", "n", "c", F.coalesce("component", "k").alias("r")))
+
+    def still_open(at: DataFrame) -> DataFrame:
+        return at.join(at.groupBy("g").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("g"), "g")
+
+    one = common.store(still_open(named(known)))
+    wanted = common.store(one.select("k").distinct().join(sketched.select("k", "doc_id"), "k"))
+    sets = common.store(shingle_sets(rows.join(wanted, ["k", "doc_id"], "left_semi").select("k", "text")))
+    head = one.join(one.groupBy("k").agg(F.sum("c").alias("w")), "k").groupBy("g").agg(F.max(F.struct("w", "k", "n", "r")).alias("m"))
+    head = head.select("g", F.col("m.k").alias("k2"), F.col("m.n").alias("n2"), F.col("m.r").alias("r2"))
+    tried = common.store(one.join(head, "g").where((F.col("r") != F.col("r2")) & alike).select(*ends).distinct())
     first = common.store(similar(tried, sets))
-    comp = common.components(first.unionByName(known))
-    named = members.join(comp, members.k == comp.node, "left").select("g", "k", "n", F.coalesce("component", "k").alias("r"))
-    split = named.groupBy("g").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("g")
-    open_ = common.store(named.join(split, "g"))
-    other = open_.select("g", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-    rest = open_.join(other, "g").where((F.col("k") < F.col("k2")) & (F.col("r") != F.col("r2")) & alike).select(*ends).distinct()
-    return first.unionByName(similar(rest.join(tried, ["a", "b"], "left_anti"), sets))
-
-
-def keep_one(docs: DataFrame, threshold: int = 3) -> DataFrame:
-    """The documents whose id is their component's smallest; columns as given. Texts are linked
-    within ``threshold`` bits of the 3-word fingerprint, or by an exact Jaccard similarity of 0.8
-    of their 5-word shingles. Candidates for the latter meet in one of ``BANDS`` bands: a pair at
-    0.8 is missed with a chance of (1 - 0.8^5)^32, 3 in a million, a closer one with less.
-    Repeated rows of the kept id become one; rows with a null id are kept."""
+    two = common.store(still_open(named(first.unionByName(known))))
+    little = two.where(F.col("c") <= few)
+    other = little.select("g", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+    rest = little.join(other, "g").where((F.col("k") < F.col("k2")) & (F.col("r") != F.col("r2")) & alike).select(*ends)
+    crowd = two.where(F.col("c") > few).groupBy("k").agg(F.first("r").alias("r"))
+    rest = rest.unionByName(prefix_pairs(sets.join(crowd, "k"))).distinct().join(tried, ["a", "b"], "left_anti")
+    return first.unionByName(similar(rest, sets))
+
+
+def keep_one(docs: DataFrame, threshold: int = 3, few: int | None = None) -> DataFrame:
+    """One document of each group stays, that of smallest id (then text hash); columns as given.
+    Texts are linked within ``threshold`` bits of the fingerprint of their 5-word shingles (by the
+    anchors above), or by an exact Jaccard similarity of 0.8 of those shingles. Candidates for the
+    latter meet in one of ``BANDS`` bands: a pair at 0.8 is missed with a chance of
+    (1 - 0.8^5)^32, 3 in a million, a closer one with less. Shingles are compared by 64-bit hashes.
+    A row goes only when another of its group stays; rows of the kept id and text become one; rows
+    with a null id are kept."""
+    body, restore = common.shield(docs, ["doc_id", "text"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
-    sets = common.store(sketches(rows.groupBy("k").agg(F.first("text").alias("text"))))
-    nodes = sets.groupBy("fp").agg(F.min("k").alias("rep"))
-    same = sets.select("k", "fp").join(nodes, "fp").where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    keyed = body.withColumn("_k", F.xxhash64(text))
+    rows = keyed.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("k"), text.alias("text"))
+    found = common.store(sketches(rows))
+    owners = found.groupBy("k", "doc_id").agg(F.count("*").alias("rows"))
+    distinct = common.store(found.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = distinct.groupBy("fp").agg(F.min("k").alias("rep"))
+    same = distinct.select("k", "fp").join(nodes, "fp").where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     near = common.store(links(nodes, threshold).unionByName(same))
-    comp = common.components(near.unionByName(jaccard_links(sets, near)))
-    owner = rows.select("doc_id", "k").join(comp, F.col("k") == comp.node, "left").select("doc_id", F.coalesce("component", "k").alias("c"))
-    found = owner.groupBy("c").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    comp = common.components(near.unionByName(jaccard_links(distinct, rows, near, few)))
+    grouped = owners.join(comp, F.col("k") == comp.node, "left").select("doc_id", "k", "rows", F.coalesce("component", "k").alias("c"))
+    keep = common.store(grouped.groupBy("c").agg(F.min(F.struct("doc_id", "k", "rows")).alias("m")).select(F.col("m.doc_id").alias("_i"), F.col("m.k").alias("_k"), F.col("m.rows").alias("_n")))
+    kept = keyed.join(keep, (F.col("doc_id") == F.col("_i")) & (keyed["_k"] == keep["_k"]))
+    if keep.where("_n > 1").isEmpty():
+        out = restore(kept)
+    else:
+        again = kept.where("_n > 1").select(*body.columns, "_i", keep["_k"]).dropDuplicates(["_i", "_k"])
+        out = restore(kept.where("_n = 1")).unionByName(restore(again))
+    return out.unionByName(docs.where("doc_id IS NULL"))
