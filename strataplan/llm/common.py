@@ -90,6 +90,33 @@ def evaluated(df: DataFrame, **columns) -> DataFrame:
     return df
 
 
+def lean(run):
+    """An Arrow function that gives its memory back when its partition is done: Python workers are
+    reused, and what an idle one holds is lost to the executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -120,12 +120,14 @@ def score_texts(docs: DataFrame, model, columns: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [shared.value.score(t) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                scores = [shared.value.score(t) for t in b.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", score double"
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(common.lean(run), schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+        common.lean(run), "doc_id long, fp long"
     )
 
 
@@ -127,7 +127,7 @@ def anchored(reps: DataFrame) -> DataFrame:
                 yield pd.DataFrame({
                     "key": (np.concatenate([key, other]) | np.uint64(half << 32)).astype(np.int64), "home": home, "fp": fp[row].view(np.int64), "rep": rep[row]})
 
-    return reps.select("fp", "rep").mapInPandas(run, "key long, home boolean, fp long, rep long")
+    return reps.select("fp", "rep").mapInPandas(common.lean(run), "key long, home boolean, fp long, rep long")
 
 
 def forest(left: np.ndarray, right: np.ndarray, n_left: int, threshold: int) -> np.ndarray:
@@ -237,7 +237,7 @@ def sketches(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("k"), pa.array(fps), pa.array([len(x) for x in sets], pa.int32()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "k", "fp", "n", "bands"])
 
-    return texts.mapInArrow(run, "doc_id long, k long, fp long, n int, bands array<long>")
+    return texts.mapInArrow(common.lean(run), "doc_id long, k long, fp long, n int, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         for b, hashes in _each_text(batches):
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["k", "shingles"])
 
-    return texts.mapInArrow(run, "k long, shingles array<long>").groupBy("k").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(common.lean(run), "k long, shingles array<long>").groupBy("k").agg(F.first("shingles").alias("shingles"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["b", "n"])
 
-    counted = sets.select("shingles").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    counted = sets.select("shingles").mapInArrow(common.lean(count), "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for r in counted.collect():  # COUNTERS rows at most
         counts[r["b"]] = r["n"]

@@ -162,7 +162,7 @@ def anchor_table(rows: DataFrame, kinds: list[Kind]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(at), b.column("h").take(at), pa.array(np.concatenate(number or [none]).astype(np.int8)), pa.array(np.concatenate(spot or [none])), _signed(core), _signed(context)], ["doc_id", "h", "kind", "spot", "core", "context"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, kind byte, spot long, core long, context long")
+    return rows.mapInArrow(common.lean(run), "doc_id long, h long, kind byte, spot long, core long, context long")
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -296,7 +296,7 @@ def range_bounds(located: DataFrame, kinds: list[Kind], ranges: int) -> list[lis
             yield pa.RecordBatch.from_arrays([pa.array([kind.number] * len(cores), pa.int8()), pa.array(cores, pa.binary())], ["kind", "core"])
 
     found: dict[int, list[bytes]] = {k.number: [] for k in kinds}
-    for r in located.mapInArrow(run, "kind byte, core binary").collect():
+    for r in located.mapInArrow(common.lean(run), "kind byte, core binary").collect():
         found[r["kind"]].append(bytes(r["core"]))
     out = []
     for k in kinds:
@@ -333,7 +333,7 @@ def runs_of(located: DataFrame, kinds: list[Kind], bounds: list[list[bytes]], st
         if held:
             yield emit()
 
-    return located.mapInArrow(run, "kind int, range int, strip int, run binary")
+    return located.mapInArrow(common.lean(run), "kind int, range int, strip int, run binary")
 
 
 def merged(runs: DataFrame, kinds: list[Kind]) -> DataFrame:
@@ -375,7 +375,7 @@ def window_hashes(located: DataFrame, kinds: list[Kind]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([doc_id] * len(both), pa.int64()), pa.array([h] * len(both), pa.int64()), pa.array([kind.number] * len(both), pa.int8()), pa.array(starts, pa.int64()), _signed([x >> 64 for x in both]), _signed([x & (1 << 64) - 1 for x in both])], ["doc_id", "h", "kind", "start", "w1", "w2"])
 
-    return located.mapInArrow(run, "doc_id long, h long, kind byte, start long, w1 long, w2 long")
+    return located.mapInArrow(common.lean(run), "doc_id long, h long, kind byte, start long, w1 long, w2 long")
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
@@ -460,7 +460,7 @@ def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, passage:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"])
 
     joined = rows.join(gone, _same_doc(rows, gone), "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
+    return joined.mapInArrow(common.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
