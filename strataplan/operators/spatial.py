@@ -114,13 +114,14 @@ def neighbour_counts(points: DataFrame, radius: int, id_col: str = "point_id", d
     return radius_pairs(points, points, radius, id_col, dims).groupBy("a_id").agg(F.count("*").alias("n"))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "room_id", cell: int = 5000) -> DataFrame:
+def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "room_id", cell: int = 5000, by: str | None = None) -> DataFrame:
     """``(point columns, key)`` for points inside by the even-odd rule. Polygons are put into the
     grid cells their boxes touch, so points meet only polygons of their cell; a polygon is then
     an array of the edges that can lie beside points of the cell, tested in place. The tiles of few
     polygons are broadcast (they are counted first), and points do not move; those of many are joined
-    by cell."""
-    shape = edges.groupBy(key).agg(
+    by cell. With ``by`` points meet only polygons of their own group."""
+    same = [by] if by else []
+    shape = edges.groupBy(key, *same).agg(
         F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_edges"),
         F.min(F.least("x0", "x1")).alias("_bx0"), F.max(F.greatest("x0", "x1")).alias("_bx1"), F.min(F.least("y0", "y1")).alias("_by0"), F.max(F.greatest("y0", "y1")).alias("_by1"))
     tiles = shape.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_bx0") / cell), F.floor(F.col("_bx1") / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_by0") / cell), F.floor(F.col("_by1") / cell))))
@@ -134,7 +135,7 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "room_id"
         at = (e["x1"] - e["x0"]) * (y - e["y0"]) / F.when(e["y1"] == e["y0"], F.lit(None)).otherwise(e["y1"] - e["y0"]) + e["x0"]
         return straddles & (x < at)
 
-    joined = points.withColumns({"_cx": F.floor(x / cell), "_cy": F.floor(y / cell)}).join(tiles, ["_cx", "_cy"])
+    joined = points.withColumns({"_cx": F.floor(x / cell), "_cy": F.floor(y / cell)}).join(tiles, ["_cx", "_cy", *same])
     inside = (x >= F.col("_bx0")) & (x <= F.col("_bx1")) & (y >= F.col("_by0")) & (y <= F.col("_by1"))
     odd = F.size(F.filter("_edges", crosses)) % 2 == 1
     return joined.where(inside & odd).select(*points.columns, key)

@@ -88,14 +88,6 @@ def match_quality(spark, d):
     return quality(src.points(spark, d), src.room_edges(spark), ends, 300).select("room_id", "n", F.round("quality", 6).alias("quality"))
 
 
-@query("label_first_match", f"""WITH {src.room_edges_sql()}, {src.labels_sql()}, hit AS (SELECT e.room_id, l.label_id, l.text FROM labels_2d l JOIN edges e ON (e.y0 > l.y_mm) <> (e.y1 > l.y_mm) AND l.x_mm < (e.x1 - e.x0) * (l.y_mm - e.y0) / CAST(e.y1 - e.y0 AS DOUBLE) + e.x0 GROUP BY ALL HAVING count(*) % 2 = 1),
-r AS (SELECT DISTINCT room_id FROM edges) SELECT room_id, coalesce(arg_min(text, label_id), 'Room-' || lpad(CAST(room_id AS VARCHAR), 3, '0')) AS label FROM r LEFT JOIN hit USING (room_id) GROUP BY 1""")
-def label_first_match(spark, d):
-    edges = src.room_edges(spark)
-    hit = spatial.points_in_polygons(src.labels(spark), edges).groupBy("room_id").agg(F.min_by("text", "label_id").alias("text"))
-    return edges.select("room_id").distinct().join(hit, "room_id", "left").select("room_id", F.coalesce("text", F.format_string("Room-%03d", "room_id")).alias("label"))
-
-
 _PLANES = "pl(wall, pa, pb, pd, bx0, bx1, by0, by1) AS (SELECT wall, CAST(y1 - y0 AS DOUBLE), CAST(x0 - x1 AS DOUBLE), CAST((x1 - x0) * y0 - (y1 - y0) * x0 AS DOUBLE), least(x0, x1), greatest(x0, x1), least(y0, y1), greatest(y0, y1) FROM walls)"
 _NEAR = f"{P}, {_PLANES}, near AS (SELECT p.point_id, pl.wall AS wall_id, (pa * x_mm + pb * y_mm + pd) / sqrt(pa * pa + pb * pb) AS dist FROM pts p, pl WHERE (pa * x_mm + pb * y_mm + pd) / sqrt(pa * pa + pb * pb) BETWEEN 20 AND 300 AND x_mm BETWEEN bx0 - 100 AND bx1 + 100 AND y_mm BETWEEN by0 - 100 AND by1 + 100)"
 
@@ -284,17 +276,6 @@ def sample_segments(spark, d):
     return seg.sampled(src.segments(spark, d)).select("seg_id", "i", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("closed_polylines", f"WITH {src.room_edges_sql()} SELECT room_id, count(*) AS vertices, abs(CAST(sum(x0 * y1 - x1 * y0) AS BIGINT)) / 2e6 AS area_m2 FROM edges GROUP BY 1 HAVING count(*) >= 3 AND abs(sum(x0 * y1 - x1 * y0)) / 2e6 > 0.5")
-def closed_polylines(spark, d):
-    e = src.room_edges(spark)
-    return e.groupBy("room_id").agg(F.count("*").alias("vertices"), (F.abs(F.sum(F.expr("x0 * y1 - x1 * y0"))) / F.lit(2e6)).alias("area_m2")).where("vertices >= 3 and area_m2 > 0.5D")
-
-
-@query("text_labels", f"WITH {src.labels_sql()} SELECT label_id, trim(text) AS text, x_mm, y_mm FROM labels_2d WHERE trim(text) <> ''")
-def text_labels(spark, d):
-    return src.labels(spark).select("label_id", F.trim("text").alias("text"), "x_mm", "y_mm").where("text <> ''")
-
-
 @query("geojson_plan", f"""WITH {S} SELECT seg_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[[' || x1 || ',' || y1 || '],[' || x2 || ',' || y2 || ']]}},"properties":{{"id":' || seg_id || '}}}}' AS feature FROM segs""")
 def geojson_plan(spark, d):
     from ..sources.sinks import line_features

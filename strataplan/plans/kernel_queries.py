@@ -102,20 +102,6 @@ def rooms_from_scan(spark, d):
     return rooms.rooms_from_scan(src.points(spark, d).where("not is_floor"), cell=250).select("room_id", "label", "category", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg", "confidence")
 
 
-@query("rooms_polygonized", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 150e0), (2, 50e0), (3, 50e0)) r(rank, area_m2)")
-def rooms_polygonized(spark, d):
-    w = src.walls(spark).selectExpr("x0 / 1000D as x1", "y0 / 1000D as y1", "x1 / 1000D as x2", "y1 / 1000D as y2").unionByName(spark.createDataFrame([(10.0, 0.0, 10.0, 15.0)], "x1 double, y1 double, x2 double, y2 double"))
-    from pyspark.sql import Window
-
-    r = rooms.rooms_from_lines(w, 300.0)
-    return r.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("area_m2"), "cx", "cy")).cast("long").alias("rank"), F.round("area_m2", 6).alias("area_m2"))
-
-
-@query("building_as_room")
-def building_as_room(spark, d):
-    return rooms.building_room(0.0, 0.0, 20.0, 15.0, spark).select("room_id", "label", "category", "cx", "cy", "area_m2", "confidence")
-
-
 @query("convex_hull")
 def convex_hull(spark, d):
     return rooms.hull(src.points(spark, d))
@@ -287,9 +273,10 @@ def first_files(spark, d):
     return src.load(spark, d, "part").groupBy(F.col("p_brand").alias("job")).agg(F.min(F.when(t, F.col("p_name"))).alias("plan_file"), F.min(F.when(~t, F.col("p_name"))).alias("scan_file"))
 
 
-@query("health", "SELECT 'ok' AS status")
+@query("health", "SELECT CASE WHEN count(*) FILTER (event_type = 'error') * 2 <= count(*) THEN 'ok' ELSE 'failing' END AS status, count(*) AS events FROM events")
 def health(spark, d):
-    return spark.range(1).select(F.lit("ok").alias("status"))
+    """One row for a probe: whether at most half of the events are errors."""
+    return src.load(spark, d, "events").agg(F.when(F.count_if(F.col("event_type") == "error") * 2 <= F.count("*"), "ok").otherwise("failing").alias("status"), F.count("*").alias("events"))
 
 
 # extensions over events: event time, grouping sets -----------------------------------------------

@@ -105,3 +105,38 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEGMENTS_SQL = """s0 AS (SELECT o_orderkey AS seg_id, CAST(o_orderkey % 7 AS INT) AS w, (o_custkey * 37 + o_orderkey * 11) % 9000 AS a, 200 + (o_orderkey * 53) % 1800 AS len, (o_custkey % 41) - 20 AS j, (o_orderkey % 61) - 30 AS k FROM orders),
 segs AS (SELECT seg_id, 40000 * (seg_id // 500) + CASE WHEN w IN (0, 2, 4, 6) THEN a ELSE w * 3000 + j END AS x1, CASE WHEN w IN (0, 2, 4, 6) THEN w * 2500 + j ELSE a END AS y1,
   40000 * (seg_id // 500) + CASE WHEN w IN (0, 2, 4, 6) THEN a + len WHEN w = 5 THEN w * 3000 + j + len ELSE w * 3000 + j + k END AS x2, CASE WHEN w IN (0, 2, 4, 6) THEN w * 2500 + j + k ELSE a + len END AS y2 FROM s0)"""
+
+
+# corner directions of the outlines and words of the labels of the fixture's drawings (fixed values)
+_CORNERS = [(10, 0), (6, 8), (-3, 9), (-9, 4), (-9, -5), (-2, -10), (6, -8)]
+_WORDS = ["Office", "Corridor", "WC", "Kitchen", "Meeting", "Plant"]
+
+
+def drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan drawings as the ``dxf`` source returns them, metres; one for each building of :func:`segments`. Orders
+    are LINE entities; in every other drawing some are closed outlines, with their order lines as corners in order; some
+    are TEXT or MTEXT entities."""
+    segs = segments(spark, sf_dir)
+    head = lambda k, e, kind, closed: [F.concat(F.lit("plan-"), F.expr(f"{k} div 500")).alias("file"), F.expr(f"cast({e} as int)").alias("entity"), F.expr(f"{kind}").alias("kind"), F.lit("0").alias("layer"), F.lit(closed).alias("closed")]
+    ends = F.posexplode(F.array(*[F.struct((F.col(f"x{i}") / 1000.0).alias("x"), (F.col(f"y{i}") / 1000.0).alias("y")) for i in (1, 2)])).alias("vertex", "p")
+    lines = segs.select(*head("seg_id", "3 * seg_id", "'LINE'", False), ends).select("file", "entity", "kind", "layer", "closed", "vertex", "p.x", "p.y", F.lit(None).cast("string").alias("text"))
+    widest = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    rooms = segs.where("seg_id % 25 = 0 AND seg_id div 500 % 2 = 0").join(widest, F.col("seg_id") == F.col("l_orderkey"))
+    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _CORNERS])
+    corner = F.element_at(table, F.col("l_linenumber").cast("int"))
+    at = lambda k: ((F.col(f"{k}1") + corner[k] * (F.expr("cast(l_quantity as bigint)") + 60)) / 1000.0).alias(k)
+    outlines = rooms.select(*head("seg_id", "3 * seg_id + 1", "'LWPOLYLINE'", True), F.col("l_linenumber").cast("int").alias("vertex"), at("x"), at("y"), F.lit(None).cast("string").alias("text"))
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), F.expr("cast(seg_id % 6 + 1 as int)"))
+    texts = segs.where("seg_id % 4 = 1").select(
+        *head("seg_id", "3 * seg_id + 2", "CASE WHEN seg_id % 8 = 1 THEN 'MTEXT' ELSE 'TEXT' END", False), F.lit(0).alias("vertex"), ((F.col("x1") + 300) / 1000.0).alias("x"), ((F.col("y1") + 200) / 1000.0).alias("y"),
+        F.when(F.col("seg_id") % 12 == 1, F.lit("  ")).otherwise(F.concat(F.lit(" "), word, F.lit(" "), F.col("seg_id"), F.lit("  "))).alias("text"))
+    return lines.unionByName(outlines).unionByName(texts)
+
+
+_CORNERS_SQL = ", ".join(f"({i + 1}, {x}, {y})" for i, (x, y) in enumerate(_CORNERS))
+_WORDS_SQL = ", ".join(f"'{w}'" for w in _WORDS)
+#: The same drawings as CTEs after SEGMENTS_SQL, ending in ``outline`` (corners of closed polylines) and ``texts``; LINE entities are ``segs``.
+DRAWING_SQL = f"""corners(k, dx, dy) AS (VALUES {_CORNERS_SQL}),
+outline AS (SELECT 'plan-' || (seg_id // 500) AS file, 3 * seg_id + 1 AS entity, l_linenumber AS vertex, (x1 + dx * (CAST(l_quantity AS BIGINT) + 60)) / 1000e0 AS x, (y1 + dy * (CAST(l_quantity AS BIGINT) + 60)) / 1000e0 AS y FROM segs JOIN (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) ON seg_id = l_orderkey JOIN corners ON k = l_linenumber WHERE seg_id % 25 = 0 AND seg_id // 500 % 2 = 0),
+texts AS (SELECT 'plan-' || (seg_id // 500) AS file, 3 * seg_id + 2 AS entity, CASE WHEN seg_id % 8 = 1 THEN 'MTEXT' ELSE 'TEXT' END AS kind, (x1 + 300) / 1000e0 AS x, (y1 + 200) / 1000e0 AS y,
+  CASE WHEN seg_id % 12 = 1 THEN '' ELSE [{_WORDS_SQL}][seg_id % 6 + 1] || ' ' || seg_id END AS text FROM segs WHERE seg_id % 4 = 1)"""
