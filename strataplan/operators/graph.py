@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,41 @@ def drop(df: DataFrame) -> None:
         jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(node, component)`` for nodes with an edge to another; component is the smallest id."""
+#: rows that one task takes at once where they are counted first; more go on in rounds of joins
+FEW = 200_000
+
+
+def is_few(df: DataFrame, few: int = FEW) -> bool:
+    return df.limit(few + 1).count() <= few
+
+
+def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that each position reaches over the links a - b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _at_once(f: pd.DataFrame) -> pd.DataFrame:
+    names, at = np.unique(f[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+    at = at.reshape(-1, 2)
+    return pd.DataFrame({"node": names, "component": names[smallest(len(names), at[:, 0], at[:, 1])]})
+
+
+def components(edges: DataFrame, max_rounds: int = 50, few: int = FEW) -> DataFrame:
+    """``(node, component)`` for nodes with an edge to another; component is the smallest id. At most ``few`` edges,
+    which are counted, are one task's work; more are joined in rounds."""
     cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if is_few(cur, few):
+        return cut(cur.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda f: _at_once(f), "node long, component long"))
     mark = None
     for _ in range(max_rounds):
         row = cur.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()

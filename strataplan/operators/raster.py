@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -46,19 +46,31 @@ def _offsets(kernel):
     return F.explode(F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in kernel])).alias("o")
 
 
+def _own(cells: DataFrame) -> list[str]:
+    """The column ``building``, where there is one: cells of different buildings have nothing in common."""
+    return [c for c in ("building",) if c in cells.columns]
+
+
 def dilate(cells: DataFrame, kernel=PLUS) -> DataFrame:
-    return cells.select("col", "row", _offsets(kernel)).select((F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row")).distinct()
+    own = _own(cells)
+    return cells.select(*own, "col", "row", _offsets(kernel)).select(*own, (F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row")).distinct()
 
 
 def erode(cells: DataFrame, kernel=PLUS) -> DataFrame:
     """Cells whose whole kernel is set: each set cell votes for the cells it supports, and a cell
     stays with as many votes as the kernel has offsets. No self-join is needed."""
-    votes = cells.select("col", "row").distinct().select("col", "row", _offsets(kernel)).select((F.col("col") - F.col("o.dx")).alias("col"), (F.col("row") - F.col("o.dy")).alias("row"))
-    return votes.groupBy("col", "row").agg(F.count("*").alias("k")).where(F.col("k") == len(kernel)).select("col", "row")
+    own = _own(cells)
+    votes = cells.select(*own, "col", "row").distinct().select(*own, "col", "row", _offsets(kernel)).select(*own, (F.col("col") - F.col("o.dx")).alias("col"), (F.col("row") - F.col("o.dy")).alias("row"))
+    return votes.groupBy(*own, "col", "row").agg(F.count("*").alias("k")).where(F.col("k") == len(kernel)).select(*own, "col", "row")
 
 
-def close(cells: DataFrame, kernel=PLUS) -> DataFrame:
-    return erode(dilate(cells, kernel), kernel)
+def close(cells: DataFrame, kernel=PLUS, rounds: int = 1) -> DataFrame:
+    """Dilated ``rounds`` times, then eroded as often."""
+    out = cells
+    for step in (dilate, erode):
+        for _ in range(rounds):
+            out = step(out, kernel)
+    return out
 
 
 def open_(cells: DataFrame, kernel=PLUS) -> DataFrame:
@@ -69,46 +81,120 @@ def cell_id(col="col", row="row"):
     return F.shiftleft(F.col(row) + (1 << 30), 31) + F.col(col) + (1 << 30)
 
 
+def named_id(cells: DataFrame, col="col", row="row") -> Column:
+    """A cell's id, within its building where there is one."""
+    own = _own(cells)
+    return F.xxhash64(*own, cell_id(col, row)) if own else cell_id(col, row)
+
+
 def labelled(cells: DataFrame, eight: bool = True) -> DataFrame:
     """Cells with the label of their connected component (smallest cell id)."""
+    own = _own(cells)
     near = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if eight else [])
-    ids = cells.select("col", "row").distinct().withColumn("id", cell_id())
-    step = ids.select("id", "col", "row", _offsets(near)).select(F.col("id").alias("a"), (F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row"))
-    edges = step.join(ids, ["col", "row"]).select("a", F.col("id").alias("b"))
+    ids = cells.select(*own, "col", "row").distinct().withColumn("id", named_id(cells))
+    step = ids.select(*own, "id", "col", "row", _offsets(near)).select(*own, F.col("id").alias("a"), (F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row"))
+    edges = step.join(ids, [*own, "col", "row"]).select("a", F.col("id").alias("b"))
     comp = graph.components(edges).withColumnRenamed("node", "id")
-    return ids.join(comp, "id", "left").select("col", "row", F.coalesce("component", "id").alias("label"))
+    return ids.join(comp, "id", "left").select(*own, "col", "row", F.coalesce("component", "id").alias("label"))
 
 
 def largest_component(cells: DataFrame) -> DataFrame:
+    """The cells of the largest component, of each building; the smallest label of equals."""
+    own = _own(cells)
     lab = labelled(cells)
-    top = lab.groupBy("label").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "label").limit(1)
-    return lab.join(F.broadcast(top.select("label")), "label", "left_semi").select("col", "row")
-
-
-def holes(cells: DataFrame, largest: int | None = None) -> DataFrame:
-    """Background cells enclosed by the set ones; with ``largest``, only holes up to that many
-    cells. The background of the bounding box grown by one is labelled (4-connected); the component
-    of its corner is outside."""
-    box = cells.agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
-    grid = box.withColumn("row", F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1))).withColumn("col", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1))).select("col", "row")
-    back = labelled(grid.join(cells.select("col", "row"), ["col", "row"], "left_anti"), eight=False)
-    corner = box.select((F.col("c0") - 1).alias("col"), (F.col("r0") - 1).alias("row"))
-    outside = back.join(F.broadcast(corner), ["col", "row"]).select("label")
-    inner = back.join(F.broadcast(outside), "label", "left_anti")
+    sizes = lab.groupBy(*own, "label").agg(F.count("*").alias("k"))
+    top = sizes.groupBy(*own).agg(F.min(F.struct((-F.col("k")).alias("k"), "label")).alias("m")).select(*own, "m.label")
+    return lab.join(F.broadcast(top) if not own else top, [*own, "label"], "left_semi").select(*own, "col", "row")
+
+
+def _hole_runs(cells: DataFrame, eight: bool) -> DataFrame:
+    """``(a, b, row, label)``: the runs of unset cells between set ones of a row that set cells enclose, and which runs
+    make one hole. Runs are labelled, not cells; whatever reaches past the first or last set cell of the row above
+    or below is outside."""
+    own = _own(cells)
+    line = Window.partitionBy(*own, "row").orderBy("col")
+    marked = cells.select(*own, "col", "row").distinct().withColumn("last", F.lag("col").over(line))
+    gaps = graph.cut(marked.where("col > last + 1").select(*own, "row", (F.col("last") + 1).alias("a"), (F.col("col") - 1).alias("b")).withColumn("id", F.xxhash64(*own, "row", "a")))
+    ends = marked.groupBy(*own, "row").agg(F.min("col").alias("first"), F.max("col").alias("end"))
+    wide = 1 if eight else 0
+    open_ = None
+    for step in (-1, 1):
+        beside = ends.withColumn("row", F.col("row") + step)
+        got = gaps.join(beside, [*own, "row"], "left").where(F.col("first").isNull() | (F.col("a") - wide < F.col("first")) | (F.col("b") + wide > F.col("end"))).select("id")
+        open_ = got if open_ is None else open_.unionByName(got)
+    below = gaps.select(*own, (F.col("row") + 1).alias("row"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("id").alias("_id"))
+    touch = gaps.join(below, [*own, "row"]).where((F.col("a") <= F.col("_b") + wide) & (F.col("_a") <= F.col("b") + wide)).select(F.col("id").alias("a"), F.col("_id").alias("b"))
+    comp = graph.components(touch).withColumnRenamed("node", "id")
+    named = graph.cut(gaps.join(comp, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
+    outside = named.join(open_.distinct(), "id", "left_semi").select("label").distinct()
+    return named.join(outside, "label", "left_anti")
+
+
+def holes(cells: DataFrame, largest: int | None = None, eight: bool = False) -> DataFrame:
+    """Background cells enclosed by the set ones; with ``largest``, only holes of fewer cells. The background
+    is connected by sides, or with ``eight`` by corners too."""
+    own = _own(cells)
+    runs = _hole_runs(cells, eight)
     if largest is not None:
-        small = inner.groupBy("label").agg(F.count("*").alias("k")).where(F.col("k") < largest).select("label")
-        inner = inner.join(small, "label", "left_semi")
-    return inner.select("col", "row")
+        small = runs.groupBy("label").agg(F.sum(F.col("b") - F.col("a") + 1).alias("k")).where(F.col("k") < largest).select("label")
+        runs = runs.join(small, "label", "left_semi")
+    return runs.select(*own, F.explode(F.sequence("a", "b")).alias("col"), "row")
 
 
-def fill_holes(cells: DataFrame, largest: int | None = None) -> DataFrame:
-    return cells.select("col", "row").distinct().unionByName(holes(cells, largest))
+def fill_holes(cells: DataFrame, largest: int | None = None, eight: bool = False) -> DataFrame:
+    own = _own(cells)
+    return cells.select(*own, "col", "row").distinct().unionByName(holes(cells, largest, eight))
 
 
 def blur(cells: DataFrame, weights: dict[tuple[int, int], float]) -> DataFrame:
     """Weighted sum over a small kernel; only cells in reach of a set cell have a value."""
+    own = _own(cells)
     table = F.explode(F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy"), F.lit(w).alias("w")) for (dx, dy), w in weights.items()])).alias("o")
-    return cells.select("col", "row", table).groupBy((F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row")).agg(F.sum("o.w").alias("v"))
+    return cells.select(*own, "col", "row", table).groupBy(*own, (F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row")).agg(F.sum("o.w").alias("v"))
+
+
+def gradients(shades: DataFrame) -> DataFrame:
+    """Sobel sums ``gx, gy`` of ``(col, row, v)``, v in 0..1 taken as 0..255 whole; unset cells are 0. Each cell adds to
+    the eight around it; cells without a gradient have no row."""
+    own = _own(shades)
+    around = [(dx, dy, dx * (2 if dy == 0 else 1), dy * (2 if dx == 0 else 1)) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    o = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(a, ("dx", "dy", "sx", "sy"))]) for a in around])).alias("o")
+    q = F.round(F.round(F.col("v"), 9) * 255).cast("long")
+    return shades.select(*own, "col", "row", q.alias("q"), o).groupBy(*own, (F.col("col") - F.col("o.dx")).alias("col"), (F.col("row") - F.col("o.dy")).alias("row")).agg(
+        F.sum(F.col("q") * F.col("o.sx")).alias("gx"), F.sum(F.col("q") * F.col("o.sy")).alias("gy")).where("gx <> 0 OR gy <> 0")
+
+
+#: tangent of 22.5 degrees times 2^15 (fixed value)
+TAN_22 = 13573
+
+
+def thin_edges(slopes: DataFrame, low: int = 40, high: int = 120) -> DataFrame:
+    """``(col, row, strong)``: cells whose gradient exceeds ``low`` and is a maximum across the edge; ``strong`` above
+    ``high``. Magnitudes are compared squared, as integers; each cell tells its eight neighbours its own."""
+    own = _own(slopes)
+    m = slopes.withColumn("m", F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    told = m.select(*own, "col", "row", "gx", "gy", "m", _offsets(near)).select(*own, (F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row"), F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"), "gx", "gy", "m")
+    name = lambda dx, dy: f"m{dx + 1}{dy + 1}"
+    here = (F.col("dx") == 0) & (F.col("dy") == 0)
+    # the cell at (dx, dy) told it from the other side
+    seen = told.groupBy(*own, "col", "row").agg(
+        *[F.coalesce(F.max(F.when((F.col("dx") == -dx) & (F.col("dy") == -dy), F.col("m"))), F.lit(0)).alias(name(dx, dy)) for dx, dy in near if dx or dy], *[F.max(F.when(here, F.col(c))).alias(c) for c in ("gx", "gy", "m")])
+    x, y = F.abs("gx"), F.abs("gy") * 32768
+    flat, steep = x * TAN_22, x * TAN_22 + x * 65536
+    above = lambda a, b, tie: (F.col("m") > F.col(name(*a))) & ((F.col("m") >= F.col(name(*b))) if tie else (F.col("m") > F.col(name(*b))))
+    keep = F.when(y < flat, above((-1, 0), (1, 0), True)).when(y > steep, above((0, -1), (0, 1), True)).when((F.col("gx") < 0) != (F.col("gy") < 0), above((1, -1), (-1, 1), False)).otherwise(above((-1, -1), (1, 1), False))
+    return seen.where((F.col("m") > low * low) & keep).select(*own, "col", "row", (F.col("m") > high * high).alias("strong"))
+
+
+def edge_cells(shades: DataFrame, low: int = 40, high: int = 120) -> DataFrame:
+    """Edges of a grey raster ``(col, row, v)``: gradient, thinning across it, and of the thin cells those that touch,
+    however far along the edge, one above ``high``."""
+    thin = graph.cut(thin_edges(gradients(shades), low, high))
+    own = _own(thin)
+    lab = labelled(thin)
+    strong = lab.join(thin.where("strong"), [*own, "col", "row"], "left_semi").select(*own, "label").distinct()
+    return lab.join(strong, [*own, "label"], "left_semi").select(*own, "col", "row")
 
 
 def gaussian(size: int, sigma: float) -> dict[tuple[int, int], float]:
@@ -141,7 +227,7 @@ class Preprocess:
 
 def preprocess(cells: DataFrame, params: Preprocess = Preprocess()) -> DataFrame:
     """``(col, row, v)``, v in 0..1: gaps closed, speckle opened, holes filled, edges softened."""
-    out = cells.select("col", "row").distinct()
+    out = cells.select(*_own(cells), "col", "row").distinct()
     for size, rounds, steps in ((params.close_size, params.close_rounds, (dilate, erode)), (params.open_size, params.open_rounds, (erode, dilate))):
         if size and rounds:
             for step in steps:
@@ -177,22 +263,87 @@ def line_cells(segments: DataFrame) -> DataFrame:
     """Distinct cells of segments ``(ax, ay, bx, by_)`` in cell units: one step a cell of the
     longer side, rounded half up on the other."""
     n = segments.withColumn("n", F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by_") - F.col("ay"))))
+    own = _own(segments)
     e = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
     at = lambda a, b: F.expr(f"{a} + ((abs({b} - {a}) * i + n div 2) div greatest(n, 1)) * (case when {b} >= {a} then 1 else -1 end)")
-    return e.select(at("ax", "bx").alias("col"), at("ay", "by_").alias("row")).distinct()
+    return e.select(*own, at("ax", "bx").alias("col"), at("ay", "by_").alias("row")).distinct()
+
+
+def _envelope(at: np.ndarray, f: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """min over i of (x - at[i])^2 + f[i] for each x, all integers and in order: the lower envelope of parabolas."""
+    at, f = at.tolist(), f.tolist()
+    held: list[int] = []  # parabolas of the envelope, and where each one begins
+    begin: list[float] = []
+    for q in range(len(at)):
+        while held:
+            v = held[-1]
+            s = ((f[q] + at[q] * at[q]) - (f[v] + at[v] * at[v])) / (2 * (at[q] - at[v]))
+            if s > begin[-1]:
+                break
+            held.pop()
+            begin.pop()
+        held.append(q)
+        begin.append(s if len(held) > 1 else -np.inf)
+    k = np.searchsorted(np.array(begin), x, side="left") - 1
+    a, g = np.array(at, np.int64)[held], np.array(f, np.int64)[held]
+    return (x - a[k]) ** 2 + g[k]
+
+
+def _along_rows(rows: DataFrame, run, schema: str) -> DataFrame:
+    own = _own(rows)
+    kind = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in own)
+
+    def whole(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = run(f.sort_values("col"))
+        out.insert(0, "row", int(key[-1]))
+        for c, k in zip(own, key):
+            out.insert(0, c, k)
+        return out
+
+    return rows.groupBy(*own, "row").applyInPandas(whole, f"{kind}row long, {schema}")
 
 
 def free_distance(cells: DataFrame) -> DataFrame:
-    """Distance of each unset cell of the bounding box to the nearest set one. A building's raster is
-    bounded and goes to one kernel; with a column ``building`` each has its own."""
-    from . import kernels
+    """Distance of each unset cell of the bounding box (of each building) to the nearest set one, in two passes:
+    along each column to the set cells above and below, then along each row the lower envelope of the columns'
+    parabolas. A group is a column, then a row."""
+    own = _own(cells)
+    box = cells.groupBy(*own).agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
+    line = Window.partitionBy(*own, "col").orderBy("row")
+    columns = cells.select(*own, "col", "row").distinct().withColumns({"last": F.lag("row").over(line), "next": F.lead("row").over(line)})
+    columns = columns.join(F.broadcast(box), own) if own else with_scalar(columns, box)
+    # a set cell speaks for the cells down to the middle of the gap before it and up to that of the gap after
+    low = F.when(F.col("last").isNull(), F.col("r0")).otherwise(F.floor((F.col("last") + F.col("row")) / 2) + 1)
+    high = F.when(F.col("next").isNull(), F.col("r1")).otherwise(F.floor((F.col("row") + F.col("next")) / 2))
+    upright = columns.withColumn("y", F.explode(F.sequence(low, high))).select(*own, "col", F.col("y").alias("row"), F.abs(F.col("y") - F.col("row")).alias("g"), "c0", "c1")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        wall, c0, r0 = kernels.dense(f["col"].to_numpy(), f["row"].to_numpy(), pad=0)
-        r, c = (~wall).nonzero()
-        return pd.DataFrame({"col": c + c0, "row": r + r0, "dist": kernels.distance_transform(~wall)[r, c]})
+        at, g = f["col"].to_numpy(np.int64), f["g"].to_numpy(np.int64)
+        x = np.setdiff1d(np.arange(f["c0"].iloc[0], f["c1"].iloc[0] + 1), at[g == 0])
+        return pd.DataFrame({"col": x, "dist": np.sqrt(_envelope(at, g * g, x))})
+
+    return _along_rows(upright, run, "col long, dist double").select(*own, "col", "row", "dist")
+
 
-    return by_building(cells.select("col", "row", *[c for c in ("building",) if c in cells.columns]), run, "col long, row long, dist double")
+def depth(cells: DataFrame) -> DataFrame:
+    """``h``: squared distance of each set cell to the nearest unset one, in the same two passes, on set cells
+    alone: runs of them along a column, then along a row."""
+    own = _own(cells)
+    up = Window.partitionBy(*own, "col").orderBy("row")
+    runs = cells.select(*own, "col", "row").distinct().withColumn("_run", F.col("row") - F.row_number().over(up))
+    span = Window.partitionBy(*own, "col", "_run")
+    g = F.least(F.col("row") - F.min("row").over(span), F.max("row").over(span) - F.col("row")) + 1
+    upright = runs.select(*own, "col", "row", g.alias("g"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        at, g = f["col"].to_numpy(np.int64), f["g"].to_numpy(np.int64)
+        out = np.empty(len(at), np.int64)
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 1) + 1):
+            x = at[part]
+            out[part] = _envelope(np.concatenate([[x[0] - 1], x, [x[-1] + 1]]), np.concatenate([[0], g[part] ** 2, [0]]), x)
+        return pd.DataFrame({"col": at, "h": out})
+
+    return _along_rows(upright, run, "col long, h long").select(*own, "col", "row", "h")
 
 
 def by_building(rows: DataFrame, kernel, schema: str) -> DataFrame:
