@@ -11,19 +11,32 @@ def with_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalars))
 
 
+def own_keys(df: DataFrame) -> list[str]:
+    """The column ``building``, where a table has one: what is decided by building is decided within it."""
+    return [c for c in ("building",) if c in df.columns]
+
+
+def attach(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Attach facts by building, or a one-row table where there is no such column."""
+    own = own_keys(df)
+    return df.join(if_small(facts), own) if own else with_scalar(df, facts)
+
+
 def if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """``df`` to be broadcast if it has at most ``most`` rows, which are counted here; else as it is, for
     a join by shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def class_mask(points: DataFrame, strong: float = 0.10, weak: float = 0.02) -> DataFrame:
+def class_mask(points: DataFrame, strong: float = 0.10, weak: float = 0.02, by: str | None = None) -> DataFrame:
     """Keep building points: only class 6 from a share of ``strong``, classes 0, 1, 6 from
-    ``weak``, else all; noise (7) and overlap (18) never. The share is over all points."""
-    share = points.agg(F.avg((F.col("classification") == 6).cast("double")).alias("_share"))
+    ``weak``, else all; noise (7) and overlap (18) never. The share is over all points, or with ``by``
+    over those of each scan, so that one that was never classified is kept beside one that was."""
+    share = points.groupBy(*([by] if by else [])).agg(F.avg((F.col("classification") == 6).cast("double")).alias("_share"))
     c = F.col("classification")
     keep = F.when(F.col("_share") >= strong, c == 6).when(F.col("_share") >= weak, c.isin(0, 1, 6)).otherwise(F.lit(True))
-    return with_scalar(points, share).where(keep & ~c.isin(7, 18)).drop("_share")
+    marked = points.join(if_small(share), by) if by else with_scalar(points, share)
+    return marked.where(keep & ~c.isin(7, 18)).select(*points.columns)
 
 
 def band(points: DataFrame, low: Column | int, high: Column | int, closed: bool = True, at_least: int = 0, column: str = "z_mm") -> DataFrame:
@@ -45,28 +58,32 @@ def band_or_all(points: DataFrame, low: int, high: int, at_least: int) -> DataFr
 
 def dense_windows(points: DataFrame, width: int = 1000, step: int = 100) -> DataFrame:
     """Point counts of sliding height windows [low, low + width), from a step histogram."""
-    lowest = points.agg(F.min("z_mm").alias("_z0"), F.max("z_mm").alias("_z1"))
-    bins = with_scalar(points, lowest).groupBy(F.expr(f"(z_mm - _z0) div {step}").alias("b"), "_z0", "_z1").agg(F.count("*").alias("n"))
-    spread = bins.select("_z0", "_z1", "n", F.explode(F.sequence(F.col("b") - (width // step - 1), F.col("b"))).alias("w"))
+    own = own_keys(points)
+    lowest = points.groupBy(*own).agg(F.min("z_mm").alias("_z0"), F.max("z_mm").alias("_z1"))
+    bins = attach(points, lowest).groupBy(*own, F.expr(f"(z_mm - _z0) div {step}").alias("b"), "_z0", "_z1").agg(F.count("*").alias("n"))
+    spread = bins.select(*own, "_z0", "_z1", "n", F.explode(F.sequence(F.col("b") - (width // step - 1), F.col("b"))).alias("w"))
     in_range = (F.col("w") >= 0) & (F.col("_z0") + F.col("w") * step <= F.greatest(F.col("_z0"), F.col("_z1") - width))
-    return spread.where(in_range).groupBy((F.col("_z0") + F.col("w") * step).alias("low")).agg(F.sum("n").alias("n"))
+    return spread.where(in_range).groupBy(*own, (F.col("_z0") + F.col("w") * step).alias("low")).agg(F.sum("n").alias("n"))
 
 
 def densest_window(points: DataFrame, width: int = 1000, step: int = 100) -> DataFrame:
-    """The fullest window; the lowest of equals."""
-    return dense_windows(points, width, step).orderBy(F.desc("n"), "low").limit(1)
+    """The fullest window, of each building; the lowest of equals."""
+    own = own_keys(points)
+    best = dense_windows(points, width, step).groupBy(*own).agg(F.min(F.struct((-F.col("n")).alias("n"), "low")).alias("m"))
+    return best.where("m IS NOT NULL").select(*own, "m.low", (-F.col("m.n")).alias("n"))
 
 
 def chest_slice(points: DataFrame, low: int, high: int, absolute: int, share: float, floor: int) -> DataFrame:
     """Open band; where it is thin (below max(absolute, share of all)) the densest window; where
     that has fewer than ``floor`` points, everything."""
+    own = own_keys(points)
     inside = (F.col("z_mm") > low) & (F.col("z_mm") < high)
-    n = points.agg(F.count_if(inside).alias("_band"), F.count("*").alias("_all"))
-    best = densest_window(points).select(F.col("low").alias("_low"), F.col("n").alias("_best"))
+    n = points.groupBy(*own).agg(F.count_if(inside).alias("_band"), F.count("*").alias("_all"))
+    best = densest_window(points).select(*own, F.col("low").alias("_low"), F.col("n").alias("_best"))
     window = (F.col("z_mm") >= F.col("_low")) & (F.col("z_mm") < F.col("_low") + 1000)
     thin = F.col("_band") < F.greatest(F.lit(float(absolute)), F.col("_all") * share)
     keep = F.when(~thin, inside).when(F.col("_best") >= floor, window).otherwise(F.lit(True))
-    return with_scalar(with_scalar(points, n), best).where(keep).drop("_band", "_all", "_low", "_best")
+    return attach(attach(points, n), best).where(keep).select(*points.columns)
 
 
 def group_bands(points: DataFrame, low: int, high: int, at_least: int, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -99,19 +116,23 @@ def circular_diff(a: Column, b: Column) -> Column:
 
 
 def dominant_angle(segments: DataFrame, weighted: bool, width: float = 2.0) -> DataFrame:
-    """Centre of the fullest orientation bin, by count or by length; the lowest of equals."""
+    """Centre of the fullest orientation bin, by count or by length, of each building; the lowest of equals."""
+    own = own_keys(segments)
     weight = F.round(F.sum(length_mm()), 3) if weighted else F.count("*").cast("double")
-    return segments.groupBy(F.floor(F.round(angle_deg(), 6) / width).alias("bin")).agg(weight.alias("w")).orderBy(F.desc("w"), "bin").limit(1).select(((F.col("bin") + 0.5) * width).alias("dominant"))
+    bins = segments.groupBy(*own, F.floor(F.round(angle_deg(), 6) / width).alias("bin")).agg(weight.alias("w"))
+    best = bins.groupBy(*own).agg(F.min(F.struct((-F.col("w")).alias("w"), "bin")).alias("m"))
+    return best.where("m IS NOT NULL").select(*own, ((F.col("m.bin") + 0.5) * width).alias("dominant"))
 
 
-def manhattan_filter(segments: DataFrame, tolerance: float = 15.0) -> DataFrame:
-    """Segments along the dominant orientation or across it; all of them if none is."""
+def manhattan_filter(segments: DataFrame, tolerance: float = 15.0, at_least: int = 4) -> DataFrame:
+    """Segments along the dominant orientation or across it; all of them if none is, or if there are fewer
+    than ``at_least``."""
     a = angle_deg()
     peak = F.col("dominant")
     near = (circular_diff(a, peak) <= tolerance) | (circular_diff(a, F.pmod(peak + 90.0, F.lit(180.0))) <= tolerance)
-    marked = with_scalar(segments, dominant_angle(segments, weighted=False)).withColumn("_near", near)
-    some = marked.agg(F.bool_or("_near").alias("_some"))
-    return with_scalar(marked, some).where(F.col("_near") | ~F.col("_some")).select(*segments.columns)
+    marked = attach(segments, dominant_angle(segments, weighted=False)).withColumn("_near", near)
+    some = marked.groupBy(*own_keys(segments)).agg((F.bool_or("_near") & (F.count("*") >= at_least)).alias("_some"))
+    return attach(marked, some).where(F.col("_near") | ~F.col("_some")).select(*segments.columns)
 
 
 def numbered(df: DataFrame, by: Column, order: list[Column], name: str) -> DataFrame:
@@ -130,4 +151,4 @@ def numbered(df: DataFrame, by: Column, order: list[Column], name: str) -> DataF
 
 
 def top_by(df: DataFrame, partition: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+    return df.withColumn("_rank", F.row_number().over((Window.partitionBy(*partition) if partition else Window).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

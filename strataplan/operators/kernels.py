@@ -376,6 +376,17 @@ def polygonize(segments: list[tuple[float, float, float, float]], least: float =
     return sorted(faces, key=lambda f: (-area(f), f))
 
 
+def simple_ring(ring: list[tuple[float, float]]) -> bool:
+    """Whether no two edges of a closed ring cross; one at a time against all, in NumPy."""
+    p = np.array(ring, float)
+    q = np.roll(p, -1, axis=0)
+    side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    for a, b in zip(p, q):
+        if ((side(a, b, p) * side(a, b, q) < 0) & (side(p, q, a) * side(p, q, b) < 0)).any():
+            return False
+    return True
+
+
 def interior_point(polygon) -> tuple[float, float]:
     """A point inside: the middle of the widest chord at the polygon's middle height."""
     p = [tuple(map(float, q)) for q in polygon]

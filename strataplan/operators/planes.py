@@ -6,6 +6,7 @@ Every round is one or two aggregations over the points; only the hypotheses, sum
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -343,16 +344,53 @@ def align_to_plan(points: DataFrame, walls: DataFrame, low: int = 750, high: int
 
 def dbscan(points: DataFrame, eps: int, least: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
     """``(point_id, label)``: clusters named by their smallest core id; noise is null. A border
-    point joins the smallest-named cluster among its core neighbours."""
-    pairs = graph.cut(spatial.radius_pairs(points, points, eps, id_col, dims).select("a_id", "b_id"))
-    core = pairs.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a_id").alias("core"))
-    core = graph.cut(core)
-    links = pairs.where("a_id < b_id").join(core, F.col("a_id") == F.col("core"), "left_semi").join(core, F.col("b_id") == F.col("core"), "left_semi")
-    comp = graph.components(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    named = core.join(comp, F.col("core") == F.col("node"), "left").select("core", F.coalesce("component", "core").alias("label"))
-    border = pairs.join(core, F.col("a_id") == F.col("core"), "left_anti").join(named, F.col("b_id") == F.col("core")).groupBy("a_id").agg(F.min("label").alias("label"))
-    every = named.select(F.col("core").alias(id_col), "label").unionByName(border.select(F.col("a_id").alias(id_col), "label"))
-    return points.select(id_col).join(every, id_col, "left")
+    point joins the smallest-named cluster among its core neighbours.
+
+    Points of one cell or of cells that touch are within eps of each other: the cell's side is eps over twice the
+    root of the dimensions. Where a cell and those around it hold ``least`` points, all of the cell's are core and
+    one part with those of a core cell that touches it, without a distance. Distances are taken for the points
+    of other cells, which have few around them, and between core cells that are near but not joined yet."""
+    side, reach = eps / (2 * len(dims) ** 0.5), int(2 * len(dims) ** 0.5) + 1
+    at = [f"_c{k}" for k in dims]
+    offsets = lambda r: F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(o, at)]) for o in itertools.product(range(-r, r + 1), repeat=len(dims))])).alias("o")
+    moved = lambda df, r, *keep: df.select(*keep, *at, offsets(r)).select(*df.select(*keep).columns, *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in at])
+    cloud = graph.cut(points.select(F.col(id_col).alias("point_id"), *[f"{k}_mm" for k in dims], *[F.floor(F.col(f"{k}_mm") / side).alias(c) for k, c in zip(dims, at)]))
+    cells = cloud.groupBy(*at).agg(F.count("*").alias("n"))
+    full = moved(cells, 1, "n").groupBy(*at).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*at)
+    thick = graph.cut(cells.join(full, at, "left_semi").select(*at, F.xxhash64(*at).alias("cell")))
+    touching = moved(thick, 1, F.col("cell").alias("a")).join(thick, at).select("a", F.col("cell").alias("b")).where("a < b")
+    parts = graph.cut(_cells_named(thick, touching))
+    # core cells of different parts that are near: is any pair of their points within eps?
+    other = parts.withColumnsRenamed({"cell": "b", "part": "_part"})
+    apart = moved(parts, reach, F.col("cell").alias("a"), "part").join(other, at).where("a < b AND part <> _part").select("a", "b")
+    held = graph.cut(cloud.join(thick, at))
+    ends = lambda c: held.select(F.col("cell").alias(c), *[F.col(f"{k}_mm").alias(f"{c}{k}") for k in dims])
+    d2 = sum((F.col(f"a{k}") - F.col(f"b{k}")) * (F.col(f"a{k}") - F.col(f"b{k}")) for k in dims)
+    bridged = apart.join(ends("a"), "a").join(ends("b"), "b").where(d2 <= eps * eps).select("a", "b").distinct()
+    parts = graph.cut(_cells_named(thick, touching.unionByName(bridged)))
+    inner = graph.cut(held.join(parts.select("cell", "part"), "cell").select("point_id", "part"))
+    # the others, each against what is around it
+    thin = cloud.join(thick, at, "left_anti").select("point_id", *[f"{k}_mm" for k in dims])
+    pairs = graph.cut(spatial.radius_pairs(thin, cloud.select("point_id", *[f"{k}_mm" for k in dims]), eps, "point_id", dims).select("a_id", "b_id"))
+    core = pairs.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a_id").alias("point_id"))
+    # a part's name is a hash; a thin core point is a part of its own
+    alone = core.select("point_id", F.xxhash64("point_id", F.lit(1)).alias("part"))
+    every = graph.cut(inner.unionByName(alone))
+    near = graph.cut(pairs.join(every, F.col("b_id") == F.col("point_id")).select("a_id", "part").distinct())
+    links = near.join(alone.withColumnRenamed("part", "own"), F.col("a_id") == F.col("point_id")).select(F.col("own").alias("a"), F.col("part").alias("b"))
+    comp = graph.components(links)
+    joined = graph.cut(every.join(comp, F.col("part") == F.col("node"), "left").select("point_id", "part", F.coalesce("component", "part").alias("whole")))
+    names = joined.groupBy("whole").agg(F.min("point_id").alias("label"))
+    label = graph.cut(joined.join(names, "whole").select("point_id", "part", "label"))
+    of_part = label.select("part", "label").distinct()
+    border = near.join(core, F.col("a_id") == F.col("point_id"), "left_anti").join(of_part, "part").groupBy("a_id").agg(F.min("label").alias("label"))
+    found = label.select(F.col("point_id").alias(id_col), "label").unionByName(border.select(F.col("a_id").alias(id_col), "label"))
+    return points.select(id_col).join(found, id_col, "left")
+
+
+def _cells_named(cells: DataFrame, links: DataFrame) -> DataFrame:
+    comp = graph.components(links).withColumnRenamed("node", "cell")
+    return cells.join(comp, "cell", "left").withColumn("part", F.coalesce("component", "cell")).drop("component")
 
 
 def main_cluster_box(points: DataFrame, eps: int = 1500, least: int = 10, margin: int = 3000, voxel_mm: int = 0, up: str = "z") -> DataFrame:

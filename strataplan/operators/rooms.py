@@ -1,4 +1,5 @@
-"""Rooms and plans from a scan: occupancy raster, closing, walls, distance seeds, watershed."""
+"""Rooms and plans from a scan: occupancy raster, filled floor, walls, distance seeds, watershed. Tables with a column
+``building`` are treated building by building, whose rows stand side by side in the same joins."""
 
 from __future__ import annotations
 
@@ -7,113 +8,160 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import classify, filters, kernels, raster, scalars
+from . import basins, classify, filters, graph, kernels, lines, planes, raster, rings, scalars, voxel
 
 ROOM = "room_id string, label string, category string, polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double, confidence double"
+_SHAPE = "polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double"
 
 
-def occupancy(points: DataFrame, cell: int) -> DataFrame:
-    """Occupied plan cells of the chest band (with its fallbacks), closed once."""
-    chest = filters.chest_slice(points, 1000, 2000, 100, 0.01, 100)
-    return raster.close(chest.select(F.floor(F.col("x_mm") / float(cell)).alias("col"), F.floor(F.col("y_mm") / float(cell)).alias("row")).distinct())
+def _housed(df: DataFrame) -> DataFrame:
+    """With a column ``building``; without one all rows are of building 0."""
+    return df if filters.own_keys(df) else df.withColumn("building", F.lit(0).cast("long"))
 
 
-def rooms_from_cells(cells: DataFrame, cell: int = 150, apart_m: float = 1.5, least_m2: float = 4.0, most: int = 80) -> DataFrame:
-    """Rooms: enclosed free space is split by watershed from distance peaks; the ``most`` largest of a
-    building. Its raster is bounded and goes to one kernel (with a column ``building`` each has its
-    own); classification is JVM-side."""
+def _cells(points: DataFrame, cell: int) -> DataFrame:
+    return points.select(*filters.own_keys(points), F.floor(F.col("x_mm") / float(cell)).alias("col"), F.floor(F.col("y_mm") / float(cell)).alias("row")).distinct()
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        wall, c0, r0 = kernels.dense(f["col"].to_numpy(), f["row"].to_numpy())
-        back = kernels.components(~wall, eight=False)
-        free = ~wall & (back != back[0, 0])
-        dist = kernels.distance_transform(free)
-        apart = max(1, int(apart_m * 1000 / cell))
-        seeds = kernels.peaks(dist, apart, least=1.0)
-        label = kernels.watershed(dist, seeds, free)
-        out = []
-        unit = cell / 1000.0
-        for k in range(1, len(seeds) + 1):
-            part = label == k
-            a = int(part.sum()) * unit * unit
-            if a < least_m2:
-                continue
-            r, c = np.nonzero(part)
-            ring = kernels.contour(part)
-            line = kernels.simplify([*ring, ring[0]], 1.0)[:-1]
-            hull = kernels.area(kernels.convex_hull(ring)) or 1.0
-            cov = np.cov(np.stack([c, r])) if len(c) > 1 else np.eye(2)
-            lo, hi = np.linalg.eigvalsh(cov)
-            ecc = float(np.sqrt(max(0.0, 1 - lo / hi))) if hi > 0 else 0.0
-            turn = float(np.degrees(0.5 * np.arctan2(2 * cov[0, 1], cov[0, 0] - cov[1, 1])) % 180)
-            poly = [{"x": (x + c0) * unit, "y": (y + r0) * unit} for x, y in line]
-            out.append((poly, (float(c.mean()) + 0.5 + c0) * unit, (float(r.mean()) + 0.5 + r0) * unit, a, ecc, min(1.0, float(part.sum()) / hull), turn))
-        return pd.DataFrame(out, columns=["polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg"])
-
-    shape = "polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double"
-    many = "building" in cells.columns
-    found = raster.by_building(cells.select("col", "row", *(["building"] if many else [])), run, shape)
-    order = [F.desc("area_m2"), F.col("cx"), F.col("cy")]
-    return _named(filters.top_by(found, ["building"], order, most) if many else found.orderBy(*order).limit(most))
+
+def floor_cells(points: DataFrame, cell: int, segments: DataFrame | None = None, yard_m2: float = 200.0) -> DataFrame:
+    """The floor of each building: occupied cells of the chest band (with its fallbacks) closed twice, holes below
+    ``yard_m2`` filled, so that courtyards stay open, the largest part, and the cells of known walls taken
+    out."""
+    chest = filters.chest_slice(points, 1000, 2000, 100, 0.01, 100)
+    closed = raster.close(_cells(chest, cell), rounds=2)
+    floor = raster.largest_component(graph.cut(raster.fill_holes(graph.cut(closed), int(yard_m2 * 1e6 / cell**2), eight=True)))
+    if segments is None:
+        return floor
+    own = filters.own_keys(points)
+    burnt = raster.line_cells(segments.select(*own, *[F.floor(F.col(a) / float(cell)).cast("long").alias(b) for a, b in (("x1", "ax"), ("y1", "ay"), ("x2", "bx"), ("y2", "by_"))]))
+    return floor.join(burnt, [*own, "col", "row"], "left_anti")
+
+
+def _room_shape(cell: int, least_m2: float):
+    unit = cell / 1000.0
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        c, r = f["col"].to_numpy(np.int64), f["row"].to_numpy(np.int64)
+        area = len(c) * unit * unit
+        if area < least_m2:
+            return pd.DataFrame({"building": [], "polygon": pd.Series([], dtype=object), "cx": [], "cy": [], "area_m2": [], "eccentricity": [], "solidity": [], "orientation_deg": []})
+        part, c0, r0 = kernels.dense(c, r)
+        ring = kernels.contour(part)
+        line = kernels.simplify([*ring, ring[0]], max(1.0, 1000.0 / cell))[:-1]
+        if len(line) < 3 or not kernels.simple_ring(line):
+            line = ring  # cell edges never cross
+        hull = kernels.area(kernels.convex_hull(ring)) or 1.0
+        cov = np.cov(np.stack([c, r])) if len(c) > 1 else np.eye(2)
+        lo, hi = np.linalg.eigvalsh(cov)
+        ecc = float(np.sqrt(max(0.0, 1 - lo / hi))) if hi > 0 else 0.0
+        turn = float(np.degrees(0.5 * np.arctan2(2 * cov[0, 1], cov[0, 0] - cov[1, 1])) % 180)
+        poly = [((x + c0) * unit, (y + r0) * unit) for x, y in line]
+        cx, cy = kernels.interior_point(poly)
+        return pd.DataFrame({
+            "building": pd.Series([key[0]], dtype=object), "polygon": [[{"x": x, "y": y} for x, y in poly]], "cx": [cx], "cy": [cy], "area_m2": [area], "eccentricity": [ecc], "solidity": [min(1.0, len(c) / hull)], "orientation_deg": [turn]})
+
+    return run
+
+
+def rooms_from_floor(floor: DataFrame, cell: int = 500, apart_m: float = 1.5, least_m2: float = 4.0, most: int = 80) -> DataFrame:
+    """Rooms of floor cells: distance to what is no floor, seeds in two passes, watershed; the ``most`` largest of a
+    building. A group is one room."""
+    many = bool(filters.own_keys(floor))
+    h = graph.cut(raster.depth(_housed(floor)))
+    apart = max(3, int(apart_m * 1000 / cell))
+    label = basins.watershed(h, basins.room_seeds(h, apart, apart))
+    found = label.groupBy("building", "label").applyInPandas(_room_shape(cell, least_m2), f"building {h.schema['building'].dataType.simpleString()}, {_SHAPE}")
+    out = _named(filters.top_by(found, ["building"], [F.desc("area_m2"), F.col("cx"), F.col("cy")], most))
+    return out if many else out.drop("building")
 
 
 def _named(rooms: DataFrame) -> DataFrame:
     """Add stable ids and the classification."""
     rid = scalars.hashed_id(F.col("cx"), F.col("cy"))
     c = rooms.withColumn("c", classify.classify_room(F.col("area_m2"), F.col("eccentricity"), F.col("solidity")))
-    return c.select(*[x for x in ("building",) if x in rooms.columns], rid.alias("room_id"), "c.label", "c.category", "polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg", F.round("c.confidence", 3).alias("confidence"))
-
-
-def rooms_from_lines(segments: DataFrame, plan_area: float) -> DataFrame:
-    """Rooms as faces of the plan lines (metres), at least max(2 m2, 0.5 % of the plan)."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ring in kernels.polygonize(list(f[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), max(2.0, plan_area * 0.005)):
-            x, y = zip(*ring)
-            w, h = max(x) - min(x), max(y) - min(y)
-            cx, cy = kernels.interior_point(ring)
-            ecc = 1 - 1 / (max(w, h) / max(min(w, h), 0.001))
-            out.append(([{"x": a, "y": b} for a, b in ring], cx, cy, kernels.area(ring), ecc, kernels.area(ring) / (kernels.area(kernels.convex_hull(ring)) or 1.0), 0.0))
-        return pd.DataFrame(out, columns=["polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg"])
-
-    shape = "polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double"
-    return _named(raster.by_building(segments.select("x1", "y1", "x2", "y2", *[x for x in ("building",) if x in segments.columns]), run, shape))
-
-
-def building_room(x0: float, y0: float, x1: float, y1: float, spark) -> DataFrame:
-    """The bounding box as a single room."""
-    ring = [{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
-    return spark.createDataFrame([("room-001", "Building", "unknown", ring, (x0 + x1) / 2, (y0 + y1) / 2, (x1 - x0) * (y1 - y0), 0.0, 1.0, 0.0, 0.3)], ROOM)
-
-
-def rooms_from_scan(points: DataFrame, segments: DataFrame | None = None, cell: int = 150) -> DataFrame:
-    """Occupancy rooms; else faces of the plan lines; else the building as one room."""
-    found = rooms_from_cells(occupancy(points, cell), cell)
-    if found.take(1):
-        return found
-    if segments is not None:
-        faces = rooms_from_lines(segments, 400.0)
-        if faces.take(1):
-            return faces
-    b = points.agg(*[(f(c) / 1000.0).alias(n) for n, f, c in (("x0", F.min, "x_mm"), ("y0", F.min, "y_mm"), ("x1", F.max, "x_mm"), ("y1", F.max, "y_mm"))]).first()
-    return building_room(*b, points.sparkSession)
-
-
-def plan_from_projection(points: DataFrame, cell: int = 50, least_m: float = 0.5, most: int = 120) -> DataFrame:
-    """Wall lines of a scan without planes: chest raster, closing, edge cells, deterministic
-    Hough, the two main directions, longest first. Millimetres."""
-    cells = occupancy(points, cell)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        image, c0, r0 = kernels.dense(f["col"].to_numpy(), f["row"].to_numpy())
-        got = kernels.hough_segments(image, votes=max(12, int(least_m * 1000 / cell)), least=least_m * 1000 / cell, gap=6.0)
-        rows = [((x1 + c0) * cell, (y1 + r0) * cell, (x2 + c0) * cell, (y2 + r0) * cell) for x1, y1, x2, y2 in got]
-        return pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2"]).astype(float)
-
-    lines = cells.groupBy(F.lit(0).alias("plan")).applyInPandas(run, "x1 double, y1 double, x2 double, y2 double")
-    kept = filters.manhattan_filter(lines.withColumn("seg_id", F.xxhash64("x1", "y1", "x2", "y2")))
-    return kept.orderBy(filters.length_mm().desc(), "seg_id").limit(most)
+    return c.select(*filters.own_keys(rooms), rid.alias("room_id"), "c.label", "c.category", "polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg", F.round("c.confidence", 3).alias("confidence"))
+
+
+def rooms_from_lines(segments: DataFrame, cell: float = 5.0, snap: float = 1e-6) -> DataFrame:
+    """Rooms as faces of plan lines (metres), at least max(2 m2, 0.5 % of the box of the building's lines). Faces are
+    made by joins; only a face's own corners go to a function, for its hull and a point inside."""
+    many = bool(filters.own_keys(segments))
+    s = _housed(segments)
+    kind = s.schema["building"].dataType.simpleString()
+    x, y = (lambda f, g: f(g("x1", "x2"))), (lambda f, g: f(g("y1", "y2")))
+    box = s.groupBy("building").agg(((x(F.max, F.greatest) - x(F.min, F.least)) * (y(F.max, F.greatest) - y(F.min, F.least)) * 0.005).alias("_least"))
+    ends = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    sides = graph.cut(rings.faces(s.select(F.col("building").alias("by"), F.xxhash64("x1", "y1", "x2", "y2").alias("seg_id"), *ends).distinct(), cell, snap, 2.0))
+    big = rings.measured(sides).join(filters.if_small(box), F.col("by") == F.col("building")).where(F.col("area") >= F.col("_least"))
+    faces = big.join(rings.outlines(sides), ["by", "face"]).select("building", "area", "x0", "y0", F.col("x1").alias("u"), F.col("y1").alias("v"), "polygon")
+
+    def shaped(frames):
+        for f in frames:
+            rows = []
+            for b, area, x0, y0, u, v, polygon in f.itertuples(index=False):
+                ring = [(p["x"], p["y"]) for p in polygon]
+                cx, cy = kernels.interior_point(ring[:-1])
+                ecc = 1 - 1 / (max(u - x0, v - y0) / max(min(u - x0, v - y0), 0.001))
+                rows.append((b, [{"x": p, "y": q} for p, q in ring], cx, cy, area, ecc, min(1.0, area / (kernels.area(kernels.convex_hull(ring[:-1])) or 1.0)), 0.0))
+            if rows:
+                yield pd.DataFrame(rows, columns=["building", "polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg"])
+
+    out = _named(faces.mapInPandas(shaped, f"building {kind}, {_SHAPE}"))
+    return out if many else out.drop("building")
+
+
+def building_rooms(boxes: DataFrame) -> DataFrame:
+    """The box ``(x0, y0, x1, y1)`` of each building as a single room."""
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(*[point(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
+    return boxes.select(
+        *filters.own_keys(boxes), F.lit("room-001").alias("room_id"), F.lit("Building").alias("label"), F.lit("unknown").alias("category"), ring.alias("polygon"), F.expr("(x0 + x1) / 2").alias("cx"), F.expr("(y0 + y1) / 2").alias("cy"),
+        F.expr("(x1 - x0) * (y1 - y0)").alias("area_m2"), F.lit(0.0).alias("eccentricity"), F.lit(1.0).alias("solidity"), F.lit(0.0).alias("orientation_deg"), F.lit(0.3).alias("confidence"))
+
+
+def boxes(points: DataFrame) -> DataFrame:
+    """The box of each building's points, metres."""
+    return points.groupBy(*filters.own_keys(points)).agg(*[(f(c) / 1000.0).alias(n) for n, f, c in (("x0", F.min, "x_mm"), ("y0", F.min, "y_mm"), ("x1", F.max, "x_mm"), ("y1", F.max, "y_mm"))])
+
+
+def rooms_from_scan(points: DataFrame, segments: DataFrame | None = None, cell: int = 500) -> DataFrame:
+    """Rooms of each building's floor, divided by known wall lines (millimetres); of a building without any the faces
+    of its lines; else the building as one room."""
+    many = bool(filters.own_keys(points))
+    p = _housed(points)
+    s = None if segments is None else _housed(segments)
+    out = graph.cut(rooms_from_floor(floor_cells(p, cell, s), cell))
+    left = graph.cut(boxes(p).join(out.select("building").distinct(), "building", "left_anti"))
+    if left.take(1):
+        if s is not None:
+            rest = s.join(left.select("building"), "building", "left_semi")
+            faces = graph.cut(rooms_from_lines(rest.select("building", *[(F.col(c) / 1000.0).alias(c) for c in ("x1", "y1", "x2", "y2")])))
+            out = out.unionByName(faces)
+            left = left.join(faces.select("building").distinct(), "building", "left_anti")
+        out = out.unionByName(building_rooms(left))
+    return out if many else out.drop("building")
+
+
+def plan_from_projection(points: DataFrame, cell: int = 100, least_m: float = 2.0, most: int = 120, thin: int = 80) -> DataFrame:
+    """Wall lines of a scan without planes, ``(seg_id, x1, y1, x2, y2)`` in millimetres: chest band of the thinned cloud,
+    the main cluster's box, raster closed three times and filled, blurred, edges, Hough runs of at least ``least_m``, the
+    ``most`` longest, and of four or more those of the two main directions; the box where no line is found."""
+    own = filters.own_keys(points)
+    small = planes.thinned(points, thin) if thin and not own else points
+    chest = graph.cut(filters.chest_slice(small.select(*own, "point_id", "x_mm", "y_mm", "z_mm"), 1000, 2000, 500, 0.01, 50))
+    if not own and chest.limit(501).count() > 500:
+        chest = graph.cut(planes.main_cluster_box(chest, 1500, 10, 3000))
+    filled = graph.cut(raster.fill_holes(graph.cut(raster.close(_cells(chest, cell), raster.DISC5, 3))))
+    edges = graph.cut(raster.edge_cells(raster.blur(filled, raster.gaussian(5, 1.5))))
+    found = lines.hough_segments(edges, 35, max(10, int(least_m * 1000 / cell)), max(5, int(600 / cell)))
+    mm = found.select(*own, *[((F.col(c) + 0.5) * cell).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    long = mm.where(filters.length_mm() >= least_m * 1000).withColumn("seg_id", F.xxhash64("x1", "y1", "x2", "y2"))
+    kept = graph.cut(filters.manhattan_filter(graph.cut(filters.top_by(long, own, [filters.length_mm().desc(), F.col("seg_id")], most))))
+    box = chest.groupBy(*own).agg(*[f(c).cast("double").alias(n) for n, f, c in (("x0", F.min, "x_mm"), ("y0", F.min, "y_mm"), ("u", F.max, "x_mm"), ("v", F.max, "y_mm"))])
+    bare = box.join(kept.select(*own).distinct(), own, "left_anti") if own else box.where(F.lit(not kept.take(1)))
+    sides = F.explode(F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(side, ("x1", "y1", "x2", "y2"))]) for side in (("x0", "y0", "u", "y0"), ("u", "y0", "u", "v"), ("u", "v", "x0", "v"), ("x0", "v", "x0", "y0"))])).alias("s")
+    ends = bare.where("x0 IS NOT NULL").select(*own, sides).select(*own, "s.*").withColumn("seg_id", F.xxhash64("x1", "y1", "x2", "y2"))
+    return kept.unionByName(ends).select(*own, "seg_id", "x1", "y1", "x2", "y2")
 
 
 def outline(points: DataFrame, sample: int = 20_000, cell: int = 500) -> DataFrame:

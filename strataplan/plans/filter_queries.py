@@ -20,6 +20,15 @@ def class_mask(spark, d):
     return op.class_mask(src.points(spark, d)).groupBy("classification").agg(F.count("*").alias("n"), F.sum("z_mm").alias("sum_z"))
 
 
+@query("class_mask_by_scan", f"""WITH {P}, q AS (SELECT scan_id, CASE WHEN scan_id % 3 = 1 THEN 0 WHEN scan_id % 3 = 2 AND classification = 6 AND point_id % 5 > 1 THEN 2 ELSE classification END AS classification FROM pts),
+s AS (SELECT scan_id, avg(CASE WHEN classification = 6 THEN 1.0 ELSE 0.0 END) AS share FROM q GROUP BY 1)
+SELECT scan_id, classification, count(*) AS n FROM q JOIN s USING (scan_id) WHERE classification NOT IN (7, 18) AND (CASE WHEN share >= 0.1 THEN classification = 6 WHEN share >= 0.02 THEN classification IN (0, 1, 6) ELSE TRUE END) GROUP BY 1, 2""")
+def class_mask_by_scan(spark, d):
+    """Each scan by its own share of class 6: some were never classified, some in part."""
+    part = F.when(F.col("scan_id") % 3 == 1, 0).when((F.col("scan_id") % 3 == 2) & (F.col("classification") == 6) & (F.col("point_id") % 5 > 1), 2).otherwise(F.col("classification"))
+    return op.class_mask(src.points(spark, d).withColumn("classification", part), by="scan_id").groupBy("scan_id", "classification").agg(F.count("*").alias("n"))
+
+
 @query("class_mask_weak", f"WITH {P} SELECT classification, count(*) AS n FROM pts WHERE classification IN (0, 1, 6) GROUP BY 1")
 def class_mask_weak(spark, d):
     """The share of class 6 lies between the two limits."""

@@ -9,12 +9,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs import VectorizeParams
-from ..operators import filters, graph, kernels, merging, planes, raster, rooms, segments, spatial
+from ..operators import filters, graph, lines, merging, planes, raster, rooms, segments, spatial
 from ..sources import sinks
 
 
@@ -25,7 +24,7 @@ class ScanParams:
     band_low: int = 750
     band_high: int = 1800
     voxel: int = 30
-    room_cell: int = 150
+    room_cell: int = 500
     outlier_neighbours: int = 20
     outlier_ratio: float = 2.0
 
@@ -43,8 +42,8 @@ def scan_to_plan(points: DataFrame, walls: DataFrame | None = None, params: Scan
     base = 0.0 if best is None else best.floor_z
     level = cloud.withColumn("z_mm", (F.col("z_mm") - F.lit(base)).cast("long"))
     found, _ = planes.wall_planes(level, low=params.band_low, high=params.band_high, least_found=4, most=12)
-    lines = rooms.plan_from_projection(level) if len(found) < 4 else plane_lines(level, found)
-    out = {"floors": floors, "planes": found, "plan": lines, "rooms": rooms.rooms_from_scan(level, cell=params.room_cell), "outline": rooms.outline(level)}
+    plan = graph.cut(rooms.plan_from_projection(level) if len(found) < 4 else plane_lines(level, found))
+    out = {"floors": floors, "planes": found, "plan": plan, "rooms": rooms.rooms_from_scan(level, plan, params.room_cell), "outline": rooms.outline(level)}
     if walls is not None:
         out["alignment"] = planes.align_to_plan(level, walls, params.band_low, params.band_high)
     return out
@@ -58,37 +57,42 @@ def plane_lines(points: DataFrame, found: list[tuple[planes.Plane, int]], thresh
     return segments.pca_lines(points.withColumn("wall", which).where("wall is not null"), "wall").select(F.col("wall").cast("long").alias("seg_id"), "x1", "y1", "x2", "y2")
 
 
-def detect(cells: DataFrame, res: int, least_mm: float, detector: str) -> DataFrame:
-    """Segments of a raster in millimetres from its corner: ``hough``, ``fld`` (hough where it
-    finds nothing) or ``both``."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        image, c0, r0 = kernels.dense(f["col"].to_numpy(), f["row"].to_numpy())
-        least = max(3, round(least_mm / res))
-        lines = kernels.grown_segments(image, least) if detector in ("fld", "both") else []
-        if detector in ("hough", "both") or not lines:
-            lines = lines + kernels.hough_segments(image, votes=least, least=least)
-        return pd.DataFrame([((x1 + c0) * res, (y1 + r0) * res, (x2 + c0) * res, (y2 + r0) * res) for x1, y1, x2, y2 in lines], columns=["x1", "y1", "x2", "y2"]).astype(float)
-
-    out = raster.by_building(cells.select("col", "row", *[c for c in ("building",) if c in cells.columns]), run, "x1 double, y1 double, x2 double, y2 double")
-    return out.withColumn("seg_id", F.xxhash64("x1", "y1", "x2", "y2"))
-
-
-def vectorize(points: DataFrame, params: VectorizeParams = VectorizeParams()) -> dict:
-    """Slice, clean, detect, regularise: wall lines in world millimetres, drawing and metrics."""
+def detect(shades: DataFrame, res: int, least_mm: float, detector: str) -> DataFrame:
+    """Segments of a grey raster in millimetres from its corner: ``hough`` over its edges, ``fld`` (regions of one
+    orientation; hough where it finds nothing) or ``both``."""
+    own = filters.own_keys(shades)
+    least = max(3, round(least_mm / res))
+    ends = ("x1", "y1", "x2", "y2")
+    grown = graph.cut(lines.grown_segments(raster.gradients(shades), least=least).select(*own, *ends)) if detector != "hough" else None
+    if detector == "fld" and grown.take(1):
+        found = grown
+    else:
+        found = lines.hough_segments(raster.edge_cells(shades), votes=least, least=least).select(*own, *ends)
+        found = found if grown is None else found.unionByName(grown)
+    return found.select(*own, *[((F.col(c) + 0.5) * res).alias(c) for c in ends]).withColumn("seg_id", F.xxhash64(*ends))
+
+
+def vectorize(points: DataFrame, params: VectorizeParams = VectorizeParams(), preprocess: raster.Preprocess = raster.Preprocess(), progress=None) -> dict:
+    """Slice, preprocess, detect, regularise: wall lines in world millimetres, drawing and metrics. ``progress`` is told
+    the share that is done and what comes next."""
+    tell = progress or (lambda share, text: None)
+    tell(0.0, "slice")
     elevation = params.elevation
     if elevation is None:
         best = planes.floor_levels(points).first()
         elevation = ((best.floor_z if best else 0.0) + 1400) / 1000
     mid, half, res = elevation * 1000, params.slab * 500, max(1, round(params.resolution * 1000))
     cells, affine = raster.slice_to_raster(points, int(mid - half), int(mid + half), res)
-    clean = graph.cut(raster.close(cells))
+    clean = graph.cut(raster.preprocess(cells, preprocess))
     at = affine.first()
+    tell(0.3, "lines")
     raw = detect(clean, res, params.least_length * 1000, params.detector)
     world = graph.cut(raw.select("seg_id", (F.col("x1") + at.x0).alias("x1"), (F.col("y1") + at.y0).alias("y1"), (F.col("x2") + at.x0).alias("x2"), (F.col("y2") + at.y0).alias("y2")))
+    tell(0.7, "walls")
     walls = graph.cut(segments.regularise(world, params.least_length * 1000))
     n = {"points": at.n_points, "cells": cells.count(), "raw_segments": world.count(), "segments": walls.count(), "elevation_m": elevation}
     text, dropped = sinks.dxf_text(walls.select(F.lit("walls").alias("class"), *[(F.col(c) / 1000.0).alias(c) for c in ("x1", "y1", "x2", "y2")]), note=f"{n['segments']} walls at {elevation:.2f} m")
+    tell(1.0, "done")
     return {"segments": walls, "cells": cells, "affine": at.asDict(), "metrics": n, "dxf": text, "dropped": dropped, "params_json": json.dumps(asdict(params))}
 
 

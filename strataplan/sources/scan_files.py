@@ -258,7 +258,7 @@ def register(spark: SparkSession) -> None:
 def load_scan(spark: SparkSession, path: str) -> DataFrame:
     """Points of a scan file or folder in integer millimetres, class mask applied. Colours are scaled
     to 0..1 by what the colour values need; a scan without colours gets those of its intensities, and
-    one without either has none. Either is decided scan by scan."""
+    one without either has none. Class mask and colours are decided scan by scan."""
     from ..operators.filters import class_mask
     from ..operators.scalars import intensity_colours
 
@@ -267,7 +267,7 @@ def load_scan(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     raw = spark.read.format("scan").load(path)
     mm = raw.select("scan", "point_id", *[F.round(F.col(k) * 1000).cast("long").alias(f"{k}_mm") for k in "xyz"], "r", "g", "b", F.coalesce("classification", F.lit(0)).alias("classification"), "intensity")
-    kept = class_mask(mm)
+    kept = class_mask(mm, by="scan")
     facts = kept.groupBy("scan").agg(F.greatest(F.max("r"), F.max("g"), F.max("b")).alias("_top"), F.percentile("intensity", [0.02, 0.98]).alias("_q"))  # a row a scan
     scale = F.when(F.col("_top") <= 1, 1.0).when(F.col("_top") <= 255, 255.0).otherwise(65535.0)
     low, high = F.col("_q")[0], F.col("_q")[1]
