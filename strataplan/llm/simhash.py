@@ -174,13 +174,21 @@ def links(nodes: DataFrame, threshold: int = 3, block: int | None = None, few: i
     return pairs.unionByName(crowded).distinct()
 
 
+#: nodes from here on have no id; ids are below
+NAMELESS = 1 << 62
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 3, shingle_words: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``."""
+    """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``; rows of null id link like others, and
+    ``component_id`` is null where no id is reached."""
     prints = common.store(fingerprints(docs, shingle_words))
+    # fingerprints that only rows of null id hold are nodes too, beyond all ids: links run through them
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = common.components(links(nodes.where("rep IS NOT NULL"), threshold))
+    nodes = common.store(nodes.withColumn("rep", F.coalesce("rep", F.lit(NAMELESS) + F.monotonically_increasing_id())))
+    comp = common.components(links(nodes, threshold))
     # stored, so that a common fingerprint's rows are a skewed side of a plain join, which may be split at run time
-    named = common.store(nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    root = F.coalesce("component", "rep")
+    named = common.store(nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.when(root < NAMELESS, root).alias("component_id")))
     return prints.join(named, "fp")
 
 

@@ -678,6 +678,15 @@ def test_simhash(spark, edge, empty, block, few, monkeypatch):
     assert kept.columns == edge.columns and kept.where("doc_id in (3, 4)").count() == 1
 
 
+def test_simhash_links_through_null_ids(spark, monkeypatch):
+    """a - b - c at three bits each: b alone has no id, and yet a is reached from c."""
+    base = 0x5A5A_1234_9876_0F0F
+    prints = spark.createDataFrame([(7, base), (None, base ^ 0b111), (9, base ^ 0b111111), (None, ~base & (2**62 - 1))], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, n: prints)
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(prints).collect()), key=repr)
+    assert got == [(7, 7), (9, 7), (None, 7), (None, None)]
+
+
 def five(text):
     """Hashes of a text's five-word shingles in plain Python."""
     codes = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
