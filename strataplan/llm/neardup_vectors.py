@@ -16,9 +16,10 @@ audit reached. :func:`audits` returns what was audited.
 Equal vectors are one node with a count, so a common vector costs one search. A task returns
 each node's link count and a spanning forest, never the pairs; components are joined globally.
 
-Defined results: rows with a null label or id, and vectors that are null, empty, zero or hold null or non-finite
+Defined results: rows with a null label, and vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length do not link; repeated rows are returned
-each and link with each other; different vectors of one id share a component; extra columns are ignored; an empty table gives an empty result.
+each and link with each other; different vectors of one id are nodes of their own; rows of null id link like others,
+and a component without any id has a null one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -256,11 +257,16 @@ def mutual(found: list[np.ndarray], block: int = 8_000_000) -> list[np.ndarray]:
 
 
 def nodes(vectors: DataFrame) -> DataFrame:
-    """Distinct usable vectors: ``(label, vec array<double>, node, n)``; node is the smallest id."""
+    """Distinct usable vectors: ``(label, vec array<double>, first, n)``; first is the smallest id."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(
+    usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(
         "vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
-    return vectors.withColumn("vec", v).where(usable).groupBy("label", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
+    return vectors.withColumn("vec", v).where(usable).groupBy("label", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+
+
+def numbered(distinct: DataFrame) -> DataFrame:
+    """The stored vectors with a number ``node`` of their own: an id may have several, or none."""
+    return common.store(distinct.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _raw(vecs) -> np.ndarray:
@@ -309,7 +315,7 @@ def shards(distinct: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD
     """One row a shard: its vectors, ids and counts; its graph; the links within it: forest edges
     ``a, b`` and link counts ``n``; and its audit."""
     sizes = distinct.groupBy("label", F.size("vec").alias("dims")).agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("shards"))
-    dealt = distinct.withColumn("dims", F.size("vec")).join(sizes, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(5)), "shards").cast("int"))
+    dealt = distinct.withColumn("dims", F.size("vec")).join(sizes, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("vec", F.lit(5)), "shards").cast("int"))
 
     def build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node", ignore_index=True)
@@ -362,27 +368,25 @@ def across(stored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def audits(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """What the shards' own audits saw: ``label, dims, shard, beam, audited, links``; no audited link
     is missed (a beam of the shard's size is the exact scan and needs no audit)."""
-    return shards(nodes(vectors), threshold, shard).select("label", "dims", "shard", "beam", "audited", "links")
+    return shards(numbered(nodes(vectors)), threshold, shard).select("label", "dims", "shard", "beam", "audited", "links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` with ``n_links``, ``component_id`` and ``kept``."""
-    distinct = common.store(nodes(vectors))
+    distinct = numbered(nodes(vectors))
     built = common.store(shards(distinct, threshold, shard))
     found = common.store(across(built, threshold))
     within = built.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
     counts = built.select(F.explode("n").alias("c")).select(F.col("c.node").alias("a"), "c.near").unionByName(found.where("b IS NULL").select("a", "near"))
     near = counts.groupBy("a").agg(F.sum("near").alias("near"))
-    comp = common.components(within.unionByName(found.where("b IS NOT NULL").select("a", "b")))
-    named = distinct.select("label", "vec", "node", "n").join(near, F.col("node") == F.col("a"), "left").drop("a")
-    comp = comp.withColumnRenamed("node", "_node")
-    named = named.join(comp, F.col("node") == F.col("_node"), "left").select(
-        F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    comp = common.components(within.unionByName(found.where("b IS NOT NULL").select("a", "b"))).withColumnRenamed("node", "_node")
+    whole = distinct.select("label", "vec", "node", "first", "n").join(near, F.col("node") == F.col("a"), "left").join(comp, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("component", "node"))
+    smallest = whole.groupBy("part").agg(F.min("first").alias("component_id"))
+    named = whole.join(smallest, "part").select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("_linked"))
     mine = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("_v"))
     out = mine.join(named, (F.col("label") == F.col("_label")) & (F.col("_v") == F.col("_vec")), "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
+    root = F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), root.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op1_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

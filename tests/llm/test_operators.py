@@ -44,7 +44,7 @@ def empty(edge):
 def brute_links(rows, threshold):
     links, usable = defaultdict(set), []
     for i, (vid, v, label) in enumerate(rows):
-        if label is not None and vid is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
             usable.append((i, np.array(v, float) / np.linalg.norm(np.array(v, float)), label))
     for a, (i, x, l) in enumerate(usable):
         for j, y, m in usable[a + 1 :]:
@@ -79,6 +79,27 @@ def test_vectors(spark, shard):
     assert {r.label for r in told} == {0, 1, 2, 3} and all(r.beam <= 8192 for r in told)
 
 
+def test_vectors_of_repeated_and_null_ids(spark):
+    """Vectors of one id under one or two labels count their own links, and links run through rows of null id."""
+    turn = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    rows = [(1, turn(0), 0), (1, turn(90), 0), (2, turn(15), 0), (3, turn(100), 0), (4, turn(-10), 0), (1, turn(0), 1), (5, turn(200), 0), (None, turn(220), 0), (6, turn(240), 0), (None, turn(300), 0), (None, turn(300), 0)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 1, False), (1, 0, 1, True), (5, 1, 5, True), (None, 2, 5, False), (6, 1, 5, False), (None, 1, None, True), (None, 1, None, True)], key=repr)
+
+
+def test_vectors_across_shards(spark):
+    """Shards far above the first beam: links across them are searched for by graph, and equal brute force."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2400, 24))
+    x[1200:] = x[:1200] + rng.normal(size=(1200, 24)) * 0.06
+    rows = [(i, v, 1) for i, v in enumerate(x.astype(np.float32).tolist())]
+    got = {r.vec_id: r.n_links for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard=1200).collect()}
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    truth = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert truth.sum() > 2000 and [got[i] for i in range(len(rows))] == truth.tolist()
+
+
 def test_graph_search_is_no_scan():
     """With beams far below the shard's size the audited search finds all links."""
     rng = np.random.default_rng(4)
