@@ -129,7 +129,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = 16384
         f["offset"] = offset
         return f.drop(columns="grp")
 
-    keyed = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    # rows without an id are dealt by their running number; the table is stored, so it does not change
+    turn = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    keyed = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", turn, F.lit(seed)), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return keyed.groupBy("grp").applyInPandas(pack, schema)
 

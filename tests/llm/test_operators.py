@@ -452,6 +452,13 @@ def test_factorisation_identity():
     assert m.logit(at, x, st) == pytest.approx(want, rel=1e-4)
 
 
+def test_packing_deals_out_null_ids(spark):
+    """Rows of one id, or of none, do not crowd one group."""
+    pieces = spark.range(6000).selectExpr("CASE WHEN id < 3000 THEN NULL WHEN id < 4500 THEN 5 ELSE id END AS doc_id", "0L AS start", "10L AS length", "CASE WHEN id < 3000 THEN 7 ELSE id END AS ids_crc32")
+    got = packing.place(common.store(pieces), group_pieces=500).selectExpr("pmod(sequence_id, 12) AS grp").groupBy("grp").count().collect()
+    assert len(got) == 12 and max(r["count"] for r in got) < 650
+
+
 # op6 ------------------------------------------------------------------------------------------
 
 
@@ -510,6 +517,26 @@ def test_suffix_dedup_edge(spark, edge, empty):
     assert suffix_dedup.remove(empty).count() == 0
 
 
+def test_planted_passages(spark):
+    """Passages of 51 to 60 words, of less and more than 400 bytes, planted in pairs of documents: the columns tell of
+    every one of them, and of no document between."""
+    rng = random.Random(21)
+    planted, texts = set(), [prose(rng, rng.randint(60, 300)) for _ in range(240)]
+    words = [["a", "of", "it", "we", "so", "up"], WORDS]
+    for k in range(40):
+        passage = " ".join(f"{rng.choice(words[k % 2])}{rng.choice('xyz')}{'' if k % 2 else rng.randrange(9)}" for _ in range(51 + k % 10))
+        assert (len(passage) < 400) == (k % 2 == 0)
+        for i in (3 * k, 239 - 3 * k):
+            at = texts[i].find(" ", len(texts[i]) // 2)
+            texts[i] = f"{texts[i][:at]} {passage} {texts[i][at + 1:]}"
+            planted.add(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in suffix_dedup.remove(df).collect()}
+    assert {i for i, r in got.items() if r.n_passage_words > 0} == planted
+    assert all(got[i].n_passage_words >= 51 for i in planted)
+    assert {i for i, r in got.items() if r.n_removed > 0} <= planted and sum(r.n_removed > 0 for r in got.values()) >= 30
+
+
 def test_loser_tree():
     rng = random.Random(2)
     runs = [sorted("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(rng.randint(0, 30))) for _ in range(7)]
@@ -620,6 +647,20 @@ def test_pii_terms(spark):
     assert pii.spans(clash.drop("_base")).columns == [*clash.drop("_base").columns, "_base", "_spans"] and pii.sanitise(clash).columns == clash.columns
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_pii_repeated_rows(spark, copies):
+    """A term that reveals an entity is found as well where every row is there twice or thrice, and beside copies
+    under other ids."""
+    rng = random.Random(6)
+    rows = [prose(rng, 40) for _ in range(200)] + [f"{prose(rng, 10)} the Quellmaster {prose(rng, 2)} boss@corp.example.org {prose(rng, 10)}" for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    terms = lambda d: {(r.doc_id, s.value) for r in pii.spans(d).collect() for s in r._spans if s.kind == 5}
+    want = {(i, "Quellmaster") for i in range(200, 212)}
+    same = df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_n")
+    assert terms(df) == want and terms(same) == want
+    assert {v for _, v in terms(same.unionByName(df.withColumn("doc_id", F.col("doc_id") + 1000)))} == {"Quellmaster"}
+
+
 def test_pii_secrets(spark):
     """Long runs count only with letters, four digits and information enough."""
     texts = ["key 04dbebab91ab85687d33eeaaf9ac699e1188f962 end", "antidisestablishmentarianism", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1111", "1234-5678-9012-3456-7890-12", "x" * 30_000 + "1234"]
