@@ -72,11 +72,12 @@ def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _at_once(f: pd.DataFrame) -> pd.DataFrame:
     names, at = np.unique(f[["u", "v"]].to_numpy(np.int64), return_inverse=True)
     at = at.reshape(-1, 2)
-    return pd.DataFrame({"node": names, "component": names[smallest(len(names), at[:, 0], at[:, 1])]})
+    out = pd.DataFrame({"node": names, "component": names[smallest(len(names), at[:, 0], at[:, 1])]})
+    return out[out["node"] != out["component"]]
 
 
 def components(edges: DataFrame, max_rounds: int = 50, few: int = FEW) -> DataFrame:
-    """``(node, component)`` for nodes with an edge to another; component is the smallest id. At most ``few`` edges,
+    """``(node, component)`` for nodes that reach a smaller one; component is the smallest id. At most ``few`` edges,
     which are counted, are one task's work; more are joined in rounds."""
     cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if is_few(cur, few):

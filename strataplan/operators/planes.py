@@ -6,7 +6,6 @@ Every round is one or two aggregations over the points; only the hypotheses, sum
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -352,8 +351,14 @@ def dbscan(points: DataFrame, eps: int, least: int, id_col: str = "point_id", di
     of other cells, which have few around them, and between core cells that are near but not joined yet."""
     side, reach = eps / (2 * len(dims) ** 0.5), int(2 * len(dims) ** 0.5) + 1
     at = [f"_c{k}" for k in dims]
-    offsets = lambda r: F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(o, at)]) for o in itertools.product(range(-r, r + 1), repeat=len(dims))])).alias("o")
-    moved = lambda df, r, *keep: df.select(*keep, *at, offsets(r)).select(*df.select(*keep).columns, *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in at])
+
+    def moved(df: DataFrame, r: int, *keep) -> DataFrame:
+        """Rows told to all cells up to r away; dimension by dimension, as the plan of one array would be large."""
+        out = df.select(*keep, *at)
+        for c in at:
+            out = out.withColumn(c, F.explode(F.sequence(F.col(c) - r, F.col(c) + r)))
+        return out
+
     cloud = graph.cut(points.select(F.col(id_col).alias("point_id"), *[f"{k}_mm" for k in dims], *[F.floor(F.col(f"{k}_mm") / side).alias(c) for k, c in zip(dims, at)]))
     cells = cloud.groupBy(*at).agg(F.count("*").alias("n"))
     full = moved(cells, 1, "n").groupBy(*at).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*at)

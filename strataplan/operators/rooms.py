@@ -124,13 +124,13 @@ def boxes(points: DataFrame) -> DataFrame:
     return points.groupBy(*filters.own_keys(points)).agg(*[(f(c) / 1000.0).alias(n) for n, f, c in (("x0", F.min, "x_mm"), ("y0", F.min, "y_mm"), ("x1", F.max, "x_mm"), ("y1", F.max, "y_mm"))])
 
 
-def rooms_from_scan(points: DataFrame, segments: DataFrame | None = None, cell: int = 500) -> DataFrame:
+def rooms_from_scan(points: DataFrame, segments: DataFrame | None = None, cell: int = 500, yard_m2: float = 200.0) -> DataFrame:
     """Rooms of each building's floor, divided by known wall lines (millimetres); of a building without any the faces
     of its lines; else the building as one room."""
     many = bool(filters.own_keys(points))
     p = _housed(points)
     s = None if segments is None else _housed(segments)
-    out = graph.cut(rooms_from_floor(floor_cells(p, cell, s), cell))
+    out = graph.cut(rooms_from_floor(floor_cells(p, cell, s, yard_m2), cell))
     left = graph.cut(boxes(p).join(out.select("building").distinct(), "building", "left_anti"))
     if left.take(1):
         if s is not None:

@@ -99,7 +99,10 @@ def fixtures_detected(spark, d):
 
 @query("rooms_from_scan")
 def rooms_from_scan(spark, d):
-    return rooms.rooms_from_scan(src.points(spark, d).where("not is_floor"), cell=250).select("room_id", "label", "category", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg", "confidence")
+    """Two buildings from one cloud: the rooms of one are divided by the plan's walls, the other's have none."""
+    p = src.points(spark, d).where("not is_floor").withColumn("building", F.col("scan_id") % 2)
+    w = src.walls(spark).select(F.lit(0).alias("building"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    return rooms.rooms_from_scan(p, w, 250, yard_m2=400.0).select("building", "room_id", "label", "category", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg", "confidence")
 
 
 @query("convex_hull")
