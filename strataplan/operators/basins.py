@@ -41,7 +41,8 @@ def _first_apart(apart: int):
             keep.append(not any((b, c + x, r + y) in taken for x, y in near))
             if keep[-1]:
                 taken.add((b, c, r))
-        return f[np.array(keep, dtype=bool)][[c for c in ("building", "col", "row") if c in f.columns]]
+        out = f[np.array(keep, dtype=bool)][[c for c in ("building", "col", "row") if c in f.columns]]
+        return out.astype({"building": object}) if "building" in f.columns else out
 
     return run
 

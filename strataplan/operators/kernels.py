@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -17,78 +16,6 @@ def dense(col: np.ndarray, row: np.ndarray, pad: int = 1) -> tuple[np.ndarray, i
     return image, c0, r0
 
 
-def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance of set cells to the nearest unset one, by two separable passes."""
-    h, w = mask.shape
-    up = np.zeros((h, w), dtype=np.int64)
-    limit = h + w
-    g = np.full(w, limit, dtype=np.int64)
-    for r in range(h):
-        g = np.where(mask[r], g + 1, 0)
-        up[r] = g
-    g = np.full(w, limit, dtype=np.int64)
-    for r in range(h - 1, -1, -1):
-        g = np.where(mask[r], g + 1, 0)
-        up[r] = np.minimum(up[r], g)
-    f = up * up
-    out = np.empty_like(f)
-    x = np.arange(w)
-    for r in range(h):
-        out[r] = ((x[:, None] - x[None, :]) ** 2 + f[r][None, :]).min(1)
-    return np.sqrt(out)
-
-
-def peaks(height: np.ndarray, apart: int, least: float = 0.0) -> list[tuple[int, int]]:
-    """Highest cells first, none within ``apart`` of one taken before."""
-    rows, cols = np.nonzero(height > least)
-    taken: list[tuple[int, int]] = []
-    for i in np.lexsort((cols, rows, -height[rows, cols])):
-        r, c = int(rows[i]), int(cols[i])
-        if all((r - a) ** 2 + (c - b) ** 2 > apart * apart for a, b in taken):
-            taken.append((r, c))
-    return taken
-
-
-def watershed(height: np.ndarray, seeds: list[tuple[int, int]], mask: np.ndarray) -> np.ndarray:
-    """Priority flood from the seeds over the mask, highest first; ties by order of arrival."""
-    label = np.zeros(mask.shape, dtype=np.int32)
-    heap = []
-    for k, (r, c) in enumerate(seeds):
-        label[r, c] = k + 1
-        heap.append((-height[r, c], k, r, c))
-    heapq.heapify(heap)
-    n = len(heap)
-    while heap:
-        _, _, r, c = heapq.heappop(heap)
-        for a, b in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-            if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not label[a, b]:
-                label[a, b] = label[r, c]
-                heapq.heappush(heap, (-height[a, b], n, a, b))
-                n += 1
-    return label
-
-
-def components(mask: np.ndarray, eight: bool = True) -> np.ndarray:
-    """Labels 1.. of connected set cells in scan order."""
-    near = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if eight else [])
-    label = np.zeros(mask.shape, dtype=np.int32)
-    k = 0
-    for r0, c0 in zip(*np.nonzero(mask)):
-        if label[r0, c0]:
-            continue
-        k += 1
-        stack = [(int(r0), int(c0))]
-        label[r0, c0] = k
-        while stack:
-            r, c = stack.pop()
-            for a, b in near:
-                y, x = r + a, c + b
-                if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and not label[y, x]:
-                    label[y, x] = k
-                    stack.append((y, x))
-    return label
-
-
 def contour(mask: np.ndarray) -> list[tuple[int, int]]:
     """Longest closed boundary of the set cells, as corner points along cell edges."""
     edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -227,155 +154,6 @@ def alpha_shape(points: np.ndarray, alphas=(0.5, 1.0, 2.0, 0.25), most: int = 50
     return convex_hull(p)
 
 
-def canny(image: np.ndarray, low: float = 40.0, high: float = 120.0) -> np.ndarray:
-    """Edges of a grey image: Sobel gradient (L2), thinning across it, two-level hysteresis."""
-    p = np.pad(image.astype(float), 1, mode="edge")
-    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
-    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
-    m = np.hypot(gx, gy)
-    q = np.pad(m, 1)
-    d = np.round(np.arctan2(gy, gx) / (np.pi / 4)).astype(int) % 4
-    keep = np.zeros(m.shape, dtype=bool)
-    for k, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
-        a, b = q[1 + dy : 1 + dy + m.shape[0], 1 + dx : 1 + dx + m.shape[1]], q[1 - dy : 1 - dy + m.shape[0], 1 - dx : 1 - dx + m.shape[1]]
-        keep |= (d == k) & (m >= a) & (m > b)
-    weak = keep & (m > low)
-    lab = components(weak)
-    strong = np.unique(lab[weak & (m > high)])
-    return weak & np.isin(lab, strong)
-
-
-def hough_segments(mask: np.ndarray, theta_step: float = 0.5, votes: int = 30, least: float = 20.0, gap: float = 5.0) -> list[tuple[float, float, float, float]]:
-    """Deterministic line segments: fullest (theta, rho) first; the cells on it are split at gaps,
-    long runs are kept and their cells leave the vote."""
-    rows, cols = np.nonzero(mask)
-    live = np.ones(len(rows), dtype=bool)
-    t = np.radians(np.arange(0, 180, theta_step))
-    cos, sin = np.cos(t), np.sin(t)
-    reach = int(math.hypot(*mask.shape)) + 2
-    rho = np.round(cols[:, None] * cos + rows[:, None] * sin).astype(np.int64) + reach
-    code = rho * len(t) + np.arange(len(t))
-    tally = np.bincount(code.ravel(), minlength=(2 * reach + 1) * len(t))
-    out = []
-    while True:
-        best = int(tally.argmax())
-        if tally[best] < votes:
-            break
-        k, r = best % len(t), best // len(t)
-        on = np.flatnonzero(live & (np.abs(rho[:, k] - r) <= 1))
-        along = -cols[on] * sin[k] + rows[on] * cos[k]
-        order = np.argsort(along, kind="stable")
-        on, along = on[order], along[order]
-        runs = np.split(np.arange(len(on)), np.flatnonzero(np.diff(along) > gap) + 1)
-        gone = []
-        for run in runs:
-            if len(run) and along[run[-1]] - along[run[0]] >= least:
-                a, b = along[run[0]], along[run[-1]]
-                base = r - reach
-                out.append((base * cos[k] - a * sin[k], base * sin[k] + a * cos[k], base * cos[k] - b * sin[k], base * sin[k] + b * cos[k]))
-                gone.append(on[run])
-        if gone:
-            off = np.concatenate(gone)
-            live[off] = False
-            tally -= np.bincount(code[off].ravel(), minlength=len(tally))
-        tally[best] = 0
-    return out
-
-
-def grown_segments(mask: np.ndarray, least: float = 10.0, thickness: float = 1.5) -> list[tuple[float, float, float, float]]:
-    """Fast detector: connected edge cells are split until each part lies along its principal
-    axis, and long parts become segments."""
-    out: list[tuple[float, float, float, float]] = []
-
-    def fit(p: np.ndarray) -> None:
-        if len(p) < 2:
-            return
-        mid = p.mean(0)
-        axis = np.linalg.eigh(np.cov((p - mid).T) if len(p) > 2 else np.outer(p[1] - p[0], p[1] - p[0]))[1][:, -1]
-        t = (p - mid) @ axis
-        off = np.abs((p - mid) @ np.array([-axis[1], axis[0]]))
-        if np.ptp(t) < least:
-            return
-        if off.max() <= thickness:
-            a, b = mid + axis * t.min(), mid + axis * t.max()
-            out.append((*a.tolist(), *b.tolist()))
-            return
-        far = t[off.argmax()]
-        cut = far if t.min() < far < t.max() else float(np.median(t))
-        left = t <= cut
-        if left.all() or not left.any():
-            return
-        fit(p[left])
-        fit(p[~left])
-
-    lab = components(mask)
-    for k in range(1, int(lab.max(initial=0)) + 1):
-        r, c = np.nonzero(lab == k)
-        fit(np.stack([c, r], 1).astype(float))
-    return out
-
-
-def noded(segments: list[tuple[float, float, float, float]], digits: int = 6) -> list[tuple[tuple[float, float], tuple[float, float]]]:
-    """Segments split where they cross or touch; duplicates once. A sweep along x compares only
-    segments whose boxes meet."""
-    cuts: list[set[float]] = [{0.0, 1.0} for _ in segments]
-    line = sorted(range(len(segments)), key=lambda i: min(segments[i][0], segments[i][2]))
-    for at, i in enumerate(line):
-        ax, ay, bx, by = segments[i]
-        for j in line[at + 1 :]:
-            cx, cy, dx, dy = segments[j]
-            if min(cx, dx) > max(ax, bx) + 1e-9:
-                break
-            if min(cy, dy) > max(ay, by) + 1e-9 or max(cy, dy) < min(ay, by) - 1e-9:
-                continue
-            den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-            if abs(den) > 1e-12:
-                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
-                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
-                if -1e-9 <= t <= 1 + 1e-9 and -1e-9 <= u <= 1 + 1e-9:
-                    cuts[i].add(min(max(t, 0.0), 1.0))
-                    cuts[j].add(min(max(u, 0.0), 1.0))
-    out = set()
-    for (ax, ay, bx, by), ts in zip(segments, cuts):
-        pts = [(round(ax + (bx - ax) * t, digits), round(ay + (by - ay) * t, digits)) for t in sorted(ts)]
-        out.update((min(p, q), max(p, q)) for p, q in zip(pts, pts[1:]) if p != q)
-    return sorted(out)
-
-
-def polygonize(segments: list[tuple[float, float, float, float]], least: float = 0.0) -> list[list[tuple[float, float]]]:
-    """Faces bounded by the segments, largest first: half-edges walk with the sharpest turn."""
-    near: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for p, q in noded(segments):
-        near.setdefault(p, []).append(q)
-        near.setdefault(q, []).append(p)
-    while True:  # dangles bound no face
-        loose = [p for p, v in near.items() if len(v) == 1]
-        if not loose:
-            break
-        for p in loose:
-            for q in near.pop(p, []):
-                near[q].remove(p)
-        near = {p: v for p, v in near.items() if v}
-    angle = lambda p, q: math.atan2(q[1] - p[1], q[0] - p[0])
-    for p in near:
-        near[p].sort(key=lambda q: angle(p, q))
-    seen, faces = set(), []
-    for p in sorted(near):
-        for q in near[p]:
-            if (p, q) in seen:
-                continue
-            ring, a, b = [], p, q
-            while (a, b) not in seen:
-                seen.add((a, b))
-                ring.append(a)
-                fan = near[b]
-                a, b = b, fan[(fan.index(a) - 1) % len(fan)]
-            signed = sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]])) / 2
-            if signed > max(least, 1e-9):
-                faces.append(ring)
-    return sorted(faces, key=lambda f: (-area(f), f))
-
-
 def simple_ring(ring: list[tuple[float, float]]) -> bool:
     """Whether no two edges of a closed ring cross; one at a time against all, in NumPy."""
     p = np.array(ring, float)

@@ -297,7 +297,7 @@ def _along_rows(rows: DataFrame, run, schema: str) -> DataFrame:
         out = run(f.sort_values("col"))
         out.insert(0, "row", int(key[-1]))
         for c, k in zip(own, key):
-            out.insert(0, c, k)
+            out.insert(0, c, pd.Series([k] * len(out), dtype=object))
         return out
 
     return rows.groupBy(*own, "row").applyInPandas(whole, f"{kind}row long, {schema}")
@@ -354,7 +354,7 @@ def by_building(rows: DataFrame, kernel, schema: str) -> DataFrame:
 
     def run(key: tuple, f) -> pd.DataFrame:
         out = kernel(f)
-        out.insert(0, "building", key[0])
+        out.insert(0, "building", pd.Series([key[0]] * len(out), index=out.index, dtype=object))
         return out
 
     return rows.groupBy("building").applyInPandas(run, f"building {rows.schema['building'].dataType.simpleString()}, {schema}")

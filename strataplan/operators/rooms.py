@@ -44,7 +44,7 @@ def _room_shape(cell: int, least_m2: float):
         c, r = f["col"].to_numpy(np.int64), f["row"].to_numpy(np.int64)
         area = len(c) * unit * unit
         if area < least_m2:
-            return pd.DataFrame({"building": [], "polygon": pd.Series([], dtype=object), "cx": [], "cy": [], "area_m2": [], "eccentricity": [], "solidity": [], "orientation_deg": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("building", "polygon", "cx", "cy", "area_m2", "eccentricity", "solidity", "orientation_deg")})
         part, c0, r0 = kernels.dense(c, r)
         ring = kernels.contour(part)
         line = kernels.simplify([*ring, ring[0]], max(1.0, 1000.0 / cell))[:-1]
