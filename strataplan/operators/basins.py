@@ -2,8 +2,8 @@
 distance to the nearest wall), by building where there is such a column.
 
 The watershed is the spanning forest of highest passes rooted in the seeds: of two neighbouring cells (by
-sides) the pass is min(h), higher passes first, ties by the cells' ids. That order is total, so the forest does not
-depend on how the raster is cut into tiles.
+sides) the pass is min(h), higher passes first, ties by the cells' places. That order is total within a building, so the
+forest does not depend on how the raster is cut into tiles.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def _flood(f: pd.DataFrame) -> pd.DataFrame:
     root, 1 a root that goes on to another tile's cell, 2 the best pass between two roots, 3 one between a root and
     another tile's cell."""
     f = f.sort_values("id", ignore_index=True)
-    ids, h, own, seed = f["id"].to_numpy(np.int64), f["h"].to_numpy(np.int64), f["own"].to_numpy(bool), f["seed"].to_numpy(bool)
+    ids, spot, h, own, seed = f["id"].to_numpy(np.int64), f["spot"].to_numpy(np.int64), f["h"].to_numpy(np.int64), f["own"].to_numpy(bool), f["seed"].to_numpy(bool)
     col, row = f["col"].to_numpy(np.int64), f["row"].to_numpy(np.int64)
     at = {p: i for i, p in enumerate(zip(col.tolist(), row.tolist()))}
     a, b = [], []
@@ -109,7 +109,7 @@ def _flood(f: pd.DataFrame) -> pd.DataFrame:
     a, b = np.array(a, np.int64), np.array(b, np.int64)
     keep = own[a] | own[b]
     a, b = a[keep], b[keep]
-    w, lo, hi = np.minimum(h[a], h[b]), np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+    w, lo, hi = np.minimum(h[a], h[b]), np.minimum(spot[a], spot[b]), np.maximum(spot[a], spot[b])
     order = _better(w, lo, hi)
     a, b, w, lo, hi = a[order], b[order], w[order], lo[order], hi[order]
     # the first pass of each cell in this order is its best
@@ -169,7 +169,7 @@ def watershed(heights: DataFrame, seeds: DataFrame, tile: int = TILE, few: int =
     are counted, else in rounds in which every basin without a seed takes its best pass."""
     own = raster._own(heights)
     cells = [*own, "col", "row"]
-    base = heights.select(*cells, "h").join(seeds.select(*cells).distinct().withColumn("seed", F.lit(True)), cells, "left").withColumn("seed", F.coalesce("seed", F.lit(False))).withColumn("id", raster.named_id(heights))
+    base = heights.select(*cells, "h").join(seeds.select(*cells).distinct().withColumn("seed", F.lit(True)), cells, "left").withColumn("seed", F.coalesce("seed", F.lit(False))).withColumn("id", raster.named_id(heights)).withColumn("spot", raster.cell_id())
     base = graph.cut(base)
     tx, ty = F.floor(F.col("col") / tile), F.floor(F.col("row") / tile)
     away = F.array_distinct(F.array(*[F.struct(F.floor((F.col("col") + dx) / tile).alias("tx"), F.floor((F.col("row") + dy) / tile).alias("ty")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))

@@ -47,7 +47,7 @@ def _round(cells: DataFrame, votes: int, least: float, gap: float, bins: int) ->
     return on.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("new").over(order)).drop("new")
 
 
-def hough_segments(cells: DataFrame, votes: int = 30, least: float = 20.0, gap: float = 5.0, bins: int = 360, rounds: int = 12) -> DataFrame:
+def hough_segments(cells: DataFrame, votes: int = 30, least: float = 20.0, gap: float = 5.0, bins: int = 360, rounds: int = 6) -> DataFrame:
     """Segments ``(theta, rho, x1, y1, x2, y2, n)`` in cells. A round takes the runs of at least ``least`` on all peak
     lines at once, and their cells leave; rounds end when none is found, at the latest after ``rounds``."""
     own = raster._own(cells)
