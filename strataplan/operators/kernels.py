@@ -46,19 +46,28 @@ def contour(mask: np.ndarray) -> list[tuple[int, int]]:
     return best
 
 
+def simplify_at(points: list[tuple[float, float]], tolerance: float) -> list[int]:
+    """Douglas-Peucker on an open line: positions of what is kept. Stretches wait on a list, so that a long line
+    needs no deep recursion."""
+    p = np.array(points)
+    kept, waiting = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while waiting:
+        lo, hi = waiting.pop()
+        if hi - lo < 2:
+            continue
+        ab, rel = p[hi] - p[lo], p[lo + 1 : hi] - p[lo]
+        n = float(np.hypot(*ab.astype(float)))
+        off = (rel * rel).sum(1) if n == 0 else np.abs(ab[0] * rel[:, 1] - ab[1] * rel[:, 0])
+        i = int(off.argmax())
+        if off[i] > (tolerance * tolerance if n == 0 else tolerance * n):
+            at = lo + 1 + i
+            kept.add(at)
+            waiting += [(lo, at), (at, hi)]
+    return sorted(kept)
+
+
 def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker on an open line."""
-    if len(points) < 3:
-        return points
-    a, b = np.array(points[0], float), np.array(points[-1], float)
-    p = np.array(points, float)
-    ab = b - a
-    n = np.hypot(*ab)
-    off = np.hypot(*(p - a).T) if n == 0 else np.abs(ab[0] * (p[:, 1] - a[1]) - ab[1] * (p[:, 0] - a[0])) / n
-    i = int(off.argmax())
-    if off[i] <= tolerance:
-        return [points[0], points[-1]]
-    return simplify(points[: i + 1], tolerance)[:-1] + simplify(points[i:], tolerance)
+    return [points[i] for i in simplify_at(points, tolerance)]
 
 
 def area(polygon) -> float:
@@ -83,77 +92,6 @@ def convex_hull(points) -> list[tuple[float, float]]:
     return half(pts) + half(reversed(pts))
 
 
-def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangulation by insertion (Bowyer-Watson); for outlines of a few thousand points."""
-    p = np.asarray(points, float)
-    mid, span = p.mean(0), float(np.ptp(p, axis=0).max()) or 1.0
-    all_ = np.vstack([p, mid + [-30 * span, -10 * span], mid + [30 * span, -10 * span], mid + [0, 30 * span]])
-    n = len(p)
-
-    def circle(t):
-        a, b, c = all_[list(t)]
-        d = 2 * ((b - a)[0] * (c - a)[1] - (b - a)[1] * (c - a)[0])
-        if abs(d) < 1e-12:
-            return None
-        b2, c2 = ((b - a) ** 2).sum(), ((c - a) ** 2).sum()
-        u = np.array([(c - a)[1] * b2 - (b - a)[1] * c2, (b - a)[0] * c2 - (c - a)[0] * b2]) / d
-        return a + u, (u * u).sum()
-
-    tris = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for i in range(n):
-        bad = [t for t, k in tris.items() if k and ((all_[i] - k[0]) ** 2).sum() < k[1] * (1 + 1e-12)]
-        rim: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                key = (min(e), max(e))
-                rim[key] = rim.get(key, 0) + 1
-            del tris[t]
-        for (a, b), k in rim.items():
-            if k == 1 and (made := circle((a, b, i))):
-                tris[(a, b, i)] = made
-    return [t for t in tris if max(t) < n]
-
-
-def alpha_shape(points: np.ndarray, alphas=(0.5, 1.0, 2.0, 0.25), most: int = 5000) -> list[tuple[float, float]]:
-    """Outer ring of triangles with circumradius below 1 / alpha, for the first alpha that gives
-    one closed ring holding all points' triangles; else, or beyond ``most`` points (the reference's
-    limit: the triangulation here is quadratic), the hull, which drops concave corners but no point."""
-    p = np.unique(np.asarray(points, float), axis=0)
-    if len(p) < 4 or len(p) > most:
-        return convex_hull(p)
-    tris = delaunay(p)
-    for alpha in alphas:
-        rim: dict[tuple[int, int], int] = {}
-        used: set[int] = set()
-        for t in tris:
-            a, b, c = p[list(t)]
-            la, lb, lc = np.hypot(*(b - c)), np.hypot(*(a - c)), np.hypot(*(a - b))
-            s = area([a, b, c])
-            if s > 0 and la * lb * lc / (4 * s) < 1 / alpha:
-                used.update(t)
-                for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                    key = (min(e), max(e))
-                    rim[key] = rim.get(key, 0) + 1
-        step: dict[int, list[int]] = {}
-        for (a, b), k in rim.items():
-            if k == 1:
-                step.setdefault(a, []).append(b)
-                step.setdefault(b, []).append(a)
-        if not step or any(len(v) != 2 for v in step.values()) or len(used) < 0.9 * len(p):
-            continue
-        start = at = min(step)
-        last, ring = -1, []
-        while True:
-            ring.append(tuple(p[at]))
-            nxt = step[at][0] if step[at][0] != last else step[at][1]
-            last, at = at, nxt
-            if at == start:
-                break
-        if len(ring) == len(step):
-            return ring
-    return convex_hull(p)
-
-
 def simple_ring(ring: list[tuple[float, float]]) -> bool:
     """Whether no two edges of a closed ring cross; one at a time against all, in NumPy."""
     p = np.array(ring, float)

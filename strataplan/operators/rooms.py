@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import basins, classify, filters, graph, kernels, lines, planes, raster, rings, scalars, voxel
+from . import alpha, basins, classify, filters, graph, kernels, lines, planes, raster, rings, scalars, voxel
 
 ROOM = "room_id string, label string, category string, polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double, confidence double"
 _SHAPE = "polygon array<struct<x:double,y:double>>, cx double, cy double, area_m2 double, eccentricity double, solidity double, orientation_deg double"
@@ -164,16 +164,47 @@ def plan_from_projection(points: DataFrame, cell: int = 100, least_m: float = 2.
     return kept.unionByName(ends).select(*own, "seg_id", "x1", "y1", "x2", "y2")
 
 
-def outline(points: DataFrame, sample: int = 20_000, cell: int = 500) -> DataFrame:
-    """Building outline ``(k, x, y)`` in metres: alpha shape of a seeded sample's cell means."""
-    some = points.orderBy(F.xxhash64("point_id", F.lit(7)), "point_id").limit(sample)
-    means = some.groupBy(F.floor(F.col("x_mm") / float(cell)).alias("c"), F.floor(F.col("y_mm") / float(cell)).alias("r")).agg((F.avg("x_mm") / 1000).alias("x"), (F.avg("y_mm") / 1000).alias("y"))
+def outline(points: DataFrame, cell: int = 500, alphas: tuple[float, ...] = (0.5, 1.0, 2.0, 0.25)) -> DataFrame:
+    """Outline ``(k, x, y)`` in metres of each building: the ring of the alpha shape of its cells' means (whole
+    millimetres), for the first alpha that gives just one and holds nine tenths of the means; else their hull."""
+    own = filters.own_keys(points)
+    place = [F.floor(F.col(f"{k}_mm") / float(cell)).alias(c) for k, c in (("x", "c"), ("y", "r"))]
+    means = points.groupBy(*own, *place).agg(*[F.floor(F.avg(f"{k}_mm")).cast("long").alias(k) for k in "xy"])
+    left = graph.cut(means.select(*own, ((F.col("r") + (1 << 30)) * (1 << 31) + F.col("c") + (1 << 30)).alias("point_id"), "x", "y"))
+    found: list[DataFrame] = []
+    for a in alphas:
+        ring = graph.cut(alpha.alpha_ring(left, 1000.0 / a))
+        if ring.take(1):
+            found.append(ring.select(*own, F.col("place").cast("int").alias("k"), F.col("ox").alias("x_mm"), F.col("oy").alias("y_mm")))
+            if not own:
+                break
+            left = graph.cut(left.join(ring.select(*own).distinct(), own, "left_anti"))
+        if not left.take(1):
+            break
+    else:
+        found.append(hulls(left.select(*own, F.col("x").alias("x_mm"), F.col("y").alias("y_mm"))))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(*own, "k", (F.col("x_mm") / 1000).alias("x"), (F.col("y_mm") / 1000).alias("y"))
+
+
+def hulls(points: DataFrame, parts: int = 64) -> DataFrame:
+    """Convex hull corners ``(k, x_mm, y_mm)`` in order of each building: first those of its parts, then of their
+    corners."""
+    own = filters.own_keys(points)
+    corners = lambda f: kernels.convex_hull([(int(x), int(y)) for x, y in f[["x_mm", "y_mm"]].to_numpy()])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        ring = kernels.alpha_shape(f[["x", "y"]].to_numpy())
-        return pd.DataFrame({"k": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
-
-    return means.groupBy(F.lit(0).alias("b")).applyInPandas(run, "k int, x double, y double")
+        ring = corners(f)
+        out = pd.DataFrame({"k": range(len(ring)), "x_mm": [p[0] for p in ring], "y_mm": [p[1] for p in ring]})
+        for c in own:
+            out[c] = f[c].iloc[0]
+        return out
+
+    kinds = ", ".join(["k int", "x_mm long", "y_mm long", *[f"{c} {points.schema[c].dataType.simpleString()}" for c in own]])
+    some = points.withColumn("_part", F.pmod(F.xxhash64("x_mm", "y_mm"), F.lit(parts))).groupBy(*own, "_part").applyInPandas(run, kinds)
+    return some.groupBy(*(own or [F.lit(0).alias("_all")])).applyInPandas(run, kinds)
 
 
 def hull(points: DataFrame) -> DataFrame:

@@ -110,11 +110,6 @@ def convex_hull(spark, d):
     return rooms.hull(src.points(spark, d))
 
 
-@query("building_outline")
-def building_outline(spark, d):
-    return rooms.outline(src.points(spark, d), cell=1000)
-
-
 @query("plan_from_projection")
 def plan_from_projection(spark, d):
     return rooms.plan_from_projection(src.points(spark, d).where("not is_floor"), cell=100).select("seg_id", *[F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
