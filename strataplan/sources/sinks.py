@@ -1,7 +1,7 @@
 """Sinks: GeoJSON features, JSON results, DXF text, binary PLY, raster sidecars.
 
 Writers of single files take bounded tables (a plan, a decimated cloud) through the driver, as the
-formats have one header and one body.
+formats have one header and one body; ``writers`` writes folders of parts from the executors.
 """
 
 from __future__ import annotations
@@ -44,23 +44,39 @@ LAYERS = {"walls": ("WALLS", 3, 35), "openings": ("OPENINGS", 2, 18), "columns":
 UNITS = {"metres": 6, "feet": 2, "inches": 1, "millimetres": 4}
 
 
+def dxf_line(kind: str, x1: float, y1: float, x2: float, y2: float) -> list[str]:
+    """A two-vertex polyline on the layer of its class."""
+    out = ["0", "LWPOLYLINE", "8", LAYERS[kind][0], "90", "2", "70", "0"]
+    for x, y in ((x1, y1), (x2, y2)):
+        out += ["10", repr(float(x)), "20", repr(float(y))]
+    return out
+
+
+def dxf_note(text: str, i: int) -> list[str]:
+    return ["0", "TEXT", "8", "ANNOTATION", "10", "0.0", "20", str(-1.0 - i), "40", "0.25", "1", text]
+
+
+def dxf_file(entities: list[str], units: str) -> str:
+    """A whole drawing of the layers above and the entities given."""
+    out = ["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1032", "9", "$INSUNITS", "70", str(UNITS[units]), "0", "ENDSEC", "0", "SECTION", "2", "TABLES", "0", "TABLE", "2", "LAYER", "70", str(len(LAYERS))]
+    for name, colour, weight in LAYERS.values():
+        out += ["0", "LAYER", "2", name, "70", "0", "62", str(colour), "6", "CONTINUOUS", "370", str(weight)]
+    out += ["0", "ENDTAB", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", *entities]
+    return "\n".join([*out, "0", "ENDSEC", "0", "EOF", ""])
+
+
 def dxf_text(segments: DataFrame, units: str = "metres", note: str = "") -> tuple[str, list[str]]:
     """A drawing with the layers above and a two-vertex polyline for each row of
-    ``segments(class, x1, y1, x2, y2)``; rows of unknown classes are left out and reported."""
+    ``segments(class, x1, y1, x2, y2)``; rows of unknown classes are left out and reported. For a plan that
+    one file may hold; ``writers`` has the form for more."""
     known = segments.where(F.col("class").isin(*LAYERS))
     dropped = sorted(r[0] for r in segments.where(~F.col("class").isin(*LAYERS)).select("class").distinct().collect())
-    out = ["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1032", "9", "$INSUNITS", "70", str(UNITS[units]), "0", "ENDSEC", "0", "SECTION", "2", "TABLES", "0", "TABLE", "2", "LAYER", "70", str(len(LAYERS))]
-    for name, colour, weight in LAYERS.values():
-        out += ["0", "LAYER", "2", name, "70", "0", "62", str(colour), "6", "CONTINUOUS", "370", str(weight)]
-    out += ["0", "ENDTAB", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"]
+    out: list[str] = []
     for r in known.orderBy("class", "x1", "y1", "x2", "y2").toLocalIterator():
-        out += ["0", "LWPOLYLINE", "8", LAYERS[r["class"]][0], "90", "2", "70", "0"]
-        for x, y in ((r["x1"], r["y1"]), (r["x2"], r["y2"])):
-            out += ["10", repr(float(x)), "20", repr(float(y))]
-    notes = [note] * bool(note) + [f"dropped classes: {', '.join(dropped)}"] * bool(dropped)
-    for i, text in enumerate(notes):
-        out += ["0", "TEXT", "8", "ANNOTATION", "10", "0.0", "20", str(-1.0 - i), "40", "0.25", "1", text]
-    return "\n".join([*out, "0", "ENDSEC", "0", "EOF", ""]), dropped
+        out += dxf_line(r["class"], r["x1"], r["y1"], r["x2"], r["y2"])
+    for i, text in enumerate([note] * bool(note) + [f"dropped classes: {', '.join(dropped)}"] * bool(dropped)):
+        out += dxf_note(text, i)
+    return dxf_file(out, units), dropped
 
 
 def transformed_dxf(segments: DataFrame, matrix: list[list[float]], units: str = "metres") -> str:
@@ -88,6 +104,11 @@ def annotated_dxf(drawing: str, note: str, layer: str = "ALIGNMENT_NOTE", at: tu
     raise ValueError("the drawing has no entities section")
 
 
+def ply_head(n: int, colours: bool) -> bytes:
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {n}", *[f"property float {k}" for k in "xyz"], *([f"property uchar {c}" for c in ("red", "green", "blue")] if colours else []), "end_header", ""]
+    return "\n".join(head).encode()
+
+
 def ply_bytes(points: DataFrame, target: int = 200_000) -> bytes:
     """Binary PLY of ``points(x, y, z[, r, g, b in 0..1])`` with at most ``target`` vertices, the
     ones of smallest hash of their coordinates; float32, colours truncated to bytes."""
@@ -100,8 +121,7 @@ def ply_bytes(points: DataFrame, target: int = 200_000) -> bytes:
         if colours:
             body += bytes(max(0, min(255, int(r[c] * 255))) for c in "rgb")
         n += 1
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {n}", *[f"property float {k}" for k in "xyz"], *([f"property uchar {c}" for c in ("red", "green", "blue")] if colours else []), "end_header", ""]
-    return "\n".join(head).encode() + bytes(body)
+    return ply_head(n, colours) + bytes(body)
 
 
 def write_bytes(spark, path: str, body: bytes) -> None:
