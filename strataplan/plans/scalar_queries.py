@@ -133,11 +133,11 @@ def classify_rooms(spark, d):
 
 @query("sequence_ids", "SELECT o_orderkey AS job_id, o_custkey % 6 AS scan_id, 's' || lpad(CAST(o_custkey % 6 AS VARCHAR), 2, '0') || '-wall-' || lpad(CAST(row_number() OVER (PARTITION BY o_custkey % 6 ORDER BY o_orderkey) AS VARCHAR), 6, '0') AS wall_id FROM orders")
 def sequence_ids(spark, d):
-    from ..operators.filters import numbered
+    from ..operators.filters import label, numbered
 
     o = src.load(spark, d, "orders").selectExpr("o_orderkey as job_id", "o_custkey % 6 as scan_id")
     n = numbered(o, F.col("scan_id"), [F.col("job_id")], "n")
-    return n.select("job_id", "scan_id", F.format_string("s%02d-wall-%06d", "scan_id", "n").alias("wall_id"))
+    return n.select("job_id", "scan_id", F.concat(label("s", "scan_id", 2), label("-wall-", "n", 6)).alias("wall_id"))
 
 
 @query("room_hash_ids", "SELECT p_partkey AS id, 'room-' || substr(md5(CAST(round(p_retailprice) AS BIGINT) || ':' || CAST(round(p_size) AS BIGINT)), 1, 4) AS room_id FROM part")

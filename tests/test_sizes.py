@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from strataplan.operators import filters
 
 
-@pytest.mark.parametrize("prefix, width, at", [("wall-", 5, 123456)])
+@pytest.mark.parametrize("prefix, width, at", [("wall-", 5, 123456), ("-wall-", 6, 1234567)])
 def test_numbers_longer_than_their_width_are_as_in_sql(spark, prefix, width, at):
     import duckdb
 
