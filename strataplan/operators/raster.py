@@ -17,10 +17,11 @@ PLUS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]  # 3 x 3 ellipse
 DISC5 = [(0, -2), (0, 2)] + [(dx, dy) for dy in (-1, 0, 1) for dx in range(-2, 3)]
 
 
-def slice_to_raster(points: DataFrame, low: int, high: int, res: int, least: int = 4, most: int = 16384, up: str = "z") -> tuple[DataFrame, DataFrame]:
+def slice_to_raster(points: DataFrame, low: int, high: int, res: int, least: int = 4, most: int = 16384, up: str = "z", clamp: bool = True) -> tuple[DataFrame, DataFrame]:
     """Cells of a closed height slab, and the one-row raster affine. The way up is z, or y for scans
-    that lie on their side, whose plan is then x and z. Raises on an empty slab or one too large for
-    ``most`` pixels a side."""
+    that lie on their side, whose plan is then x and z. Points on the far edge of an extent that is a whole
+    number of cells are in the last cell, or without ``clamp`` in one beyond it. Raises on an empty slab or
+    one too large for ``most`` pixels a side."""
     if res <= 0:
         raise ValueError("resolution must be positive")
     if up not in ("y", "z"):
@@ -33,7 +34,8 @@ def slice_to_raster(points: DataFrame, low: int, high: int, res: int, least: int
     affine = ext.select("n_points", "x0", "y0", F.lit(res).alias("res"), side("x").alias("width"), side("y").alias("height"))
     bad = F.when(F.col("n_points") == 0, F.raise_error(F.lit("the slab is empty"))).when(F.greatest("width", "height") > most, F.raise_error(F.lit("the raster is too large")))
     affine = affine.withColumn("res", F.coalesce(bad.cast("int"), F.col("res")))
-    at = lambda k, s: F.least(F.floor((F.col(f"{k}_mm") - F.col(f"{k}0")) / F.col("res").cast("double")), F.col(s) - 1).cast("long")
+    free = lambda k: F.floor((F.col(f"{k}_mm") - F.col(f"{k}0")) / F.col("res").cast("double"))
+    at = lambda k, s: (F.least(free(k), F.col(s) - 1) if clamp else free(k)).cast("long")
     cells = with_scalar(slab, affine).select(at("x", "width").alias("col"), at("y", "height").alias("row")).groupBy("col", "row").agg(F.count("*").alias("n"))
     return cells, affine
 

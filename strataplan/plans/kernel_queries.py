@@ -137,7 +137,7 @@ def preprocess_blurred(spark, d):
 @query("slab_on_side", f"WITH {P}, s AS (SELECT * FROM pts WHERE y_mm BETWEEN 4900 AND 5100), e AS (SELECT min(x_mm) x0, min(z_mm) z0 FROM s) SELECT CAST(floor((x_mm - x0) / 100.0) AS BIGINT) AS col, CAST(floor((z_mm - z0) / 100.0) AS BIGINT) AS row, count(*) AS n FROM s, e GROUP BY 1, 2")
 def slab_on_side(spark, d):
     """A slab of a scan that lies on its side: y is the way up, the plan is x and z."""
-    cells, _ = raster.slice_to_raster(src.points(spark, d), 4900, 5100, 100, up="y")
+    cells, _ = raster.slice_to_raster(src.points(spark, d), 4900, 5100, 100, up="y", clamp=False)
     return cells
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataplan.operators import filters
+from strataplan.operators import filters, raster
 
 
 @pytest.mark.parametrize("prefix, width, at", [("wall-", 5, 123456), ("-wall-", 6, 1234567)])
@@ -12,3 +12,11 @@ def test_numbers_longer_than_their_width_are_as_in_sql(spark, prefix, width, at)
 
     got = spark.range(1).select(F.lit(at).alias("n")).select(filters.label(prefix, "n", width).alias("s")).first().s
     assert got == duckdb.sql(f"SELECT '{prefix}' || lpad(CAST({at} AS VARCHAR), {width}, '0')").fetchall()[0][0]
+
+
+def test_slab_cells_on_the_far_edge(spark):
+    p = spark.createDataFrame([(0, 0, 1), (95, 5, 1), (100, 50, 1)], "x_mm long, y_mm long, z_mm long")
+    free, affine = raster.slice_to_raster(p, 0, 2, 10, clamp=False)
+    assert raster.slice_metrics(free, affine).first().n_cells == 3  # an extent of 100 is ten cells; x = 100 is in the eleventh
+    kept, _ = raster.slice_to_raster(p, 0, 2, 10)
+    assert {(r.col, r.row) for r in kept.collect()} == {(0, 0), (9, 0), (9, 4)}
