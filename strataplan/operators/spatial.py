@@ -2,15 +2,18 @@
 
 Cells are twice as wide as the search radius, so a point's ball touches two of them a dimension at
 most: one side is sent to those 2^d cells, joined on the cell and tested exactly. No plan compares all
-points with all points. Searches that widen store what each radius found, so no step is repeated.
+points with all points. Searches that widen store what each radius found, so no step is repeated. Searches for the nearest
+go block by block (a block of left points with all right points in reach), and return no pairs but those wanted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, neighbours
 from .filters import if_small, with_scalar
 
 
@@ -42,24 +45,90 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: int, id_col: str = "
     return pairs.where(F.col("d2") <= radius * radius).select("a_id", "b_id", "d2")
 
 
+#: points that a block holds at most, where its side may still shrink
+BLOCK = 200_000
+
+
+def _block_side(points: DataFrame, reach: int, dims: str) -> int:
+    """The side of blocks for a search: the widest whose fullest block holds at most ``BLOCK`` points, but no
+    less than the reach. The counts of the narrowest blocks are stored, and added up for wider ones."""
+    narrow = max(reach, 1)
+    at = [f"c{k}" for k in dims]
+    counted = graph.cut(points.groupBy(*[F.floor(F.col(f"{k}_mm") / float(narrow)).alias(f"c{k}") for k in dims]).agg(F.count("*").alias("n")))
+    for times in (64, 16, 8, 4, 2):
+        wide = counted.groupBy(*[F.floor(F.col(c) / times).alias(c) for c in at]).agg(F.sum("n").alias("n"))
+        if (wide.agg(F.max("n")).first()[0] or 0) <= BLOCK:
+            return times * narrow
+    return narrow
+
+
+def _blocks(left: DataFrame, right: DataFrame, k: int, reach: int, dims: str, run, schema: str, others: bool):
+    """``run(left frame, right frame, search)`` block by block: every left point is in one block, every right
+    point in all that are within reach of it. Right points are ordered by id, so that equal distances go to the smallest."""
+    side = _block_side(left.unionByName(right), reach, dims)
+    keys = [f"c{c}" for c in dims]
+    cols = [f"{c}_mm" for c in dims]
+    a = left.select("id", *cols, *[F.floor(F.col(x) / float(side)).alias(c) for x, c in zip(cols, keys)])
+    b = right.select("id", *cols)
+    for x, c in zip(cols, keys):
+        b = b.withColumn(c, F.explode(F.sequence(*[F.floor((F.col(x) + s * reach) / float(side)) for s in (-1, 1)])))
+    b = b.select("id", *cols, *keys)
+
+    def each(key: tuple, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(f):
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in empty})
+        g = g.sort_values("id")
+        ids = f["id"].to_numpy(), g["id"].to_numpy()
+        xyz = f[cols].to_numpy(np.int64), g[cols].to_numpy(np.int64)
+        return run(ids, xyz, neighbours.search(*xyz, k, reach, ids if others else None))
+
+    empty = [(c.split()[0], "float64" if "double" in c else "int64") for c in schema.split(", ") if "<" not in c]
+    empty += [(c.split()[0], "object") for c in schema.split(", ") if "<" in c]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(each, schema)
+
+
+def places(df: DataFrame, id_col: str, dims: str) -> DataFrame:
+    """Each place that points hold, once, under its smallest id."""
+    return df.groupBy(*[F.col(f"{k}_mm").cast("long").alias(f"{k}_mm") for k in dims]).agg(F.min(id_col).alias("id"))
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
     """Nearest right row within the radius of each left row; the smallest id of equals.
 
-    The search widens: what has a partner within a small radius has its nearest there, so only the
-    rest is searched with the next one, and dense places never pay for the full radius."""
-    todo, parts = left.select(id_col, *[f"{k}_mm" for k in dims]), []
-    reaches = [r for r in (radius // 16, radius // 4) if r > 0] + [radius]
-    for k, reach in enumerate(reaches):
-        best = radius_pairs(todo, right, reach, id_col, dims).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m"))
-        found = best.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.d2").alias("d2"))
-        if k < len(reaches) - 1:
-            found = graph.cut(found)
-            todo = graph.cut(todo.join(found.select(F.col("a_id").alias(id_col)), id_col, "left_anti"))
-        parts.append(found)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    Points at one place have one answer, so places are searched, and those that both sides hold are each
+    other's. The others go block by block (:mod:`neighbours`), where the reach doubles until each has its
+    nearest; no table of pairs is made. Where blocks of the full radius are crowded, most are done with a short one."""
+    cols = [f"{k}_mm" for k in dims]
+    own = left.select(F.col(id_col).alias("a_id"), *[F.col(c).cast("long").alias(c) for c in cols])
+    targets = graph.cut(places(right, id_col, dims))
+    marked = graph.cut(own.join(targets.withColumnRenamed("id", "b_id"), cols, "left"))
+    same = marked.where("b_id IS NOT NULL").select("a_id", "b_id", F.lit(0).cast("long").alias("d2"))
+    rest = marked.where("b_id IS NULL").drop("b_id")
+    spots = todo = graph.cut(places(rest, "a_id", dims))
+    by_place = []
+
+    def run(ids, xyz, search) -> pd.DataFrame:
+        out = [(ids[0][rows[n > 0]], ids[1][found], d2) for rows, n, found, d2 in search]
+        return pd.DataFrame(dict(zip(("id", "b_id", "d2"), map(np.concatenate, zip(*out)))))
+
+    kind = f"id {left.schema[id_col].dataType.simpleString()}, b_id {right.schema[id_col].dataType.simpleString()}, d2 long"
+    for reach in (max(radius // 16, 1), radius):
+        if reach < radius and is_sparse(todo, targets, radius, dims):
+            continue
+        by_place.append(graph.cut(_blocks(todo, targets, 1, reach, dims, run, kind, False)))
+        if reach < radius:
+            todo = graph.cut(todo.join(by_place[-1].select("id"), "id", "left_anti"))
+    found = by_place[0] if len(by_place) == 1 else by_place[0].unionByName(by_place[1])
+    named = rest.join(spots.join(found, "id"), cols).select("a_id", "b_id", "d2")
+    best = same.unionByName(named).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m"))
+    return best.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.d2").alias("d2"))
+
+
+def is_sparse(left: DataFrame, right: DataFrame, reach: int, dims: str) -> bool:
+    """Blocks eight times as wide as the reach hold at most ``BLOCK`` points each."""
+    wide = [F.floor(F.col(f"{k}_mm") / (8.0 * reach)) for k in dims]
+    most = left.unionByName(right).groupBy(*wide).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= BLOCK
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
@@ -69,12 +138,17 @@ def mutual_nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str =
     return ab.join(ba, ["a_id", "b_id"])
 
 
-def nearest_k(points: DataFrame, k: int, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
-    """The k nearest others of each point that lie within the radius, by distance then id. The
-    filter on the rank lets Spark keep k rows a point before the shuffle and before the sort's end."""
-    pairs = radius_pairs(points, points, radius, id_col, dims).where("a_id <> b_id")
-    w = Window.partitionBy("a_id").orderBy("d2", "b_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def neighbourhoods(points: DataFrame, others: DataFrame, k: int, radius: int, what, schema: str, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
+    """``(id, n, ...)`` for each of ``points``: ``what(rows of others as coordinates, counts, d2)`` of its k nearest among
+    ``others`` that have another id and lie within the radius, by distance then id. ``schema`` names what it returns."""
+    own = lambda df: df.select(F.col(id_col).alias("id"), *[F.col(f"{c}_mm").cast("long").alias(f"{c}_mm") for c in dims])
+
+    def run(ids, xyz, search) -> pd.DataFrame:
+        out = [(ids[0][rows], n, *what(xyz[1][found], n, d2)) for rows, n, found, d2 in search]
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pd.DataFrame(dict(zip(("id", "n", *names), map(np.concatenate, zip(*out)))))
+
+    return _blocks(own(points), own(others), k, radius, dims, run, f"id {points.schema[id_col].dataType.simpleString()}, n long, {schema}", True)
 
 
 def knn_distance(points: DataFrame, k: int, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
@@ -83,19 +157,22 @@ def knn_distance(points: DataFrame, k: int, radius: int, id_col: str = "point_id
     are not k others at all do rows use those there are (none: null)."""
     box = points.agg(F.count("*"), *[f(f"{c}_mm") for c in dims for f in (F.min, F.max)]).first()
     total, span = box[0], sum((hi - lo) ** 2 for lo, hi in zip(box[1::2], box[2::2])) ** 0.5 if box[0] else 0.0
-    todo, parts, reach, left = points.select(id_col, *[f"{c}_mm" for c in dims]), [], radius, total
+    every = points.select(id_col, *[f"{c}_mm" for c in dims])
+    todo, parts, reach, left = every, [], max(radius // 16, 1), total
+
+    def mean(_, n: np.ndarray, d2: np.ndarray):
+        at = np.repeat(np.arange(len(n)), n)
+        return (np.bincount(at, np.sqrt(d2.astype(float)), len(n)) / np.maximum(n, 1),)
+
     while left or not parts:
-        pairs = radius_pairs(todo, points, reach, id_col, dims).where("a_id <> b_id")
-        w = Window.partitionBy("a_id").orderBy("d2", "b_id")
-        found = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("a_id").agg(
-            F.count("*").alias("n"), F.avg(F.sqrt(F.col("d2").cast("double"))).alias("mean_d"))
+        found = neighbourhoods(todo, every, k, reach, mean, "mean_d double", id_col, dims).where("n > 0").withColumnRenamed("id", "a_id")
         if reach >= span:
             parts.append(graph.cut(found))
             break
         parts.append(graph.cut(found.where(F.col("n") == k)))
         todo = graph.cut(todo.join(parts[-1].select(F.col("a_id").alias(id_col)), id_col, "left_anti"))
         left = todo.count()
-        reach *= 2
+        reach *= 4
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -20,3 +20,35 @@ def test_slab_cells_on_the_far_edge(spark):
     assert raster.slice_metrics(free, affine).first().n_cells == 3  # an extent of 100 is ten cells; x = 100 is in the eleventh
     kept, _ = raster.slice_to_raster(p, 0, 2, 10)
     assert {(r.col, r.row) for r in kept.collect()} == {(0, 0), (9, 0), (9, 4)}
+
+
+@pytest.mark.parametrize("dims", ["xy", "xyz"])
+@pytest.mark.parametrize("block", [None, 20])
+def test_nearest_on_crowded_places(spark, monkeypatch, dims, block):
+    """Copies at one place, ties and crowded blocks, against brute force."""
+    import numpy as np
+    import pandas as pd
+
+    from strataplan.operators import spatial
+
+    monkeypatch.setattr(spatial, "BLOCK", block or spatial.BLOCK)
+    rng = np.random.default_rng(3)
+    a, b = (np.vstack([rng.integers(0, 8, (60, 3)), rng.integers(-900, 900, (60, 3))]) for _ in range(2))
+    frame = lambda x: spark.createDataFrame(pd.DataFrame(dict(zip(("x_mm", "y_mm", "z_mm"), x.T))).assign(point_id=rng.permutation(len(x)) + 5))
+    left, right = frame(a), frame(b)
+    got = {r.a_id: (r.d2, r.b_id) for r in spatial.nearest(left, right, 320, dims=dims).collect()}
+    rows = right.collect()
+    d2 = lambda p, q: sum((p[f"{k}_mm"] - q[f"{k}_mm"]) ** 2 for k in dims)
+    best = {p.point_id: min((d2(p, q), q.point_id) for q in rows) for p in left.collect()}
+    assert got == {k: v for k, v in best.items() if v[0] <= 320 * 320}
+
+
+def test_no_search_makes_a_table_of_pairs(spark):
+    """Ten thousand points in a few square millimetres: each is told its nearest and its neighbourhood, and nothing is joined."""
+    from strataplan.operators import planes, spatial
+
+    p = spark.range(10000).selectExpr("id as point_id", "id % 9 as x_mm", "id % 7 as y_mm", "id % 5 as z_mm")
+    near = spatial.nearest(p, p.withColumn("point_id", F.col("point_id") + 20000), 500)
+    assert near.agg(F.count("*"), F.max("d2"), F.max("b_id")).first()[:] == (10000, 0, 20314)
+    plan = planes.normals(p, 200, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
