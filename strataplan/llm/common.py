@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_dir
+from ..operators.graph import FEW, all_at_once, shared_dir
 
 
 #: paths of the tables made by store, in order (not the tables: they would keep their plans alive)
@@ -98,12 +98,12 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            _release()
+            release()
 
     return wrapped
 
 
-def _release() -> None:
+def release() -> None:
     import ctypes
     import gc
 
@@ -121,9 +121,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` by alternating large-star and
-    small-star steps.
+    small-star steps. At most ``few`` distinct edges, which are counted, are one task's work: rounds of
+    joins over so few cost the driver more memory for their stages and tasks than the edges hold.
 
     Returns ``(node, component)`` for every node that has an edge to another node; component is
     the smallest id reachable. Null ends and self loops are ignored; an empty input gives an
@@ -139,6 +140,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = _edge_mark(cur)
     if mark[0] == 0:
         return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if mark[0] <= few:
+        return store(all_at_once(cur))
     for _ in range(max_rounds):
         nxt = store(_small_star(_large_star(cur)))
         new_mark = _edge_mark(nxt)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,12 +77,23 @@ def _at_once(f: pd.DataFrame) -> pd.DataFrame:
     return out[out["node"] != out["component"]]
 
 
+def all_at_once(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of ``edges(u, v)`` in one task, for edges that were counted to be few."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if held:
+            yield _at_once(pd.concat(held))
+
+    return edges.coalesce(1).mapInPandas(run, "node long, component long")
+
+
 def components(edges: DataFrame, max_rounds: int = 50, few: int = FEW) -> DataFrame:
     """``(node, component)`` for nodes that reach a smaller one; component is the smallest id. At most ``few`` edges,
     which are counted, are one task's work; more are joined in rounds."""
     cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if is_few(cur, few):
-        return cut(cur.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda f: _at_once(f), "node long, component long"))
+        return cut(all_at_once(cur))
     mark = None
     for _ in range(max_rounds):
         row = cur.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()

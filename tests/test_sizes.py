@@ -52,3 +52,14 @@ def test_no_search_makes_a_table_of_pairs(spark):
     assert near.agg(F.count("*"), F.max("d2"), F.max("b_id")).first()[:] == (10000, 0, 20314)
     plan = planes.normals(p, 200, 20)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_few_links_are_one_task(spark):
+    """Few links take no rounds, whose stages the driver has to remember; many go by rounds, to the same result."""
+    from strataplan.llm import common
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 13] + [(7, 7), (None, 3)], "a long, b long")
+    made = common.stored()
+    few = {tuple(r) for r in common.components(edges).select("node", "component").collect()}
+    assert common.stored() - made <= 2
+    assert few == {tuple(r) for r in common.components(edges, few=0).select("node", "component").collect()}
