@@ -61,3 +61,4 @@ def run(spark, sf_dir):
             return out
         docs = common.store(out)
         common.sweep(made, docs)
+        common.release()  # what the stage's fit took on the driver
