@@ -62,26 +62,31 @@ def collinear_pairs(segments: DataFrame, angle: float = 3.0, off: float = 50.0,
         lo, hi = (lambda k: F.floor((F.least(f"{k}1", f"{k}2") - grow) / cell)), (lambda k: F.floor((F.greatest(f"{k}1", f"{k}2") + grow) / cell))
         return df.withColumns({"lx": lo("x"), "ly": lo("y")}).withColumn("gx", F.explode(F.sequence("lx", hi("x")))).withColumn("gy", F.explode(F.sequence("ly", hi("y"))))
 
-    cols = ["seg_id", "x1", "y1", "x2", "y2", "ang", "ux", "uy", "mx", "my", "t2", "lx", "ly"]
-    ux, uy = _direction("")
-    base = segments.select("seg_id", "x1", "y1", "x2", "y2").withColumns({
-        "ang": F.round(angle_deg(), 6), "ux": ux, "uy": uy, "mx": (F.col("x1") + F.col("x2")) / 2.0, "my": (F.col("y1") + F.col("y2")) / 2.0,
-        "t2": (F.col("x2") - F.col("x1")) * ux + (F.col("y2") - F.col("y1")) * uy})
+    # what follows from the ends is made again after the join, so that narrow rows move; but for the angle, which is dear
+    cols = ["seg_id", "x1", "y1", "x2", "y2", "ang"]
+    base = segments.select("seg_id", "x1", "y1", "x2", "y2").withColumn("ang", F.round(angle_deg(), 6))
     a = cells(base, reach).select(*[F.col(c).alias(f"a_{c}") for c in cols], "gx", "gy")
     b = cells(base, 0.0).select(*[F.col(c).alias(f"b_{c}") for c in cols], "gx", "gy")
+    first = lambda p, k, grow: F.floor((F.least(f"{p}{k}1", f"{p}{k}2") - grow) / cell)
+    once = (F.col("gx") == F.greatest(first("a_", "x", reach), first("b_", "x", 0.0))) & (F.col("gy") == F.greatest(first("a_", "y", reach), first("b_", "y", 0.0)))
+    alike = circular_diff(F.col("a_ang"), F.col("b_ang")) <= angle
+    # boxes share a rectangle of cells; the pair is tested in its first cell only
+    met = a.join(b, ["gx", "gy"]).where("a_seg_id < b_seg_id").where(once & alike)
+    ux, uy = _direction("a_")
+    met = met.withColumns({"a_ux": ux, "a_uy": uy})
+    mid = lambda p, k: (F.col(f"{p}{k}1") + F.col(f"{p}{k}2")) / 2.0
     ux, uy = F.col("a_ux"), F.col("a_uy")
-    perp = F.abs((F.col("b_mx") - F.col("a_mx")) * -uy + (F.col("b_my") - F.col("a_my")) * ux)
+    perp = F.abs((mid("b_", "x") - mid("a_", "x")) * -uy + (mid("b_", "y") - mid("a_", "y")) * ux)
     t = lambda k: (F.col(f"b_x{k}") - F.col("a_x1")) * ux + (F.col(f"b_y{k}") - F.col("a_y1")) * uy
-    between = F.greatest(F.least(t(1), t(2)) - F.col("a_t2"), -F.greatest(t(1), t(2)), F.lit(0.0))
-    near = (F.round(perp, 6) <= off) & (circular_diff(F.col("a_ang"), F.col("b_ang")) <= angle) & (F.round(between, 6) <= gap)
-    # boxes share a rectangle of cells; the pair is tested in its first cell only
-    once = (F.col("gx") == F.greatest("a_lx", "b_lx")) & (F.col("gy") == F.greatest("a_ly", "b_ly"))
-    return a.join(b, ["gx", "gy"]).where("a_seg_id < b_seg_id").where(once).where(near).select(F.col("a_seg_id").alias("a_id"), F.col("b_seg_id").alias("b_id"))
+    end = (F.col("a_x2") - F.col("a_x1")) * ux + (F.col("a_y2") - F.col("a_y1")) * uy
+    between = F.greatest(F.least(t(1), t(2)) - end, -F.greatest(t(1), t(2)), F.lit(0.0))
+    near = (F.round(perp, 6) <= off) & (F.round(between, 6) <= gap)
+    return met.where(near).select(F.col("a_seg_id").alias("a_id"), F.col("b_seg_id").alias("b_id"))
 
 
 def merged(segments: DataFrame, pairs: DataFrame) -> DataFrame:
     """One segment for each component of the pairs: length-weighted direction (turned to agree
-    with the first member) and centre, ends at the extreme projections."""
+    with the first member) and centre, ends at the extreme projections; ``total`` is the members' length."""
     comp = graph.components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     s = segments.join(comp.withColumnRenamed("node", "seg_id"), "seg_id", "left").withColumn("component", F.coalesce("component", "seg_id"))
     length = length_mm()
@@ -91,14 +96,14 @@ def merged(segments: DataFrame, pairs: DataFrame) -> DataFrame:
     sign = F.when(F.col("dx") * F.col("fx") + F.col("dy") * F.col("fy") < 0, -1.0).otherwise(1.0)  # a square member keeps its sign
     w = F.col("len")
     means = s.groupBy("component").agg(
-        F.count("*").alias("members"), F.sum(sign * F.col("dx") * w).alias("ux"), F.sum(sign * F.col("dy") * w).alias("uy"),
+        F.count("*").alias("members"), F.sum("len").alias("total"), F.sum(sign * F.col("dx") * w).alias("ux"), F.sum(sign * F.col("dy") * w).alias("uy"),
         (F.sum((F.col("x1") + F.col("x2")) / 2.0 * w) / F.sum(w)).alias("cx"), (F.sum((F.col("y1") + F.col("y2")) / 2.0 * w) / F.sum(w)).alias("cy"))
     n = F.greatest(F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy")), F.lit(1e-9))
     means = means.withColumns({"ux": F.col("ux") / n, "uy": F.col("uy") / n})
     t = lambda i: (F.col(f"x{i}") - F.col("cx")) * F.col("ux") + (F.col(f"y{i}") - F.col("cy")) * F.col("uy")
-    ends = s.join(means, "component").groupBy("component", "members", "ux", "uy", "cx", "cy").agg(F.min(F.least(t(1), t(2))).alias("lo"), F.max(F.greatest(t(1), t(2))).alias("hi"))
+    ends = s.join(means, "component").groupBy("component", "members", "total", "ux", "uy", "cx", "cy").agg(F.min(F.least(t(1), t(2))).alias("lo"), F.max(F.greatest(t(1), t(2))).alias("hi"))
     at = lambda c, u, e: F.col(c) + F.col(u) * F.col(e)
-    return ends.select(F.col("component").alias("seg_id"), "members", at("cx", "ux", "lo").alias("x1"), at("cy", "uy", "lo").alias("y1"), at("cx", "ux", "hi").alias("x2"), at("cy", "uy", "hi").alias("y2"))
+    return ends.select(F.col("component").alias("seg_id"), "members", "total", at("cx", "ux", "lo").alias("x1"), at("cy", "uy", "lo").alias("y1"), at("cx", "ux", "hi").alias("x2"), at("cy", "uy", "hi").alias("y2"))
 
 
 def regularise(segments: DataFrame, drop_below: float = 500.0, snap: bool = True, merge: bool = True) -> DataFrame:
@@ -109,7 +114,7 @@ def regularise(segments: DataFrame, drop_below: float = 500.0, snap: bool = True
     if snap:
         out = manhattan_snap(out)
     if merge:
-        out = merged(out, collinear_pairs(out)).drop("members")
+        out = merged(out, collinear_pairs(out)).drop("members", "total")
     return out
 
 

@@ -256,12 +256,7 @@ def segments_noded(spark, d):
 comp AS (SELECT s AS seg_id, min(c) AS c FROM reach GROUP BY 1) SELECT c AS seg_id, count(*) AS members, round(sum(len), 3) AS total FROM comp JOIN ss USING (seg_id) GROUP BY 1""")
 def segments_merged(spark, d):
     s = _small(spark, d)
-    comp = seg.merged(s, seg.collinear_pairs(s)).select("seg_id", "members")
-    from ..operators import graph
-
-    labels = graph.components(seg.collinear_pairs(s).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).withColumnRenamed("node", "seg_id")
-    total = s.join(labels, "seg_id", "left").groupBy(F.coalesce("component", "seg_id").alias("seg_id")).agg(F.round(F.sum(filters.length_mm()), 3).alias("total"))
-    return comp.join(total, "seg_id")
+    return seg.merged(s, seg.collinear_pairs(s)).select("seg_id", "members", F.round("total", 3).alias("total"))
 
 
 @query("manhattan_snap", f"""WITH {S}, a AS (SELECT *, {_LEN} AS len, ((degrees(atan2(CAST(y2 - y1 AS DOUBLE), CAST(x2 - x1 AS DOUBLE))) % 180.0) + 180.0) % 180.0 AS ang FROM segs), pk AS (SELECT (floor(round(ang, 6) / 2) + 0.5) * 2 AS dom FROM a GROUP BY floor(round(ang, 6) / 2) ORDER BY round(sum(len), 3) DESC, floor(round(ang, 6) / 2) LIMIT 1),

@@ -63,3 +63,13 @@ def test_few_links_are_one_task(spark):
     few = {tuple(r) for r in common.components(edges).select("node", "component").collect()}
     assert common.stored() - made <= 2
     assert few == {tuple(r) for r in common.components(edges, few=0).select("node", "component").collect()}
+
+
+def test_merging_makes_its_pairs_once(spark, data, monkeypatch):
+    from strataplan import plans
+    from strataplan.operators import segments
+
+    made, pairs = [], segments.collinear_pairs
+    monkeypatch.setattr(segments, "collinear_pairs", lambda *a, **k: made.append(1) or pairs(*a, **k))
+    plans.QUERIES["segments_merged"](spark, data)
+    assert len(made) == 1
