@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,11 +144,138 @@ def shoelace(x0="ox", y0="oy", x1="dx", y1="dy") -> Column:
     return F.col(x0) * F.col(y1) - F.col(x1) * F.col(y0)
 
 
-def faces(segments: DataFrame, cell: float = 2000.0, snap: float = 0.001, least: float = 0.0) -> DataFrame:
+#: segments of a group that one task takes at once; they have at most as many pieces as their square
+GROUP = 1000
+
+
+def faces(segments: DataFrame, cell: float = 2000.0, snap: float = 0.001, least: float = 0.0, group: int = GROUP) -> DataFrame:
     """``(by, face, hole, place, ox, oy, dx, dy)``: the edges of the bounded faces that the segments of each group
     ``by`` enclose, of an area above ``least``, in the units of the input. Edges run with the face to their left; those of holes
     (``hole`` is theirs, else null) run the other way. Dangling edges and bridges bound no face: they have one
-    walk on both sides and are taken out first."""
+    walk on both sides and are taken out first.
+
+    Segments move once, to their group, where it has at most ``group`` of them, which are counted; larger groups go by
+    joins. ``segments`` is read twice, and should be stored where it is dear."""
+    s = segments.select("by", "seg_id", "x1", "y1", "x2", "y2").dropna()
+    large = graph.cut(s.groupBy("by").agg(F.count("*").alias("_n")).where(F.col("_n") > group).select("by"))
+    kind = s.schema["by"].dataType.simpleString()
+    told = lambda df: df.groupBy("by").applyInArrow(lambda t: _group_faces(t, snap, least), f"by {kind}, face long, hole long, place long, ox double, oy double, dx double, dy double")
+    if not large.take(1):
+        return told(s)
+    return told(s.join(large, "by", "left_anti")).unionByName(_joined_faces(s.join(large, "by", "left_semi").distinct(), cell, snap, least))
+
+
+def _snapped(v: np.ndarray, snap: float) -> np.ndarray:
+    """As SQL's round: halves go away from zero."""
+    w = np.abs(v / snap)
+    return (np.sign(v) * (np.trunc(w) + (w - np.trunc(w) >= 0.5))).astype(np.int64)
+
+
+def _group_pieces(ids: np.ndarray, ends: np.ndarray, snap: float) -> np.ndarray:
+    """:func:`edges` of one group, before :func:`_apart`: rows ax, ay, bx, by."""
+    x1, y1, x2, y2 = ends.T
+    lx, hx, ly, hy = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
+    over = lambda lo, hi: (hi[:, None] >= lo) & (lo[:, None] <= hi)
+    a, b = np.nonzero(over(lx, hx) & over(ly, hy) & (ids[:, None] != ids))
+    ux, uy, vx, vy, wx, wy = x2[a] - x1[a], y2[a] - y1[a], x2[b] - x1[b], y2[b] - y1[b], x1[b] - x1[a], y1[b] - y1[a]
+    den = ux * vy - uy * vx
+    with np.errstate(all="ignore"):
+        ta, tb = (wx * vy - wy * vx) / den, (wx * uy - wy * ux) / den
+    met = (den != 0) & (ta > 0) & (ta < 1) & (tb >= 0) & (tb <= 1)  # an own end is no cut
+    line = np.repeat(np.flatnonzero((den == 0) & (wx * uy == wy * ux) & ((ux != 0) | (uy != 0))), 2)
+    i, j, ta, tb = a[met], b[met], ta[met], tb[met]
+    point = lambda p, q: np.select([tb == 0, tb == 1, ids[i] < ids[j]], [p[j], q[j], p[i] + (q[i] - p[i]) * ta], p[j] + (q[j] - p[j]) * tb)
+    k, turn = a[line], np.arange(len(line)) % 2 == 0
+    px, py = np.where(turn, x1[b[line]], x2[b[line]]), np.where(turn, y1[b[line]], y2[b[line]])
+    wide = np.abs(x2[k] - x1[k]) >= np.abs(y2[k] - y1[k])
+    with np.errstate(all="ignore"):
+        at = np.where(wide, (px - x1[k]) / (x2[k] - x1[k]), (py - y1[k]) / (y2[k] - y1[k]))
+    inner, own = (at > 0) & (at < 1), np.arange(len(ids))
+    seg = np.concatenate([own, own, i, k[inner]])
+    t = np.concatenate([np.zeros(len(ids)), np.ones(len(ids)), ta, at[inner]])
+    x = _snapped(np.concatenate([x1, x2, point(x1, x2), px[inner]]), snap)
+    y = _snapped(np.concatenate([y1, y2, point(y1, y2), py[inner]]), snap)
+    order = np.lexsort((y, x, t, seg))
+    p = np.stack([x, y], 1)[order]
+    step = np.hstack([p[:-1], p[1:]])[(seg[order][:-1] == seg[order][1:]) & (p[:-1] != p[1:]).any(1)]
+    return _low_first(step)
+
+
+def _low_first(e: np.ndarray) -> np.ndarray:
+    turn = (e[:, 0] > e[:, 2]) | (e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3])
+    return np.unique(np.where(turn[:, None], e[:, [2, 3, 0, 1]], e), axis=0)
+
+
+def _fan(half: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Half-edges ox, oy, dx, dy by corner, angle and ``last``, and where a corner begins in that order."""
+    turn = np.arctan2((half[:, 3] - half[:, 1]).astype(float), (half[:, 2] - half[:, 0]).astype(float))
+    order = np.lexsort((last, turn, half[:, 1], half[:, 0]))
+    o = half[order, :2]
+    return order, np.append(True, (o[1:] != o[:-1]).any(1))[:len(o)]
+
+
+def _group_apart(e: np.ndarray) -> np.ndarray:
+    """:func:`_apart` of one group."""
+    while True:
+        half = np.vstack([e, e[:, [2, 3, 0, 1]]])
+        w = half[:, 2:] - half[:, :2]
+        order, new = _fan(half, (w * w).sum(1))
+        p, q = w[order][:-1], w[order][1:]
+        over = np.flatnonzero(~new[1:] & (p[:, 0] * q[:, 1] == p[:, 1] * q[:, 0]) & ((p * q).sum(1) > 0) & ((p * p).sum(1) < (q * q).sum(1)))
+        if not len(over):
+            return e
+        rest = np.hstack([half[order[over], 2:], half[order[over + 1], 2:]])
+        e = _low_first(np.vstack([np.delete(e, order[over + 1] % len(e), 0), rest]))
+
+
+def _group_rings(half: np.ndarray) -> pd.DataFrame:
+    """The rings of half-edges, of which the other direction of i is i ^ 1, in their order."""
+    order, new = _fan(half, np.arange(len(half)))
+    first = np.flatnonzero(new)
+    before = np.append(0, order[:-1])
+    before[first] = order[np.append(first[1:], len(order)) - 1]
+    return _at_once(pd.DataFrame({"id": order ^ 1, "next": before}))
+
+
+def _group_faces(table: pa.Table, snap: float, least: float) -> pa.Table:
+    """:func:`faces` of one group, all in place."""
+    column = lambda c: table[c].to_numpy()
+    e = _group_apart(_group_pieces(column("seg_id"), np.stack([column(c).astype(float) for c in ("x1", "y1", "x2", "y2")], 1), snap))
+    both = lambda e: np.stack([e, e[:, [2, 3, 0, 1]]], 1).reshape(-1, 4)
+    if len(e):
+        ring = _group_rings(both(e))["ring"].to_numpy()
+        e = e[ring[::2] != ring[1::2]]  # others are bridges
+    half = both(e)
+    walks = _group_rings(half) if len(e) else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "ring", "place")})
+    names, ring = np.unique(walks["ring"].to_numpy(), return_inverse=True)
+    n = len(names)
+    low = np.full((n, 2), np.iinfo(np.int64).max)
+    np.minimum.at(low, ring, half[:, :2])
+    rel = (half - np.hstack([low, low])[ring]).astype(float)
+    area = np.bincount(ring, rel[:, 0] * rel[:, 3] - rel[:, 2] * rel[:, 1], n) / 2 * snap * snap
+    by_corner = np.lexsort((half[:, 1], half[:, 0], ring))
+    corner = half[by_corner[np.searchsorted(ring[by_corner], np.arange(n))], :2]
+    # a walk around the outside of a connected part lies in the smallest face of another part that holds it
+    face, side = np.where(area > 0, np.arange(n), -1), half[area[ring] > 0].astype(float)
+    shell = ring[area[ring] > 0]
+    by_area = np.lexsort((np.arange(n), area))
+    for r in np.flatnonzero(area < 0):
+        x, y = corner[r]
+        s = (side[:, 1] > y) != (side[:, 3] > y)
+        x0, y0, u, v = side[s].T
+        odd = np.bincount(shell[s][x < (u - x0) * (y - y0) / (v - y0) + x0], minlength=n) % 2 == 1
+        held = by_area[(odd & (area > -area[r]))[by_area]]
+        face[r] = held[0] if len(held) else -1
+    hole = (area < 0) & (face >= 0)
+    left = area - np.bincount(face[hole], -area[hole], n)
+    rows = np.flatnonzero((face[ring] >= 0) & (left[face[ring]] > least))
+    out = [names[face[ring[rows]]], pa.array(names[ring[rows]], mask=~hole[ring[rows]]), walks["place"].to_numpy()[rows], *(half[rows] * snap).T]
+    own = table["by"].combine_chunks().take(pa.array(np.zeros(len(rows), np.int64)))
+    return pa.table([own, *map(pa.array, out)], ["by", "face", "hole", "place", "ox", "oy", "dx", "dy"])
+
+
+def _joined_faces(segments: DataFrame, cell: float, snap: float, least: float) -> DataFrame:
+    """:func:`faces` by joins, whatever the size of a group."""
     numbered = graph.cut(edges(segments, cell, snap).withColumn("e", F.monotonically_increasing_id()))
     halves = _halves(numbered)
     walks = graph.cut(cycles(_steps(halves)))
@@ -181,10 +309,11 @@ def faces(segments: DataFrame, cell: float = 2000.0, snap: float = 0.001, least:
 def measured(sides: DataFrame, key: str = "face") -> DataFrame:
     """``(by, key, area, cx, cy, corners, x0, y0, x1, y1)`` of ``(by, key, ox, oy, dx, dy)``: area without holes, its
     centroid, edges and box. Sums are taken about the box's corner."""
-    box = sides.groupBy("by", key).agg(F.min("ox").alias("x0"), F.min("oy").alias("y0"), F.max("ox").alias("x1"), F.max("oy").alias("y1"))
+    own = Window.partitionBy("by", key)
+    boxed = sides.select("by", key, "ox", "oy", "dx", "dy", F.min("ox").over(own).alias("x0"), F.min("oy").over(own).alias("y0"), F.max("ox").over(own).alias("x1"), F.max("oy").over(own).alias("y1"))
     px, py, qx, qy = (F.col(c) - F.col(o) for c, o in (("ox", "x0"), ("oy", "y0"), ("dx", "x0"), ("dy", "y0")))
     cross = px * qy - qx * py
-    sums = sides.join(box, ["by", key]).groupBy("by", key, "x0", "y0", "x1", "y1").agg(F.sum(cross).alias("a"), F.sum((px + qx) * cross).alias("mx"), F.sum((py + qy) * cross).alias("my"), F.count("*").alias("corners"))
+    sums = boxed.groupBy("by", key, "x0", "y0", "x1", "y1").agg(F.sum(cross).alias("a"), F.sum((px + qx) * cross).alias("mx"), F.sum((py + qy) * cross).alias("my"), F.count("*").alias("corners"))
     return sums.where("a <> 0").select("by", key, (F.abs("a") / 2).alias("area"), (F.col("x0") + F.col("mx") / (3 * F.col("a"))).alias("cx"), (F.col("y0") + F.col("my") / (3 * F.col("a"))).alias("cy"), "corners", "x0", "y0", "x1", "y1")
 
 

@@ -91,7 +91,7 @@ def rooms_from_lines(segments: DataFrame, cell: float = 5.0, snap: float = 1e-6)
     x, y = (lambda f, g: f(g("x1", "x2"))), (lambda f, g: f(g("y1", "y2")))
     box = s.groupBy("building").agg(((x(F.max, F.greatest) - x(F.min, F.least)) * (y(F.max, F.greatest) - y(F.min, F.least)) * 0.005).alias("_least"))
     ends = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    sides = graph.cut(rings.faces(s.select(F.col("building").alias("by"), F.xxhash64("x1", "y1", "x2", "y2").alias("seg_id"), *ends).distinct(), cell, snap, 2.0))
+    sides = graph.cut(rings.faces(s.select(F.col("building").alias("by"), F.xxhash64("x1", "y1", "x2", "y2").alias("seg_id"), *ends), cell, snap, 2.0))
     big = rings.measured(sides).join(filters.if_small(box), F.col("by") == F.col("building")).where(F.col("area") >= F.col("_least"))
     faces = big.join(rings.outlines(sides), ["by", "face"]).select("building", "area", "x0", "y0", F.col("x1").alias("u"), F.col("y1").alias("v"), "polygon")
 

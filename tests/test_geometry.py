@@ -238,3 +238,29 @@ def test_manhattan_needs_four(spark):
     s = spark.createDataFrame(rows, "seg_id long, x1 long, y1 long, x2 long, y2 long")
     assert filters.manhattan_filter(s).count() == 3
     assert filters.manhattan_filter(s.unionByName(spark.createDataFrame([(4, 0, 0, 0, 50)], s.schema))).count() == 3
+
+
+def test_faces_group_by_group_and_by_joins(spark):
+    """Small groups are one task's work each, and their segments move once; large ones go by joins, to the same faces."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for by in "abc":
+        a = rng.integers(0, 60, (45, 2))
+        ends = np.hstack([a, a + rng.integers(-25, 26, (45, 2))])
+        ends[::3, 3] = ends[::3, 1]  # level ones, of which some lie on each other
+        ends[::9, :] += 200  # apart from the rest
+        island = [(20, 20, 24, 20), (24, 20, 24, 24), (24, 24, 20, 24), (20, 24, 20, 20), (400, 0, 500, 0), (500, 0, 500, 90), (500, 90, 400, 0), (450, 10, 460, 10), (460, 10, 460, 15), (460, 15, 450, 10)]
+        rows += [(by, i, *map(float, r)) for i, r in enumerate([*ends.tolist(), *island, (5.0, 5.0, 5.0, 5.0), (float("nan"), 0, 1, 1)])]
+    df = spark.createDataFrame(rows + rows[:20], "by string, seg_id long, x1 double, y1 double, x2 double, y2 double")
+    for snap, least in ((0.001, 0.0), (0.5, 2.0)):
+        told = []
+        for group in (rings.GROUP, 60, 0):  # all, some and none at once: b and c hold 57
+            f = graph.cut(rings.faces(df, 20.0, snap, least, group))
+            shown = rings.measured(f).select("by", *[F.round(c, 6) for c in ("area", "cx", "cy", "x0", "y0", "x1", "y1")], "corners")
+            walks = rings.outlines(f).select("by", F.sort_array("polygon"), F.lit(0))
+            told.append([sorted(map(tuple, t.collect())) for t in (shown, walks)] + [f.where("hole IS NOT NULL").count()])
+        assert told[0][0] == told[1][0] == told[2][0] and len(told[0][0]) > 15
+        assert told[0][2] == told[1][2] == told[2][2] > 0
+        assert [len(t[1]) for t in told] == [len(told[0][1])] * 3
+    plan = rings.faces(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
