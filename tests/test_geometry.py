@@ -264,3 +264,11 @@ def test_faces_group_by_group_and_by_joins(spark):
         assert [len(t[1]) for t in told] == [len(told[0][1])] * 3
     plan = rings.faces(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_lines_of_drawings_meet_no_join(spark):
+    """Whatever the number of drawings, their lines go to their drawing; pairs, corners and rings are not joined."""
+    rows = polyline("a", 1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + polyline("b", 2, [(1, -1), (1, 5)], False, "LINE")
+    faces = drawings.line_faces(spark.createDataFrame(rows, DXF))
+    assert "Join" not in faces._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in rings.measured(faces).select("by", "area", "corners").collect()] == [("a", 16.0, 4)]
