@@ -184,15 +184,26 @@ class ScanSource(DataSource):
 DXF_SCHEMA = "file string, entity int, kind string, layer string, closed boolean, vertex int, x double, y double, text string"
 
 
+def _dxf_pairs(f) -> Iterator[tuple[int, str]]:
+    """Group codes and values of a drawing, line by line."""
+    lines = (x.rstrip("\r\n") for x in io.TextIOWrapper(f, "utf-8", "replace", "\n"))
+    for code in lines:
+        value = next(lines, None)
+        if value is not None:
+            yield int(code), value
+
+
 def dxf_rows(path: str) -> Iterator[tuple]:
-    """Vertices of LINE, LWPOLYLINE and POLYLINE, and TEXT / MTEXT with their insert point."""
+    """Vertices of LINE, LWPOLYLINE and POLYLINE, and TEXT / MTEXT with their insert point. A drawing is read as it is
+    told; no more than an entity is held."""
     with _open(path) as f:
-        lines = [x.rstrip("\r") for x in f.read().decode("utf-8", errors="replace").split("\n")]
-    pairs = [(int(c), v) for c, v in zip(lines[::2], lines[1::2])]
-    entity, at, in_entities = 0, 0, False
-    while at < len(pairs):
-        code, value = pairs[at]
-        at += 1
+        yield from _entities(path, _dxf_pairs(f))
+
+
+def _entities(path: str, pairs: Iterator[tuple[int, str]]) -> Iterator[tuple]:
+    entity, in_entities, pair = 0, False, next(pairs, None)
+    while pair is not None:
+        (code, value), pair = pair, next(pairs, None)
         if code == 2 and value == "ENTITIES":
             in_entities = True
         if code != 0 or not in_entities:
@@ -200,18 +211,14 @@ def dxf_rows(path: str) -> Iterator[tuple]:
         if value == "ENDSEC":
             return
         body = []
+        while pair is not None and (pair != (0, "SEQEND") if value == "POLYLINE" else pair[0] != 0):
+            body.append(pair)
+            pair = next(pairs, None)
+        flags = next((int(v) for c, v in body if c == 70), 0)
         if value == "POLYLINE":
-            while at < len(pairs) and pairs[at] != (0, "SEQEND"):
-                body.append(pairs[at])
-                at += 1
-            flags = next((int(v) for c, v in body if c == 70), 0)
             split = [i for i, p in enumerate(body) if p == (0, "VERTEX")]
             points = [(float(next(v for c, v in body[i:] if c == 10)), float(next(v for c, v in body[i:] if c == 20))) for i in split]
         else:
-            while at < len(pairs) and pairs[at][0] != 0:
-                body.append(pairs[at])
-                at += 1
-            flags = next((int(v) for c, v in body if c == 70), 0)
             xs, ys = [float(v) for c, v in body if c in (10, 11)], [float(v) for c, v in body if c in (20, 21)]
             points = list(zip(xs, ys))
         layer = next((v for c, v in body if c == 8), "0")

@@ -56,13 +56,21 @@ def dxf_note(text: str, i: int) -> list[str]:
     return ["0", "TEXT", "8", "ANNOTATION", "10", "0.0", "20", str(-1.0 - i), "40", "0.25", "1", text]
 
 
-def dxf_file(entities: list[str], units: str) -> str:
-    """A whole drawing of the layers above and the entities given."""
+#: what follows the entities of a drawing
+DXF_END = ["0", "ENDSEC", "0", "EOF", ""]
+
+
+def dxf_head(units: str) -> list[str]:
+    """What comes before the entities of a drawing: its units and the layers above."""
     out = ["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1032", "9", "$INSUNITS", "70", str(UNITS[units]), "0", "ENDSEC", "0", "SECTION", "2", "TABLES", "0", "TABLE", "2", "LAYER", "70", str(len(LAYERS))]
     for name, colour, weight in LAYERS.values():
         out += ["0", "LAYER", "2", name, "70", "0", "62", str(colour), "6", "CONTINUOUS", "370", str(weight)]
-    out += ["0", "ENDTAB", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", *entities]
-    return "\n".join([*out, "0", "ENDSEC", "0", "EOF", ""])
+    return [*out, "0", "ENDTAB", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"]
+
+
+def dxf_file(entities: list[str], units: str) -> str:
+    """A whole drawing of the layers above and the entities given."""
+    return "\n".join([*dxf_head(units), *entities, *DXF_END])
 
 
 def dxf_text(segments: DataFrame, units: str = "metres", note: str = "") -> tuple[str, list[str]]:

@@ -9,11 +9,12 @@ leaves nothing, ``_SUCCESS`` comes last, and the folder reads back as one table
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
@@ -44,8 +45,8 @@ class _Parts(DataSourceArrowWriter):
             raise ValueError(f"{self.suffix} needs the columns {', '.join(lost)}")
         self.run = uuid.uuid4().hex
 
-    def body(self, rows: pa.Table) -> tuple[bytes, int, set[str]]:
-        """A whole file, its rows, and classes that were left out."""
+    def body(self, rows: pa.Table) -> tuple[Iterable[bytes], int, set[str]]:
+        """A whole file piece by piece, its rows, and classes that were left out."""
         raise NotImplementedError
 
     def notes(self, dropped: list[str]) -> bytes | None:
@@ -69,7 +70,8 @@ class _Parts(DataSourceArrowWriter):
             if rows:
                 files.append(f"{stem}-{len(files):04d}.{self.suffix}")
                 with where.open_output_stream(f"{staging}/{files[-1]}") as out:
-                    out.write(content)
+                    for piece in content:
+                        out.write(piece)
                 total += rows
 
         for batch in iterator:
@@ -127,7 +129,7 @@ class PlyParts(_Parts):
             out[c] = v[ok]
         for c in "rgb" if colours else "":
             out[c] = np.clip(np.nan_to_num(rows[c].cast(pa.float64()).to_numpy()[ok]) * 255, 0, 255).astype(np.uint8)
-        return sinks.ply_head(len(out), colours) + out.tobytes(), len(out), set()
+        return [sinks.ply_head(len(out), colours), out.tobytes()], len(out), set()
 
 
 class DxfParts(_Parts):
@@ -136,14 +138,24 @@ class DxfParts(_Parts):
 
     suffix, needs = "dxf", ("class", "x1", "y1", "x2", "y2")
 
+    #: rows that are text at one time
+    step = 10_000
+
     def body(self, rows):
-        lines, dropped = [], set()
-        for kind, *ends in zip(*[rows[c].to_pylist() for c in self.needs]):
-            if kind not in sinks.LAYERS:
-                dropped.add(str(kind))
-            elif None not in ends:
-                lines.append(sinks.dxf_line(kind, *ends))
-        return sinks.dxf_file([x for line in lines for x in line], self.options.get("units", "metres")).encode(), len(lines), dropped
+        kinds = rows["class"]
+        dropped = {str(k) for k in kinds.unique().to_pylist() if k not in sinks.LAYERS}
+        drawn = pc.is_in(kinds, value_set=pa.array(list(sinks.LAYERS), kinds.type))
+        for c in self.needs[1:]:
+            drawn = pc.and_(drawn, pc.is_valid(rows[c]))
+        kept = rows.filter(drawn).select(self.needs)
+        return self._pieces(kept), kept.num_rows, dropped
+
+    def _pieces(self, rows: pa.Table) -> Iterator[bytes]:
+        text = lambda lines: "".join(f"{x}\n" for x in lines).encode()
+        yield text(sinks.dxf_head(self.options.get("units", "metres")))
+        for low in range(0, rows.num_rows, self.step):
+            yield text(x for row in zip(*[c.to_pylist() for c in rows.slice(low, self.step).columns]) for x in sinks.dxf_line(*row))
+        yield text(sinks.DXF_END[:-1])
 
     def notes(self, dropped):
         if not dropped:

@@ -58,3 +58,29 @@ def test_a_failure_leaves_nothing(ready, tmp_path):
     assert left(at) == before and ready.read.format("scan").load(str(at)).count() == 300
     with pytest.raises(Exception, match="needs the columns"):
         good.drop("z").write.format("ply").mode("append").save(str(at))
+
+
+def test_drawing_parts_are_written_and_read_entity_by_entity(ready, tmp_path):
+    """Neither side holds a part's text: what Python holds does not grow with the part."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 40_000
+    ends = {c: [i / 8 + k for i in range(n)] for k, c in enumerate(("x1", "y1", "x2", "y2"))}
+    rows = pa.table({"class": ["walls", "mep", "ghost", None] * (n // 4), **ends})
+    part = writers.DxfParts({"path": str(tmp_path)}, ready.createDataFrame([], "class string, x1 double, y1 double, x2 double, y2 double").schema, False)
+    tracemalloc.start()
+    try:
+        pieces, kept, dropped = part.body(rows)
+        with open(tmp_path / "a.dxf", "wb") as f:
+            for p in pieces:
+                f.write(p)
+        told = sum(1 for _ in scan_files.dxf_rows(str(tmp_path / "a.dxf")))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (kept, dropped, told) == (n // 2, {"ghost", "None"}, n)
+    assert peak < 20_000_000
+    last = list(scan_files.dxf_rows(str(tmp_path / "a.dxf")))[-2:]
+    assert [r[1:8] for r in last] == [(n // 2 - 1, "LWPOLYLINE", last[0][3], False, k, ends[x][-3], ends[y][-3]) for k, (x, y) in enumerate((("x1", "y1"), ("x2", "y2")))]
