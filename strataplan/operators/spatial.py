@@ -191,6 +191,12 @@ def neighbour_counts(points: DataFrame, radius: int, id_col: str = "point_id", d
     return radius_pairs(points, points, radius, id_col, dims).groupBy("a_id").agg(F.count("*").alias("n"))
 
 
+def as_made(df: DataFrame) -> DataFrame:
+    """The same rows, whose columns are made before what comes next tests them. A join's tests for nulls would else be
+    pushed below the columns, which are then made again for each test, in one method too long to be compiled."""
+    return df.where(F.spark_partition_id() >= 0)
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "room_id", cell: int = 5000, by: str | None = None) -> DataFrame:
     """``(point columns, key)`` for points inside by the even-odd rule. Polygons are put into the
     grid cells their boxes touch, so points meet only polygons of their cell; a polygon is then
@@ -212,7 +218,7 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "room_id"
         at = (e["x1"] - e["x0"]) * (y - e["y0"]) / F.when(e["y1"] == e["y0"], F.lit(None)).otherwise(e["y1"] - e["y0"]) + e["x0"]
         return straddles & (x < at)
 
-    joined = points.withColumns({"_cx": F.floor(x / cell), "_cy": F.floor(y / cell)}).join(tiles, ["_cx", "_cy", *same])
+    joined = as_made(points).withColumns({"_cx": F.floor(x / cell), "_cy": F.floor(y / cell)}).join(tiles, ["_cx", "_cy", *same])
     inside = (x >= F.col("_bx0")) & (x <= F.col("_bx1")) & (y >= F.col("_by0")) & (y <= F.col("_by1"))
     odd = F.size(F.filter("_edges", crosses)) % 2 == 1
     return joined.where(inside & odd).select(*points.columns, key)
@@ -228,6 +234,6 @@ def near_planes(points: DataFrame, planes: DataFrame, least: int = 20, most: int
         "_cy", F.explode(F.sequence(F.floor((F.col("by0") - buffer) / cell), F.floor((F.col("by1") + buffer) / cell))))
     norm = F.sqrt(F.col("_pa") * F.col("_pa") + F.col("_pb") * F.col("_pb") + F.col("_pc") * F.col("_pc"))
     dist = (F.col("_pa") * F.col("x_mm") + F.col("_pb") * F.col("y_mm") + F.col("_pc") * F.col("z_mm") + F.col("_pd")) / norm
-    p = points.withColumns({"_cx": F.floor(F.col("x_mm") / cell), "_cy": F.floor(F.col("y_mm") / cell)})
+    p = as_made(points).withColumns({"_cx": F.floor(F.col("x_mm") / cell), "_cy": F.floor(F.col("y_mm") / cell)})
     out = p.join(if_small(boxes), ["_cx", "_cy"]).withColumn("dist", dist)
     return out.where(F.col("dist").between(least, most) & F.col("x_mm").between(F.col("bx0") - buffer, F.col("bx1") + buffer) & F.col("y_mm").between(F.col("by0") - buffer, F.col("by1") + buffer)).select(*points.columns, "wall_id", "dist")

@@ -101,10 +101,16 @@ def fixtures(points: DataFrame, plane_table: DataFrame) -> DataFrame:
 
 
 def match_quality(points: DataFrame, edges: DataFrame, ends: DataFrame, tolerance: int = 50) -> DataFrame:
-    """Per room: points inside, and the share near a wall end (20 points at least, else null)."""
-    inside = spatial.points_in_polygons(points.select("point_id", "x_mm", "y_mm"), edges)
-    near = spatial.nearest(inside.select("point_id", "x_mm", "y_mm"), ends, tolerance, dims="xy").select(F.col("a_id").alias("point_id"), (F.col("d2") < tolerance * tolerance).alias("hit"))
-    got = inside.join(near, "point_id", "left").groupBy("room_id").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(False)).cast("double")).alias("q"))
+    """Per room: points inside, and the share near a wall end (20 points at least, else null). Ends are told to the cells in
+    reach of them, so that points are read once and, where such cells are few, do not move."""
+    cell = 2.0 * max(tolerance, 1)
+    reach = lambda k: F.explode(F.sequence(*[F.floor((F.col(f"{k}_mm") + s * tolerance) / cell) for s in (-1, 1)]))
+    told = ends.select("x_mm", "y_mm").dropna().distinct().withColumn("_cx", reach("x")).withColumn("_cy", reach("y"))
+    about = told.groupBy("_cx", "_cy").agg(F.collect_list(F.struct("x_mm", "y_mm")).alias("_ends"))
+    inside = spatial.points_in_polygons(points.select("x_mm", "y_mm"), edges).withColumns({f"_c{k}": F.floor(F.col(f"{k}_mm") / cell) for k in "xy"})
+    away = lambda e, k: (e[f"{k}_mm"] - F.col(f"{k}_mm")) * (e[f"{k}_mm"] - F.col(f"{k}_mm"))
+    hit = F.exists("_ends", lambda e: away(e, "x") + away(e, "y") < tolerance * tolerance)
+    got = inside.join(filters.if_small(about), ["_cx", "_cy"], "left").groupBy("room_id").agg(F.count("*").alias("n"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("q"))
     return got.select("room_id", "n", F.when(F.col("n") >= 20, F.col("q")).alias("quality"))
 
 
