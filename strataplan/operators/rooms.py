@@ -232,7 +232,7 @@ def fixtures(candidates: DataFrame, eps: int = 50, least: int = 50) -> DataFrame
     apart on the height axis while clustering, so that clusters stay on one wall."""
     from .planes import dbscan
 
-    apart = candidates.select(F.xxhash64("wall_id", "point_id").alias("point_id"), "wall_id", "x_mm", "y_mm", "z_mm", "dist")
+    apart = graph.cut(candidates.select(F.xxhash64("wall_id", "point_id").alias("point_id"), "wall_id", "x_mm", "y_mm", "z_mm", "dist"))
     lifted = apart.withColumn("z_mm", F.col("z_mm") + F.col("wall_id") * 1_000_000)
     label = dbscan(lifted.select("point_id", "x_mm", "y_mm", "z_mm"), eps, least)
     c = apart.join(label.where("label is not null"), "point_id").groupBy("wall_id", "label").agg(
