@@ -73,3 +73,38 @@ def test_merging_makes_its_pairs_once(spark, data, monkeypatch):
     monkeypatch.setattr(segments, "collinear_pairs", lambda *a, **k: made.append(1) or pairs(*a, **k))
     plans.QUERIES["segments_merged"](spark, data)
     assert len(made) == 1
+
+
+def test_candidates_are_made_once(spark):
+    """Fixtures read their candidates, which may be dear, once."""
+    from strataplan.operators import rooms
+
+    read = spark.sparkContext.accumulator(0)
+
+    def told(i):
+        read.add(1)
+        return i
+
+    rows = spark.range(30).select(F.udf(told, "long")("id").alias("point_id"), F.lit(1).alias("wall_id"), (F.col("id") * 10).alias("x_mm"), F.col("id").alias("y_mm"), (F.col("id") * 9).alias("z_mm"), F.lit(50.0).alias("dist"))
+    assert rooms.fixtures(rows, 400, 5).collect()[0].point_count == 30
+    assert read.value == 30
+
+
+def test_match_quality_reads_points_once(spark, monkeypatch):
+    """Points at, within and beyond the tolerance of ends, many to a cell, against brute force; no search for the nearest."""
+    import numpy as np
+
+    from strataplan.operators import spatial
+    from strataplan.plans import pipelines
+
+    monkeypatch.setattr(spatial, "nearest", None)
+    rng = np.random.default_rng(5)
+    p = np.vstack([rng.integers(-200, 1200, (400, 2)), [[130, 100], [129, 100], [100, 71], [100, 70]] * 3])
+    ends = np.vstack([[[100, 100], [100, 100]], rng.integers(-50, 1050, (12, 2))])
+    frame = lambda a: spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(a)], "point_id long, x_mm long, y_mm long")
+    edges = spark.createDataFrame([(r, *map(int, s)) for r, s in [(1, (0, 0, 1000, 0)), (1, (1000, 0, 1000, 1000)), (1, (1000, 1000, 0, 1000)), (1, (0, 1000, 0, 0)), (2, (1000, 0, 1010, 0)), (2, (1010, 0, 1010, 1000)), (2, (1010, 1000, 1000, 1000)), (2, (1000, 1000, 1000, 0))]], "room_id int, x0 long, y0 long, x1 long, y1 long")
+    inside = p[(p[:, 0] >= 0) & (p[:, 0] < 1000) & (p[:, 1] >= 0) & (p[:, 1] < 1000)]
+    hit = (((inside[:, None] - ends) ** 2).sum(2).min(1) < 900).mean()
+    got = {r.room_id: (r.n, r.quality) for r in pipelines.match_quality(frame(p), edges, frame(ends), 30).collect()}
+    assert got[1] == (len(inside), pytest.approx(hit)) and 0 < hit < 1
+    assert got.get(2, (0, None))[1] is None
