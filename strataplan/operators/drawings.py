@@ -27,12 +27,13 @@ def closed_outlines(vertices: DataFrame, least: float = 0.5, cell: float = 5.0)
 
 
 def line_faces(vertices: DataFrame, least: float = 0.5, cell: float = 5.0, snap: float = 1e-6) -> DataFrame:
-    """Edges of the faces that all lines and polylines of each file enclose."""
+    """Edges of the faces that all lines and polylines of each file enclose. Lines are stored, since faces count them
+    first."""
     from ..sources.scan_files import plan_edges
 
     lines = plan_edges(vertices).where("x1 <> x2 OR y1 <> y2")
     # an edge's number within its file: entity and vertex, both below 2^31
-    return rings.faces(lines.select(F.col("file").alias("by"), (F.shiftleft(F.col("entity").cast("long"), 31) + F.col("vertex")).alias("seg_id"), "x1", "y1", "x2", "y2"), cell, snap, least)
+    return rings.faces(graph.cut(lines.select(F.col("file").alias("by"), (F.shiftleft(F.col("entity").cast("long"), 31) + F.col("vertex")).alias("seg_id"), "x1", "y1", "x2", "y2")), cell, snap, least)
 
 
 def texts(vertices: DataFrame) -> DataFrame:

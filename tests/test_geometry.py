@@ -272,3 +272,17 @@ def test_lines_of_drawings_meet_no_join(spark):
     faces = drawings.line_faces(spark.createDataFrame(rows, DXF))
     assert "Join" not in faces._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in rings.measured(faces).select("by", "area", "corners").collect()] == [("a", 16.0, 4)]
+
+
+def test_lines_of_drawings_are_made_once(spark):
+    """Faces count the lines of a drawing before they take them; the drawings are read once for both."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(k):
+        read.add(1)
+        return k
+
+    rows = polyline("a", 1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + polyline("b", 2, [(1, -1), (1, 5)], False, "LINE")
+    faces = drawings.line_faces(spark.createDataFrame(rows, DXF).withColumn("vertex", F.udf(told, "int")("vertex")))
+    assert [tuple(r) for r in rings.measured(faces).select("by", "area", "corners").collect()] == [("a", 16.0, 4)]
+    assert read.value == len(rows)
