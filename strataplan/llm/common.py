@@ -82,6 +82,13 @@ def shield(docs: DataFrame, needed: list[str]):
     return body, restore
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, to be joined by sort and merge. Spark sizes what an explode or
+    a Python function makes of a table like the table, and a stored table by its compressed files, so it would send
+    through the driver what it takes for a few MB."""
+    return df.hint("merge")
+
+
 def evaluated(df: DataFrame, **columns) -> DataFrame:
     """``df`` with the given columns, each computed once a row. Later expressions that mention them
     often, or inside a lambda, would otherwise be merged with their making and repeat it."""
@@ -167,7 +174,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
-        both.where("v > u").join(low, "u")
+        both.where("v > u").join(by_key(low), "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         .unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
         .distinct()
@@ -178,7 +185,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are linked to the smallest of them."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges.join(by_key(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(low.select("u", F.col("m").alias("v")))
         .distinct()
     )

@@ -151,16 +151,16 @@ def links(nodes: DataFrame, threshold: int = 3, block: int | None = None, few: i
     spread = anchored(nodes)
     at_home = common.store(spread.where("home").select("key", "fp", "rep"))
     homes = at_home.groupBy("key").agg(F.count("*").alias("n_home"), F.min("fp").alias("one"))
-    met = common.store(spread.join(homes, "key").where("n_home > 1 OR one <> fp").select("key", "fp", "rep", "n_home"))
+    met = common.store(spread.join(common.by_key(homes), "key").where("n_home > 1 OR one <> fp").select("key", "fp", "rep", "n_home"))
     visits = met.groupBy("key").agg(F.count("*").alias("n_visit"), F.max("n_home").alias("n_home"))
     sized = common.store(visits)
-    light = met.join(sized.where(F.col("n_visit") <= few).select("key"), "key").select("key", F.col("fp").alias("fp2"), F.col("rep").alias("a"))
-    pairs = at_home.join(light, "key").where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= threshold)).select(F.col("a"), F.col("rep").alias("b"))
+    light = met.join(common.by_key(sized.where(F.col("n_visit") <= few).select("key")), "key").select("key", F.col("fp").alias("fp2"), F.col("rep").alias("a"))
+    pairs = at_home.join(common.by_key(light), "key").where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= threshold)).select(F.col("a"), F.col("rep").alias("b"))
     heavy = sized.where(F.col("n_visit") > few).select("key", F.ceil(F.col("n_home") / block).alias("hb_n"), F.ceil(F.col("n_visit") / block).alias("vb_n"))
     slot = F.xxhash64("fp", F.lit(7))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    home = at_home.join(heavy, "key").select("key", F.pmod(slot, "hb_n").alias("hb"), every("vb_n").alias("vb"), F.lit(True).alias("home"), "fp", "rep")
-    visit = met.drop("n_home").join(heavy, "key").select("key", every("hb_n").alias("hb"), F.pmod(slot, "vb_n").alias("vb"), F.lit(False).alias("home"), "fp", "rep")
+    home = at_home.join(common.by_key(heavy), "key").select("key", F.pmod(slot, "hb_n").alias("hb"), every("vb_n").alias("vb"), F.lit(True).alias("home"), "fp", "rep")
+    visit = met.drop("n_home").join(common.by_key(heavy), "key").select("key", every("hb_n").alias("hb"), F.pmod(slot, "vb_n").alias("vb"), F.lit(False).alias("home"), "fp", "rep")
 
     def compare(key, f: pd.DataFrame) -> pd.DataFrame:
         h, v = f[f["home"]], f[~f["home"]]
@@ -188,8 +188,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle_words: int = 3)
     comp = common.components(links(nodes, threshold))
     # stored, so that a common fingerprint's rows are a skewed side of a plain join, which may be split at run time
     root = F.coalesce("component", "rep")
-    named = common.store(nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.when(root < NAMELESS, root).alias("component_id")))
-    return prints.join(named, "fp")
+    named = common.store(nodes.join(common.by_key(comp), nodes.rep == comp.node, "left").select("fp", F.when(root < NAMELESS, root).alias("component_id")))
+    return prints.join(common.by_key(named), "fp")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose shingle sets have a Jaccard similarity of 4/5 or more."""
     side = lambda c: sets.select(F.col("k").alias(c), F.col("shingles").alias(f"_{c}"))
     both, n = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(5 * both >= 4 * (n - both)).select("a", "b")
+    return pairs.join(common.by_key(side("a")), "a").join(common.by_key(side("b")), "b").where(5 * both >= 4 * (n - both)).select("a", "b")
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     rows = each.select("k", "r", "n", index.alias("index"), F.posexplode(F.slice("o", F.lit(1), probe.cast("int"))).alias("at", "o")).where("o.c > 1").select("k", "r", "n", "index", "at", "o.s")
     rows = common.store(rows)
     y = rows.where("at < index").select("s", F.col("k").alias("k2"), F.col("r").alias("r2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    met = rows.join(y, "s").where("r <> r2 AND n2 <= n AND 5 * n2 >= 4 * n AND 9 * least(n - at, n2 - at2) >= 4 * (n + n2)")
+    met = rows.join(common.by_key(y), "s").where("r <> r2 AND n2 <= n AND 5 * n2 >= 4 * n AND 9 * least(n - at, n2 - at2) >= 4 * (n + n2)")
     return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
 
 
@@ -309,30 +309,30 @@ def jaccard_links(sketched: DataFrame, rows: DataFrame, known: DataFrame, few: i
     few = few or FEW
     spread = sketched.select("k", "n", F.explode("bands").alias("g"))
     shared = spread.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    members = common.store(spread.join(shared, "g"))
+    members = common.store(spread.join(common.by_key(shared), "g"))
     ends = [F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")]
     alike = 5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")  # else the sizes rule out 4/5
 
     def named(edges: DataFrame) -> DataFrame:
         comp = common.components(edges)
-        return common.store(members.join(comp, members.k == comp.node, "left").select("g", "k", "n", "c", F.coalesce("component", "k").alias("r")))
+        return common.store(members.join(common.by_key(comp), members.k == comp.node, "left").select("g", "k", "n", "c", F.coalesce("component", "k").alias("r")))
 
     def still_open(at: DataFrame) -> DataFrame:
-        return at.join(at.groupBy("g").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("g"), "g")
+        return at.join(common.by_key(at.groupBy("g").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("g")), "g")
 
     one = common.store(still_open(named(known)))
-    wanted = common.store(one.select("k").distinct().join(sketched.select("k", "doc_id"), "k"))
-    sets = common.store(shingle_sets(rows.join(wanted, ["k", "doc_id"], "left_semi").select("k", "text")))
-    head = one.join(one.groupBy("k").agg(F.sum("c").alias("w")), "k").groupBy("g").agg(F.max(F.struct("w", "k", "n", "r")).alias("m"))
+    wanted = common.store(one.select("k").distinct().join(common.by_key(sketched.select("k", "doc_id")), "k"))
+    sets = common.store(shingle_sets(rows.join(common.by_key(wanted), ["k", "doc_id"], "left_semi").select("k", "text")))
+    head = one.join(common.by_key(one.groupBy("k").agg(F.sum("c").alias("w"))), "k").groupBy("g").agg(F.max(F.struct("w", "k", "n", "r")).alias("m"))
     head = head.select("g", F.col("m.k").alias("k2"), F.col("m.n").alias("n2"), F.col("m.r").alias("r2"))
-    tried = common.store(one.join(head, "g").where((F.col("r") != F.col("r2")) & alike).select(*ends).distinct())
+    tried = common.store(one.join(common.by_key(head), "g").where((F.col("r") != F.col("r2")) & alike).select(*ends).distinct())
     first = common.store(similar(tried, sets))
     two = common.store(still_open(named(first.unionByName(known))))
     little = two.where(F.col("c") <= few)
     other = little.select("g", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-    rest = little.join(other, "g").where((F.col("k") < F.col("k2")) & (F.col("r") != F.col("r2")) & alike).select(*ends)
+    rest = little.join(common.by_key(other), "g").where((F.col("k") < F.col("k2")) & (F.col("r") != F.col("r2")) & alike).select(*ends)
     crowd = two.where(F.col("c") > few).groupBy("k").agg(F.first("r").alias("r"))
-    rest = rest.unionByName(prefix_pairs(sets.join(crowd, "k"))).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = rest.unionByName(prefix_pairs(sets.join(common.by_key(crowd), "k"))).distinct().join(common.by_key(tried), ["a", "b"], "left_anti")
     return first.unionByName(similar(rest, sets))
 
 
@@ -352,12 +352,12 @@ def keep_one(docs: DataFrame, threshold: int = 3, few: int | None = None) -> Dat
     owners = found.groupBy("k", "doc_id").agg(F.count("*").alias("rows"))
     distinct = common.store(found.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     nodes = distinct.groupBy("fp").agg(F.min("k").alias("rep"))
-    same = distinct.select("k", "fp").join(nodes, "fp").where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    same = distinct.select("k", "fp").join(common.by_key(nodes), "fp").where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     near = common.store(links(nodes, threshold).unionByName(same))
     comp = common.components(near.unionByName(jaccard_links(distinct, rows, near, few)))
-    grouped = owners.join(comp, F.col("k") == comp.node, "left").select("doc_id", "k", "rows", F.coalesce("component", "k").alias("c"))
+    grouped = owners.join(common.by_key(comp), F.col("k") == comp.node, "left").select("doc_id", "k", "rows", F.coalesce("component", "k").alias("c"))
     keep = common.store(grouped.groupBy("c").agg(F.min(F.struct("doc_id", "k", "rows")).alias("m")).select(F.col("m.doc_id").alias("_i"), F.col("m.k").alias("_k"), F.col("m.rows").alias("_n")))
-    kept = keyed.join(keep, (F.col("doc_id") == F.col("_i")) & (keyed["_k"] == keep["_k"]))
+    kept = keyed.join(common.by_key(keep), (F.col("doc_id") == F.col("_i")) & (keyed["_k"] == keep["_k"]))
     if keep.where("_n > 1").isEmpty():
         out = restore(kept)
     else:

@@ -831,3 +831,23 @@ def test_components(spark):
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(n, n) == find(n) for n in parent)
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("step", ["links"])
+def test_what_a_table_is_made_into_is_not_broadcast(spark, monkeypatch, step):
+    """Replicas, band keys and terms come of far smaller tables, by whose size Spark would broadcast them."""
+    plans, store = [], common.store
+    note = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(common, "store", lambda df, *a: note(df) or store(df, *a))
+    if step == "links":
+        note(simhash.links(spark.range(50).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rep"))))
+    elif step == "jaccard_links":
+        text = F.concat_ws(" ", *[(F.col("id") % 7 + i).cast("string") for i in range(12)])
+        rows = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").alias("k"), text.alias("text"))
+        note(simhash.jaccard_links(simhash.sketches(rows), rows, spark.createDataFrame([], "a long, b long")))
+    else:
+        held = [(i, f"ask a{i % 3}@b.org for key{i % 3}", [(4, 0, 12, f"a{i % 3}@b.org")]) for i in range(9)]
+        pii.telling_terms(spark.createDataFrame(held, f"_k long, text string, spans {pii.SPAN}"), 1, 0.5, 0.1)
+    joined = [line for p in plans for line in p.splitlines() if "HashJoin" in line or "MergeJoin" in line]
+    sent = [line for line in joined if "BroadcastHashJoin" in line]
+    assert joined and len(sent) == (step == "terms"), sent  # of the terms' joins, that with the few that are in most units
