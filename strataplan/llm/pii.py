@@ -204,11 +204,11 @@ def telling_terms(spotted: DataFrame, min_contexts: float, min_share: float, min
         F.filter("all", lambda x, i: ~_is_entity(x["t"]) & ((i == 0) | (F.get("all", i - 1)["t"] != x["t"]))).alias("terms"))
         # a repeated row's units are one here, with a count: df counts every copy, and so does n
         .groupBy("u", "ents", "terms").agg(F.count("*").alias("copies")))
-    recurring = mention.select("u", F.explode("ents").alias("e")).join(entities, "e").groupBy("u").agg(F.collect_list(F.struct("e", "ne")).alias("known"), F.max("ne").alias("top"))
+    recurring = mention.select("u", F.explode("ents").alias("e")).join(common.by_key(entities), "e").groupBy("u").agg(F.collect_list(F.struct("e", "ne")).alias("known"), F.max("ne").alias("top"))
     hot = counted.where((F.col("df") > HOT_SHARE * n_units) & ~_is_entity(F.col("t"))).select("t", F.col("df").alias("hot"))  # at most UNIT / HOT_SHARE rows
-    held = mention.join(recurring, "u").select("known", "top", "copies", F.explode("terms").alias("x")).select("known", "top", "copies", "x.t", "x.c")
+    held = mention.join(common.by_key(recurring), "u").select("known", "top", "copies", F.explode("terms").alias("x")).select("known", "top", "copies", "x.t", "x.c")
     held = held.join(F.broadcast(hot), "t", "left").where("hot IS NULL OR top >= {0} * hot".format(float(min_share))).drop("hot")
-    both = held.join(counted, "t").where(F.col("top") >= min_share * F.col("df")).select("t", "c", "df", "copies", F.explode("known").alias("k")).select("t", "c", "df", "copies", "k.e", "k.ne").where(F.col("ne") >= min_share * F.col("df"))
+    both = held.join(common.by_key(counted), "t").where(F.col("top") >= min_share * F.col("df")).select("t", "c", "df", "copies", F.explode("known").alias("k")).select("t", "c", "df", "copies", "k.e", "k.ne").where(F.col("ne") >= min_share * F.col("df"))
     by_context = both.groupBy("e", "t", "c").agg(F.sum("copies").alias("n"), F.first("df").alias("df"), F.first("ne").alias("ne"))
     pairs = common.store(by_context.groupBy("e", "t").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.first("df").alias("df"), F.first("ne").alias("ne")))
     looked = pairs.count()

@@ -833,7 +833,7 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("step", ["links"])
+@pytest.mark.parametrize("step", ["links", "jaccard_links", "terms"])
 def test_what_a_table_is_made_into_is_not_broadcast(spark, monkeypatch, step):
     """Replicas, band keys and terms come of far smaller tables, by whose size Spark would broadcast them."""
     plans, store = [], common.store
