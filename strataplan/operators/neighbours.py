@@ -34,6 +34,9 @@ def search(left: np.ndarray, right: np.ndarray, k: int, radius: int, own: np.nda
     Equal distances go by the right row's number. ``own`` tells the identity of left and right rows, as two
     arrays; what is identical is no neighbour."""
     todo = np.arange(len(left))
+    if k == 1 and own is None and len(right) and (radius * radius + 1) * len(right) < 1 << 63:
+        yield from closest(left, right, radius)
+        return
     if not len(right):
         yield todo, np.zeros(len(left), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return
@@ -81,6 +84,83 @@ def search(left: np.ndarray, right: np.ndarray, k: int, radius: int, own: np.nda
         reach *= 2
 
 
+#: points or boxes that a box of the tree holds, and left points that go down it together
+FAN, TOGETHER = 4, 1 << 14
+
+
+def _along(points: np.ndarray) -> np.ndarray:
+    """The order of points along a curve that takes the bits of their coordinates in turn."""
+    x = points - points.min(0)
+    bits = 62 // x.shape[1]
+    x >>= max(0, int(x.max()).bit_length() - bits)
+    code = np.zeros(len(x), dtype=np.int64)
+    for bit in range(int(x.max()).bit_length()):
+        for c in range(x.shape[1]):
+            code |= (x[:, c] >> bit & 1) << (bit * x.shape[1] + c)
+    return np.argsort(code, kind="stable")
+
+
+def closest(left: np.ndarray, right: np.ndarray, radius: int):
+    """:func:`search` for the one nearest, down a tree of boxes about right points: a left point goes on into the boxes that
+    are no farther than the nearest point it has met. What a point is compared with does not grow with the density of right
+    points, however far they are."""
+    order, m = _along(right), len(right)
+    # boxes of FAN points or boxes, up to few; with each a point that it holds
+    low = high = some = right[order]
+    tree = [(low, high, some)]
+    while len(low) > 2 * FAN:
+        at = np.arange(0, len(low), FAN)
+        low, high, some = np.minimum.reduceat(low, at, 0), np.maximum.reduceat(high, at, 0), some[np.minimum(at + FAN // 2, len(low) - 1)]
+        tree.append((low, high, some))
+    sort = _along(left) if len(left) else np.zeros(0, np.int64)
+    for begin in range(0, len(left), TOGETHER):
+        rows = sort[begin : begin + TOGETHER]
+        x = left[rows]
+        near = np.full(len(rows), radius * radius, dtype=np.int64)
+        best = np.full(len(rows), (radius * radius + 1) * m, dtype=np.int64)
+        top = len(tree) - 1
+        n = len(tree[top][0])
+        work = [(top, np.repeat(np.arange(len(rows)), n), np.tile(np.arange(n), len(rows)))]
+        while work:
+            level, i, j = work.pop()
+            if len(i) > PAIRS:
+                half = len(i) // 2
+                work += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
+                continue
+            low, high, some = tree[level]
+            at = x[i]
+            if not level:
+                d2 = ((at - low[j]) ** 2).sum(1)
+                keep = d2 <= near[i]
+                np.minimum.at(best, i[keep], d2[keep] * m + order[j[keep]])
+                near = np.minimum(near, best // m)
+                continue
+            to = ((at - some[j]) ** 2).sum(1)
+            np.minimum.at(near, i, to)
+            away = np.maximum(np.maximum(low[j] - at, at - high[j]), 0)
+            keep = (away * away).sum(1) <= near[i]
+            i, j = i[keep], j[keep]
+            below = j[:, None] * FAN + np.arange(FAN)
+            there = below < len(tree[level - 1][0])
+            work.append((level - 1, np.repeat(i, FAN)[there.ravel()], below[there]))
+        found = best <= radius * radius * m + m - 1
+        yield rows, found.astype(np.int64), best[found] % m, best[found] // m
+
+
+def same_places(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places that points hold the number of a first point, and for each point the number of its place."""
+    x = points - points.min(0)
+    spans = x.max(0) + 1
+    if np.prod(spans.astype(float)) < 1 << 62:
+        code = x[:, 0]
+        for c in range(1, x.shape[1]):
+            code = code * spans[c] + x[:, c]
+        _, first, at = np.unique(code, return_index=True, return_inverse=True)
+    else:
+        _, first, at = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    return first, at.ravel()
+
+
 def _slice(left, right, part, first, length, order, k, reach, own):
     flat, starts = length.ravel(), first.ravel()
     run = np.repeat(starts - np.concatenate([[0], np.cumsum(flat)[:-1]]), flat) + np.arange(flat.sum())

@@ -108,3 +108,23 @@ def test_match_quality_reads_points_once(spark, monkeypatch):
     got = {r.room_id: (r.n, r.quality) for r in pipelines.match_quality(frame(p), edges, frame(ends), 30).collect()}
     assert got[1] == (len(inside), pytest.approx(hit)) and 0 < hit < 1
     assert got.get(2, (0, None))[1] is None
+
+
+def test_the_nearest_beside_a_dense_wall():
+    """Points 100 to 290 mm off a wall are compared with few of its points, however dense it is; answers equal brute force."""
+    import time
+
+    import numpy as np
+
+    from strataplan.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    wall = np.unique(np.stack([rng.integers(0, 1000, 400_000), rng.integers(-5, 6, 400_000), rng.integers(0, 1000, 400_000)], 1), axis=0)
+    wall = wall[rng.permutation(len(wall))]
+    off = np.stack([rng.integers(0, 1000, 1000), rng.integers(100, 290, 1000), rng.integers(0, 1000, 1000)], 1)
+    begun = time.process_time()
+    got = {i: (d, j) for rows, n, found, d2 in neighbours.search(off, wall, 1, 300) for i, j, d in zip(rows[n > 0].tolist(), found.tolist(), d2.tolist())}
+    assert time.process_time() - begun < 3
+    for i in range(0, 1000, 20):
+        d2 = ((wall - off[i]) ** 2).sum(1)
+        assert got.get(i) == ((d2.min(), d2.argmin()) if d2.min() <= 90000 else None)
