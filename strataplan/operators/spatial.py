@@ -62,29 +62,52 @@ def _block_side(points: DataFrame, reach: int, dims: str) -> int:
     return narrow
 
 
-def _blocks(left: DataFrame, right: DataFrame, k: int, reach: int, dims: str, run, schema: str, others: bool):
+def _blocks(left: DataFrame, right: DataFrame, k: int, reach: int, dims: str, run, schema: str, others: bool, side: int | None = None, few_blocks: bool = False) -> DataFrame:
     """``run(left frame, right frame, search)`` block by block: every left point is in one block, every right
-    point in all that are within reach of it. Right points are ordered by id, so that equal distances go to the smallest."""
-    side = _block_side(left.unionByName(right), reach, dims)
+    point in all that are within reach of it. Right points are ordered by id, so that equal distances go to the smallest.
+    A table that is both sides moves once. With ``others`` a point's own id is no neighbour, and ``run`` must return a row
+    for each left point; points at one place have the same neighbours, places and distances, and are searched once. ``few_blocks``: left points are in few
+    blocks, and right points of others do not move."""
+    side = side or _block_side(left if left is right else left.unionByName(right), reach, dims)
     keys = [f"c{c}" for c in dims]
     cols = [f"{c}_mm" for c in dims]
-    a = left.select("id", *cols, *[F.floor(F.col(x) / float(side)).alias(c) for x, c in zip(cols, keys)])
+    cell = {c: F.floor(F.col(x) / float(side)) for x, c in zip(cols, keys)}
     b = right.select("id", *cols)
     for x, c in zip(cols, keys):
         b = b.withColumn(c, F.explode(F.sequence(*[F.floor((F.col(x) + s * reach) / float(side)) for s in (-1, 1)])))
-    b = b.select("id", *cols, *keys)
 
-    def each(key: tuple, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+    def answers(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(f):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in empty})
-        g = g.sort_values("id")
         ids = f["id"].to_numpy(), g["id"].to_numpy()
         xyz = f[cols].to_numpy(np.int64), g[cols].to_numpy(np.int64)
-        return run(ids, xyz, neighbours.search(*xyz, k, reach, ids if others else None))
+        # among right points of one id each, all of a place miss one neighbour there, themselves
+        if not others or (ids[1][1:] == ids[1][:-1]).any() or not np.isin(ids[0], ids[1]).all():
+            return run(ids, xyz, neighbours.search(*xyz, k, reach, ids if others else None))
+        first, at = neighbours.same_places(xyz[0])
+        few = xyz[0][first]
+        out = run((np.arange(len(first)), ids[1]), (few, xyz[1]), neighbours.search(few, xyz[1], k, reach, (ids[0][first], ids[1])))
+        place = np.empty(len(first), dtype=np.int64)
+        place[out["id"].to_numpy()] = np.arange(len(first))
+        return out.iloc[place[at]].assign(id=ids[0])
 
     empty = [(c.split()[0], "float64" if "double" in c else "int64") for c in schema.split(", ") if "<" not in c]
     empty += [(c.split()[0], "object") for c in schema.split(", ") if "<" in c]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(each, schema)
+    if left is right:
+        home = F.lit(True)
+        for c in keys:
+            home &= F.col(c) == cell[c]
+
+        def each(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            g = f.sort_values("id", kind="stable")
+            return answers(g[g["home"]], g)
+
+        return b.select("id", *cols, *keys, home.alias("home")).groupBy(*keys).applyInPandas(each, schema)
+    a = left.select("id", *cols, *[cell[c].alias(c) for c in keys])
+    b = b.select("id", *cols, *keys)
+    if few_blocks:
+        b = b.join(if_small(graph.cut(a.select(*keys).distinct())), keys, "left_semi").select("id", *cols, *keys)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(lambda key, f, g: answers(f, g.sort_values("id")), schema)
 
 
 def places(df: DataFrame, id_col: str, dims: str) -> DataFrame:
@@ -140,15 +163,29 @@ def mutual_nearest(left: DataFrame, right: DataFrame, radius: int, id_col: str =
 
 def neighbourhoods(points: DataFrame, others: DataFrame, k: int, radius: int, what, schema: str, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:
     """``(id, n, ...)`` for each of ``points``: ``what(rows of others as coordinates, counts, d2)`` of its k nearest among
-    ``others`` that have another id and lie within the radius, by distance then id. ``schema`` names what it returns."""
+    ``others`` that have another id and lie within the radius, by distance then id. ``schema`` names what it returns.
+
+    Where points are their own others and crowded, a block of the full radius could hold little more than what is in reach of
+    it, and each point would move to many. Most have their k within a sixteenth of the radius there, in blocks that
+    overlap little; what has not is searched again, with what is in the same blocks."""
     own = lambda df: df.select(F.col(id_col).alias("id"), *[F.col(f"{c}_mm").cast("long").alias(f"{c}_mm") for c in dims])
+    cols = [f"{c}_mm" for c in dims]
 
     def run(ids, xyz, search) -> pd.DataFrame:
-        out = [(ids[0][rows], n, *what(xyz[1][found], n, d2)) for rows, n, found, d2 in search]
+        out = [(ids[0][rows], *xyz[0][rows].T, n, *what(xyz[1][found], n, d2)) for rows, n, found, d2 in search]
         names = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame(dict(zip(("id", "n", *names), map(np.concatenate, zip(*out)))))
-
-    return _blocks(own(points), own(others), k, radius, dims, run, f"id {points.schema[id_col].dataType.simpleString()}, n long, {schema}", True)
+        return pd.DataFrame(dict(zip(("id", *cols, "n", *names), map(np.concatenate, zip(*out)))))
+
+    kind = f"id {points.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} long' for c in cols)}, n long, {schema}"
+    if points is not others:
+        return _blocks(own(points), own(others), k, radius, dims, run, kind, True).drop(*cols)
+    every, short = own(points), radius // 16
+    side = _block_side(every, radius, dims)
+    if side >= 4 * radius or not short:
+        return _blocks(every, every, k, radius, dims, run, kind, True, side).drop(*cols)
+    first = graph.cut(_blocks(every, every, k, short, dims, run, kind, True))
+    late = first.where(F.col("n") < k).select("id", *cols)
+    return first.where(F.col("n") == k).unionByName(_blocks(late, every, k, radius, dims, run, kind, True, side, True)).drop(*cols)
 
 
 def knn_distance(points: DataFrame, k: int, radius: int, id_col: str = "point_id", dims: str = "xyz") -> DataFrame:

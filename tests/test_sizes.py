@@ -128,3 +128,29 @@ def test_the_nearest_beside_a_dense_wall():
     for i in range(0, 1000, 20):
         d2 = ((wall - off[i]) ** 2).sum(1)
         assert got.get(i) == ((d2.min(), d2.argmin()) if d2.min() <= 90000 else None)
+
+
+@pytest.mark.parametrize("block", [None, 300])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_neighbourhoods_of_crowded_points(spark, monkeypatch, block, repeated):
+    """A table that is both sides moves once; crowded points are searched with a short reach first, and points at one place
+    once. Neighbours equal brute force, lone points, copies and ids that two points have included."""
+    import numpy as np
+    import pandas as pd
+
+    from strataplan.operators import spatial
+
+    monkeypatch.setattr(spatial, "BLOCK", block or spatial.BLOCK)
+    rng = np.random.default_rng(4)
+    xyz = np.vstack([rng.integers(0, 12, (400, 3)), rng.integers(-700, 700, (60, 3))])
+    ids = rng.permutation(len(xyz)) // (2 if repeated else 1)
+    p = spark.createDataFrame(pd.DataFrame(dict(zip(("x_mm", "y_mm", "z_mm"), xyz.T))).assign(point_id=ids))
+    found = spatial.neighbourhoods(p, p, 6, 160, lambda near, n, d2: (np.bincount(np.repeat(np.arange(len(n)), n), near @ [1, 1000, 10**6] + 0.0, len(n)), np.bincount(np.repeat(np.arange(len(n)), n), d2, len(n))), "s double, d double")
+    if not block:
+        assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for at, own in zip(xyz, ids):
+        d2 = ((xyz - at) ** 2).sum(1)
+        near = [j for j in np.lexsort((ids, d2)) if ids[j] != own and d2[j] <= 160 * 160][:6]
+        want.append((int(own), len(near), float(d2[near].sum())) + (() if repeated else (float((xyz[near] @ [1, 1000, 10**6]).sum()),)))
+    assert sorted((r.id, r.n, r.d) + (() if repeated else (r.s,)) for r in found.collect()) == sorted(want)
